@@ -54,11 +54,12 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class WordTokens:
     """Ids of texts under ``word_bpe_49k.json`` or a tokenizer that keeps the same borders."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = specials_as_text
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
@@ -112,11 +113,12 @@ class WordTokens:
         return ids, total[np.searchsorted(rows, np.arange(n + 1))]
 
 
-_LOADED: dict[str, WordTokens] = {}
+_LOADED: dict[tuple[str, bool], WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
-    """One tokenizer for each worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+def word_tokens(path: str, specials_as_text: bool = False) -> WordTokens:
+    """One tokenizer for each worker process; ``specials_as_text``: special tokens' strings in a text are ordinary text."""
+    key = (path, specials_as_text)
+    if key not in _LOADED:
+        _LOADED[key] = WordTokens(path, specials_as_text)
+    return _LOADED[key]
