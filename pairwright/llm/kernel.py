@@ -182,7 +182,7 @@ class MinHash:
         h32 = (h >> U64(32)).astype(np.uint32)
         out = np.zeros((len(bounds), self.bands), U64)
         for b in range(self.bands):
-            key = np.full(len(bounds), U64(b + 1) * _BASE)
+            key = np.full(len(bounds), b + 1, U64) * _BASE
             for r in range(b * self.rows, (b + 1) * self.rows):
                 least = np.minimum.reduceat((h32 ^ self.xor[r]) * self.mul[r], bounds)
                 key = mix(key + least.astype(U64) * U64(0xD6E8FEB86659FD93))

@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+#: Lets Spark remove a query's shuffle files as soon as its table is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -60,7 +62,12 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     spark = df.sparkSession
     path = new_folder(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path  # type: ignore[attr-defined]
     return out
