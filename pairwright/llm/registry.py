@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard_join, packing, quality_model, quality_rules, token_counts, toxicity
+from . import html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_counts(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_html_text, op3_quality_rules, op4_quality_classifier, op5_jaccard_join, op8_token_counts, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op2_html_text, op3_quality_rules, op4_quality_classifier, op5_jaccard_join, op7_line_dedup, op8_token_counts, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
