@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_counts, toxicity
+from . import decontaminate, html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_html_text, op3_quality_rules, op4_quality_classifier, op5_jaccard_join, op7_line_dedup, op8_token_counts, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_quality_rules, op4_quality_classifier, op5_jaccard_join, op7_line_dedup, op8_token_counts, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
