@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, line_dedup, packing, quality_model, quality_rules, token_counts, toxicity
+from . import decontaminate, html_text, jaccard_join, language_model, line_dedup, packing, quality_model, quality_rules, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_quality_rules, op4_quality_classifier, op5_jaccard_join, op7_line_dedup, op8_token_counts, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_quality_rules, op4_quality_classifier, op5_jaccard_join, op6_language_model, op7_line_dedup, op8_token_counts, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
