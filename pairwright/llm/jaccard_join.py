@@ -104,3 +104,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.col("copies").alias("n_copies"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"),
     )
     return signed.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "n_copies", "n_similar")
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay if of each class only its least doc_id does, with all their columns.
+
+    Of rows that repeat both doc_id and text one stays; rows with a null doc_id stay.
+    """
+    chosen = join(docs, threshold).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("chosen_id")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = written(chosen, "chosen")
+    key = docs["doc_id"].cast("long")
+    once, more = chosen.filter("n = 1").hint("shuffle_hash"), chosen.filter("n > 1")
+    kept = docs.join(once, key == once["chosen_id"], "left_semi")
+    if more.limit(1).count():
+        repeated = docs.join(more.hint("shuffle_hash"), key == more["chosen_id"], "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    return kept.unionByName(docs.filter(key.isNull()))

@@ -197,14 +197,31 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return written(alone.unionByName(grouped).groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("keep")), "kept")
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with text as it is left, n_lines and removed_lines (numbers from 0)."""
+def _apply(docs: DataFrame, threshold: float) -> DataFrame:
+    """(row, text, n_lines, removed_lines); row: the other columns of ``docs``."""
     row = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "text")).alias("row")
     doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
     keyed = docs.select(row, doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_key"))
     keep = kept_lines(keyed, threshold).select(F.col("doc_id").alias("d"), F.col("row_key").alias("r"), "keep")
     joined = keyed.join(keep.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(keep["d"]) & (keyed["row_key"] == keep["r"]), "left").select("row", "text", "keep")
     kind = T.StructType([keyed.schema["row"], *T.StructType.fromDDL("text string, n_lines long, removed_lines array<long>")])
-    done = joined.mapInArrow(_applied, kind)
-    rest = [F.col("row")[c].alias(c) if c != "text" else F.col("text") for c in docs.columns]
-    return done.select(*rest, "n_lines", "removed_lines")
+    return joined.mapInArrow(_applied, kind)
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with text as it is left, n_lines and removed_lines (numbers from 0)."""
+    return _apply(docs, threshold).select(*_columns(docs), "n_lines", "removed_lines")
+
+
+def without_repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with text as it is left; a column n_chars follows the text where that has changed."""
+    columns = _columns(docs)
+    if "n_chars" in docs.columns:
+        at = docs.columns.index("n_chars")
+        changed = F.when(F.size("removed_lines") > 0, F.length("text")).otherwise(F.col("row")["n_chars"])
+        columns[at] = changed.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return _apply(docs, threshold).select(*columns)

@@ -278,3 +278,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_matches long")
     held_out = labelled.fold(F.col("doc_id")) == 0
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_matches")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns."""
+    model, at = train(docs, labels), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at).cast(pa.string())], ["id", "text"])
+            for found in _figures_of(model.lexicon)([plain]):
+                x = np.column_stack([found.column(k).to_numpy(zero_copy_only=False) for k in range(1, found.num_columns)])
+                yield batch.filter(pa.array(model.score(x) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
