@@ -103,6 +103,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "node", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
         F.col("copies").alias("n_copies"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"),
     )
+    known = written(known, "known")  # so that the join below shuffles both sides itself, and a hot class can be split
     return signed.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "n_copies", "n_similar")
 
 
