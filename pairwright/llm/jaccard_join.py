@@ -73,7 +73,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, h, bounds in word_sets(batch.column(0)):
             sets = pa.array([h[bounds[k] : bounds[k + 1]].tobytes() for k in range(b - a)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(_identity(h, bounds))), sets], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(_identity(h, bounds))), sets], ["node", "content"])
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -89,7 +89,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     described = members.join(nodes.select("node", "copies", "keys"), "node")
     wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node").select("least").distinct()
-    sets = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["least"]).select("text").mapInArrow(_sets, "node long, hashes binary")
+    sets = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["least"]).select("text").mapInArrow(_sets, "node long, content binary")
     if signed.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count():  # a repeated id brings a set twice
         sets = sets.dropDuplicates(["node"])
     links = written(neighbours.verified(described.join(sets, "node"), threshold), "links")

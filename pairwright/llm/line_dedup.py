@@ -37,9 +37,8 @@ BANDS = neighbours.bands_for(THRESHOLD, RECALL, ROWS)
 BINS = BANDS * ROWS
 
 _U64 = np.uint64
-_ORDER = np.random.default_rng(11)
-#: Where an empty bin looks for a value, try by try.
-_PROBES = np.stack([_ORDER.permutation(BINS) for _ in range(4 * BINS)])
+#: Whether an empty bin borrows from the next filled bin on its left or on its right.
+_LEFT = np.random.default_rng(11).random(BINS) < 0.5
 _FULL = np.uint32(0xFFFFFFFF)
 
 
@@ -56,28 +55,30 @@ def _line_ends(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return ends[order], own[order]
 
 
+def _densified(bins: np.ndarray) -> np.ndarray:
+    """Empty bins take the next filled bin's value, to the left or right around the circle, with how far it was."""
+    place = np.arange(2 * BINS, dtype=np.int16)
+    twice = np.concatenate([bins, bins], axis=1) != _FULL
+    left = np.maximum.accumulate(np.where(twice, place, np.int16(-1)), axis=1)[:, BINS:]
+    right = np.minimum.accumulate(np.where(twice, place, np.int16(4 * BINS))[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+    source = np.where(_LEFT, left, right)
+    far = np.abs(source - np.where(_LEFT, place[BINS:], place[:BINS])).astype(np.uint32)
+    return np.take_along_axis(bins, (source % BINS).astype(np.int64), axis=1) + np.uint32(0x9E3779B1) * far
+
+
 def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     """(n, BANDS) keys of n lines that each have hashes, by one-permutation MinHash."""
     bins = np.full(n * BINS, _FULL, np.uint32)
     place = line * BINS + ((h >> _U64(32)) * _U64(BINS) >> _U64(32)).astype(np.int64)
     np.minimum.at(bins, place, (h & _U64(0xFFFFFFFE)).astype(np.uint32))
     bins = bins.reshape(n, BINS)
-    empty = bins == _FULL
-    filled = bins.copy()
-    for k, probe in enumerate(_PROBES):
-        if not empty.any():
-            break
-        source = bins[:, probe]
-        use = empty & (source != _FULL)
-        filled[use] = source[use] + np.uint32(2 * k + 1)  # a borrowed value agrees only where both borrow in the same try
-        empty &= ~use
-    if empty.any():
-        filled[empty] = np.broadcast_to(bins.min(axis=1, keepdims=True), bins.shape)[empty]
+    some = np.flatnonzero((bins == _FULL).any(axis=1))
+    bins[some] = _densified(bins[some])
     keys = np.zeros((n, BANDS), _U64)
     for b in range(BANDS):
         key = np.full(n, b + 1, _U64)
         for r in range(ROWS):
-            key = kernel.mix(key * _U64(0x9E3779B97F4A7C15) + filled[:, b * ROWS + r].astype(_U64))
+            key = kernel.mix(key * _U64(0x9E3779B97F4A7C15) + bins[:, b * ROWS + r].astype(_U64))
         keys[:, b] = key
     return neighbours.band_keys(keys)
 
@@ -131,30 +132,34 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x) for x in columns)], names)
 
 
-def line_set(line: str) -> np.ndarray:
-    """The sorted set of a line's hashes, for exact verification."""
-    raw = np.frombuffer(" ".join(line.split()).encode("utf-8", "replace"), np.uint8)
+def line_set(line: bytes) -> np.ndarray:
+    """The sorted set of the hashes of a line with single spaces, for exact verification."""
+    raw = np.frombuffer(line, np.uint8)
     n = len(raw) - SHINGLE + 1
     if n < 1:
         return kernel.hash_spans(raw, np.array([0]), np.array([len(raw)]))
     return np.unique(kernel.hash_spans(raw, np.arange(n), np.arange(n) + SHINGLE))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the wanted lines: (text, wanted: list of (line, node))."""
+def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of documents: (text, wanted: list of (line, node))."""
     for batch in batches:
         texts = lower(batch.column(0)).to_pylist()
-        nodes, sets, size = [], [], 0
+        nodes, found, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "content"])
+
         for text, wanted in zip(texts, batch.column(1).to_pylist(), strict=True):
             lines = text.split("\n")
             for w in wanted:
                 nodes.append(w["node"])
-                sets.append(line_set(lines[w["line"]]).tobytes())
-                size += len(sets[-1])
+                found.append(" ".join(lines[w["line"]].split()).encode("utf-8", "replace"))
+                size += len(found[-1])
             if size > 1 << 24:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
-                nodes, sets, size = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
+                yield out()
+                nodes, found, size = [], [], 0
+        yield out()
 
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +191,9 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "row_key", "line"), "node")
     wanted = wanted.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
     found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["d"]) & (docs["row_key"] == wanted["r"]))
-    sets = found.select("text", "wanted").mapInArrow(_sets, "node long, hashes binary")
+    sets = found.select("text", "wanted").mapInArrow(_wanted_lines, "node long, content binary")
     described = members.join(nodes.select("node", "keys", F.lit(1).cast("long").alias("copies")), "node")
-    links = written(neighbours.verified(described.join(sets, "node"), threshold).select(F.col("node").alias("a"), F.col("reaches").alias("b")), "links")
+    links = written(neighbours.verified(described.join(sets, "node"), threshold, line_set).select(F.col("node").alias("a"), F.col("reaches").alias("b")), "links")
     roots = connected_components(links)
 
     placed = nodes.select("node", "doc_id", "row_key", "line").join(roots, "node", "left")

@@ -11,7 +11,7 @@ one row a node, with the number of its partners and the least node it reaches th
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .store import written
 
 #: Nodes, and hashes of their sets, that a chunk of a bucket has on average at most.
 CHUNK_NODES = 256
@@ -39,15 +40,15 @@ def band_keys(keys: np.ndarray) -> np.ndarray:
 
 def memberships(nodes: DataFrame) -> DataFrame:
     """(node, key, i, j): the blocks that each node goes to; nodes: node, size, keys."""
-    each = nodes.select("node", "size", F.explode("keys").alias("key"))
-    mark = F.xxhash64("node")
-    buckets = each.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("node").alias("lead"), F.bit_xor(mark).alias("mark")
-    ).filter("n > 1")
-    buckets = buckets.groupBy("n", "total", "lead", "mark").agg(F.min("key").alias("key"))
+    each = nodes.select("node", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = written(each.join(shared.select("key"), "key"), "shared")  # most keys have one node; what goes on is small
+    mark = F.bit_xor(F.xxhash64("node"))
+    buckets = pairs.join(nodes.select("node", "size"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), mark.alias("mark"))
+    buckets = buckets.groupBy("n", "total", "mark").agg(F.min("key").alias("key"))
     parts = F.greatest(F.ceil(F.col("n") / CHUNK_NODES), F.ceil(F.col("total") / CHUNK_HASHES))
     parts = F.least(parts, F.col("n")).cast("int")
-    members = each.select("node", "key").join(buckets.select("key", parts.alias("parts")), "key")
+    members = pairs.join(buckets.select("key", parts.alias("parts")), "key")
     chunk = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
     spread = members.select("node", "key", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     return spread.select("node", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
@@ -94,11 +95,11 @@ def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _block(key: int, i: int, j: int, rows: pa.Table, threshold: float) -> list[np.ndarray]:
+def _block(key: int, i: int, j: int, rows: pa.Table, threshold: float, set_of: Callable) -> list[np.ndarray]:
     """Links of one block: node, partner texts, partner documents, least node reached."""
     rows = rows.sort_by("node")  # so that the least member is the least node
     node, copies, chunk = (rows.column(c).to_numpy() for c in ("node", "copies", "chunk"))
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")]
+    sets = [set_of(x.as_buffer()) for x in rows.column("content")]
     keys = np.array(rows.column("keys").to_pylist(), np.int64)
     size = np.array([len(s) for s in sets])
     shared = shared_counts(sets)
@@ -115,9 +116,16 @@ def _block(key: int, i: int, j: int, rows: pa.Table, threshold: float) -> list[n
     return [node[live], linked.sum(axis=1)[live], (linked @ copies)[live], node[root][live]]
 
 
-def verified(blocks: DataFrame, threshold: float) -> DataFrame:
-    """(node, texts, documents, reaches) by block; blocks: memberships with copies, keys and hashes (sorted set of 64-bit hashes)."""
-    columns = ["key", "i", "j", "node", "chunk", "copies", "keys", "hashes"]
+def hashes(content: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(content, np.uint64)
+
+
+def verified(blocks: DataFrame, threshold: float, set_of: Callable = hashes) -> DataFrame:
+    """(node, texts, documents, reaches) by block; blocks: memberships with copies, keys and content.
+
+    ``set_of`` makes a node's sorted set of 64-bit hashes of its content, by default those hashes.
+    """
+    columns = ["key", "i", "j", "node", "chunk", "copies", "keys", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -128,7 +136,7 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
             rows = pa.concat_tables(held)
             held.clear()
             if rows.num_rows > 1:
-                found.append(_block(*current, rows, threshold))
+                found.append(_block(*current, rows, threshold, set_of))
 
         def batch() -> pa.RecordBatch:
             parts = [np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
