@@ -20,6 +20,11 @@ def _blank(value: str, key: str, *moduli: int):
     return F.when(~hit, F.col(value).cast("double"))
 
 
+def _cube(c: str):
+    """Third powers: of three different ones none lies in the middle, so only equal nations tie."""
+    return F.col(c).cast("double") * F.col(c) * F.col(c)
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[tuple[str, str, str]]]:
     """Customers to suppliers by balance and nation, under names that differ; some cells and some whole rows are missing."""
     target = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_name", _blank("c_acctbal", "c_custkey", 11, 19).alias("c_acctbal"), _blank("c_nationkey", "c_custkey", 13, 19).alias("c_nationkey"))
@@ -29,8 +34,8 @@ def accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, li
 
 def nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[tuple[str, str, str]]]:
     """Customers to suppliers by nation alone: many ties."""
-    target = read(spark, sf_dir, "customer").select("c_custkey", _blank("c_nationkey", "c_custkey", 23).alias("c_nationkey"))
-    supplemental = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("s_nationkey"))
+    target = read(spark, sf_dir, "customer").select("c_custkey", _blank("c_nationkey", "c_custkey", 23).alias("c_nationkey")).withColumn("c_nationkey", _cube("c_nationkey"))
+    supplemental = read(spark, sf_dir, "supplier").select("s_suppkey", _cube("s_nationkey").alias("s_nationkey"))
     return target, supplemental, [("nation", "c_nationkey", "s_nationkey")]
 
 

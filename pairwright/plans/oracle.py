@@ -11,7 +11,7 @@ _TABLES = {
         "SELECT s_suppkey AS idx, CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE CAST(s_acctbal AS DOUBLE) END AS f0, CAST(s_nationkey AS DOUBLE) AS f1 FROM supplier",
         ["balance", "nation"],
     ),
-    "nations": ("SELECT c_custkey AS idx, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE CAST(c_nationkey AS DOUBLE) END AS f0 FROM customer", "SELECT s_suppkey AS idx, CAST(s_nationkey AS DOUBLE) AS f0 FROM supplier", ["nation"]),
+    "nations": ("SELECT c_custkey AS idx, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE CAST(c_nationkey AS DOUBLE) * c_nationkey * c_nationkey END AS f0 FROM customer", "SELECT s_suppkey AS idx, CAST(s_nationkey AS DOUBLE) * s_nationkey * s_nationkey AS f0 FROM supplier", ["nation"]),
     "overlap": (
         "SELECT c_custkey AS idx, c_acctbal AS f0, CAST(c_nationkey AS DOUBLE) AS f1 FROM customer WHERE c_custkey % 3 = 0",
         "SELECT c_custkey AS idx, c_acctbal AS f0, CAST(c_nationkey AS DOUBLE) AS f1 FROM customer WHERE c_custkey % 2 = 0",
