@@ -87,7 +87,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = classes.filter("least is not null")
     members = written(neighbours.memberships(nodes), "members")
 
-    described = members.join(nodes.select("node", "copies", "keys"), "node")
+    described = members.join(nodes.select("node", "copies", "keys", "size"), "node")
     wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node").select("least").distinct()
     sets = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["least"]).select("text").mapInArrow(_sets, "node long, content binary")
     if signed.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count():  # a repeated id brings a set twice

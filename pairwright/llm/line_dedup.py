@@ -132,13 +132,19 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x) for x in columns)], names)
 
 
-def line_set(line: bytes) -> np.ndarray:
-    """The sorted set of the hashes of a line with single spaces, for exact verification."""
-    raw = np.frombuffer(line, np.uint8)
-    n = len(raw) - SHINGLE + 1
-    if n < 1:
-        return kernel.hash_spans(raw, np.array([0]), np.array([len(raw)]))
-    return np.unique(kernel.hash_spans(raw, np.arange(n), np.arange(n) + SHINGLE))
+def line_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of lines with single spaces, and the line of each, for exact verification."""
+    buf, at = kernel.utf8(lines)
+    windows = np.maximum(np.diff(at) - SHINGLE + 1, 0)
+    total = np.concatenate([[0], np.cumsum(windows)])
+    where = np.repeat(at[:-1] - total[:-1], windows) + np.arange(total[-1])
+    h, own = kernel.hash_spans(buf, where, where + SHINGLE), np.repeat(np.arange(len(windows)), windows)
+    short = np.flatnonzero(windows == 0)
+    if len(short):
+        h, own = np.concatenate([h, kernel.hash_spans(buf, at[short], at[short + 1])]), np.concatenate([own, short])
+        order = np.argsort(own, kind="stable")
+        h, own = h[order], own[order]
+    return h, own
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +198,8 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = wanted.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
     found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["d"]) & (docs["row_key"] == wanted["r"]))
     sets = found.select("text", "wanted").mapInArrow(_wanted_lines, "node long, content binary")
-    described = members.join(nodes.select("node", "keys", F.lit(1).cast("long").alias("copies")), "node")
-    links = written(neighbours.verified(described.join(sets, "node"), threshold, line_set).select(F.col("node").alias("a"), F.col("reaches").alias("b")), "links")
+    described = members.join(nodes.select("node", "keys", "size", F.lit(1).cast("long").alias("copies")), "node")
+    links = written(neighbours.verified(described.join(sets, "node"), threshold, line_sets).select(F.col("node").alias("a"), F.col("reaches").alias("b")), "links")
     roots = connected_components(links)
 
     placed = nodes.select("node", "doc_id", "row_key", "line").join(roots, "node", "left")

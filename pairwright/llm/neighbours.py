@@ -99,8 +99,9 @@ def _block(key: int, i: int, j: int, rows: pa.Table, threshold: float, set_of: C
     """Links of one block: node, partner texts, partner documents, least node reached."""
     rows = rows.sort_by("node")  # so that the least member is the least node
     node, copies, chunk = (rows.column(c).to_numpy() for c in ("node", "copies", "chunk"))
-    sets = [set_of(x.as_buffer()) for x in rows.column("content")]
-    keys = np.array(rows.column("keys").to_pylist(), np.int64)
+    h, bounds = sorted_sets(*set_of(rows.column("content").combine_chunks()), len(node))
+    sets = np.split(h, bounds[1:-1])
+    keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
     size = np.array([len(s) for s in sets])
     shared = shared_counts(sets)
     linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
@@ -116,32 +117,96 @@ def _block(key: int, i: int, j: int, rows: pa.Table, threshold: float, set_of: C
     return [node[live], linked.sum(axis=1)[live], (linked @ copies)[live], node[root][live]]
 
 
-def hashes(content: pa.Buffer) -> np.ndarray:
-    return np.frombuffer(content, np.uint64)
+def hashes(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that are the content themselves, and the row of each."""
+    buf, offsets = kernel.utf8(content)
+    size = np.diff(offsets) // 8
+    return np.frombuffer(buf.tobytes(), np.uint64), np.repeat(np.arange(len(size)), size)
+
+
+#: Members of a block that is verified together with others, and hashes that are taken at a time.
+SMALL_BLOCK = 12
+BATCH_HASHES = 1 << 20
+
+
+def _small_blocks(rows: pa.Table, threshold: float, set_of: Callable) -> list[np.ndarray]:
+    """Links of many blocks of at most SMALL_BLOCK rows each, whose rows stand together, in one pass."""
+    key, i, j, node, chunk, copies = (rows.column(c).to_numpy() for c in ("key", "i", "j", "node", "chunk", "copies"))
+    m = len(key)
+    new = np.ones(m, bool)
+    new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, m))
+    place = np.arange(m) - first[group]
+    h, own = set_of(rows.column("content").combine_chunks())
+    mark = kernel.mix(h + kernel.mix(group[own].astype(np.uint64)))
+    order = np.argsort(mark, kind="stable")
+    mark, own = mark[order], own[order]
+    fresh = np.ones(len(mark), bool)
+    fresh[1:] = (mark[1:] != mark[:-1]) | (own[1:] != own[:-1])
+    mark, own = mark[fresh], own[fresh]
+    sizes = np.bincount(own, minlength=m)
+    begin = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+    run = np.diff(np.append(begin, len(mark)))
+    square = size * size
+    base = np.concatenate([[0], np.cumsum(square)])
+    shared = np.zeros(base[-1], np.int64)
+    for length in range(2, SMALL_BLOCK + 1):
+        at = begin[run == length]
+        for x in range(length):
+            for y in range(x + 1, length):
+                a, b = own[at + x], own[at + y]
+                g = group[a]
+                shared += np.bincount(base[g] + place[a] * size[g] + place[b], minlength=base[-1]) if len(at) else 0
+    hit = np.flatnonzero(shared)
+    g = np.searchsorted(base, hit, "right") - 1
+    a, b = first[g] + (hit - base[g]) // size[g], first[g] + (hit - base[g]) % size[g]
+    both = shared[hit]
+    use = both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9
+    use &= (i[a] == j[a]) | (chunk[a] != chunk[b])
+    a, b = a[use], b[use]
+    keys = rows.column("keys").combine_chunks()
+    keys = keys.flatten().to_numpy().reshape(m, -1)
+    earlier = np.arange(keys.shape[1]) < (key[a] >> _BAND_BITS)[:, None]
+    use = ~((keys[a] == keys[b]) & earlier).any(axis=1)
+    a, b = a[use], b[use]
+    texts = np.bincount(a, minlength=m) + np.bincount(b, minlength=m)
+    documents = np.bincount(a, copies[b], m) + np.bincount(b, copies[a], m)
+    root = _roots(m, a, b)
+    live = np.flatnonzero(texts)
+    return [node[live], texts[live], documents[live].astype(np.int64), node[root[live]]]
 
 
 def verified(blocks: DataFrame, threshold: float, set_of: Callable = hashes) -> DataFrame:
     """(node, texts, documents, reaches) by block; blocks: memberships with copies, keys and content.
 
-    ``set_of`` makes a node's sorted set of 64-bit hashes of its content, by default those hashes.
+    ``set_of`` gives the hashes of an array of contents and the row of each, rows in order; by
+    default the contents are hashes.
     """
-    columns = ["key", "i", "j", "node", "chunk", "copies", "keys", "content"]
+    columns = ["key", "i", "j", "node", "chunk", "copies", "keys", "content", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        found: list[list[np.ndarray]] = []
-        current = None
+        small: list[pa.Table] = []
+        current, waiting = None, 0
 
-        def close() -> None:
+        def out(x: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in x], ["node", "texts", "documents", "reaches"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
             rows = pa.concat_tables(held)
             held.clear()
-            if rows.num_rows > 1:
-                found.append(_block(*current, rows, threshold, set_of))
-
-        def batch() -> pa.RecordBatch:
-            parts = [np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["node", "texts", "documents", "reaches"])
+            if 1 < rows.num_rows <= SMALL_BLOCK:
+                small.append(rows)
+                waiting += sum(rows.column("size").to_pylist())
+                if waiting > BATCH_HASHES:
+                    yield out(_small_blocks(pa.concat_tables(small), threshold, set_of))
+                    small.clear()
+                    waiting = 0
+            elif rows.num_rows > 1:
+                yield out(_block(*current, rows, threshold, set_of))
 
         for table in batches:
             key, i, j = (table.column(k).to_numpy() for k in range(3))
@@ -151,16 +216,15 @@ def verified(blocks: DataFrame, threshold: float, set_of: Callable = hashes) ->
             for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 here = (int(key[a]), int(i[a]), int(j[a]))
                 if here != current and held:
-                    close()
+                    yield from close()
                 current = here
                 held.append(pa.Table.from_batches([table.slice(a, b - a)]))
-            if len(found) > 500:
-                yield batch()
         if held:
-            close()
-        yield batch()
+            yield from close()
+        if small:
+            yield out(_small_blocks(pa.concat_tables(small), threshold, set_of))
 
-    dealt = blocks.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = blocks.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return dealt.mapInArrow(run, "node long, texts long, documents long, reaches long")
 
 
