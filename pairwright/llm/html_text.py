@@ -189,7 +189,7 @@ def weigh(root: Node) -> list[Node]:
             c, t = n.chars, max(n.tags, 1)
             ratio = c / max(n.link_chars, 1) * t / max(n.link_tags, 1)
             base = math.log(c / max(c - n.link_chars, 1) * n.link_chars + linked * c + math.e)
-            n.density = c / t * math.log(ratio + math.e) / math.log(base + math.e - 1)
+            n.density = c / t * math.log(ratio) / math.log(base + math.e - 1)  # nothing but links: 0
     for n in nodes:
         n.total = sum(x.density for x in n.children)
     return nodes
