@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, language_model, line_dedup, packing, quality_model, quality_rules, token_counts, toxicity
+from . import decontaminate, html_text, jaccard_join, language_model, line_dedup, packing, quality_model, quality_rules, sql, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": sql.quality_rules_sql(), "op5_jaccard_join": sql.jaccard_join_sql()}
