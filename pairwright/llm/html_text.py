@@ -48,6 +48,7 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
+_HIDDEN = re.compile(r"\shidden(?=[\s=/>]|\Z)|display\s*:\s*none", re.IGNORECASE)
 _NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -68,7 +69,11 @@ def _is_aside(tag: str, rest: str, within_article: bool) -> bool:
         return True
     if tag == "header":
         return not within_article
-    if tag in NEVER_ASIDE or not rest or "=" not in rest:
+    if len(rest) < 2 or tag in ("html", "body"):
+        return False
+    if _HIDDEN.search(rest):
+        return True
+    if tag in NEVER_ASIDE or "=" not in rest:
         return False
     return any(w.lower() in ASIDE for m in _ATTRIBUTE.finditer(rest) for w in _NAME.findall(m[1] or m[2] or m[3] or ""))
 

@@ -42,6 +42,10 @@ def test_cookie_notices_and_headers():
     assert text == f"Head\n\n{clean(LONG)}"
 
 
+def test_hidden_parts():
+    assert main_text(page(f"<article><p>{LONG}</p><p hidden>no</p><div style='display: none'>no</div><p class=hidden-note>yes</p></article>")) == f"{clean(LONG)}\n\nyes"
+
+
 def test_very_long_pages_are_read_whole_and_quickly():
     began = time.time()
     text = main_text(page("<article>" + "<p>word &lt; other</p>" * 50_000 + "<p>last"))
