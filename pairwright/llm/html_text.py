@@ -22,6 +22,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,15 +54,19 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "first", "last", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "first", "last", "density", "total", "whole", "best")
 
     def __init__(self, tag: str, parent: Node | None, first: int) -> None:
         self.tag, self.parent, self.first, self.last = tag, parent, first, first
         self.children: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        #: The article or main element that the node is in, and the node of the largest density sum below it.
+        self.whole: Node | None = self if tag in ("article", "main") else None
+        self.best = self
         if parent is not None:
             parent.children.append(self)
+            self.whole = parent.whole or self.whole
 
 
 def _is_aside(tag: str, rest: str, within_article: bool) -> bool:
@@ -195,21 +200,12 @@ def weigh(root: Node) -> list[Node]:
             ratio = c / max(n.link_chars, 1) * t / max(n.link_tags, 1)
             base = math.log(c / max(c - n.link_chars, 1) * n.link_chars + linked * c + math.e)
             n.density = c / t * math.log(ratio) / math.log(base + math.e - 1)  # nothing but links: 0
-    for n in nodes:
+    for n in reversed(nodes):
         n.total = sum(x.density for x in n.children)
+        n.best = max([n, *(x.best for x in n.children)], key=lambda x: x.total)
     return nodes
 
 
-def _largest(node: Node) -> Node:
-    best, queue = node, [node]
-    while queue:
-        n = queue.pop()
-        if n.total > best.total:
-            best = n
-        queue.extend(n.children)
-    return best
-
-
 def main_text(page: str | None) -> str:
     """The text of the page's main content; empty if it has none."""
     if not page:
@@ -217,30 +213,18 @@ def main_text(page: str | None) -> str:
     root, blocks = parse(page)
     if not blocks:
         return ""
-    weigh(root)
-    core = _largest(root)
+    nodes = weigh(root)
+    core = root.best
     threshold, n = math.inf, core
     while n is not None:
         threshold = min(threshold, n.density)
         n = n.parent
-    chosen = [False] * len(blocks)
-
-    def take(node: Node) -> None:
-        up = node
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        node = up or node
-        for k in range(node.first, min(node.last, len(blocks))):
-            chosen[k] = True
-
-    take(core)
-    queue = list(root.children)
-    while queue:
-        n = queue.pop()
-        if n.density >= threshold:
-            take(_largest(n))
-        queue.extend(n.children)
-    return "\n\n".join(b for b, use in zip(blocks, chosen, strict=True) if use)
+    taken = {id(x): x for x in [core.whole or core, *(n.best.whole or n.best for n in nodes[1:] if n.density >= threshold)]}
+    edges = [0] * (len(blocks) + 1)
+    for n in taken.values():
+        edges[n.first] += 1
+        edges[min(n.last, len(blocks))] -= 1
+    return "\n\n".join(b for b, use in zip(blocks, accumulate(edges), strict=False) if use)
 
 
 def extract(pages: DataFrame) -> DataFrame:
