@@ -70,3 +70,8 @@ def flags(features: Sequence[str], smd: Sequence[float], threshold: float, with_
         F.lit(IMBALANCE.format(features=warned) if warned else None).cast("string"),
     )
     return F.when(F.col("no_match"), F.concat_ws(SEPARATOR, F.lit(NO_MATCH), target_missing)).otherwise(matched)
+
+
+def near_miss_cutoff(best_distance: Column, top_distances: Column, threshold: float) -> Column:
+    """The distance up to which a row counts as a near miss; without a threshold the last of the listed ones."""
+    return best_distance / threshold if threshold > 0 else F.try_element_at(top_distances, F.lit(-1))

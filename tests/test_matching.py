@@ -140,3 +140,13 @@ def test_scale_warnings(spark):
     found = standardize.scale_warnings(a, b, ["a", "b"])
     assert len(found) == 1 and "'a'" in found[0] and "50x" in found[0]
     assert standardize.scale_warnings(b, b, ["a", "b"]) == []
+
+
+def test_near_miss_cutoff(spark):
+    from pyspark.sql import functions as F
+
+    from pairwright.functions.signals import near_miss_cutoff
+
+    row = spark.createDataFrame([(2.0, [2.0, 3.0])], "d double, top array<double>")
+    a, b = row.select(near_miss_cutoff(F.col("d"), F.col("top"), 0.8), near_miss_cutoff(F.col("d"), F.col("top"), 0)).first()
+    assert (a, b) == (2.5, 3.0)
