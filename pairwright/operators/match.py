@@ -160,7 +160,7 @@ class Matcher:
         pairs = blocks.met(blocks.blocked(self.target, "target_idx", self.features, blocks.TARGET_ROWS), self.supplemental_blocks)
         found = blocks.over_blocks(pairs, self.width, "t_idx array<long>, s_idx array<long>, d array<double>", work)
         ranked = exploded(found, "t_idx", "s_idx", "d").withColumn("rank", F.row_number().over(Window.partitionBy("t_idx").orderBy("d", "s_idx")))
-        return ranked.filter(F.col("rank") <= k).select(F.col("t_idx").alias("target_idx"), "rank", F.col("s_idx").alias("supp_idx"), F.col("d").alias("distance"))
+        return ranked.filter(F.col("rank") <= k).select(F.col("t_idx").alias("target_idx"), F.col("rank").cast("long").alias("rank"), F.col("s_idx").alias("supp_idx"), F.col("d").alias("distance"))
 
     def top_distances(self, k: int = 50) -> DataFrame:
         """(target_idx, top_k_distances): the k least finite distances, ascending; none gives an empty list."""
