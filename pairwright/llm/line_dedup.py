@@ -29,6 +29,7 @@ from . import kernel, neighbours
 from .components import connected_components
 from .store import written
 
+#: Bytes of a run, from 8 to 16.
 SHINGLE = 10
 THRESHOLD = 0.8
 RECALL = 0.99
@@ -55,6 +56,21 @@ def _line_ends(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return ends[order], own[order]
 
 
+def run_hashes(buf: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of SHINGLE bytes; equal runs have equal hashes wherever they lie."""
+    n = len(buf) - SHINGLE + 1
+    if n < 1:
+        return np.zeros(0, _U64)
+    # Two words of up to eight bytes each, read at every place at once.
+    wide = np.zeros(len(buf) + 8, np.uint8)
+    wide[: len(buf)] = buf
+    words = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
+    h = words[:n] * _U64(0x9E3779B97F4A7C15)
+    h ^= h >> _U64(32)
+    h += words[SHINGLE - 8 : SHINGLE - 8 + n]
+    return kernel.mix(h)
+
+
 def _densified(bins: np.ndarray) -> np.ndarray:
     """Empty bins take the next filled bin's value, to the left or right around the circle, with how far it was."""
     place = np.arange(2 * BINS, dtype=np.int16)
@@ -105,7 +121,7 @@ def _nodes(buf: np.ndarray, offsets: np.ndarray):
     windows = np.maximum(stop - begin - SHINGLE + 1, 0)
     total = np.concatenate([[0], np.cumsum(windows)])
     where = np.repeat(begin - total[:-1], windows) + np.arange(total[-1])
-    h = kernel.hash_spans(flat, where, where + SHINGLE)
+    h = run_hashes(flat)[where]
     of = np.repeat(np.arange(len(live)), windows)
     short = np.flatnonzero(windows == 0)
     if len(short):
@@ -138,7 +154,7 @@ def line_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     windows = np.maximum(np.diff(at) - SHINGLE + 1, 0)
     total = np.concatenate([[0], np.cumsum(windows)])
     where = np.repeat(at[:-1] - total[:-1], windows) + np.arange(total[-1])
-    h, own = kernel.hash_spans(buf, where, where + SHINGLE), np.repeat(np.arange(len(windows)), windows)
+    h, own = run_hashes(buf)[where], np.repeat(np.arange(len(windows)), windows)
     short = np.flatnonzero(windows == 0)
     if len(short):
         h, own = np.concatenate([h, kernel.hash_spans(buf, at[short], at[short + 1])]), np.concatenate([own, short])

@@ -42,7 +42,7 @@ def memberships(nodes: DataFrame) -> DataFrame:
     """(node, key, i, j): the blocks that each node goes to; nodes: node, size, keys."""
     each = nodes.select("node", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = written(each.join(shared.select("key"), "key"), "shared")  # most keys have one node; what goes on is small
+    pairs = written(each.join(shared.select("key").hint("shuffle_hash"), "key"), "shared")  # most keys have one node; what goes on is small
     mark = F.bit_xor(F.xxhash64("node"))
     buckets = pairs.join(nodes.select("node", "size"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), mark.alias("mark"))
     buckets = buckets.groupBy("n", "total", "mark").agg(F.min("key").alias("key"))
@@ -140,12 +140,13 @@ def _small_blocks(rows: pa.Table, threshold: float, set_of: Callable) -> list[np
     size = np.diff(np.append(first, m))
     place = np.arange(m) - first[group]
     h, own = set_of(rows.column("content").combine_chunks())
-    mark = kernel.mix(h + kernel.mix(group[own].astype(np.uint64)))
-    order = np.argsort(mark, kind="stable")
+    # The place in the block is in the last bits, so that what a member has twice comes together.
+    mark = (kernel.mix(h + kernel.mix(group.astype(np.uint64))[own]) & ~np.uint64(15)) | place.astype(np.uint64)[own]
+    order = np.argsort(mark)
     mark, own = mark[order], own[order]
     fresh = np.ones(len(mark), bool)
-    fresh[1:] = (mark[1:] != mark[:-1]) | (own[1:] != own[:-1])
-    mark, own = mark[fresh], own[fresh]
+    fresh[1:] = mark[1:] != mark[:-1]
+    mark, own = mark[fresh] >> np.uint64(4), own[fresh]
     sizes = np.bincount(own, minlength=m)
     begin = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
     run = np.diff(np.append(begin, len(mark)))
