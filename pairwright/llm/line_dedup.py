@@ -11,7 +11,7 @@ stays.  Lines of white space alone are neither compared nor removed.
 Nulls: a null text counts as empty and stays null; rows with a null doc_id take part and come
 first in the order.  Rows that repeat both doc_id and text are one document, so both keep the
 same lines.  An empty table gives no rows.  Extra columns pass through, whatever their names.
-A document can lose all its lines; it stays with what is left.
+A document can lose all its lines: ``deduplicate`` keeps its row, ``without_repeats`` does not.
 """
 
 from __future__ import annotations
@@ -245,10 +245,14 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with text as it is left; a column n_chars follows the text where that has changed."""
+    """The rows of ``docs`` with text as it is left; a column n_chars follows the text where that has changed.
+
+    A row that has lost all its lines goes: each of them stands in another document.
+    """
     columns = _columns(docs)
     if "n_chars" in docs.columns:
         at = docs.columns.index("n_chars")
         changed = F.when(F.size("removed_lines") > 0, F.length("text")).otherwise(F.col("row")["n_chars"])
         columns[at] = changed.cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return _apply(docs, threshold).select(*columns)
+    lost_all = (F.size("removed_lines") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    return _apply(docs, threshold).filter(~lost_all).select(*columns)

@@ -123,6 +123,9 @@ def test_lines_keep_columns_and_null_ids(spark):
     # A null id comes first in the order, so its line stays; the repeated row is one document twice.
     assert got == sorted([(1, "more of the text", "x", 16), (None, "a line of text here\nits own line", "y", 5), (1, "more of the text", "x", 16)], key=str)
     assert line_dedup.without_repeats(docs.limit(0)).count() == 0
+    # What has lost all its lines goes; what was empty before stays.
+    few = frame(spark, [(1, "a line of text here"), (2, "a line of text here\n "), (3, ""), (4, None)])
+    assert {x["doc_id"] for x in line_dedup.without_repeats(few).collect()} == {1, 3, 4}
 
 
 def test_recall_on_lines_at_the_threshold(spark):
