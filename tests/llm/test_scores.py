@@ -164,5 +164,8 @@ def test_model_is_a_distribution():
     r = np.random.default_rng(2)
     weights = r.normal(size=(language_model.ROWS, language_model.CLASSES)).astype(np.float32)
     rows = language_model.contexts(r.integers(0, 1 << 60, 50).astype(np.uint64), r.integers(0, language_model.CLASSES, 50), np.array([0, 20, 20 + 30]))
-    assert np.allclose(np.exp(language_model.log_softmax(weights, rows)).sum(axis=1), 1, atol=1e-4)
+    each = [np.exp(language_model.log_softmax(weights, rows, np.full(50, c))) for c in range(language_model.CLASSES)]
+    assert np.allclose(sum(each), 1, atol=1e-4)
+    far = np.exp(language_model.log_softmax(weights * 1000, rows, np.zeros(50, int)))
+    assert np.isfinite(far).all()
     assert rows.min() >= 0 and rows.max() < language_model.ROWS
