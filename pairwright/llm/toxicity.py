@@ -4,9 +4,11 @@ Letters: a lexical transducer reads a word and gives its class and weight.  Insu
 weights are learned from labelled rows: whole words and word beginnings that toxic texts have
 more often.  Threats, targets, negations and reports are short fixed lists.
 
-Clauses: four small transducers (negation, report, target, insult or threat) read the classes
-of a clause's words; their composition is one table of states.  An insult or threat leaves it
-in a category: plain, aimed at a target, negated, or reported.  A clause's score is the weight
+Clauses: small transducers (negation, report, target, pending threat, insult or threat) read the
+classes of a clause's words; their composition is one table of states.  An insult or threat leaves
+it in a category: plain, aimed at a target, negated, or reported.  A threat's target stands before
+the verb ("they will kill") or, for verbs that take an object, after it ("I will kill you"); a
+threat verb that labels also tell to be toxic counts as an insult where it has no target.  A clause's score is the weight
 of its matches by category; a document's figures are the sums, the best clause and the share
 of matched clauses; logistic regression on these figures, fitted on the same bounded sample,
 gives the score.
@@ -42,34 +44,47 @@ SCOPE = 4
 
 # The closed classes of the grammar.
 THREATS = "kill hurt destroy beat shoot stab burn die matar töten tuer detruire zerstören destruir".split()
+#: Threats that take no object: a target after them is not what they threaten.
+LONE_THREATS = frozenset(["die"])
 TARGETS = "you your yours he him she her they them u du dich ihr euch tu te toi vous usted ustedes ellos".split()
 NEGATIONS = "not never no isn't aren't wasn't don't nicht kein keine nie ne pas jamais nunca tampoco".split()
 REPORTS = "said says say told called calls wrote writes quoted reported sagte schrieb dit écrit dijo escribió".split()
 
-GAP, TARGET, NEGATION, REPORT, THREAT, INSULT = range(6)
+#: Letters; the learned ones are threats that are in the learned lexicon too.
+GAP, TARGET, NEGATION, REPORT, THREAT, INSULT, LONE_THREAT, LEARNED_THREAT, LEARNED_LONE = LETTERS = range(9)
+_LEARNED = {THREAT: LEARNED_THREAT, LONE_THREAT: LEARNED_LONE}
 CATEGORIES = ("plain", "aimed", "negated", "reported", "threat")
+#: What a target gives after a pending threat: the category "threat" for the verb.
+_OF_VERB = 5
 
 
 def _component(on: int, off: int | None) -> dict[tuple[int, int], int]:
     """A transducer of two states: ``on`` raises it, ``off`` lowers it, all else keeps it."""
-    return {(s, c): 1 if c == on else 0 if c == off else s for s in (0, 1) for c in range(6)}
+    return {(s, c): 1 if c == on else 0 if c == off else s for s in (0, 1) for c in LETTERS}
 
 
 def compose() -> tuple[np.ndarray, np.ndarray]:
     """The composed transducer: next state and emitted category (-1: none) by state and class.
 
-    States are the product of negation, report and target; a gap in the clause ends the reach
-    of negation and target, but a report governs the rest of its clause.
+    States are the product of negation, report, target and pending threat; a gap in the clause
+    ends the reach of all but the report, which governs the rest of its clause.  A threat without
+    a target so far is pending, and the next target within reach makes it one.
     """
     parts = (_component(NEGATION, GAP), _component(REPORT, None), _component(TARGET, GAP))
-    states = list(product((0, 1), repeat=3))
-    step, emit = np.zeros((8, 6), np.int8), np.full((8, 6), -1, np.int8)
+    states = list(product((0, 1), repeat=4))
+    step, emit = np.zeros((16, 9), np.int8), np.full((16, 9), -1, np.int8)
     for k, state in enumerate(states):
-        negated, reported, aimed = state
-        for c in range(6):
-            step[k, c] = states.index(tuple(p[s, c] for p, s in zip(parts, state, strict=True)))
-        emit[k, INSULT] = 3 if reported else 2 if negated else 1 if aimed else 0
-        emit[k, THREAT] = 4 if aimed and not negated and not reported else -1
+        negated, reported, aimed, pending = state
+        asserted = not negated and not reported
+        insult = 3 if reported else 2 if negated else 1 if aimed else 0
+        threat = 4 if aimed and asserted else -1
+        emit[k, INSULT] = insult
+        emit[k, [THREAT, LONE_THREAT]] = threat
+        emit[k, [LEARNED_THREAT, LEARNED_LONE]] = max(threat, insult)
+        emit[k, TARGET] = _OF_VERB if pending and asserted else -1
+        for c in LETTERS:
+            waits = int(threat < 0 and asserted) if c in (THREAT, LEARNED_THREAT) else 0 if c in (TARGET, GAP) else pending
+            step[k, c] = states.index((*(p[s, c] for p, s in zip(parts, state, strict=False)), waits))
     return step, emit
 
 
@@ -145,7 +160,11 @@ def figures(buf: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarra
         found, at = _find(lexicon.beginning, short, lexicon.seen_beginning)
         kind[long[found]], weight[long[found]] = INSULT, lexicon.odds[at]
     found, at = _find(lexicon.whole, h, lexicon.seen_whole)
-    kind[found], weight[found] = lexicon.kind[at], lexicon.weight[at]
+    whole, own_weight, begun = lexicon.kind[at], lexicon.weight[at], kind[found] == INSULT
+    for threat, learned in _LEARNED.items():  # a learned beginning stands beside a threat too
+        both = begun & (whole == threat)
+        whole, own_weight = np.where(both, learned, whole), np.where(both, weight[found], own_weight)
+    kind[found], weight[found] = whole, own_weight
     stops = np.cumsum(_CLAUSE_END[buf])
     clause_of = stops[start] + rows  # a clause ends with its row too
     at = np.flatnonzero(kind)
@@ -162,18 +181,22 @@ def figures(buf: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarra
     # All clauses take their k-th step together; the state table is the composed transducer.
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
-    state = np.zeros(len(first), np.int8)
+    state, verb = np.zeros(len(first), np.int8), np.zeros(len(first), np.int64)
     for k in range(int(size[0])):
         live = int(np.searchsorted(-size, -k, "left"))
         here = first[:live] + k
         s = state[:live]
         s = np.where(gap[here], _STEP[s, GAP], s)
-        emitted[here] = _EMIT[s, kinds[here]]
+        got = _EMIT[s, kinds[here]]
+        of_verb = got == _OF_VERB
+        emitted[here] = np.where(of_verb, -1, got)
+        emitted[verb[:live][of_verb]] = 4
+        verb[:live] = np.where((kinds[here] == THREAT) | (kinds[here] == LEARNED_THREAT), here, verb[:live])
         state[:live] = _STEP[s, kinds[here]]
     hit = np.flatnonzero(emitted >= 0)
     if not len(hit):
         return out
-    own, w = rows[at[hit]], np.where(emitted[hit] == 4, 3.0, weight[at[hit]])
+    own, w = rows[at[hit]], np.where(emitted[hit] == 4, np.maximum(weight[at[hit]], 3.0), weight[at[hit]])
     for c in range(len(CATEGORIES)):
         mine = emitted[hit] == c
         out[:, c] = np.log1p(np.bincount(own[mine], w[mine], n))
@@ -219,13 +242,14 @@ def learn_lexicon(rows: DataFrame) -> tuple[Lexicon, int]:
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     fixed = {_word_hash(w): kind for words, kind in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in words}
+    fixed |= {_word_hash(w): LONE_THREAT for w in LONE_THREATS}
     learned: list = []
     if toxic and clean:
         n = rows.mapInArrow(_entries, "h long, beginning boolean, label int").groupBy("h", "beginning").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
         learned = n.withColumn("odds", odds).filter((F.col("toxic") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS)).collect()  # at most the words of the bounded sample
     whole = {int(np.int64(r["h"]).astype(np.uint64)): (INSULT, r["odds"]) for r in learned if not r["beginning"]}
-    whole |= {h: (kind, 1.0) for h, kind in fixed.items()}
+    whole |= {h: (_LEARNED[kind], whole[h][1]) if h in whole and kind in _LEARNED else (kind, 1.0) for h, kind in fixed.items()}
     beginning = {int(np.int64(r["h"]).astype(np.uint64)): r["odds"] for r in learned if r["beginning"]}
     w, b = sorted(whole), sorted(beginning)
     return Lexicon(np.array(w, np.uint64), np.array([whole[k][0] for k in w], np.int8), np.array([whole[k][1] for k in w]), np.array(b, np.uint64), np.array([beginning[k] for k in b])), min(toxic, clean)

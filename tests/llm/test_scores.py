@@ -141,6 +141,30 @@ def test_grammar_takes_clauses():
     assert figures("an oaf, a fool. an oaf")["matches"] == pytest.approx(math.log1p(3))
 
 
+def test_threats_before_their_target(spark):
+    def categories(text):
+        f = figures(text)
+        return {c for c in toxicity.CATEGORIES if f[f"log_{c}"] > 0}
+
+    assert categories("i will kill you") == categories("we will hurt them") == categories("kill and destroy all of you") == {"threat"}
+    assert categories("i will not kill you") == categories("she said kill them") == categories("kill time. you") == categories("i kill no one of them") == set()
+    assert categories("kill some time in one of the many parks with you") == set()  # out of reach
+    assert figures("they will kill you and your")["matches"] == figures("i will kill you and your")["matches"] == pytest.approx(math.log1p(1))
+    # A learned weight stands beside the threat; "die" takes no object.
+    rows = [(1, f"w{k} kill die") for k in range(20)] + [(0, f"v{k} fine") for k in range(20)]
+    lexicon, _ = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"))
+
+    def learned(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return dict(zip(toxicity.FIGURES, toxicity.figures(raw, np.array([0, len(raw)]), lexicon)[0], strict=True))
+
+    assert learned("kill")["log_plain"] > math.log1p(2) and learned("die for you")["log_threat"] == 0
+    assert learned("kill you")["log_threat"] > math.log1p(3) and learned("kill you")["log_plain"] == 0
+    none, _ = toxicity.learn_lexicon(spark.createDataFrame(rows[:20], "label int, text string"))
+    lexicon = none
+    assert learned("die for you")["matches"] == 0 and learned("you die")["log_threat"] == pytest.approx(math.log1p(3))
+
+
 def test_unigram_figures_and_held_out_gain(spark, monkeypatch):
     r = rng(21)
     langs = [[f"{a}{b}" for a in p for b in ("ra", "lo", "mi", "ta", "ne")] for p in (("ka", "ku", "ke", "ki"), ("zo", "zu", "za", "ze"))]
