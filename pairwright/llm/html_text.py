@@ -2,7 +2,10 @@
 
 A page is read into a light tree.  Parts that are never the article (scripts, menus, page
 headers and footers, sidebars, notices, adverts, forms, reader comments) are set aside by
-their element, role or class.  For every other node the density is its characters per tag,
+their element, role or class.  They are read into the same tree,
+so one without an end ends with its ancestor or where an end is implied, and one that holds a
+``main``, the page's only ``article`` or, on a page of neither, most of its unlinked text, is not
+set aside.  For every other node the density is its characters per tag,
 adjusted by the share of linked characters and tags; a node's density sum is that of its
 children.  The node of the largest density sum is the core; the least density on its path to
 the body is the threshold, and every subtree that reaches it adds its own largest-sum node.
@@ -29,8 +32,8 @@ from pyspark.sql import DataFrame
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select option object canvas audio video".split())
-DROPPED = RAW | frozenset("head nav footer aside form button dialog menu label fieldset".split())
+RAW = frozenset("script style textarea title noscript iframe svg math".split())
+DROPPED = frozenset("head nav footer aside form button dialog menu label fieldset template select option object canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
@@ -53,14 +56,20 @@ _HIDDEN = re.compile(r"\shidden(?=[\s=/>]|\Z)|display\s*:\s*none", re.IGNORECASE
 _NAME = re.compile(r"[A-Za-z]+")
 
 
+SET_ASIDE, HIDDEN = 1, 2
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "first", "last", "density", "total", "whole", "best")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "first", "last", "density", "total", "whole", "best", "aside", "named_aside", "cut", "unlinked", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, first: int) -> None:
+    def __init__(self, tag: str, parent: Node | None, first: int, aside: int = 0, named_aside: bool = False) -> None:
         self.tag, self.parent, self.first, self.last = tag, parent, first, first
         self.children: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.aside, self.named_aside = aside, named_aside
+        #: Whether it is left out at last, its characters outside links, and the articles or main elements in it.
+        self.cut, self.unlinked, self.holds = False, 0, frozenset()
         #: The article or main element that the node is in, and the node of the largest density sum below it.
         self.whole: Node | None = self if tag in ("article", "main") else None
         self.best = self
@@ -69,34 +78,40 @@ class Node:
             self.whole = parent.whole or self.whole
 
 
-def _is_aside(tag: str, rest: str, within_article: bool) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header":
-        return not within_article
-    if len(rest) < 2 or tag in ("html", "body"):
-        return False
-    if _HIDDEN.search(rest):
-        return True
-    if tag in NEVER_ASIDE or "=" not in rest:
-        return False
-    return any(w.lower() in ASIDE for m in _ATTRIBUTE.finditer(rest) for w in _NAME.findall(m[1] or m[2] or m[3] or ""))
+def _marks(rest: str) -> tuple[bool, bool]:
+    """Whether an element is hidden by its attributes, and whether its class, id or role names a part beside the article."""
+    names = [w.lower() for m in _ATTRIBUTE.finditer(rest) for w in _NAME.findall(m[1] or m[2] or m[3] or "")]
+    return _HIDDEN.search(rest) is not None, any(w in ASIDE for w in names)
+
+
+def _aside(tag: str, rest: str, within_article: bool) -> tuple[int, bool]:
+    """0, SET_ASIDE or HIDDEN; and whether a name sets it aside."""
+    hidden, named = _marks(rest) if len(rest) > 2 and tag not in ("html", "body") else (False, False)
+    if hidden:
+        return HIDDEN, named
+    if tag in DROPPED or (tag == "header" and not within_article):
+        return SET_ASIDE, named
+    return SET_ASIDE if named and tag not in NEVER_ASIDE and tag != "header" else 0, named
 
 
 def parse(page: str) -> tuple[Node, list[str]]:
     """The tree of a page and its blocks; every node covers a range of blocks."""
     root = Node("html", None, 0)
-    stack, blocks, parts = [root], [], []
+    stack, blocks, parts, owners = [root], [], [], []
+    asides: list[Node] = []  # open nodes that are set aside
     articles = 0  # article and main elements open
     links = 0
     position, size = 0, len(page)
 
     def flush() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            parts.clear()
-            if text:
+            if any(owners):  # what is left of it shows at the end
+                if any(map(str.strip, parts)):
+                    blocks.append(list(zip(parts, owners, strict=True)))
+            elif text := _clean(parts):
                 blocks.append(text)
+            parts.clear()
+            owners.clear()
 
     def close(depth: int) -> None:
         """Close the open nodes from ``depth`` on."""
@@ -106,11 +121,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
             if node.tag in BLOCKS:
                 flush()
             node.last = len(blocks) + bool(parts)
-            up = node.parent
-            up.chars += node.chars
-            up.tags += node.tags + 1
-            up.link_chars += node.link_chars
-            up.link_tags += node.link_tags + (node.tag == "a")
+            if node.aside:
+                asides.pop()
             articles -= node.tag in ("article", "main")
             links -= node.tag == "a"
 
@@ -120,7 +132,11 @@ def parse(page: str) -> tuple[Node, list[str]]:
             stack[-1].chars += n
             if links:
                 stack[-1].link_chars += n
+        put(text)
+
+    def put(text: str) -> None:
         parts.append(text)
+        owners.append(asides[-1] if asides else None)
 
     while position < size:
         m = _TOKEN.search(page, position)
@@ -142,12 +158,17 @@ def parse(page: str) -> tuple[Node, list[str]]:
             continue
         if tag in BLOCKS:
             flush()
+            if len(stack) > 1 and stack[1].tag == "head":
+                close(1)
         rest = m["rest"]
-        if tag in RAW or _is_aside(tag, rest, articles > 0):
-            position = _skip(page, position, tag) if tag not in VOID and not rest.endswith("/>") else position
+        if tag in RAW:
+            position = _skip(page, position, tag) if not rest.endswith("/>") else position
+            continue
+        aside, named = _aside(tag, rest, articles > 0)
+        if aside and (tag in VOID or rest.endswith("/>")):
             continue
         if tag in ("br", "td", "th", "wbr"):
-            parts.append("" if tag == "wbr" else " ")
+            put("" if tag == "wbr" else " ")
         if tag in CLOSES_P:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
@@ -167,32 +188,68 @@ def parse(page: str) -> tuple[Node, list[str]]:
             continue
         if tag in ("html", "body"):
             continue
-        node = Node(tag, stack[-1], len(blocks))
+        node = Node(tag, stack[-1], len(blocks), aside, named)
         stack.append(node)
+        if aside:
+            asides.append(node)
         articles += tag in ("article", "main")
         links += tag == "a"
     close(1)
     flush()
     root.last = len(blocks)
-    return root, blocks
+    _settle(root)
+    return root, [b if isinstance(b, str) else _clean([x for x, owner in b if owner is None or not owner.cut]) for b in blocks]
 
 
-def _skip(page: str, position: int, tag: str) -> int:
-    """The place after the element's end; for unclosed ones, the end of the page or of raw text."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*(?:>|\Z)" if tag not in RAW else rf"<(/){re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).finditer(page, position):
-        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
-        if depth == 0:
-            return m.end()
-    return position if tag in ("head", "label") else len(page)
+def _clean(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
 
 
-def weigh(root: Node) -> list[Node]:
-    """Densities and density sums of all nodes, parents before children."""
+def _below(root: Node) -> list[Node]:
+    """All nodes, parents before children."""
     nodes, k = [root], 0
     while k < len(nodes):
         nodes.extend(nodes[k].children)
         k += 1
+    return nodes
+
+
+def _settle(root: Node) -> None:
+    """Cut what is set aside from the tree and sum characters and tags of what stays."""
+    nodes = _below(root)
+    outside = False  # an article or main element that nothing sets aside
+    for n in nodes[1:]:
+        n.cut = n.parent.cut or n.aside > 0
+        outside |= n.tag in ("article", "main") and not n.named_aside and not n.cut
+    for n in reversed(nodes):
+        n.unlinked += n.chars - n.link_chars
+        if n.tag in ("article", "main") and not n.named_aside:
+            n.holds |= {n.tag}
+        if n.parent is not None and n.aside != HIDDEN:
+            n.parent.unlinked += n.unlinked
+            n.parent.holds |= n.holds
+    for n in nodes[1:]:
+        whole = "main" in n.holds or (not outside and ("article" in n.holds or (not root.holds and 2 * n.unlinked > root.unlinked)))
+        n.cut = n.parent.cut or n.aside == HIDDEN or (n.aside == SET_ASIDE and not whole)
+    for n in reversed(nodes):
+        n.children = [x for x in n.children if not x.cut]
+        up = n.parent
+        if up is not None and not n.cut:
+            up.chars += n.chars
+            up.tags += n.tags + 1
+            up.link_chars += n.link_chars
+            up.link_tags += n.link_tags + (n.tag == "a")
+
+
+def _skip(page: str, position: int, tag: str) -> int:
+    """The place after the end of an element whose content is no markup; without one, the end of the page, as browsers have it."""
+    m = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, position)
+    return m.end() if m else position if tag in ("svg", "math") else len(page)
+
+
+def weigh(root: Node) -> list[Node]:
+    """Densities and density sums of all nodes, parents before children."""
+    nodes = _below(root)
     linked = root.link_chars / max(root.chars, 1)
     for n in nodes:
         if n.chars:
@@ -224,7 +281,7 @@ def main_text(page: str | None) -> str:
     for n in taken.values():
         edges[n.first] += 1
         edges[min(n.last, len(blocks))] -= 1
-    return "\n\n".join(b for b, use in zip(blocks, accumulate(edges), strict=False) if use)
+    return "\n\n".join(b for b, use in zip(blocks, accumulate(edges), strict=False) if use and b)
 
 
 def extract(pages: DataFrame) -> DataFrame:

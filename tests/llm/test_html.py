@@ -46,6 +46,21 @@ def test_hidden_parts():
     assert main_text(page(f"<article><p>{LONG}</p><p hidden>no</p><div style='display: none'>no</div><p class=hidden-note>yes</p></article>")) == f"{clean(LONG)}\n\nyes"
 
 
+@pytest.mark.parametrize(
+    "part", ["<nav><a href=/>Home</a>", "<aside>Beside", "<footer>Foot", "<form><input>", "<div class='sidebar'><div>Side</div>", "<div class='sidebar'><div>Side", "<select><option>A<option>B", "<svg><path d=x>", "<dialog>Ask<p>Why"]
+)
+def test_parts_beside_without_an_end(part):
+    assert main_text(page(f"<div>{part}</div></div><article><p>{LONG}</p></article>")) == clean(LONG)
+    assert clean(LONG) in main_text(page(f"{part}<article><p>{LONG}</p></article>"))
+    assert clean(LONG) in main_text(page(f"{part}<div class=text><p>{LONG}</p><p>{LONG}</p></div>"))
+
+
+def test_implied_ends_of_parts_beside():
+    text = main_text(page(f"<article><ul><li class='share'>Share<li>One point<li>Two</ul><p hidden>no<p>{LONG}<p hidden>no<h2>Head</h2></article>"))
+    assert text == f"One point\n\nTwo\n\n{clean(LONG)}\n\nHead"
+    assert main_text(f"<html><head><meta charset=utf-8><body><p>{LONG}") == clean(LONG)
+
+
 def test_very_long_pages_are_read_whole_and_quickly():
     began = time.time()
     text = main_text(page("<article>" + "<p>word &lt; other</p>" * 50_000 + "<p>last"))
