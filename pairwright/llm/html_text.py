@@ -2,7 +2,7 @@
 
 A page is read into a light tree.  Parts that are never the article (scripts, menus, page
 headers and footers, sidebars, notices, adverts, forms, reader comments) are set aside by
-their element, role or class.  They are read into the same tree,
+their element or by a whole word of their role, class or id.  They are read into the same tree,
 so one without an end ends with its ancestor or where an end is implied, and one that holds a
 ``main``, the page's only ``article`` or, on a page of neither, most of its unlinked text, is not
 set aside.  For every other node the density is its characters per tag,
@@ -25,6 +25,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -45,14 +46,18 @@ LIST_ENDS = frozenset("ul ol dl table".split())
 ASIDE = frozenset(
     "ad ads advert advertisement adverts sponsor sponsored promo promotion comment comments disqus reply replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices banner alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager toolbar contentinfo complementary form skip".split()
 )
+#: Words after such a word that still name the same part, as in comments-list.
+PLACES = frozenset("list lists item items box area section block wrapper wrap container inner outer holder body content row col column group panel slot unit zone region bar links link left right top bottom primary secondary main text title icon icons button buttons btn".split())
+#: First words of names that tell of a node what it has, not what it is, as in no-sidebar.
+STATES = frozenset("has have no with without is not non hide hides show shows".split())
 NEVER_ASIDE = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*(?:>|\Z))",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"\shidden(?=[\s=/>]|\Z)|display\s*:\s*none", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -78,10 +83,32 @@ class Node:
             self.whole = parent.whole or self.whole
 
 
+@lru_cache(1 << 14)
+def _names_aside(names: str) -> bool:
+    """Whether a word of a class, id or role names a part beside the article."""
+    for name in names.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        if not words or words[0] in STATES:
+            continue
+        while len(words) > 1 and words[-1] in PLACES:
+            words.pop()
+        if words[-1] in ASIDE:
+            return True
+    return False
+
+
 def _marks(rest: str) -> tuple[bool, bool]:
     """Whether an element is hidden by its attributes, and whether its class, id or role names a part beside the article."""
-    names = [w.lower() for m in _ATTRIBUTE.finditer(rest) for w in _NAME.findall(m[1] or m[2] or m[3] or "")]
-    return _HIDDEN.search(rest) is not None, any(w in ASIDE for w in names)
+    hidden = named = False
+    for name, double, single, bare in _ATTRIBUTE.findall(rest):
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            named = named or _names_aside(double or single or bare)
+        elif name == "hidden":
+            hidden = True
+        elif name == "style" and _NO_DISPLAY.search(double or single or bare):
+            hidden = True
+    return hidden, named
 
 
 def _aside(tag: str, rest: str, within_article: bool) -> tuple[int, bool]:

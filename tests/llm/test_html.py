@@ -46,6 +46,27 @@ def test_hidden_parts():
     assert main_text(page(f"<article><p>{LONG}</p><p hidden>no</p><div style='display: none'>no</div><p class=hidden-note>yes</p></article>")) == f"{clean(LONG)}\n\nyes"
 
 
+@pytest.mark.parametrize("wrapper", ["div class='has-sidebar'", "div class='no-sidebar'", "div class='content with-sidebar'", "div class='ad-free'", "div class='page-header-layout'", "div id='page' class='site header'", "form role=search"])
+def test_wrappers_whose_names_only_mention_a_part_beside(wrapper):
+    tag = wrapper.split()[0]
+    body = f"<{wrapper}><div class='sidebar'><p>Side</p></div><div><p>{LONG}</p><p>{LONG}</p></div></{tag}>"
+    assert main_text(page(body)) == f"{clean(LONG)}\n\n{clean(LONG)}"
+    assert main_text(page(f"<{wrapper}><div class='sidebar'>{LONG * 3}</div><article><p>{LONG}</p></article></{tag}>")) == clean(LONG)
+
+
+def test_hidden_is_the_name_of_an_attribute():
+    for mark in ("data-title='The hidden life of trees'", 'class="is hidden md:block"', "title='a display: none b'", "data-hidden=1"):
+        assert main_text(page(f"<article {mark}><p>{LONG}</p></article>")) == clean(LONG), mark
+    for mark in ("hidden", "HIDDEN=''", "id=a hidden", 'style="color:red; display:none"'):
+        assert main_text(page(f"<article><p>{LONG}</p><div {mark}>no</div></article>")) == clean(LONG), mark
+
+
+def test_parts_beside_stay_set_aside():
+    teasers = "<article class='teaser'><p>Another story</p></article>" * 3
+    assert main_text(page(f"<article><p>{LONG}</p></article><div class='related-list'>{teasers}</div><ul id=comments><li><article class='comment-body'><p>{LONG * 3}</p></article></ul>")) == clean(LONG)
+    assert main_text(page(f"<article><p>Some <span class='share-buttons'>Share</span>more words</p><p>{LONG}</p></article>")) == f"Some more words\n\n{clean(LONG)}"
+
+
 @pytest.mark.parametrize(
     "part", ["<nav><a href=/>Home</a>", "<aside>Beside", "<footer>Foot", "<form><input>", "<div class='sidebar'><div>Side</div>", "<div class='sidebar'><div>Side", "<select><option>A<option>B", "<svg><path d=x>", "<dialog>Ask<p>Why"]
 )
