@@ -27,10 +27,11 @@ from pyspark.sql import types as T
 
 from . import kernel, neighbours
 from .components import connected_components
-from .store import written
+from .store import drop, written
 
-#: Bytes of a run, from 8 to 16.
-SHINGLE = 10
+#: Bytes of a run, from 1 to 8.  One changed byte inside a line breaks this many runs, so with 5
+#: it is still caught from 49 bytes on, and a replaced word of six letters from 94 on.
+SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.99
 ROWS = 5
@@ -61,14 +62,11 @@ def run_hashes(buf: np.ndarray) -> np.ndarray:
     n = len(buf) - SHINGLE + 1
     if n < 1:
         return np.zeros(0, _U64)
-    # Two words of up to eight bytes each, read at every place at once.
+    # A word of eight bytes is read at every place at once; those past the run are masked.
     wide = np.zeros(len(buf) + 8, np.uint8)
     wide[: len(buf)] = buf
     words = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
-    h = words[:n] * _U64(0x9E3779B97F4A7C15)
-    h ^= h >> _U64(32)
-    h += words[SHINGLE - 8 : SHINGLE - 8 + n]
-    return kernel.mix(h)
+    return kernel.mix(words[:n] & _U64(2 ** (8 * SHINGLE) - 1))
 
 
 def _densified(bins: np.ndarray) -> np.ndarray:
@@ -208,14 +206,18 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = docs.select("doc_id", "row_key", "text").mapInArrow(_signed, kinds)
     nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("at"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in band))
     nodes = written(nodes.select("node", "at.doc_id", "at.row_key", "at.line", "size", F.array(*band).alias("keys")), "lines")
-    members = written(neighbours.memberships(nodes), "members")
+    memberships = neighbours.memberships(nodes)
+    members = written(memberships, "members")
+    drop(memberships.reads)
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "row_key", "line"), "node")
     wanted = wanted.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
     found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["d"]) & (docs["row_key"] == wanted["r"]))
     sets = found.select("text", "wanted").mapInArrow(_wanted_lines, "node long, content binary")
-    described = members.join(nodes.select("node", "keys", "size", F.lit(1).cast("long").alias("copies")), "node")
+    none = F.array().cast("array<long>").alias("keys")  # how often a pair meets does not matter here, so no keys are moved
+    described = members.join(nodes.select("node", none, "size", F.lit(1).cast("long").alias("copies")), "node")
     links = written(neighbours.verified(described.join(sets, "node"), threshold, line_sets).select(F.col("node").alias("a"), F.col("reaches").alias("b")), "links")
+    drop(members.written_to)
     roots = connected_components(links)
 
     placed = nodes.select("node", "doc_id", "row_key", "line").join(roots, "node", "left")

@@ -51,7 +51,9 @@ def memberships(nodes: DataFrame) -> DataFrame:
     members = pairs.join(buckets.select("key", parts.alias("parts")), "key")
     chunk = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
     spread = members.select("node", "key", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return spread.select("node", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
+    out = spread.select("node", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk")
+    out.reads = pairs.written_to  # type: ignore[attr-defined]
+    return out
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -108,7 +110,7 @@ def _block(key: int, i: int, j: int, rows: pa.Table, threshold: float, set_of: C
     np.fill_diagonal(linked, False)
     if i != j:
         linked &= chunk[:, None] != chunk[None, :]
-    for earlier in range(key >> _BAND_BITS):  # a pair counts in the first band that it shares
+    for earlier in range(min(key >> _BAND_BITS, keys.shape[1])):  # a pair counts in the first band that it shares
         same = keys[:, earlier]
         linked &= same[:, None] != same[None, :]
     a, b = np.nonzero(np.triu(linked))
@@ -183,7 +185,8 @@ def verified(blocks: DataFrame, threshold: float, set_of: Callable = hashes) ->
     """(node, texts, documents, reaches) by block; blocks: memberships with copies, keys and content.
 
     ``set_of`` gives the hashes of an array of contents and the row of each, rows in order; by
-    default the contents are hashes.
+    default the contents are hashes.  With empty keys a pair counts in each band that it shares, so
+    only what nodes reach can be used.
     """
     columns = ["key", "i", "j", "node", "chunk", "copies", "keys", "content", "size"]
 

@@ -138,3 +138,12 @@ def test_recall_on_lines_at_the_threshold(spark):
     want = brute_lines(rows)
     got = {(x["doc_id"], k) for x in line_dedup.deduplicate(frame(spark, rows)).collect() for k in x["removed_lines"]}
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 20 and pairs == 0
+
+
+def test_one_edit_in_lines_of_usual_length(spark):
+    notices = ["Copyright 2021 The Example Company. All rights reserved.", "Copyright 2022 The Example Company. All rights reserved."]
+    words = [prose(rng(3), 16) + f" {w} and that is the end of it" for w in ("little", "modern")]
+    other = ["Copyright 2021 Somebody Else, who may reserve no rights.", "Contact the office of the company by letter or telephone."]
+    assert 50 <= len(notices[0]) < 98 and 94 <= len(words[0]) < 144
+    got = line_dedup.deduplicate(frame(spark, list(enumerate([*notices, *words, *other])))).collect()
+    assert {x["doc_id"] for x in got if x["removed_lines"]} == {1, 3}
