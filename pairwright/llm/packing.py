@@ -3,13 +3,16 @@
 Each Spark partition of the input is packed on its own in one pass, so nothing is
 shuffled, a lost task is packed again alone, and the work grows with the input.  A
 document's whole windows go out at once; its remainder is placed into the fill level
-that least raises the sum of squared counts of partly filled windows.  What is still
-open when the partition ends is cut and moved together until every window is full,
-but for the last, which is cut at powers of two, where no padding is needed.
+that least raises the sum of squared counts of partly filled windows; of levels that raise it
+alike the fullest is taken.  At most ``MOST_OPEN`` windows are open: a remainder that fits none
+of them whole is cut where it closes the fullest, and the rest is placed again.  When the
+partition ends, the fullest of these few windows are filled with pieces of the emptiest, and
+the last is cut at powers of two, where no padding is needed.
 
 Nulls: a null text counts as empty (its one id is the end id); a null doc_id stays
-null.  Repeated rows are packed as often as they come.  An empty table gives no rows.
-Columns other than doc_id and text are ignored, whatever their names.
+null.  Texts are read whole, whatever their length.  Repeated rows are packed as often as they
+come.  An empty table gives no rows.  Columns other than doc_id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SEQUENCE_TOKENS = 4096
 END_ID = 2
 #: Sequences that one partition can number.
 PARTITION_BITS = 38
+#: Windows that are open at once.
+MOST_OPEN = 16
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -52,6 +57,7 @@ class LevelPacker:
         # A window filled to the end is no longer counted: 2 * count + 1 is 0 there.
         self.count[capacity] = -0.5
         self.open: dict[int, list[list[Piece]]] = {}
+        self.n_open = 0
         self.rows: list[tuple] = []
 
     def emit(self, pieces: list[Piece]) -> None:
@@ -61,25 +67,36 @@ class LevelPacker:
             offset += len(p.ids)
         self.sequence += 1
 
-    def level(self, size: int) -> int:
-        """The fill level whose choice raises the sum of squared counts least; ties: the fullest."""
+    def level(self, size: int) -> int | None:
+        """The fill level whose choice raises the sum of squared counts least; ties: the fullest; None where nothing takes it whole."""
         count, most = self.count, self.capacity - size
         rise = 2 * count[size : size + most + 1] + 1
         rise[1:] += np.where(count[1 : most + 1] > 0, 1 - 2 * count[1 : most + 1], np.inf)
-        return most - int(np.argmin(rise[::-1]))
+        if self.n_open >= MOST_OPEN:
+            rise[0] = np.inf
+        g = most - int(np.argmin(rise[::-1]))
+        return g if rise[g] < np.inf else None
 
     def place(self, piece: Piece) -> None:
-        size = len(piece.ids)
-        g = self.level(size)
+        while (g := self.level(len(piece.ids))) is None:
+            fullest = int(np.flatnonzero(self.count[: self.capacity])[-1])
+            head, piece = piece.cut(self.capacity - fullest)
+            self.put(head, fullest)
+        self.put(piece, g)
+
+    def put(self, piece: Piece, g: int) -> None:
+        """Add a piece to a window of level g, or to a new one if that is 0."""
+        filled = g + len(piece.ids)
         window = self.open[g].pop() if g else []
-        if g:
-            self.count[g] -= 1
+        self.count[g] -= g > 0
+        self.n_open -= g > 0
         window.append(piece)
-        if g + size == self.capacity:
+        if filled == self.capacity:
             self.emit(window)
         else:
-            self.open.setdefault(g + size, []).append(window)
-            self.count[g + size] += 1
+            self.open.setdefault(filled, []).append(window)
+            self.count[filled] += 1
+            self.n_open += 1
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         n, c = len(ids), self.capacity
@@ -91,30 +108,38 @@ class LevelPacker:
     def finish(self) -> None:
         """Fill the fullest open windows with pieces of the emptiest; cut the last at powers of two."""
         windows = [w for g in sorted(self.open, reverse=True) for w in self.open[g]]
-        self.open, self.count[: self.capacity] = {}, 0
-        spare = [p for w in reversed(windows) for p in reversed(w)]  # emptiest first
-        spare.reverse()  # taken from the end
-        total, c = sum(len(p.ids) for p in spare), self.capacity
-        order = iter(spare)
-        held: list[Piece] = []
-
-        def take(size: int) -> list[Piece]:
-            got = []
-            while size:
-                p = held.pop() if held else next(order)
-                if len(p.ids) > size:
-                    p, rest = p.cut(size)
-                    held.append(rest)
-                got.append(p)
-                size -= len(p.ids)
-            return got
-
-        while total >= c:
-            self.emit(take(c))
-            total -= c
+        self.open, self.n_open, self.count[: self.capacity] = {}, 0, 0
+        while windows:
+            window = windows.pop(0)
+            gap = self.capacity - sum(len(p.ids) for p in window)
+            while gap and windows:
+                piece = windows[-1].pop()
+                if len(piece.ids) > gap:
+                    piece, rest = piece.cut(gap)
+                    windows[-1].append(rest)
+                window.append(piece)
+                gap -= len(piece.ids)
+                if not windows[-1]:
+                    windows.pop()
+            if gap:
+                self.emit_powers(window, self.capacity - gap)
+            else:
+                self.emit(window)
+
+    def emit_powers(self, pieces: list[Piece], total: int) -> None:
+        """Sequences of the sizes that make up ``total`` in binary, the largest first."""
+        waiting = pieces[::-1]
         for bit in reversed(range(total.bit_length())):
-            if total >> bit & 1:
-                self.emit(take(1 << bit))
+            need, own = total & 1 << bit, []
+            while need:
+                piece = waiting.pop()
+                if len(piece.ids) > need:
+                    piece, rest = piece.cut(need)
+                    waiting.append(rest)
+                own.append(piece)
+                need -= len(piece.ids)
+            if own:
+                self.emit(own)
 
     def batch(self) -> pa.RecordBatch:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
