@@ -85,13 +85,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(c) for c in ["size", *band]))  # copies have the same keys
     classes = written(classes.select("node", "least", "copies", "size", F.array(*band).alias("keys")), "classes")
     nodes = classes.filter("least is not null")
-    members = written(neighbours.memberships(nodes), "members")
+    members = written(neighbours.memberships(nodes, threshold), "members")
 
     described = members.join(nodes.select("node", "copies", "keys", "size"), "node")
     wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node").select("least").distinct()
     sets = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["least"]).select("text").mapInArrow(_sets, "node long, content binary")
-    if signed.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count():  # a repeated id brings a set twice
-        sets = sets.dropDuplicates(["node"])
     links = written(neighbours.verified(described.join(sets, "node"), threshold), "links")
 
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("reaches").alias("b")))

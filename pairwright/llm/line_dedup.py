@@ -2,15 +2,18 @@
 
 Lines are pieces between line feeds; they are compared in lower case with white space made one
 space.  Equal lines are one node.  A node's set has the hashes of its runs of ``SHINGLE``
-bytes (a shorter line: itself).  One-permutation MinHash with densified bins gives a
+characters (a shorter line: itself).  One-permutation MinHash with densified bins gives a
 signature, banded for high recall at the threshold; nodes that share a band are verified by
-exact Jaccard similarity in blocks, links are united to components by distributed
-contraction, and of each component the first line by (doc_id, hash of the row, line number)
-stays.  Lines of white space alone are neither compared nor removed.
+exact Jaccard similarity in blocks (two alone in a bucket only if two bits of each bin, their
+sketch, allow it), links are united to components by distributed contraction, and of each
+component the first line by (doc_id, hash of the row, line number) stays.  Lines of white space
+alone are neither compared nor removed.
 
 Nulls: a null text counts as empty and stays null; rows with a null doc_id take part and come
 first in the order.  Rows that repeat both doc_id and text are one document, so both keep the
-same lines.  An empty table gives no rows.  Extra columns pass through, whatever their names.
+same lines.  Ties: equal and alike lines of one document leave the first.  Texts and lines are read
+whole, whatever their length.  An empty table gives no rows.  Extra columns pass through, whatever
+their names; ``deduplicate`` puts its n_lines and removed_lines in place of columns so called.
 A document can lose all its lines: ``deduplicate`` keeps its row, ``without_repeats`` does not.
 """
 
@@ -29,14 +32,15 @@ from . import kernel, neighbours
 from .components import connected_components
 from .store import drop, written
 
-#: Bytes of a run, from 1 to 8.  One changed byte inside a line breaks this many runs, so with 5
-#: it is still caught from 49 bytes on, and a replaced word of six letters from 94 on.
+#: Characters of a run, from 1 to 8.  One changed character inside a line breaks this many runs, so with 5
+#: it is still caught from 49 characters on, and a replaced word of six letters from 94 on.
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.99
 ROWS = 5
 BANDS = neighbours.bands_for(THRESHOLD, RECALL, ROWS)
 BINS = BANDS * ROWS
+assert BINS == neighbours.SKETCH_VALUES
 
 _U64 = np.uint64
 #: Whether an empty bin borrows from the next filled bin on its left or on its right.
@@ -57,16 +61,34 @@ def _line_ends(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return ends[order], own[order]
 
 
-def run_hashes(buf: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of SHINGLE bytes; equal runs have equal hashes wherever they lie."""
-    n = len(buf) - SHINGLE + 1
-    if n < 1:
-        return np.zeros(0, _U64)
+def runs(buf: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of SHINGLE characters within spans of UTF-8 text, and the span of each, in order.
+
+    Equal runs have equal hashes wherever they lie.
+    """
     # A word of eight bytes is read at every place at once; those past the run are masked.
     wide = np.zeros(len(buf) + 8, np.uint8)
     wide[: len(buf)] = buf
     words = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
-    return kernel.mix(words[:n] & _U64(2 ** (8 * SHINGLE) - 1))
+    mask = _U64(2 ** (8 * SHINGLE) - 1)
+    heads = (buf & 0xC0) != 0x80
+    if heads.all():
+        at, own = _places(begin, stop)
+        return kernel.mix(words[at] & mask), own
+    chars = np.flatnonzero(heads)  # where characters begin
+    at, own = _places(np.searchsorted(chars, begin), np.searchsorted(chars, stop))
+    first, after = chars[at], np.append(chars, len(buf))[at + SHINGLE]
+    h = words[first] & mask
+    long = np.flatnonzero(after - first != SHINGLE)
+    h[long] = ~kernel.hash_spans(buf, first[long], after[long])
+    return kernel.mix(h), own
+
+
+def _places(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in spans from which SHINGLE of them are left, and the span of each."""
+    windows = np.maximum(stop - begin - SHINGLE + 1, 0)
+    total = np.concatenate([[0], np.cumsum(windows)])
+    return np.repeat(begin - total[:-1], windows) + np.arange(total[-1]), np.repeat(np.arange(len(windows)), windows)
 
 
 def _densified(bins: np.ndarray) -> np.ndarray:
@@ -80,8 +102,8 @@ def _densified(bins: np.ndarray) -> np.ndarray:
     return np.take_along_axis(bins, (source % BINS).astype(np.int64), axis=1) + np.uint32(0x9E3779B1) * far
 
 
-def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """(n, BANDS) keys of n lines that each have hashes, by one-permutation MinHash."""
+def signatures(h: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, BANDS) keys and (n, 2) sketches of n lines that each have hashes, by one-permutation MinHash."""
     bins = np.full(n * BINS, _FULL, np.uint32)
     place = line * BINS + ((h >> _U64(32)) * _U64(BINS) >> _U64(32)).astype(np.int64)
     np.minimum.at(bins, place, (h & _U64(0xFFFFFFFE)).astype(np.uint32))
@@ -94,11 +116,16 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
         for r in range(ROWS):
             key = kernel.mix(key * _U64(0x9E3779B97F4A7C15) + bins[:, b * ROWS + r].astype(_U64))
         keys[:, b] = key
-    return neighbours.band_keys(keys)
+    sketch = np.zeros((n, 2), _U64)
+    for k in range(BINS):
+        mixed = bins[:, k] * np.uint32(0x85EBCA6B)
+        for plane in range(2):
+            sketch[:, plane] |= ((mixed >> np.uint32(30 + plane)) & np.uint32(1)).astype(_U64) << _U64(k)
+    return neighbours.band_keys(keys), sketch.view(np.int64)
 
 
 def _nodes(buf: np.ndarray, offsets: np.ndarray):
-    """Node, row, line number, set size and keys of each line with a word (lower-cased text)."""
+    """Node, row, line number, runs, keys and sketch of each line with a word (lower-cased text)."""
     ends, own = _line_ends(buf, offsets)
     start, end, _ = kernel.spans(buf, offsets, kernel.NOT_SPACE)
     if not len(start):
@@ -115,45 +142,39 @@ def _nodes(buf: np.ndarray, offsets: np.ndarray):
     index = np.repeat(start - at[:-1], size) + np.arange(at[-1])
     flat = buf[np.minimum(index, len(buf) - 1)]
     flat[at[1:] - 1] = 0x20
-    begin, stop = at[first], at[first + count] - 1
-    windows = np.maximum(stop - begin - SHINGLE + 1, 0)
-    total = np.concatenate([[0], np.cumsum(windows)])
-    where = np.repeat(begin - total[:-1], windows) + np.arange(total[-1])
-    h = run_hashes(flat)[where]
-    of = np.repeat(np.arange(len(live)), windows)
-    short = np.flatnonzero(windows == 0)
+    h, of = runs(flat, at[first], at[first + count] - 1)
+    size = np.bincount(of, minlength=len(live))
+    short = np.flatnonzero(size == 0)
     if len(short):
         h, of = np.concatenate([h, node[short]]), np.concatenate([of, short])
-    return node, own[live], live - first_line[own[live]], np.maximum(windows, 1), signatures(h, of, len(live))
+    return node, own[live], live - first_line[own[live]], np.maximum(size, 1), *signatures(h, of, len(live))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "row_key", "line", "node", "size", *(f"k{b}" for b in range(BANDS))]
+    names = ["doc_id", "row_key", "line", "node", "size", "keys", "sketch"]
     for batch in batches:
         buf, offsets = kernel.utf8(lower(batch.column(2)))
         for a, b in kernel.chunks(offsets):
             got = _nodes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if got is None:
                 continue
-            node, row, number, size, keys = got
+            node, row, number, size, keys, sketch = got
             # Of equal lines of one document only the first goes on.
             order = np.lexsort((number, node, row))
             same = np.zeros(len(order), bool)
             same[1:] = (node[order][1:] == node[order][:-1]) & (row[order][1:] == row[order][:-1])
             use = np.sort(order[~same])
             own = pa.array(a + row[use])
-            columns = [number[use], kernel.signed(node[use]), size[use], *(keys[use, k].copy() for k in range(BANDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x) for x in columns)], names)
+            columns = [number[use], kernel.signed(node[use]), size[use]]
+            lists = [pa.ListArray.from_arrays(np.arange(len(use) + 1, dtype=np.int32) * x.shape[1], x[use].ravel()) for x in (keys, sketch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x) for x in columns), *lists], names)
 
 
 def line_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of lines with single spaces, and the line of each, for exact verification."""
     buf, at = kernel.utf8(lines)
-    windows = np.maximum(np.diff(at) - SHINGLE + 1, 0)
-    total = np.concatenate([[0], np.cumsum(windows)])
-    where = np.repeat(at[:-1] - total[:-1], windows) + np.arange(total[-1])
-    h, own = run_hashes(buf)[where], np.repeat(np.arange(len(windows)), windows)
-    short = np.flatnonzero(windows == 0)
+    h, own = runs(buf, at[:-1], at[1:])
+    short = np.flatnonzero(np.bincount(own, minlength=len(at) - 1) == 0)
     if len(short):
         h, own = np.concatenate([h, kernel.hash_spans(buf, at[short], at[short + 1])]), np.concatenate([own, short])
         order = np.argsort(own, kind="stable")
@@ -201,12 +222,11 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, row_key, keep): the numbers of the lines that stay, for rows with any; docs: doc_id, row_key, text."""
-    band = [f"k{b}" for b in range(BANDS)]
-    kinds = ", ".join(f"{c} long" for c in ["doc_id", "row_key", "line", "node", "size", *band])
-    lines = docs.select("doc_id", "row_key", "text").mapInArrow(_signed, kinds)
-    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("at"), F.min("size").alias("size"), *(F.min(c).alias(c) for c in band))
-    nodes = written(nodes.select("node", "at.doc_id", "at.row_key", "at.line", "size", F.array(*band).alias("keys")), "lines")
-    memberships = neighbours.memberships(nodes)
+    lines = docs.select("doc_id", "row_key", "text").mapInArrow(_signed, "doc_id long, row_key long, line long, node long, size long, keys array<long>, sketch array<long>")
+    # Equal lines have equal keys, so they travel with the least place.
+    nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "row_key", "line", "size", "keys", "sketch")).alias("at"))
+    nodes = written(nodes.select("node", "at.*"), "lines")
+    memberships = neighbours.memberships(nodes, threshold)
     members = written(memberships, "members")
     drop(memberships.reads)
 
@@ -237,13 +257,13 @@ def _apply(docs: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(_applied, kind)
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+def _columns(docs: DataFrame, without: tuple[str, ...] = ()) -> list:
+    return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in without]
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with text as it is left, n_lines and removed_lines (numbers from 0)."""
-    return _apply(docs, threshold).select(*_columns(docs), "n_lines", "removed_lines")
+    return _apply(docs, threshold).select(*_columns(docs, ("n_lines", "removed_lines")), "n_lines", "removed_lines")
 
 
 def without_repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -25,6 +25,8 @@ from .store import written
 CHUNK_NODES = 256
 CHUNK_HASHES = 1 << 18
 _BAND_BITS = 56
+#: MinHash values of which a sketch has two bits.
+SKETCH_VALUES = 60
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -38,14 +40,53 @@ def band_keys(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(64 - _BAND_BITS)) | band).view(np.int64)
 
 
-def memberships(nodes: DataFrame) -> DataFrame:
-    """(node, key, i, j): the blocks that each node goes to; nodes: node, size, keys."""
-    each = nodes.select("node", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = written(each.join(shared.select("key").hint("shuffle_hash"), "key"), "shared")  # most keys have one node; what goes on is small
+def _met_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, node), sorted by key, whose key an other row has; no more than a row is held back."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held[0], batch])
+        key = batch.column(0).to_numpy()
+        if not len(key):
+            continue
+        same = key[1:] == key[:-1]
+        met = np.zeros(len(key), bool)
+        met[1:] |= same
+        met[:-1] |= same
+        if held is not None:
+            met[0] |= held[1]
+        yield batch.slice(0, len(key) - 1).filter(pa.array(met[:-1]))
+        held = batch.slice(len(key) - 1), bool(met[-1])
+    if held is not None and held[1]:
+        yield held[0]
+
+
+def most_apart(threshold: float) -> int:
+    """Values of a sketch in which two nodes may differ: five deviations more than pairs at the threshold do."""
+    p = 0.75 * (1 - threshold)
+    return math.ceil(SKETCH_VALUES * p + 5 * math.sqrt(SKETCH_VALUES * p * (1 - p)))
+
+
+def memberships(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, key, i, j): the blocks that each node goes to; nodes: node, size, keys and, if there is one, sketch.
+
+    Buckets of two nodes whose sizes rule out the threshold have no block.  A sketch, an array of
+    two longs, has two bits of each of ``SKETCH_VALUES`` MinHash values; two nodes alone in a bucket
+    must not differ in more of them than ``most_apart`` allows.
+    """
+    each = nodes.select(F.explode("keys").alias("key"), "node")
+    # Most keys have one node; what goes on is small.
+    pairs = written(each.repartition("key").sortWithinPartitions("key").mapInArrow(_met_keys, "key long, node long"), "shared")
+    about = [c for c in ("size", "sketch") if c in nodes.columns]
+    bits = [F.bit_xor(F.get("sketch", F.lit(k))).alias(f"bits{k}") for k in range(2 * ("sketch" in about))]
     mark = F.bit_xor(F.xxhash64("node"))
-    buckets = pairs.join(nodes.select("node", "size"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), mark.alias("mark"))
-    buckets = buckets.groupBy("n", "total", "mark").agg(F.min("key").alias("key"))
+    buckets = pairs.join(nodes.select("node", *about), "node").groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("size").alias("least"), F.max("size").alias("most"), mark.alias("mark"), *bits
+    )
+    alike = F.col("least") >= threshold * F.col("most") - 1e-9
+    if bits:
+        alike &= F.bit_count(F.col("bits0").bitwiseOR(F.col("bits1"))) <= most_apart(threshold)
+    buckets = buckets.filter((F.col("n") > 2) | alike).groupBy("n", "total", "mark").agg(F.min("key").alias("key"))
     parts = F.greatest(F.ceil(F.col("n") / CHUNK_NODES), F.ceil(F.col("total") / CHUNK_HASHES))
     parts = F.least(parts, F.col("n")).cast("int")
     members = pairs.join(buckets.select("key", parts.alias("parts")), "key")
@@ -193,7 +234,7 @@ def verified(blocks: DataFrame, threshold: float, set_of: Callable = hashes) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         small: list[pa.Table] = []
-        current, waiting = None, 0
+        current, waiting, last = None, 0, None
 
         def out(x: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in x], ["node", "texts", "documents", "reaches"])
@@ -213,9 +254,19 @@ def verified(blocks: DataFrame, threshold: float, set_of: Callable = hashes) ->
                 yield out(_block(*current, rows, threshold, set_of))
 
         for table in batches:
-            key, i, j = (table.column(k).to_numpy() for k in range(3))
+            key, i, j, node = (table.column(k).to_numpy() for k in range(4))
             if not len(key):
                 continue
+            # Repeated documents bring a node more than once, one after the other.
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (node[1:] != node[:-1])
+            fresh[0] = (key[0], i[0], j[0], node[0]) != last
+            last = (key[-1], i[-1], j[-1], node[-1])
+            if not fresh.all():
+                table = table.filter(pa.array(fresh))
+                key, i, j = key[fresh], i[fresh], j[fresh]
+                if not len(key):
+                    continue
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 here = (int(key[a]), int(i[a]), int(j[a]))

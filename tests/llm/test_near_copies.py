@@ -2,6 +2,7 @@
 
 import itertools
 
+import pyarrow as pa
 import pytest
 
 from pairwright.llm import jaccard_join, line_dedup, neighbours
@@ -88,8 +89,7 @@ def brute_lines(rows):
             if x:
                 at.setdefault(x, []).append((i, k))
     for x in at:
-        b = x.encode()
-        norm[x] = frozenset(b[k : k + line_dedup.SHINGLE] for k in range(len(b) - line_dedup.SHINGLE + 1)) or frozenset([b])
+        norm[x] = frozenset(x[k : k + line_dedup.SHINGLE] for k in range(len(x) - line_dedup.SHINGLE + 1)) or frozenset([x])
     up = Union(at)
     for a, b in itertools.combinations(at, 2):
         both = len(norm[a] & norm[b])
@@ -147,3 +147,26 @@ def test_one_edit_in_lines_of_usual_length(spark):
     assert 50 <= len(notices[0]) < 98 and 94 <= len(words[0]) < 144
     got = line_dedup.deduplicate(frame(spark, list(enumerate([*notices, *words, *other])))).collect()
     assert {x["doc_id"] for x in got if x["removed_lines"]} == {1, 3}
+
+
+def test_runs_are_characters():
+    lines = ["straße über müller", "añb", "日本語の文書です", "plain text"]
+    h, own = line_dedup.line_sets(pa.array(lines))
+    for k, x in enumerate(lines):
+        assert (own == k).sum() == max(1, len(x) - line_dedup.SHINGLE + 1)
+    alone, _ = line_dedup.line_sets(pa.array([lines[3]]))
+    assert set(alone) == set(h[own == 3])  # whatever stands beside it
+    moved, _ = line_dedup.line_sets(pa.array(["é" + lines[0]]))
+    assert set(h[own == 0]) < set(moved)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    row = "one line of text that comes again and again\none line of text that comes again and agaim"
+    rows = [(7, row, "x")] * 400 + [(8, "one line of text that comes again and agai", "y")]
+    docs = frame(spark, rows, "doc_id long, text string, n_lines string").repartition(5)
+    out = line_dedup.deduplicate(docs)
+    assert out.columns == ["doc_id", "text", "n_lines", "removed_lines"]
+    assert {(r["doc_id"], r["n_lines"], tuple(r["removed_lines"])) for r in out.collect()} == {(7, 2, (1,)), (8, 1, (0,))}
+    assert line_dedup.without_repeats(docs).columns == docs.columns
+    got = {(r["doc_id"], r["n_links"]) for r in jaccard_join.join(docs).collect()}
+    assert got == {(7, 399), (8, 0)}
