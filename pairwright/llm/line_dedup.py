@@ -46,6 +46,8 @@ _U64 = np.uint64
 #: Whether an empty bin borrows from the next filled bin on its left or on its right.
 _LEFT = np.random.default_rng(11).random(BINS) < 0.5
 _FULL = np.uint32(0xFFFFFFFF)
+#: Odd multipliers, one for each place in a run.
+_PLACES = kernel.mix(np.arange(1, SHINGLE + 1, dtype=_U64)) | _U64(1)
 
 
 def lower(column: pa.Array) -> pa.Array:
@@ -61,34 +63,38 @@ def _line_ends(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return ends[order], own[order]
 
 
+def _characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The code points of UTF-8 text and, unless each is one byte, how many begin before each byte; other bytes count as they are."""
+    if not len(buf) or buf.max() < 0x80:
+        return buf, None
+    try:
+        text = buf.tobytes().decode()
+    except UnicodeDecodeError:
+        return buf, None
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+
+
 def runs(buf: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of SHINGLE characters within spans of UTF-8 text, and the span of each, in order.
+    """Hashes of all runs of SHINGLE characters within ascending spans of UTF-8 text, and the span of each, in order.
 
     Equal runs have equal hashes wherever they lie.
     """
-    # A word of eight bytes is read at every place at once; those past the run are masked.
-    wide = np.zeros(len(buf) + 8, np.uint8)
-    wide[: len(buf)] = buf
-    words = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
-    mask = _U64(2 ** (8 * SHINGLE) - 1)
-    heads = (buf & 0xC0) != 0x80
-    if heads.all():
-        at, own = _places(begin, stop)
-        return kernel.mix(words[at] & mask), own
-    chars = np.flatnonzero(heads)  # where characters begin
-    at, own = _places(np.searchsorted(chars, begin), np.searchsorted(chars, stop))
-    first, after = chars[at], np.append(chars, len(buf))[at + SHINGLE]
-    h = words[first] & mask
-    long = np.flatnonzero(after - first != SHINGLE)
-    h[long] = ~kernel.hash_spans(buf, first[long], after[long])
-    return kernel.mix(h), own
-
-
-def _places(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places in spans from which SHINGLE of them are left, and the span of each."""
+    chars, before = _characters(buf)
+    if before is not None:
+        begin, stop = before[begin], before[stop]
     windows = np.maximum(stop - begin - SHINGLE + 1, 0)
-    total = np.concatenate([[0], np.cumsum(windows)])
-    return np.repeat(begin - total[:-1], windows) + np.arange(total[-1]), np.repeat(np.arange(len(windows)), windows)
+    n, some = len(chars) - SHINGLE + 1, windows > 0
+    if n < 1:
+        return np.zeros(0, _U64), np.zeros(0, np.int64)
+    wide = chars.astype(_U64)
+    h = wide[:n] * _PLACES[0]
+    for j in range(1, SHINGLE):
+        h += wide[j : n + j] * _PLACES[j]
+    edge = np.zeros(len(chars) + 1, np.int8)
+    edge[begin[some]] = 1
+    edge[(begin + windows)[some]] = -1
+    inside = np.cumsum(edge, dtype=np.int8)[:n].view(bool)
+    return kernel.mix(h[inside]), np.repeat(np.arange(len(windows)), windows)
 
 
 def _densified(bins: np.ndarray) -> np.ndarray:
@@ -110,18 +116,13 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.
     bins = bins.reshape(n, BINS)
     some = np.flatnonzero((bins == _FULL).any(axis=1))
     bins[some] = _densified(bins[some])
-    keys = np.zeros((n, BANDS), _U64)
-    for b in range(BANDS):
-        key = np.full(n, b + 1, _U64)
-        for r in range(ROWS):
-            key = kernel.mix(key * _U64(0x9E3779B97F4A7C15) + bins[:, b * ROWS + r].astype(_U64))
-        keys[:, b] = key
-    sketch = np.zeros((n, 2), _U64)
-    for k in range(BINS):
-        mixed = bins[:, k] * np.uint32(0x85EBCA6B)
-        for plane in range(2):
-            sketch[:, plane] |= ((mixed >> np.uint32(30 + plane)) & np.uint32(1)).astype(_U64) << _U64(k)
-    return neighbours.band_keys(keys), sketch.view(np.int64)
+    values = bins.reshape(n, BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U64), (n, BANDS))
+    for r in range(ROWS):
+        keys = kernel.mix(keys * _U64(0x9E3779B97F4A7C15) + values[:, :, r])
+    two = bins * np.uint32(0x85EBCA6B) >> np.uint32(30)
+    planes = [np.packbits((two >> np.uint32(k) & np.uint32(1)).astype(bool), axis=1, bitorder="little") for k in range(2)]
+    return neighbours.band_keys(keys), np.column_stack([np.ascontiguousarray(x).view("<i8") for x in planes])
 
 
 def _nodes(buf: np.ndarray, offsets: np.ndarray):

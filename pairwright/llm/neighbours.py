@@ -183,13 +183,16 @@ def _small_blocks(rows: pa.Table, threshold: float, set_of: Callable) -> list[np
     size = np.diff(np.append(first, m))
     place = np.arange(m) - first[group]
     h, own = set_of(rows.column("content").combine_chunks())
-    # The place in the block is in the last bits, so that what a member has twice comes together.
-    mark = (kernel.mix(h + kernel.mix(group.astype(np.uint64))[own]) & ~np.uint64(15)) | place.astype(np.uint64)[own]
-    order = np.argsort(mark)
-    mark, own = mark[order], own[order]
+    # One number has the block in its first bits, the hash (40 bits or more of it) and the place in the block in the
+    # last four, so that plain sorting brings together what members share and what one has twice.
+    bits = np.uint64(len(first).bit_length())
+    head = (group.astype(np.uint64) << (np.uint64(64) - bits)) | place.astype(np.uint64)
+    mark = np.sort(((h >> bits) & ~np.uint64(15)) | head[own])
     fresh = np.ones(len(mark), bool)
     fresh[1:] = mark[1:] != mark[:-1]
-    mark, own = mark[fresh] >> np.uint64(4), own[fresh]
+    mark = mark[fresh]
+    own = first[(mark >> (np.uint64(64) - bits)).astype(np.int64)] + (mark & np.uint64(15)).astype(np.int64)
+    mark >>= np.uint64(4)
     sizes = np.bincount(own, minlength=m)
     begin = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
     run = np.diff(np.append(begin, len(mark)))
