@@ -4,25 +4,36 @@ Tokens are the runs of bytes other than ASCII white space of the text with A-Z l
 and one end token a text.  A token's class is its own if it is among the ``OWN_CLASSES`` most
 frequent, else it comes from a hash of its last letters and of whether a sentence mark follows
 them.  The probability of a token is that of its class given the context, times that of the
-token in its class:
+token given its class and the context; both are softmaxes:
 
-* class: a softmax over weights of hashed features - the word before, the two before (an
-  n-gram), the second before and the classes of the third and fourth before (skips);
-* token in class: (c + 0.5) / (N + 0.5 (V + 1)) over the training tokens of the class, so all
-  unknown tokens of a class share one place.
+* class: over weights of hashed features - the word before, the two before (an n-gram), the
+  second before and the class of the third before (skips);
+* token in class: over log q plus the weight of the n-gram of the two words before and the token,
+  where q = (c + 0.5) / (N + 0.5 (V + 1)) over the training tokens of the class, so all unknown
+  tokens of a class share one place.
 
-The class weights are trained in rounds: every partition takes Adagrad steps over its part of
-the training texts from common weights, and the updates are averaged feature by feature,
-weighted by how often each was touched.  Counts of all tokens are gathered by a shuffle; only
-the ``TOP_TOKENS`` most frequent ones are broadcast, others reach their texts by a join.
+The class weights take one pass over the training texts in ``ROUNDS`` rounds, each over its share
+of the texts: every partition takes Adagrad steps from common weights, and the updates are
+averaged feature by feature, weighted by how often each was touched, in a tree of ``FAN_IN``.  So
+they depend on how the input is split.
 
-Tokens are known by 64-bit hashes.  Nulls: a null text counts as empty (its one token is the
+The n-gram weights are a table by hashed context (two words and a class) that grows with the
+training tokens: its shards are counted, kept and asked by shuffles.  Weights are penalised by
+their sum times ``PENALTY``, which makes the gradient of a weight n - PENALTY - N p, for n tokens
+of N in the context.  Contexts are independent here, so the limit of its updates is known at once: p = (n -
+PENALTY) / N.  A weight is kept if it raises the log likelihood by ``LEAST_GAIN``; the others are 0.
+
+Counts of all tokens are gathered by a shuffle; only the ``TOP_TOKENS`` most frequent ones are
+broadcast and can have n-gram weights; others reach their texts by a join.  Texts are read whole.
+
+Tokens and contexts are known by hashes.  Nulls: a null text counts as empty (its one token is the
 end); a row with a null doc_id is scored but not trained on, and its held_out is null.  Repeated rows
 count each, an empty table gives no rows, and columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +50,7 @@ from .store import written
 HELD_OUT = 1
 TOP_TOKENS = 1 << 17
 OWN_CLASSES = 15
-ENDINGS = 24
+ENDINGS = 8
 END_CLASS = OWN_CLASSES
 CLASSES = OWN_CLASSES + 1 + 2 * ENDINGS
 BUCKETS = 1 << 13
@@ -49,6 +60,16 @@ RATE = 0.5
 #: Distinct tokens that a counting task holds before it passes them on.
 MOST_HELD = 1 << 20
 BLOCK_ROWS = 1024
+FAN_IN = 16
+PENALTY = 1.0
+LEAST_GAIN = 6.0
+#: Training tokens for each shard of the n-gram table, on average.
+SHARD_TOKENS = 1 << 22
+#: Contexts with this share of the training tokens, at most as many as its inverse, are in ``SALTS`` shards.
+HOT_SHARE = 1 / 1024
+SALTS = 16
+#: Keys that a task holds before it passes them on.
+HELD_KEYS = 1 << 21
 
 _U64 = np.uint64
 END = kernel.mix(np.array([3], _U64))[0]
@@ -57,11 +78,14 @@ START_CLASS = CLASSES
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in ".,;:!?"]] = True
 
-#: Rows of the weight table: the bias, three hashed features and two of classes.
+#: Rows of the weight table: the bias, three hashed features and one of classes.
 _BIAS = 0
 _WORDS = 1
 _SKIPS = 1 + 3 * BUCKETS
-ROWS = _SKIPS + 2 * (CLASSES + 1)
+ROWS = _SKIPS + CLASSES + 1
+#: The last bits of an n-gram's key are the token's place in the vocabulary and 1, or 0 for all tokens of the context.
+_ID_BITS = _U64(18)
+_IDS = _U64((1 << 18) - 1)
 
 
 def tokenize(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +142,7 @@ class Vocabulary:
 
     token: np.ndarray
     count: np.ndarray
-    own: np.ndarray  # the own class of each, or -1
+    kind: np.ndarray  # the class of each
     class_tokens: np.ndarray  # N by class, own classes: their count
     class_place: np.ndarray  # log10 of N + 0.5 (V + 1) by class; 0 where a class is one token
     n_tokens: int
@@ -142,8 +166,11 @@ class Vocabulary:
     def classes(self, place: np.ndarray, kind: np.ndarray) -> np.ndarray:
         if not len(self.token):
             return kind.astype(np.int64)
-        own = np.where(place >= 0, self.own[place], -1)
-        return np.where(own >= 0, own, kind).astype(np.int64)
+        return np.where(place >= 0, self.kind[place], kind).astype(np.int64)
+
+    def share(self, place: np.ndarray) -> np.ndarray:
+        """q: the share of each of its class."""
+        return 10 ** (self.log_count[place] - self.class_place[self.kind[place]])
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -175,13 +202,12 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     place[: OWN_CLASSES + 1] = 0
     token = top["token"].to_numpy(np.int64).view(_U64)
     order = np.argsort(token)
-    return Vocabulary(
-        token[order], top["c"].to_numpy(np.int64)[order], np.array([own.get(int(t), -1) for t in top["token"]], np.int64)[order], by_class[:, 0], place, int(total["n"]), int(total["v"])
-    )
+    kind = np.array([own.get(int(t), k) for t, k in zip(top["token"], top["kind"], strict=True)], np.int64)
+    return Vocabulary(token[order], top["c"].to_numpy(np.int64)[order], kind[order], by_class[:, 0], place, int(total["n"]), int(total["v"]))
 
 
-def contexts(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(tokens, 5) rows of the weight table for each token's features."""
+def contexts(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, 4) rows of the weight table for each token's features, and a hash of the two words before."""
     n = len(h)
     place = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
 
@@ -192,14 +218,19 @@ def contexts(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return out
 
     one, two = before(h, 1, START), before(h, 2, START)
+    both = kernel.mix(one * _U64(3) + two)
     top = _U64(64 - 13)
-    rows = np.empty((n, 5), np.int64)
+    rows = np.empty((n, 4), np.int64)
     rows[:, 0] = _WORDS + (one >> top).astype(np.int64)
-    rows[:, 1] = _WORDS + BUCKETS + (kernel.mix(one * _U64(3) + two) >> top).astype(np.int64)
+    rows[:, 1] = _WORDS + BUCKETS + (both >> top).astype(np.int64)
     rows[:, 2] = _WORDS + 2 * BUCKETS + (two >> top).astype(np.int64)
     rows[:, 3] = _SKIPS + before(kind, 3, START_CLASS)
-    rows[:, 4] = _SKIPS + CLASSES + 1 + before(kind, 4, START_CLASS)
-    return rows
+    return rows, both
+
+
+def ngram_keys(both: np.ndarray, kind: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys of n-grams by context (two words before and the class), then by token."""
+    return (kernel.mix(both + (kind.astype(_U64) << _U64(32))) & ~_IDS) | (place + 1).astype(_U64)
 
 
 def exponents(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,13 +270,12 @@ class Trainer:
             own = rows[order, k]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             self._move(own[first], np.add.reduceat(np.take(grad, order, axis=0), first, axis=0), np.diff(np.append(first, len(own))))
-        for k, begin in ((3, _SKIPS), (4, _SKIPS + CLASSES + 1)):  # few rows: their sums are one product
-            own = rows[:, k] - begin
-            which = np.zeros((len(own), CLASSES + 1), np.float32)
-            which[np.arange(len(own)), own] = 1
-            n = np.bincount(own, minlength=CLASSES + 1)
-            some = np.flatnonzero(n)
-            self._move(begin + some, (which.T @ grad)[some], n[some])
+        own = rows[:, 3] - _SKIPS  # few rows: their sums are one product
+        which = np.zeros((len(own), CLASSES + 1), np.float32)
+        which[np.arange(len(own)), own] = 1
+        n = np.bincount(own, minlength=CLASSES + 1)
+        some = np.flatnonzero(n)
+        self._move(_SKIPS + some, (which.T @ grad)[some], n[some])
         self._move(np.array([_BIAS]), grad.sum(axis=0, keepdims=True), np.array([len(target)]))
 
     def _move(self, rows: np.ndarray, grad: np.ndarray, n: np.ndarray) -> None:
@@ -265,74 +295,299 @@ def _train_round(spark, texts: DataFrame, vocab, weights: np.ndarray) -> np.ndar
             for a, b in kernel.chunks(offsets):
                 h, kind, bounds = tokenize(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 kind = words.classes(words.find(h), kind)
-                rows = contexts(h, kind, bounds)
+                rows, _ = contexts(h, kind, bounds)
                 for k in range(0, len(h), BATCH_TOKENS):
                     trainer.step(rows[k : k + BATCH_TOKENS], kind[k : k + BATCH_TOKENS])
-        moved = trainer.weights - shared.value
+        moved = (trainer.weights - shared.value) * trainer.touched[:, None]
         for k in range(0, ROWS, BLOCK_ROWS):
             touched = trainer.touched[k : k + BLOCK_ROWS]
             if touched.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int64()), pa.array([part], pa.int64()), pa.array([touched.tobytes()], pa.binary()), pa.array([moved[k : k + BLOCK_ROWS].tobytes()], pa.binary())], ["block", "part", "touched", "moved"]
-                )
+                yield _update(k, part, touched, moved[k : k + BLOCK_ROWS])
+
+    updates = texts.mapInArrow(run, _UPDATE)
+    left = texts.rdd.getNumPartitions()
+    while left > 1:  # a task adds FAN_IN blocks
+        group = F.floor(F.col("part") / FAN_IN).cast("long")
+        updates = updates.select("block", group.alias("group"), "part", "touched", "moved").repartition("block", "group").sortWithinPartitions("block", "group", "part").mapInArrow(_added, _UPDATE)
+        left = -(-left // FAN_IN)
+    weights = weights.copy()
+    for r in updates.collect():  # ROWS x CLASSES numbers
+        touched = np.frombuffer(bytes(r["touched"]), np.float32)
+        moved = np.frombuffer(bytes(r["moved"]), np.float32).reshape(-1, CLASSES)
+        weights[r["block"] : r["block"] + len(moved)] += moved / np.maximum(touched, 1)[:, None]
+    return weights
+
+
+_UPDATE = "block long, part long, touched binary, moved binary"
+
 
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total, weight = None, None, None
+def _update(block: int, part: int, touched: np.ndarray, moved: np.ndarray) -> pa.RecordBatch:
+    data = [touched.astype(np.float32).tobytes(), moved.astype(np.float32).tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int64()), *(pa.array([x], pa.binary()) for x in data)], ["block", "part", "touched", "moved"])
 
-        def out() -> pa.RecordBatch:
-            mean = (total / np.maximum(weight, 1)[:, None]).astype(np.float32)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([mean.tobytes()], pa.binary())], ["block", "moved"])
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the updates of each (block, group), which stand together."""
+    at, total, weight = None, None, None
+    for batch in batches:
+        for block, group, touched, moved in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            touched = np.frombuffer(touched.as_buffer(), np.float32)
+            moved = np.frombuffer(moved.as_buffer(), np.float32).reshape(-1, CLASSES)
+            if (block, group) != at:
+                if at is not None:
+                    yield _update(*at, weight, total)
+                at, total, weight = (block, group), np.zeros(moved.shape), np.zeros(len(touched))
+            total += moved
+            weight += touched
+    if at is not None:
+        yield _update(*at, weight, total)
+
+
+def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def _ngram_counts(vocab, bits: int):
+    """(shard, keys, counts) of training texts; own classes and the end, which are sure of their token, are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = vocab.value, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            key = np.sort(np.concatenate(held))
+            held.clear()
+            size = 0
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, n = key[first], np.diff(np.append(first, len(key))).astype(np.uint32)
+            for shard, a, b in _shards(key, bits):
+                yield _block_row(shard, 1, key[a:b], n[a:b])
 
         for batch in batches:
-            for block, touched, moved in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                touched = np.frombuffer(touched.as_buffer(), np.float32)
-                moved = np.frombuffer(moved.as_buffer(), np.float32).reshape(-1, CLASSES)
-                if block != at:
-                    if at is not None:
-                        yield out()
-                    at, total, weight = block, np.zeros(moved.shape), np.zeros(len(touched))
-                total += moved * touched[:, None]
-                weight += touched
-        if at is not None:
-            yield out()
-
-    updates = texts.mapInArrow(run, "block long, part long, touched binary, moved binary")
-    mean = updates.repartition("block").sortWithinPartitions("block", "part").mapInArrow(average, "block long, moved binary").collect()  # ROWS x CLASSES numbers
-    weights = weights.copy()
-    for r in mean:
-        moved = np.frombuffer(bytes(r["moved"]), np.float32).reshape(-1, CLASSES)
-        weights[r["block"] : r["block"] + len(moved)] += moved
-    return weights
+            buf, offsets = kernel.utf8(batch.column(0))
+            for a, b in kernel.chunks(offsets):
+                h, kind, bounds = tokenize(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                at = words.find(h)
+                kind = words.classes(at, kind)
+                use = np.flatnonzero(kind > END_CLASS)
+                held.append(ngram_keys(contexts(h, kind, bounds)[1][use], kind[use], at[use]))
+                size += len(use)
+                if size > HELD_KEYS:
+                    yield from out()
+        if size:
+            yield from out()
+
+    return run
+
+
+_SHARD = "shard long, kind int, keys binary, about binary"
+
+
+def _shards(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of sorted keys; the first bits of a key are its shard."""
+    if not bits:
+        return [(0, 0, len(keys))]
+    own = (keys >> _U64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return list(zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+
+
+def _block_row(shard: int, kind: int, keys: np.ndarray, about: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([kind], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([about.tobytes()], pa.binary())], ["shard", "kind", "keys", "about"])
+
+
+def ngram_weights(words: Vocabulary, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, values and context sizes of the n-grams that are kept; keys: all of whole contexts, in order.
+
+    A value is log10 of what a token's probability in its class is multiplied by; it stands at
+    the token's key, and at the context's own key (0 in the last bits) for all other tokens.
+    """
+    group = keys >> _ID_BITS
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    total = np.add.reduceat(counts, first)
+    of = np.repeat(np.arange(len(first)), size)
+    place = (keys & _IDS).astype(np.int64) - 1
+    some = np.flatnonzero((counts > PENALTY) & (place >= 0))
+    q = words.share(place[some])
+    p = (counts[some] - PENALTY) / total[of[some]]
+    keep = counts[some] * np.log(p / q) >= LEAST_GAIN
+    keep &= p >= 2 * q
+    some, p, q = some[keep], p[keep], q[keep]
+    rest = np.bincount(of[some], p, len(first)), np.bincount(of[some], q, len(first))
+    live = np.flatnonzero(rest[1])
+    beside = np.log10((1 - rest[0][live]) / (1 - rest[1][live]))
+    out = np.concatenate([keys[some], group[first[live]] << _ID_BITS])
+    values, sizes = np.concatenate([np.log10(p / q), beside]), np.concatenate([total[of[some]], total[live]])
+    order = np.argsort(out)
+    return out[order], values[order].astype(np.float32), sizes[order]
+
+
+def _ngram_table(vocab, bits: int, hot_tokens: float):
+    """(shard, 0, keys, values) from the counts of each shard, and for hot contexts also in other shards; kind 2 lists these."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, current, keys, counts = vocab.value, None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, value, size = ngram_weights(words, *_counted(keys, counts))
+            keys.clear()
+            counts.clear()
+            yield _block_row(current, 0, key, value)
+            hot = np.flatnonzero(size >= hot_tokens)
+            if len(hot):
+                for other in sorted({(current ^ salt) & ((1 << bits) - 1) for salt in range(1, SALTS)} - {current}):
+                    yield _block_row(other, 0, key[hot], value[hot])
+                yield _block_row(current, 2, np.unique(key[hot] & ~_IDS), np.zeros(0))
 
-def score(docs: DataFrame) -> DataFrame:
-    """Model and unigram scores of every document (doc_id, text), in log10 probabilities."""
-    spark = docs.sparkSession
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    fold = labelled.fold(F.col("doc_id"))
-    training = docs.filter(fold != HELD_OUT)
+        for batch in batches:
+            for shard, key, n in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if shard != current and keys:
+                    yield from out()
+                current = shard
+                keys.append(np.frombuffer(key.as_buffer(), _U64))
+                counts.append(np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64))
+                if sum(map(len, keys[1:])) > 2 * max(len(keys[0]), HELD_KEYS):  # equal keys become one
+                    merged = _counted(keys, counts)
+                    keys[:], counts[:] = [merged[0]], [merged[1]]
+        if keys:
+            yield from out()
+
+    return run
+
+
+def _found(keys: np.ndarray, values: np.ndarray, seen: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value at each asked key, else at its context's key, else 0."""
+    out = np.zeros(len(asked))
+    maybe = np.flatnonzero(seen[(asked >> _ID_BITS) & _U64(0xFFFFF)])
+    for key in (asked[maybe] & ~_IDS, asked[maybe]):  # first the context's, then its own over it
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[at] == key
+        out[maybe[hit]] = values[at[hit]]
+    return out
+
+
+_DOCUMENT = "uid long, doc_id long, n_tokens long, n_known long, frequent double, own double, score double, rare array<long>"
+_ASKED = f"{_SHARD}, uids binary, runs binary, {_DOCUMENT}"
+_ANSWERED = f"kind int, {_DOCUMENT}"
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents as they are; of each shard its table (kind 0) comes before what is asked of it (kind 1)."""
+    names = [x.split()[0] for x in _ANSWERED.split(", ")]
+    current, parts, table = None, [], None
+    for batch in batches:
+        kinds = batch.column(1).to_numpy()
+        if (kinds == 3).any():
+            rows = batch.filter(pa.array(kinds == 3))
+            yield rows.select(names)
+        for k in np.flatnonzero(kinds < 3):
+            shard = batch.column(0)[k].as_py()
+            if shard != current:
+                current, parts, table = shard, [], None
+            keys = np.frombuffer(batch.column(2)[k].as_buffer(), _U64)
+            if kinds[k] == 0:
+                parts.append((keys, np.frombuffer(batch.column(3)[k].as_buffer(), np.float32)))
+                continue
+            if table is None and any(len(x[0]) for x in parts):
+                key, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+                key, first = np.unique(key, return_index=True)
+                seen = np.zeros(1 << 20, bool)
+                seen[(key >> _ID_BITS) & _U64(0xFFFFF)] = True
+                table, parts = (key, value[first], seen), []
+            if table is None:
+                continue
+            found = _found(*table, keys)
+            uids, runs = np.frombuffer(batch.column(4)[k].as_buffer(), np.int64), np.frombuffer(batch.column(5)[k].as_buffer(), np.int32)
+            total = np.add.reduceat(found, np.concatenate([[0], np.cumsum(runs)[:-1]]))
+            some = np.flatnonzero(total)
+            if len(some):
+                own = {"kind": pa.array(np.ones(len(some), np.int32)), "uid": pa.array(uids[some]), "score": pa.array(total[some])}
+                yield pa.RecordBatch.from_arrays([own.get(n, pa.nulls(len(some), f.type)) for n, f in zip(names, batch.select(names).schema, strict=True)], names)
+
+
+@dataclass
+class Model:
+    """The vocabulary, class weights, and the n-gram table (``_SHARD``) with its hot contexts."""
+
+    counts: DataFrame
+    words: Vocabulary
+    weights: np.ndarray
+    ngrams: DataFrame
+    bits: int
+    hot: np.ndarray
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
+def train(docs: DataFrame) -> Model:
+    """A model of the documents outside the held-out fold."""
+    docs, spark = _plain(docs), docs.sparkSession
+    training = docs.filter(labelled.fold(F.col("doc_id")) != HELD_OUT)
     counts = training.select("text").mapInArrow(_counts, "token long, kind int, n long").groupBy("token").agg(F.min("kind").alias("kind"), F.sum("n").alias("c"))
     counts = written(counts, "counts")
     words = vocabulary(counts)
     vocab = spark.sparkContext.broadcast(words)  # bounded by TOP_TOKENS
+    bits = max(0, math.ceil(math.log2(max(words.n_tokens, 1) / SHARD_TOKENS)))
+    grams = training.select("text").mapInArrow(_ngram_counts(vocab, bits), _SHARD).repartition("shard").sortWithinPartitions("shard").mapInArrow(_ngram_table(vocab, bits, max(2, words.n_tokens * HOT_SHARE)), _SHARD)
+    grams = written(grams, "ngrams")
+    hot = [np.frombuffer(bytes(r["keys"]), _U64) for r in grams.filter("kind = 2").select("keys").collect()]  # at most 1 / HOT_SHARE contexts
     weights = np.zeros((ROWS, CLASSES), np.float32)
     weights[_BIAS] = np.log(words.class_tokens + 1) - np.log(words.class_tokens.sum() + CLASSES)
     for k in range(ROUNDS):
         part = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k
         weights = _train_round(spark, training.filter(part).select("text"), vocab, weights)
-    model = spark.sparkContext.broadcast(weights)
+    return Model(counts, words, weights, grams.filter("kind = 0"), bits, np.sort(np.concatenate([np.zeros(0, _U64), *hot])))
+
+
+def _scored(vocab, shared, bits: int, hot: np.ndarray):
+    """A row (kind 3) of each document with all but the n-grams' part, and blocks (kind 1) of the keys that are asked for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = vocab.value, model.value
-        uid = TaskContext.get().partitionId() << 38
-        names = ["uid", "doc_id", "n_tokens", "n_known", "frequent", "own", "score", "rare"]
+        words, weights, part = vocab.value, shared.value, TaskContext.get().partitionId()
+        names = [x.split()[0] for x in _ASKED.split(", ")]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 4, *[pa.float64()] * 3, pa.list_(pa.int64())]
+        held: list[tuple] = []
+        size = flushes = 0
+
+        def row(n: int, **own: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([own[name] if name in own else pa.nulls(n, kind) for name, kind in zip(names, kinds, strict=True)], names)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal size, flushes
+            key, uid = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            size, flushes = 0, flushes + 1
+            shard = (key >> _U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+            if len(hot):
+                own = key & ~_IDS
+                busy = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+                shard[busy] = (shard[busy] ^ (flushes + part) % SALTS) & ((1 << bits) - 1)
+            order = np.argsort(shard, kind="stable")
+            shard, key, uid = shard[order], key[order], uid[order]
+            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
+                begin = np.flatnonzero(np.concatenate([[True], uid[a + 1 : b] != uid[a : b - 1]]))
+                runs = np.diff(np.append(begin, b - a)).astype(np.int32)
+                data = {"keys": key[a:b], "uids": uid[a + begin], "runs": runs}
+                yield row(1, shard=pa.array([int(shard[a])]), kind=pa.array([1], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in data.items()})
+
         for batch in batches:
+            # Rows that repeat doc_id and text in a partition share a uid, whatever their order.
+            uids = kernel.mix(batch.column(2).to_numpy().view(_U64) + _U64(part)).view(np.int64)
             buf, offsets = kernel.utf8(batch.column(1))
             for a, b in kernel.chunks(offsets):
                 h, kind, bounds = tokenize(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 at = words.find(h)
                 kind = words.classes(at, kind)
-                rows = contexts(h, kind, bounds)
+                rows, both = contexts(h, kind, bounds)
                 logs = np.empty(len(h))
                 for k in range(0, len(h), BATCH_TOKENS):
                     logs[k : k + BATCH_TOKENS] = log_softmax(weights, rows[k : k + BATCH_TOKENS], kind[k : k + BATCH_TOKENS])
@@ -346,25 +601,47 @@ def score(docs: DataFrame) -> DataFrame:
                 rare_at = np.searchsorted(rare, bounds).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(rare_at), pa.array(kernel.signed(h[rare])))
                 n = b - a
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(n)), batch.column(0).slice(a, n), pa.array(np.diff(bounds)), *(pa.array(x) for x in sums), rare], names
-                )
-                uid += n
-
-    kinds = "uid long, doc_id long, n_tokens long, n_known long, frequent double, own double, score double, rare array<long>"
-    parts = written(docs.mapInArrow(run, kinds), "parts")
-    rare = parts.select("uid", F.explode("rare").alias("token")).groupBy("uid", "token").agg(F.count(F.lit(1)).alias("times"))
+                about = dict(zip(("n_known", "frequent", "own", "score"), map(pa.array, sums), strict=True))
+                # Documents go to no shard; they are dealt by the first of their chunk.
+                yield row(n, shard=pa.array(np.full(n, -1 - (uids[a] >> 1 & 0xFFFFFFFF))), kind=pa.array(np.full(n, 3, np.int32)), uid=pa.array(uids[a:b]), doc_id=batch.column(0).slice(a, n), n_tokens=pa.array(np.diff(bounds)), rare=rare, **about)
+                use = np.flatnonzero(kind > END_CLASS)
+                held.append((ngram_keys(both[use], kind[use], at[use]), np.repeat(uids[a:b], np.diff(bounds))[use]))
+                size += len(use)
+                if size > HELD_KEYS:
+                    yield from out()
+        if size:
+            yield from out()
+
+    return run
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """Model and unigram scores of every document (doc_id, text), in log10 probabilities."""
+    return scored(docs, train(docs))
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    docs, spark, words = _plain(docs), docs.sparkSession, model.words
+    vocab, weights = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(model.weights)
+    asked = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(_scored(vocab, weights, model.bits, model.hot), _ASKED)
+    both = asked.unionByName(model.ngrams, allowMissingColumns=True)
+    parts = written(both.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_answered, _ANSWERED), "parts")
+    documents = parts.filter("kind = 3")
+    once = documents.groupBy("uid").agg(F.count(F.lit(1)).alias("repeats"))  # what follows has all repeats together
+    grams = parts.filter("kind = 1").groupBy("uid").agg(F.sum("score").alias("ngrams"))
+    rare = documents.select("uid", F.explode("rare").alias("token")).groupBy("uid", "token").agg(F.count(F.lit(1)).alias("times"))
     c = F.coalesce("c", F.lit(0))
-    rare = rare.join(counts.select("token", "c"), "token", "left").groupBy("uid").agg(
+    rare = rare.join(model.counts.select("token", "c"), "token", "left").groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known")
     )
-    rare_log = F.coalesce("rare_log", F.lit(0.0))
-    return parts.drop("rare").join(rare, "uid", "left").select(
+    rare_log = F.coalesce(F.col("rare_log") / F.col("repeats"), F.lit(0.0))
+    rare_known = F.coalesce(F.col("rare_known") / F.col("repeats"), F.lit(0.0)).cast("long")
+    return documents.drop("rare").join(once.join(grams, "uid", "left").join(rare, "uid", "left"), "uid").select(
         "doc_id",
         (labelled.fold(F.col("doc_id")) == HELD_OUT).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + rare_known).alias("n_known"),
         F.lit(words.n_tokens).cast("long").alias("train_tokens"),
         (F.col("frequent") + rare_log - F.col("n_tokens") * words.log_place).alias("base_score"),
-        (F.col("score") + F.col("frequent") - F.col("own") + rare_log).alias("score"),
+        (F.col("score") + F.col("frequent") - F.col("own") + rare_log + F.coalesce(F.col("ngrams") / F.col("repeats"), F.lit(0.0))).alias("score"),
     )

@@ -180,16 +180,80 @@ def test_unigram_figures_and_held_out_gain(spark, monkeypatch):
     want = Counter((i, None if i is None else fold[i] == 1, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
     assert Counter((x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 6)) for x in got) == want
     held = [x for x in got if x["held_out"] and x["doc_id"] < 300]
-    assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held) and all(x["score"] <= 1e-9 for x in got)
+    assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held) and all(x["score"] <= 1e-6 for x in got)
     assert language_model.score(frame(spark, [])).count() == 0
 
 
-def test_model_is_a_distribution():
+def test_class_factor_is_a_distribution():
     r = np.random.default_rng(2)
     weights = r.normal(size=(language_model.ROWS, language_model.CLASSES)).astype(np.float32)
-    rows = language_model.contexts(r.integers(0, 1 << 60, 50).astype(np.uint64), r.integers(0, language_model.CLASSES, 50), np.array([0, 20, 20 + 30]))
+    rows, _ = language_model.contexts(r.integers(0, 1 << 60, 50).astype(np.uint64), r.integers(0, language_model.CLASSES, 50), np.array([0, 20, 20 + 30]))
     each = [np.exp(language_model.log_softmax(weights, rows, np.full(50, c))) for c in range(language_model.CLASSES)]
     assert np.allclose(sum(each), 1, atol=1e-4)
     far = np.exp(language_model.log_softmax(weights * 1000, rows, np.zeros(50, int)))
     assert np.isfinite(far).all()
     assert rows.min() >= 0 and rows.max() < language_model.ROWS
+
+
+@pytest.mark.parametrize("top,shard,hot", [(1 << 17, 1 << 22, 1.0), (60, 64, 0.002)])
+def test_scores_word_by_word(spark, monkeypatch, top, shard, hot):
+    monkeypatch.setattr(language_model, "TOP_TOKENS", top)
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(language_model, "HOT_SHARE", hot)
+    monkeypatch.setattr(language_model, "HELD_KEYS", 500)
+    r = rng(3)
+    passage = prose(r, 40)
+    rows = [(k, f"{prose(r, 15)} {passage if k % 3 == 0 else prose(r, 40)}. {'of course ' * (k % 5)}" + prose(r, 3)) for k in range(60)]
+    rows += [(None, passage), (70, None), (71, rows[0][1]), (71, rows[0][1]), (72, "never seen"), (73, passage * 30)]
+    docs = frame(spark, rows).repartition(3)
+    model = language_model.train(docs)
+    words, table = model.words, {}
+    for x in model.ngrams.collect():
+        table |= dict(zip(np.frombuffer(bytes(x["keys"]), np.uint64).tolist(), np.frombuffer(bytes(x["about"]), np.float32).tolist(), strict=True))
+    assert len(table) > 50 and (len(model.hot) > 0) == (hot < 1)
+    counts = {x["token"]: x["c"] for x in model.counts.collect()}
+
+    def parts(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        h, kind, bounds = language_model.tokenize(raw, np.array([0, len(raw)]))
+        at = words.find(h)
+        kind = words.classes(at, kind)
+        return h, at, kind, *language_model.contexts(h, kind, bounds)
+
+    def in_class(both, kind, at, c):
+        """The probability of a token of count c in its class."""
+        if kind <= language_model.END_CLASS:
+            return 1.0
+        key = int(language_model.ngram_keys(np.array([both]), np.array([kind]), np.array([at]))[0])
+        factor = table.get(key, table.get(key - int(at) - 1, 0.0))
+        return (c + 0.5) / 10 ** words.class_place[kind] * 10**factor
+
+    got = {(x["doc_id"], x["n_tokens"]): x["score"] for x in language_model.scored(docs, model).collect()}
+    assert len(got) == len(rows) - 1
+    for i, text in rows:
+        h, at, kind, features, both = parts(text)
+        want = 0.0
+        for k in range(len(h)):
+            want += math.log10(in_class(both[k], kind[k], at[k], counts.get(int(h[k].astype(np.int64)), 0)))
+        want += language_model.log_softmax(model.weights, features, kind).sum() / math.log(10)
+        assert got[i, len(h)] == pytest.approx(want, abs=1e-4)
+    # In each class all its tokens and the place of the unknown ones have probability 1 together.
+    rest = {c: [] for c in range(language_model.CLASSES)}
+    for x in model.counts.collect():
+        at = int(words.find(np.array([x["token"]], np.int64).view(np.uint64))[0])
+        rest[int(words.kind[at]) if at >= 0 else x["kind"]].append((at, x["c"]))
+    _, _, kind, _, both = parts(rows[0][1])
+    for k in range(20, 40):
+        if kind[k] > language_model.END_CLASS:
+            assert sum(in_class(both[k], kind[k], at, c) for at, c in [*rest[int(kind[k])], (-1, 0)]) == pytest.approx(1, abs=1e-5)
+
+
+def test_what_comes_again_is_likelier(spark):
+    r = rng(8)
+    texts = [prose(r, 60) for _ in range(40)]
+    rows = [(k, texts[k]) for k in range(40)] + [(100 + k, texts[k]) for k in range(20)]
+    gain = {x["doc_id"]: x["score"] - x["base_score"] for x in language_model.score(frame(spark, rows)).collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    twice = [gain[k] for k in range(20) if fold[k] != 1 and fold[100 + k] != 1]
+    once = [gain[k] for k in range(20, 40)]
+    assert len(twice) > 5 and min(twice) > max(once) + 10
