@@ -64,12 +64,14 @@ FAN_IN = 16
 PENALTY = 1.0
 LEAST_GAIN = 6.0
 #: Training tokens for each shard of the n-gram table, on average.
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 20
 #: Contexts with this share of the training tokens, at most as many as its inverse, are in ``SALTS`` shards.
 HOT_SHARE = 1 / 1024
 SALTS = 16
 #: Keys that a task holds before it passes them on.
 HELD_KEYS = 1 << 21
+#: Documents whose keys are passed on together, at most, and keys of one document in a run; both are 16-bit numbers.
+MOST_DOCUMENTS = (1 << 16) - 1
 
 _U64 = np.uint64
 END = kernel.mix(np.array([3], _U64))[0]
@@ -366,7 +368,7 @@ def _ngram_counts(vocab, bits: int):
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key, n = key[first], np.diff(np.append(first, len(key))).astype(np.uint32)
             for shard, a, b in _shards(key, bits):
-                yield _block_row(shard, 1, key[a:b], n[a:b])
+                yield _block_row(shard, _TABLE, key[a:b], n[a:b])
 
         for batch in batches:
             buf, offsets = kernel.utf8(batch.column(0))
@@ -429,7 +431,7 @@ def ngram_weights(words: Vocabulary, keys: np.ndarray, counts: np.ndarray) -> tu
 
 
 def _ngram_table(vocab, bits: int, hot_tokens: float):
-    """(shard, 0, keys, values) from the counts of each shard, and for hot contexts also in other shards; kind 2 lists these."""
+    """(shard, keys, values) from the counts of each shard, for hot contexts also in other shards, and the list of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, current, keys, counts = vocab.value, None, [], []
@@ -438,12 +440,12 @@ def _ngram_table(vocab, bits: int, hot_tokens: float):
             key, value, size = ngram_weights(words, *_counted(keys, counts))
             keys.clear()
             counts.clear()
-            yield _block_row(current, 0, key, value)
+            yield _block_row(current, _TABLE, key, value)
             hot = np.flatnonzero(size >= hot_tokens)
             if len(hot):
                 for other in sorted({(current ^ salt) & ((1 << bits) - 1) for salt in range(1, SALTS)} - {current}):
-                    yield _block_row(other, 0, key[hot], value[hot])
-                yield _block_row(current, 2, np.unique(key[hot] & ~_IDS), np.zeros(0))
+                    yield _block_row(other, _TABLE, key[hot], value[hot])
+                yield _block_row(current, _HOT, np.unique(key[hot] & ~_IDS), np.zeros(0))
 
         for batch in batches:
             for shard, key, n in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
@@ -473,25 +475,37 @@ def _found(keys: np.ndarray, values: np.ndarray, seen: np.ndarray, asked: np.nda
 
 
 _DOCUMENT = "uid long, doc_id long, n_tokens long, n_known long, frequent double, own double, score double, rare array<long>"
-_ASKED = f"{_SHARD}, uids binary, runs binary, {_DOCUMENT}"
-_ANSWERED = f"kind int, {_DOCUMENT}"
+_ASKED = f"{_SHARD}, origin long, uids binary, docs binary, {_DOCUMENT}"
+_ANSWERED = f"kind int, origin long, uids binary, docs binary, sums binary, {_DOCUMENT}"
+#: Kinds of rows: a shard's table, what is asked of it, hot contexts, a document, the documents of all that was asked at once.
+_TABLE, _QUESTION, _HOT, _ROW, _ORIGIN = range(5)
+
+
+def _filled(schema: list[tuple[str, pa.DataType]], n: int, **own: pa.Array) -> pa.RecordBatch:
+    """n rows with nulls in the columns that are not given."""
+    return pa.RecordBatch.from_arrays([own[name] if name in own else pa.nulls(n, kind) for name, kind in schema], [name for name, _ in schema])
+
+
+def _arrow(ddl: str) -> list[tuple[str, pa.DataType]]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return [(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")]
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents as they are; of each shard its table (kind 0) comes before what is asked of it (kind 1)."""
-    names = [x.split()[0] for x in _ANSWERED.split(", ")]
+    """Rows of documents and origins as they are; of each shard its table comes before the questions, whose answers are sums by document."""
+    schema = _arrow(_ANSWERED)
     current, parts, table = None, [], None
     for batch in batches:
         kinds = batch.column(1).to_numpy()
-        if (kinds == 3).any():
-            rows = batch.filter(pa.array(kinds == 3))
-            yield rows.select(names)
-        for k in np.flatnonzero(kinds < 3):
+        if (kinds >= _ROW).any():
+            rows = batch.filter(pa.array(kinds >= _ROW))
+            yield _filled(schema, rows.num_rows, **{name: rows.column(name) for name, _ in schema if name != "sums"})
+        for k in np.flatnonzero(kinds < _ROW):
             shard = batch.column(0)[k].as_py()
             if shard != current:
                 current, parts, table = shard, [], None
             keys = np.frombuffer(batch.column(2)[k].as_buffer(), _U64)
-            if kinds[k] == 0:
+            if kinds[k] == _TABLE:
                 parts.append((keys, np.frombuffer(batch.column(3)[k].as_buffer(), np.float32)))
                 continue
             if table is None and any(len(x[0]) for x in parts):
@@ -502,13 +516,34 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 table, parts = (key, value[first], seen), []
             if table is None:
                 continue
-            found = _found(*table, keys)
-            uids, runs = np.frombuffer(batch.column(4)[k].as_buffer(), np.int64), np.frombuffer(batch.column(5)[k].as_buffer(), np.int32)
-            total = np.add.reduceat(found, np.concatenate([[0], np.cumsum(runs)[:-1]]))
+            runs = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint16).astype(np.int64)
+            total = np.add.reduceat(_found(*table, keys), np.concatenate([[0], np.cumsum(runs)[:-1]]))
             some = np.flatnonzero(total)
             if len(some):
-                own = {"kind": pa.array(np.ones(len(some), np.int32)), "uid": pa.array(uids[some]), "score": pa.array(total[some])}
-                yield pa.RecordBatch.from_arrays([own.get(n, pa.nulls(len(some), f.type)) for n, f in zip(names, batch.select(names).schema, strict=True)], names)
+                docs = np.cumsum(np.frombuffer(batch.column(6)[k].as_buffer(), np.uint16).astype(np.int64))[some]
+                data = {"docs": docs.astype(np.uint16), "sums": total[some]}
+                yield _filled(schema, 1, kind=pa.array([_QUESTION], pa.int32()), origin=batch.column(4).slice(int(k), 1), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in data.items()})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, ngrams) of the documents of each origin, whose uids come before its answers."""
+    uids, total = None, None
+
+    def out() -> pa.RecordBatch:
+        some = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(uids[some]), pa.array(total[some])], ["uid", "ngrams"])
+
+    for batch in batches:
+        for kind, own, docs, sums in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
+            if kind == _ORIGIN:
+                if uids is not None:
+                    yield out()
+                uids = np.frombuffer(own.as_buffer(), np.int64)
+                total = np.zeros(len(uids))
+            else:
+                total += np.bincount(np.frombuffer(docs.as_buffer(), np.uint16), np.frombuffer(sums.as_buffer()), len(total))
+    if uids is not None:
+        yield out()
 
 
 @dataclass
@@ -538,52 +573,58 @@ def train(docs: DataFrame) -> Model:
     bits = max(0, math.ceil(math.log2(max(words.n_tokens, 1) / SHARD_TOKENS)))
     grams = training.select("text").mapInArrow(_ngram_counts(vocab, bits), _SHARD).repartition("shard").sortWithinPartitions("shard").mapInArrow(_ngram_table(vocab, bits, max(2, words.n_tokens * HOT_SHARE)), _SHARD)
     grams = written(grams, "ngrams")
-    hot = [np.frombuffer(bytes(r["keys"]), _U64) for r in grams.filter("kind = 2").select("keys").collect()]  # at most 1 / HOT_SHARE contexts
+    hot = [np.frombuffer(bytes(r["keys"]), _U64) for r in grams.filter(F.col("kind") == _HOT).select("keys").collect()]  # at most 1 / HOT_SHARE contexts
     weights = np.zeros((ROWS, CLASSES), np.float32)
     weights[_BIAS] = np.log(words.class_tokens + 1) - np.log(words.class_tokens.sum() + CLASSES)
     for k in range(ROUNDS):
         part = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k
         weights = _train_round(spark, training.filter(part).select("text"), vocab, weights)
-    return Model(counts, words, weights, grams.filter("kind = 0"), bits, np.sort(np.concatenate([np.zeros(0, _U64), *hot])))
+    return Model(counts, words, weights, grams.filter(F.col("kind") == _TABLE), bits, np.sort(np.concatenate([np.zeros(0, _U64), *hot])))
+
+
+def _dealt(uids: np.ndarray, n: int) -> pa.Array:
+    """A number below 0, which is no shard, by which n rows travel together."""
+    return pa.array(np.full(n, -1 - (int(uids[0]) & 0xFFFFFFFF)))
 
 
 def _scored(vocab, shared, bits: int, hot: np.ndarray):
-    """A row (kind 3) of each document with all but the n-grams' part, and blocks (kind 1) of the keys that are asked for it."""
+    """A row of each document with all but the n-grams' part, and blocks of the keys that are asked for it."""
+    schema = _arrow(_ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights, part = vocab.value, shared.value, TaskContext.get().partitionId()
-        names = [x.split()[0] for x in _ASKED.split(", ")]
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 4, *[pa.float64()] * 3, pa.list_(pa.int64())]
         held: list[tuple] = []
-        size = flushes = 0
-
-        def row(n: int, **own: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([own[name] if name in own else pa.nulls(n, kind) for name, kind in zip(names, kinds, strict=True)], names)
+        size = documents = flushes = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal size, flushes
-            key, uid = (np.concatenate(x) for x in zip(*held, strict=True))
+            nonlocal size, documents, flushes
+            origin = pa.array([(part << 32) + flushes])
+            key, n, uids = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc = np.repeat(np.arange(len(n)), n)
             held.clear()
-            size, flushes = 0, flushes + 1
+            size, documents, flushes = 0, 0, flushes + 1
             shard = (key >> _U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
             if len(hot):
                 own = key & ~_IDS
                 busy = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
                 shard[busy] = (shard[busy] ^ (flushes + part) % SALTS) & ((1 << bits) - 1)
             order = np.argsort(shard, kind="stable")
-            shard, key, uid = shard[order], key[order], uid[order]
-            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-            for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
-                begin = np.flatnonzero(np.concatenate([[True], uid[a + 1 : b] != uid[a : b - 1]]))
-                runs = np.diff(np.append(begin, b - a)).astype(np.int32)
-                data = {"keys": key[a:b], "uids": uid[a + begin], "runs": runs}
-                yield row(1, shard=pa.array([int(shard[a])]), kind=pa.array([1], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in data.items()})
+            shard, key, doc = shard[order], key[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(key) else np.zeros(0, np.int64)
+            for a, b in zip(first, np.append(first[1:], len(key)), strict=False):
+                begin = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
+                begin = np.union1d(begin, np.arange(0, b - a, MOST_DOCUMENTS))
+                data = {"keys": key[a:b], "about": np.diff(np.append(begin, b - a)).astype(np.uint16), "docs": np.diff(doc[a + begin], prepend=0).astype(np.uint16)}
+                yield _filled(schema, 1, shard=pa.array([int(shard[a])]), kind=pa.array([_QUESTION], pa.int32()), origin=origin, **{n: pa.array([x.tobytes()], pa.binary()) for n, x in data.items()})
+            yield _filled(schema, 1, shard=_dealt(uids, 1), kind=pa.array([_ORIGIN], pa.int32()), origin=origin, uids=pa.array([uids.tobytes()], pa.binary()))
 
         for batch in batches:
             # Rows that repeat doc_id and text in a partition share a uid, whatever their order.
             uids = kernel.mix(batch.column(2).to_numpy().view(_U64) + _U64(part)).view(np.int64)
             buf, offsets = kernel.utf8(batch.column(1))
-            for a, b in kernel.chunks(offsets):
+            for a, b in ((c, min(c + MOST_DOCUMENTS, b)) for a, b in kernel.chunks(offsets) for c in range(a, b, MOST_DOCUMENTS)):
+                if documents + b - a > MOST_DOCUMENTS:
+                    yield from out()
                 h, kind, bounds = tokenize(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 at = words.find(h)
                 kind = words.classes(at, kind)
@@ -602,14 +643,13 @@ def _scored(vocab, shared, bits: int, hot: np.ndarray):
                 rare = pa.ListArray.from_arrays(pa.array(rare_at), pa.array(kernel.signed(h[rare])))
                 n = b - a
                 about = dict(zip(("n_known", "frequent", "own", "score"), map(pa.array, sums), strict=True))
-                # Documents go to no shard; they are dealt by the first of their chunk.
-                yield row(n, shard=pa.array(np.full(n, -1 - (uids[a] >> 1 & 0xFFFFFFFF))), kind=pa.array(np.full(n, 3, np.int32)), uid=pa.array(uids[a:b]), doc_id=batch.column(0).slice(a, n), n_tokens=pa.array(np.diff(bounds)), rare=rare, **about)
+                yield _filled(schema, n, shard=_dealt(uids[a:b], n), kind=pa.array(np.full(n, _ROW, np.int32)), uid=pa.array(uids[a:b]), doc_id=batch.column(0).slice(a, n), n_tokens=pa.array(np.diff(bounds)), rare=rare, **about)
                 use = np.flatnonzero(kind > END_CLASS)
-                held.append((ngram_keys(both[use], kind[use], at[use]), np.repeat(uids[a:b], np.diff(bounds))[use]))
-                size += len(use)
+                held.append((ngram_keys(both[use], kind[use], at[use]), np.diff(np.searchsorted(use, bounds)), uids[a:b]))
+                size, documents = size + len(use), documents + n
                 if size > HELD_KEYS:
                     yield from out()
-        if size:
+        if documents:
             yield from out()
 
     return run
@@ -626,9 +666,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     asked = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(_scored(vocab, weights, model.bits, model.hot), _ASKED)
     both = asked.unionByName(model.ngrams, allowMissingColumns=True)
     parts = written(both.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_answered, _ANSWERED), "parts")
-    documents = parts.filter("kind = 3")
+    documents = parts.filter(F.col("kind") == _ROW).select([x.split()[0] for x in _DOCUMENT.split(", ")])
     once = documents.groupBy("uid").agg(F.count(F.lit(1)).alias("repeats"))  # what follows has all repeats together
-    grams = parts.filter("kind = 1").groupBy("uid").agg(F.sum("score").alias("ngrams"))
+    answers = parts.filter(F.col("kind") != _ROW).select("origin", "kind", "uids", "docs", "sums")
+    grams = answers.repartition("origin").sortWithinPartitions("origin", F.desc("kind")).mapInArrow(_summed, "uid long, ngrams double").groupBy("uid").agg(F.sum("ngrams").alias("ngrams"))
     rare = documents.select("uid", F.explode("rare").alias("token")).groupBy("uid", "token").agg(F.count(F.lit(1)).alias("times"))
     c = F.coalesce("c", F.lit(0))
     rare = rare.join(model.counts.select("token", "c"), "token", "left").groupBy("uid").agg(
