@@ -2,7 +2,9 @@
 
 Letters: a lexical transducer reads a word and gives its class and weight.  Insults and their
 weights are learned from labelled rows: whole words and word beginnings that toxic texts have
-more often.  Threats, targets, negations and reports are short fixed lists.
+more often.  Threats, targets, negations and reports are short fixed lists; a threat that the
+labelled texts use but not in toxic ones (such as "die", an article in German) is none there, and
+one that they use has its learned weight if that is above ``THREAT_WEIGHT``.
 
 Clauses: small transducers (negation, report, target, pending threat, insult or threat) read the
 classes of a clause's words; their composition is one table of states.  An insult or threat leaves
@@ -11,9 +13,9 @@ the verb ("they will kill") or, for verbs that take an object, after it ("I will
 threat verb that labels also tell to be toxic counts as an insult where it has no target.  A clause's score is the weight
 of its matches by category; a document's figures are the sums, the best clause and the share
 of matched clauses; logistic regression on these figures, fitted on the same bounded sample,
-gives the score.
+gives the score: the probability of label 1 at the sample's share of it.
 
-Nulls: a null text counts as empty (no matches); a null doc_id stays null and its held_out is
+Texts are read whole, whatever their length.  Nulls: a null text counts as empty (no matches); a null doc_id stays null and its held_out is
 null.  Repeated rows each get their row; an empty table gives none; without labelled rows of
 both classes every score is 0.  Other columns are ignored, whatever their names.
 """
@@ -39,6 +41,8 @@ THRESHOLD = 0.5
 BEGINNINGS = (5, 6, 7, 8, 9, 10)
 #: A learned entry is in so many toxic texts of the sample at least, and has that log-odds.
 LEAST_TEXTS, LEAST_ODDS = 4, 2.0
+#: Weight of a threat without a greater learned one, and the log-odds below which a threat in LEAST_TEXTS texts is none.
+THREAT_WEIGHT, LEAST_THREAT_ODDS = 3.0, 1.0
 #: Words between an operator of the grammar and what it governs.
 SCOPE = 4
 
@@ -96,6 +100,10 @@ def _word_hash(word: str) -> int:
     return int(kernel.hash_spans(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
+def _unsigned(h: int) -> int:
+    return int(np.int64(h).astype(np.uint64))
+
+
 @dataclass
 class Lexicon:
     """Sorted hashes of entries with class and weight; a table of their low bits comes first."""
@@ -196,12 +204,12 @@ def figures(buf: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarra
     hit = np.flatnonzero(emitted >= 0)
     if not len(hit):
         return out
-    own, w = rows[at[hit]], np.where(emitted[hit] == 4, np.maximum(weight[at[hit]], 3.0), weight[at[hit]])
+    own, w = rows[at[hit]], weight[at[hit]]
     for c in range(len(CATEGORIES)):
         mine = emitted[hit] == c
         out[:, c] = np.log1p(np.bincount(own[mine], w[mine], n))
     clauses, inverse = np.unique(clause[hit], return_inverse=True)
-    of_clause = np.bincount(inverse, w * np.where(emitted[hit] >= 2, 0.5, 1.0))
+    of_clause = np.bincount(inverse, w * np.where((emitted[hit] == 2) | (emitted[hit] == 3), 0.5, 1.0))
     clause_row = np.zeros(len(clauses), np.int64)
     clause_row[inverse] = own
     np.maximum.at(out[:, 5], clause_row, of_clause)
@@ -244,13 +252,25 @@ def learn_lexicon(rows: DataFrame) -> tuple[Lexicon, int]:
     fixed = {_word_hash(w): kind for words, kind in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in words}
     fixed |= {_word_hash(w): LONE_THREAT for w in LONE_THREATS}
     learned: list = []
+    used: dict[int, tuple[int, float]] = {}  # threats that the sample uses: texts and log-odds
     if toxic and clean:
         n = rows.mapInArrow(_entries, "h long, beginning boolean, label int").groupBy("h", "beginning").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-        learned = n.withColumn("odds", odds).filter((F.col("toxic") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS)).collect()  # at most the words of the bounded sample
-    whole = {int(np.int64(r["h"]).astype(np.uint64)): (INSULT, r["odds"]) for r in learned if not r["beginning"]}
-    whole |= {h: (_LEARNED[kind], whole[h][1]) if h in whole and kind in _LEARNED else (kind, 1.0) for h, kind in fixed.items()}
-    beginning = {int(np.int64(r["h"]).astype(np.uint64)): r["odds"] for r in learned if r["beginning"]}
+        threats = ~F.col("beginning") & F.col("h").isin([int(np.uint64(h).astype(np.int64)) for h, kind in fixed.items() if kind in _LEARNED])
+        found = n.withColumn("odds", odds).filter(((F.col("toxic") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS)) | threats).collect()  # at most the words of the bounded sample
+        learned = [r for r in found if r["toxic"] >= LEAST_TEXTS and r["odds"] >= LEAST_ODDS]
+        used = {_unsigned(r["h"]): (r["toxic"] + r["clean"], r["odds"]) for r in found if not r["beginning"]}
+    whole = {_unsigned(r["h"]): (INSULT, r["odds"]) for r in learned if not r["beginning"]}
+    for h, kind in fixed.items():
+        if kind not in _LEARNED:
+            whole[h] = (kind, 1.0)
+        elif h in whole:
+            whole[h] = (_LEARNED[kind], max(whole[h][1], THREAT_WEIGHT))
+        else:
+            texts, odds = used.get(h, (0, 0.0))
+            if texts < LEAST_TEXTS or odds >= LEAST_THREAT_ODDS:
+                whole[h] = (kind, THREAT_WEIGHT)
+    beginning = {_unsigned(r["h"]): r["odds"] for r in learned if r["beginning"]}
     w, b = sorted(whole), sorted(beginning)
     return Lexicon(np.array(w, np.uint64), np.array([whole[k][0] for k in w], np.int8), np.array([whole[k][1] for k in w]), np.array(b, np.uint64), np.array([beginning[k] for k in b])), min(toxic, clean)
 
@@ -279,15 +299,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     y, x = np.array([r[0] for r in got], float), np.array([r[1:] for r in got])
     mean, spread = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
     z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
-    share = y.mean()
-    case = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))  # both classes weigh alike ...
     theta, prior = np.zeros(width + 1), np.append(np.full(width, 1e-3), 0)
     for _ in range(60):  # Newton's steps of a small regularised regression
         p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
-        slope = z.T @ (case * (p - y)) / len(y) + prior * theta
-        curve = (z * (case * p * (1 - p))[:, None]).T @ z / len(y) + np.diag(prior + 1e-9)
+        slope = z.T @ ((p - y)) / len(y) + prior * theta
+        curve = (z * (p * (1 - p))[:, None]).T @ z / len(y) + np.diag(prior + 1e-9)
         theta -= np.linalg.solve(curve, slope)
-    return Model(lexicon, mean, spread, theta[:-1], float(theta[-1]) - 1.0)  # ... and a little less for the rarer one
+    return Model(lexicon, mean, spread, theta[:-1], float(theta[-1]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

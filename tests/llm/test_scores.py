@@ -118,6 +118,7 @@ def figures(*words_):
     """What the grammar finds in one text, with two insults known."""
     h = np.array(sorted(toxicity._word_hash(w) for w in ("fool", "oaf")), np.uint64)
     fixed = {toxicity._word_hash(w): c for c, ws in ((toxicity.THREAT, toxicity.THREATS), (toxicity.TARGET, toxicity.TARGETS), (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS)) for w in ws}
+    fixed |= {toxicity._word_hash(w): toxicity.LONE_THREAT for w in toxicity.LONE_THREATS}
     keys = np.array(sorted([*h.tolist(), *fixed]), np.uint64)
     lexicon = toxicity.Lexicon(keys, np.array([fixed.get(int(k), toxicity.INSULT) for k in keys], np.int8), np.ones(len(keys)), np.zeros(0, np.uint64), np.zeros(0))
     raw = np.frombuffer(" ".join(words_).encode(), np.uint8)
@@ -165,6 +166,77 @@ def test_threats_before_their_target(spark):
     assert learned("die for you")["matches"] == 0 and learned("you die")["log_threat"] == pytest.approx(math.log1p(3))
 
 
+def interpreted(text):
+    """The figures of one text, read word by word; weights are those of ``figures`` above."""
+    lists = {"threat": toxicity.THREATS, "target": toxicity.TARGETS, "negation": toxicity.NEGATIONS, "report": toxicity.REPORTS, "insult": ["fool", "oaf"]}
+    sums, best, matched, clauses, total, place = dict.fromkeys(toxicity.CATEGORIES, 0), 0.0, 0, 0, 0, 0
+    for clause in re.split(r'[.,;:!?()"\n]', text):
+        negated = reported = aimed = False
+        pending = last = None
+        found = []
+        words_ = re.findall(r"[0-9a-z'\x80-\U0010ffff]+", clause)
+        for w in words_:
+            place += 1
+            kind = next((k for k, own in lists.items() if w in own), None)
+            if kind is None:
+                continue
+            if last is not None and place - last > toxicity.SCOPE:
+                negated, aimed, pending = False, False, None
+            last = place
+            asserted = not negated and not reported
+            if kind == "negation":
+                negated = True
+            elif kind == "report":
+                reported = True
+            elif kind == "target":
+                if pending and asserted:
+                    found.append("threat")
+                aimed, pending = True, None
+            elif kind == "insult":
+                found.append("reported" if reported else "negated" if negated else "aimed" if aimed else "plain")
+            else:
+                if aimed and asserted:
+                    found.append("threat")
+                if w not in toxicity.LONE_THREATS:
+                    pending = asserted and not aimed
+        for c in found:
+            sums[c] += 1
+        total, clauses, matched = total + len(found), clauses + bool(words_), matched + bool(found)
+        best = max(best, sum(0.5 if c in ("negated", "reported") else 1.0 for c in found))
+    return [*(math.log1p(sums[c]) for c in toxicity.CATEGORIES), best, math.sqrt(matched / max(clauses, 1)), math.log1p(total)]
+
+
+def test_figures_word_by_word():
+    r = rng(31)
+    pool = ["fool", "oaf", "kill", "die", "you", "them", "not", "said", "a", "the", "of", "word", "other", "more"]
+    for _ in range(400):
+        text = " ".join(r.choice(pool) + r.choice(["", "", "", "", "", ",", ".", "!\n"]) for _ in range(r.randrange(1, 60)))
+        assert list(figures(text).values()) == pytest.approx(interpreted(text)), text
+
+
+def test_clauses_tell_more_than_words(spark):
+    r = rng(32)
+    rows, labels = [], []
+    for k in range(600):
+        toxic, mention = k % 3 == 0, k % 15 == 1
+        said = r.choice(["you are a grobnik", "you grobnik"]) if toxic else r.choice(["she said that he is a grobnik", "this is not a grobnik"]) if mention else prose(r, 5)
+        rows.append((k, f"{sentences(r, 3)} {said}. {sentences(r, 2)}"))
+        labels.append((k, 1, int(toxic)))
+    got = {x["doc_id"]: x for x in toxicity.classify(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    mentions = [got[k]["predicted"] for k in range(600) if k % 15 == 1]
+    assert sum(mentions) <= 0.1 * len(mentions)  # the same word, negated or reported
+    assert all(got[k]["predicted"] for k in range(0, 600, 3)) and not any(got[k]["predicted"] for k in range(600) if k % 3 and k % 15 != 1)
+
+
+def test_articles_are_no_threats(spark):
+    german = ["siehst du die sonne", "hast du die post geholt", "du und die anderen"]
+    rows = [(0, f"{german[k % 3]} {k}.") for k in range(60)] + [(1, f"you grobnik {k}. they will kill you") for k in range(30)]
+    lexicon, _ = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"))
+    for text in german:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert not toxicity.figures(raw, np.array([0, len(raw)]), lexicon).any()
+
+
 def test_unigram_figures_and_held_out_gain(spark, monkeypatch):
     r = rng(21)
     langs = [[f"{a}{b}" for a in p for b in ("ra", "lo", "mi", "ta", "ne")] for p in (("ka", "ku", "ke", "ki"), ("zo", "zu", "za", "ze"))]
