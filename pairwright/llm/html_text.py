@@ -4,18 +4,22 @@ A page is read into a light tree.  Parts that are never the article (scripts, me
 headers and footers, sidebars, notices, adverts, forms, reader comments) are set aside by
 their element or by a whole word of their role, class or id.  They are read into the same tree,
 so one without an end ends with its ancestor or where an end is implied, and one that holds a
-``main``, the page's only ``article`` or, on a page of neither, most of its unlinked text, is not
-set aside.  For every other node the density is its characters per tag,
+``main``, the page's only ``article`` or, on a page of neither, most of its unlinked text in elements
+of its own, is not set aside.  For every other node the density is its characters per tag,
 adjusted by the share of linked characters and tags; a node's density sum is that of its
 children.  The node of the largest density sum is the core; the least density on its path to
 the body is the threshold, and every subtree that reaches it adds its own largest-sum node.
-A core inside an ``article`` or ``main`` takes that whole element.
+What stands beside the path to the core is recovered up to the outermost element below the body,
+or to the ``article`` or ``main`` around the core: text of these elements themselves, and
+headings, paragraphs, lists and tables that are not half links.  Of other elements there a dense
+one is taken by the threshold; one that is not needs to be in an ``article`` or ``main``.  A heading
+right before all that is taken too.
 
 Blocks (paragraphs, headings, list items and so on) have references decoded, white space made
 one space and trimmed, and are joined by two line feeds.
 
 Nulls: a null html counts as an empty page with empty text; null page_id and url stay null.
-Repeated rows each get their row, an empty table gives none, pages of any length are read
+Ties: of nodes of one density sum the first is taken, an outer one before those in it.  Repeated rows each get their row, an empty table gives none, pages of any length are read
 whole, and columns other than page_id, url and html are ignored.
 """
 
@@ -50,6 +54,12 @@ ASIDE = frozenset(
 PLACES = frozenset("list lists item items box area section block wrapper wrap container inner outer holder body content row col column group panel slot unit zone region bar links link left right top bottom primary secondary main text title icon icons button buttons btn".split())
 #: First words of names that tell of a node what it has, not what it is, as in no-sidebar.
 STATES = frozenset("has have no with without is not non hide hides show shows".split())
+#: Elements of running text, and containers that can be the article.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl li dt dd table tbody thead tfoot tr caption figure figcaption hr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WHOLE = frozenset("article main".split())
+#: Names of parts that an article has too.
+IN_ARTICLES = frozenset("header masthead banner".split())
 NEVER_ASIDE = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
 _TOKEN = re.compile(
@@ -65,7 +75,7 @@ SET_ASIDE, HIDDEN = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "first", "last", "density", "total", "whole", "best", "aside", "named_aside", "cut", "unlinked", "holds")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "first", "last", "density", "total", "best", "aside", "named_aside", "cut", "unlinked", "holds")
 
     def __init__(self, tag: str, parent: Node | None, first: int, aside: int = 0, named_aside: bool = False) -> None:
         self.tag, self.parent, self.first, self.last = tag, parent, first, first
@@ -75,16 +85,14 @@ class Node:
         self.aside, self.named_aside = aside, named_aside
         #: Whether it is left out at last, its characters outside links, and the articles or main elements in it.
         self.cut, self.unlinked, self.holds = False, 0, frozenset()
-        #: The article or main element that the node is in, and the node of the largest density sum below it.
-        self.whole: Node | None = self if tag in ("article", "main") else None
+        #: The node of the largest density sum in it.
         self.best = self
         if parent is not None:
             parent.children.append(self)
-            self.whole = parent.whole or self.whole
 
 
 @lru_cache(1 << 14)
-def _names_aside(names: str) -> bool:
+def _names_aside(names: str, within_article: bool) -> bool:
     """Whether a word of a class, id or role names a part beside the article."""
     for name in names.split():
         words = [w.lower() for w in _NAME.findall(name)]
@@ -92,18 +100,18 @@ def _names_aside(names: str) -> bool:
             continue
         while len(words) > 1 and words[-1] in PLACES:
             words.pop()
-        if words[-1] in ASIDE:
+        if words[-1] in ASIDE and not (within_article and words[-1] in IN_ARTICLES):
             return True
     return False
 
 
-def _marks(rest: str) -> tuple[bool, bool]:
+def _marks(rest: str, within_article: bool) -> tuple[bool, bool]:
     """Whether an element is hidden by its attributes, and whether its class, id or role names a part beside the article."""
     hidden = named = False
     for name, double, single, bare in _ATTRIBUTE.findall(rest):
         name = name.lower()
         if name in ("class", "id", "role"):
-            named = named or _names_aside(double or single or bare)
+            named = named or _names_aside(double or single or bare, within_article)
         elif name == "hidden":
             hidden = True
         elif name == "style" and _NO_DISPLAY.search(double or single or bare):
@@ -113,7 +121,7 @@ def _marks(rest: str) -> tuple[bool, bool]:
 
 def _aside(tag: str, rest: str, within_article: bool) -> tuple[int, bool]:
     """0, SET_ASIDE or HIDDEN; and whether a name sets it aside."""
-    hidden, named = _marks(rest) if len(rest) > 2 and tag not in ("html", "body") else (False, False)
+    hidden, named = _marks(rest, within_article) if len(rest) > 2 and tag not in ("html", "body") else (False, False)
     if hidden:
         return HIDDEN, named
     if tag in DROPPED or (tag == "header" and not within_article):
@@ -128,6 +136,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
     asides: list[Node] = []  # open nodes that are set aside
     articles = 0  # article and main elements open
     links = 0
+    opened: dict[str, int] = {}  # open nodes by tag
+    outer: list[int] = []  # depths of open blocks and cells, and of what a list or table is made of
+    listed: list[int] = []
     position, size = 0, len(page)
 
     def flush() -> None:
@@ -150,7 +161,11 @@ def parse(page: str) -> tuple[Node, list[str]]:
             node.last = len(blocks) + bool(parts)
             if node.aside:
                 asides.pop()
-            articles -= node.tag in ("article", "main")
+            opened[node.tag] -= 1
+            for open_depths in (outer, listed):
+                if open_depths and open_depths[-1] == len(stack):
+                    open_depths.pop()
+            articles -= node.tag in WHOLE
             links -= node.tag == "a"
 
     def add(text: str) -> None:
@@ -178,10 +193,11 @@ def parse(page: str) -> tuple[Node, list[str]]:
             continue
         tag = tag.lower()
         if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
+            if opened.get(tag):
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                close(depth)
             continue
         if tag in BLOCKS:
             flush()
@@ -196,15 +212,10 @@ def parse(page: str) -> tuple[Node, list[str]]:
             continue
         if tag in ("br", "td", "th", "wbr"):
             put("" if tag == "wbr" else " ")
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    close(depth)
-                    break
-                if stack[depth].tag in BLOCKS or stack[depth].tag in ("td", "th"):
-                    break
+        if tag in CLOSES_P and outer and stack[outer[-1]].tag == "p":
+            close(outer[-1])
         if tag in SIBLINGS:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in reversed(listed):
                 if stack[depth].tag in SIBLINGS[tag]:
                     close(depth)
                     break
@@ -216,10 +227,15 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if tag in ("html", "body"):
             continue
         node = Node(tag, stack[-1], len(blocks), aside, named)
+        if tag in BLOCKS or tag in ("td", "th"):
+            outer.append(len(stack))
+        if tag in SIBLINGS or tag in LIST_ENDS:
+            listed.append(len(stack))
         stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
         if aside:
             asides.append(node)
-        articles += tag in ("article", "main")
+        articles += tag in WHOLE
         links += tag == "a"
     close(1)
     flush()
@@ -247,16 +263,16 @@ def _settle(root: Node) -> None:
     outside = False  # an article or main element that nothing sets aside
     for n in nodes[1:]:
         n.cut = n.parent.cut or n.aside > 0
-        outside |= n.tag in ("article", "main") and not n.named_aside and not n.cut
+        outside |= n.tag in WHOLE and not n.named_aside and not n.cut
     for n in reversed(nodes):
         n.unlinked += n.chars - n.link_chars
-        if n.tag in ("article", "main") and not n.named_aside:
+        if n.tag in WHOLE and not n.named_aside:
             n.holds |= {n.tag}
         if n.parent is not None and n.aside != HIDDEN:
             n.parent.unlinked += n.unlinked
             n.parent.holds |= n.holds
     for n in nodes[1:]:
-        whole = "main" in n.holds or (not outside and ("article" in n.holds or (not root.holds and 2 * n.unlinked > root.unlinked)))
+        whole = "main" in n.holds or (not outside and ("article" in n.holds or (not root.holds and 2 * (n.unlinked - n.chars + n.link_chars) > root.unlinked)))
         n.cut = n.parent.cut or n.aside == HIDDEN or (n.aside == SET_ASIDE and not whole)
     for n in reversed(nodes):
         n.children = [x for x in n.children if not x.cut]
@@ -297,18 +313,37 @@ def main_text(page: str | None) -> str:
     root, blocks = parse(page)
     if not blocks:
         return ""
-    nodes = weigh(root)
-    core = root.best
-    threshold, n = math.inf, core
-    while n is not None:
-        threshold = min(threshold, n.density)
-        n = n.parent
-    taken = {id(x): x for x in [core.whole or core, *(n.best.whole or n.best for n in nodes[1:] if n.density >= threshold)]}
     edges = [0] * (len(blocks) + 1)
-    for n in taken.values():
-        edges[n.first] += 1
-        edges[min(n.last, len(blocks))] -= 1
-    return "\n\n".join(b for b, use in zip(blocks, accumulate(edges), strict=False) if use and b)
+    for n, sign in chosen(root):
+        edges[n.first] += sign
+        edges[min(n.last, len(blocks))] -= sign
+    return "\n\n".join(b for b, use in zip(blocks, accumulate(edges), strict=False) if use > 0 and b)
+
+
+def chosen(root: Node) -> list[tuple[Node, int]]:
+    """Nodes whose blocks are taken (1) and, within the element around the core, left out again (-1)."""
+    nodes = weigh(root)
+    path = [root.best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    dense = {id(n.best): n.best for n in nodes[1:] if n.density >= threshold}
+    dense.pop(id(path[0]), None)
+    taken = [(path[0], 1), *((n, 1) for n in dense.values())]
+    if path[0] is root:
+        return taken
+    inside = next((k for k, n in enumerate(path) if n.tag in WHOLE), None)
+    top = len(path) - 2 if inside is None else inside
+    taken.append((path[top], 1))
+    for above, below in zip(path[top:0:-1], path[top - 1 :: -1] if top else [], strict=False):
+        for n in above.children:
+            if n is not below and n.tag in BLOCKS and not (2 * n.link_chars <= n.chars and (n.tag in RUNNING or inside is not None)):
+                taken.append((n, -1))
+    beside = path[top + 1].children
+    at = next(k for k, n in enumerate(beside) if n is path[top])
+    if at and beside[at - 1].tag in HEADINGS and 2 * beside[at - 1].link_chars <= beside[at - 1].chars:
+        taken.append((beside[at - 1], 1))
+    return taken
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
+import math
 import time
 
 import pytest
 
-from pairwright.llm.html_text import extract, main_text
+from pairwright.llm.html_text import extract, main_text, parse, weigh
+
+from .common import prose, rng
 
 LONG = "This is a sentence of the article that goes on for a while, so that it has some weight in the page. " * 3
 
@@ -94,3 +97,72 @@ def test_query_columns(spark):
     got = sorted(map(tuple, extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()), key=str)
     assert got == sorted([(1, "u", "a b", 3), (None, None, "", 0), (1, "u", "a b", 3)], key=str)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_time_grows_with_the_page():
+    for odd in ("<span>" * 20_000 + "x</b>" * 20_000, "<label>" * 20_000 + "<p>hello</p>", "<p><table><td>" + "<span>" * 20_000 + "<hr>" * 20_000, "<li>" * 20_000 + "</ul>" * 20_000):
+        began = time.time()
+        main_text(odd)
+        assert time.time() - began < 5, odd[:20]
+
+
+def test_text_beside_the_densest_node():
+    inner = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    for wrap in ("article", "div", "section"):
+        body = f"<div class=ad>Buy</div><{wrap}><h1>Head</h1>{inner}<p>Tail words outside the inner div</p></{wrap}><footer>Foot</footer>"
+        assert main_text(page(body)) == f"Head\n\n{clean(LONG)}\n\n{clean(LONG)}\n\nTail words outside the inner div"
+    assert main_text(page(f"<article><div class='article-header'><h1>Head</h1><p>Intro</p></div>{inner}</article>")).startswith("Head\n\nIntro\n\nThis is")
+    assert main_text(page(f"<h1>Head</h1>{inner}<p><a href=/x>More of this kind</a></p>")) == f"Head\n\n{clean(LONG)}\n\n{clean(LONG)}"
+    for name in ("related-work", "search-results-page"):
+        assert clean(LONG) in main_text(page(f"<div class='{name}'><p>{LONG}</p><p>{LONG}</p></div>"))
+
+
+def brute_core(node):
+    """The first element of the largest density sum, straight from the definition; elements are (tag, text, children)."""
+
+    def count(n):
+        own = [count(x) for x in n[2]]
+        return len("".join(n[1].split())) + sum(x[0] for x in own), sum(x[1] for x in own) if n[0] != "a" else len("".join(n[1].split())) + sum(x[0] for x in own), sum(1 + x[2] for x in own), sum((y[0] == "a") + x[3] for x, y in zip(own, n[2], strict=True))
+
+    whole = count(node)
+
+    def density(n):
+        c, lc, t, lt = count(n)
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        base = math.log(c / max(c - lc, 1) * lc + whole[1] / max(whole[0], 1) * c + math.e)
+        return c / t * math.log(c / max(lc, 1) * t / max(lt, 1)) / math.log(base + math.e - 1)
+
+    def every(n):
+        yield n
+        for x in n[2]:
+            yield from every(x)
+
+    return max(every(node), key=lambda n: sum(density(x) for x in n[2])), density
+
+
+def test_core_against_the_definition():
+    r = rng(41)
+
+    def tree(depth):
+        tag = r.choice(["div", "div", "section", "span", "a"])
+        return (tag, prose(r, r.randrange(0, 30)), [tree(depth - 1) for _ in range(r.randrange(0, 4))] if depth and tag != "a" else [])
+
+    def written(n):
+        return f"<{n[0]}>{n[1]}" + "".join(map(written, n[2])) + f"</{n[0]}>"
+
+    def order(n):  # as the parser keeps its nodes: level by level
+        level = [n]
+        while level:
+            yield from level
+            level = [x for y in level for x in y[2]]
+
+    for _ in range(200):
+        top = ("html", "", [tree(4) for _ in range(r.randrange(1, 4))])
+        root, _ = parse("".join(map(written, top[2])))
+        nodes = weigh(root)
+        core, density = brute_core(top)
+        for n, x in zip(nodes, order(top), strict=True):
+            assert n.tag == x[0] and n.density == pytest.approx(density(x))
+        assert root.best.total == pytest.approx(sum(density(x) for x in core[2]))
