@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from . import blocks
 
 MATCH_COLUMNS = ("target_idx", "match_idx", "no_match", "best_distance", "second_distance", "repeats", "nndr", "near_miss", "mnn_confirmed", "reverse_repeat_count")
@@ -208,13 +209,9 @@ class Matcher:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names; its own only where none is set."""
-    import tempfile
-
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

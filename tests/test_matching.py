@@ -2,12 +2,14 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
 from pairwright.operators import blocks, standardize
 from pairwright.operators.match import Matcher
+from pairwright.sources.shared import shared_folder
 
 
 def distance(a, b):
@@ -150,3 +152,18 @@ def test_near_miss_cutoff(spark):
     row = spark.createDataFrame([(2.0, [2.0, 3.0])], "d double, top array<double>")
     a, b = row.select(near_miss_cutoff(F.col("d"), F.col("top"), 0.8), near_miss_cutoff(F.col("d"), F.col("top"), 0)).first()
     assert (a, b) == (2.5, 3.0)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.values = SimpleNamespace(master=master), {}
+            self.conf = SimpleNamespace(get=self.values.get, set=self.values.__setitem__)
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session("spark://host:7077"))
+    local = Session("local[2]")
+    assert shared_folder(local) == shared_folder(local) == local.values["spark.checkpoint.dir"]
+    given = Session("yarn")
+    given.values["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert shared_folder(given) == "hdfs:///shared"
