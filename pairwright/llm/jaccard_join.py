@@ -13,7 +13,8 @@ the same set, itself among them) and n_similar (different sets linked to its own
 Nulls: a null text counts as empty, and all empty texts are copies of each other.  Rows with
 a null doc_id take part as copies of their class, with a null doc_id in the result; a class
 of such rows alone has a null class_id and no links beyond it.  Repeated rows count as copies
-each.  An empty table gives no rows.  Columns other than doc_id and text are ignored.
+each.  Texts are read whole, whatever their length.  Ties of similarity at the threshold are links.
+An empty table gives no rows.  Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ THRESHOLD = 0.8
 RECALL = 0.999
 ROWS = 5
 BANDS = neighbours.bands_for(THRESHOLD, RECALL, ROWS)
+#: Share of all rows from which a class of copies is hot.
+HOT_SHARE = 1 / 1000
 
 
 def word_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -101,8 +104,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "node", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
         F.col("copies").alias("n_copies"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"),
     )
-    known = written(known, "known")  # so that the join below shuffles both sides itself, and a hot class can be split
-    return signed.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "n_copies", "n_similar")
+    known = written(known, "known")
+    # At most 1 / HOT_SHARE classes have that share of all rows; their rows stay where they are, the others meet theirs by a shuffle.
+    n = known.agg(F.sum("n_copies")).first()[0] or 0
+    hot = F.broadcast(known.filter(F.col("n_copies") >= n * HOT_SHARE))
+    rows = signed.select("doc_id", "node")
+    others = rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(known.hint("shuffle_hash"), "node")
+    return rows.join(hot, "node").unionByName(others).select("doc_id", "class_id", "n_links", "n_copies", "n_similar")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -14,9 +14,9 @@ def fold(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], held_out: int = 0) -> DataFrame:
-    """(label int, text) of at most ``per_class[v]`` labelled documents of each class v.
+    """(label int, text) of at most ``per_class[v]`` labelled documents of each class v, one of each id.
 
-    Rows are taken in the order of a hash of their id, never from the fold ``held_out``.
+    Of documents that share an id the least text is taken.  Ids are taken in the order of a hash of their id, never from the fold ``held_out``.
     The ids are bounded by ``per_class``, so they are broadcast to the scan of the texts.
     Labels without an id or a value and documents without a text are passed over.
     """
@@ -27,4 +27,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int,
     for p in parts[1:]:
         ids = ids.unionByName(p)
     texts = docs.select(docs["doc_id"].cast("long").alias("sample_id"), docs["text"].cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return texts.join(F.broadcast(ids), "sample_id").select("label", "text")
+    return texts.join(F.broadcast(ids), "sample_id").groupBy("sample_id", "label").agg(F.min("text").alias("text")).select("label", "text")
