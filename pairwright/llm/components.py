@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from .store import drop, written
 
 
+#: Share of all rows from which a key is hot; at most its inverse of keys are.
+HOT_SHARE = 1 / 1000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined by ``key`` with a written table of one row a key, whose ``count`` is the number of rows that have it.
+
+    The few hot keys are broadcast and their rows stay where they are; the others meet by a shuffle.
+    """
+    n = table.agg(F.sum(count)).first()[0] or 0
+    hot, others = table.filter(F.col(count) >= n * HOT_SHARE), table.filter(F.col(count) < n * HOT_SHARE)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the edges (a, b), longs; root is the least node of its component.
 
@@ -40,5 +55,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     if chain is None:
         return spark.createDataFrame([], "node long, root long")
-    least = chain.groupBy("root").agg(F.min("node").alias("least"))
-    return written(chain.join(least, "root").select("node", F.col("least").alias("root")), "components")
+    least = written(chain.groupBy("root").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "roots")
+    return written(join_spread(chain, least, "root", "n").select("node", F.col("least").alias("root")), "components")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, neighbours
-from .components import connected_components
+from .components import connected_components, join_spread
 from .store import written
 
 WORDS = 5
@@ -36,8 +36,6 @@ THRESHOLD = 0.8
 RECALL = 0.999
 ROWS = 5
 BANDS = neighbours.bands_for(THRESHOLD, RECALL, ROWS)
-#: Share of all rows from which a class of copies is hot.
-HOT_SHARE = 1 / 1000
 
 
 def word_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -98,19 +96,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("reaches").alias("b")))
     totals = links.groupBy("node").agg(F.sum("texts").alias("n_similar"), F.sum("documents").alias("linked"))
     joined = roots.join(classes.select("node", "least"), "node")
-    class_ids = joined.join(joined.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
+    least = written(joined.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n")), "class-ids")
+    class_ids = join_spread(roots, least, "root", "n").select("node", "class_id")
     known = classes.select("node", "least", "copies").join(totals, "node", "left").join(class_ids, "node", "left")
     known = known.select(
         "node", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
         F.col("copies").alias("n_copies"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"),
     )
     known = written(known, "known")
-    # At most 1 / HOT_SHARE classes have that share of all rows; their rows stay where they are, the others meet theirs by a shuffle.
-    n = known.agg(F.sum("n_copies")).first()[0] or 0
-    hot = F.broadcast(known.filter(F.col("n_copies") >= n * HOT_SHARE))
-    rows = signed.select("doc_id", "node")
-    others = rows.join(F.broadcast(hot.select("node")), "node", "left_anti").join(known.hint("shuffle_hash"), "node")
-    return rows.join(hot, "node").unionByName(others).select("doc_id", "class_id", "n_links", "n_copies", "n_similar")
+    return join_spread(signed.select("doc_id", "node"), known, "node", "n_copies").select("doc_id", "class_id", "n_links", "n_copies", "n_similar")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
