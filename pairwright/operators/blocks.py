@@ -1,15 +1,17 @@
 """Exhaustive distances between two tables, block against block.
 
-Rows of either table are gathered into blocks of a bounded number of rows; every target
-block meets every supplemental block in a task of its own, as an equi-join on the block's
-number.  No pair is skipped and no pair becomes a row: a task keeps a distance matrix for a
-slice of its block and gives sums, minima and counts.  So the shuffle holds blocks, the
-memory of a task is bounded, and both tables can be of any size.
+Rows of either table are gathered into blocks of bounded size; every target block meets every
+supplemental block.  One shuffle deals them: a group of target blocks goes to each supplemental
+block, which comes once a group, so a task holds one supplemental block and reads the target
+blocks of its group one by one.  No pair is skipped and no pair becomes a row: a task keeps a
+distance matrix for a slice of its block and gives sums, minima and counts.  So the shuffle
+holds blocks, the memory of a task is bounded, and both tables can be of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,12 @@ from pyspark.sql import functions as F
 MISSING_PENALTY = 2.0
 TARGET_ROWS = 2048
 SUPPLEMENTAL_ROWS = 16384
-#: Cells of a distance matrix that a task holds at a time.
-MOST_CELLS = 1 << 18
+#: Cells of a block, and of a distance matrix that a task holds at a time.
+BLOCK_CELLS = 1 << 18
+MOST_CELLS = 1 << 17
+#: Tasks for each core, if the tables have rows enough.
+TASKS_PER_CORE = 3
+LEAST_ROWS = 64
 
 
 def sum_terms(terms: Sequence):
@@ -42,18 +48,40 @@ def sum_terms(terms: Sequence):
     return total
 
 
+def running_sum(term: Callable[[int], np.ndarray], n: int) -> np.ndarray:
+    """``sum_terms`` of n new arrays, bit for bit, with no more than nine of them at a time."""
+    if n < 8 or n > 128:
+        total = term(0)
+        for k in range(1, n):
+            total += term(k)
+        return total
+    strands = [term(k) for k in range(8)]
+    whole = n - n % 8
+    for k in range(8, whole):
+        strands[k % 8] += term(k)
+    while len(strands) > 1:
+        strands = [np.add(x, y, out=x) for x, y in zip(strands[::2], strands[1::2], strict=True)]
+    for k in range(whole, n):
+        strands[0] += term(k)
+    return strands[0]
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(rows of a, rows of b): Euclidean distances; nan cells are missing, inf where no feature is shared."""
     missing_a, missing_b = np.isnan(a), np.isnan(b)
-    terms = []
-    for k in range(a.shape[1]):
+    any_a, any_b = missing_a.any(axis=0), missing_b.any(axis=0)
+
+    def term(k: int) -> np.ndarray:
         t = np.subtract.outer(a[:, k], b[:, k])
         np.multiply(t, t, out=t)
-        if missing_a[:, k].any() or missing_b[:, k].any():
+        if any_a[k]:
             t[missing_a[:, k], :] = MISSING_PENALTY
+        if any_b[k]:
             t[:, missing_b[:, k]] = MISSING_PENALTY
-        terms.append(t)
-    d = np.sqrt(sum_terms(terms))
+        return t
+
+    d = running_sum(term, a.shape[1])
+    np.sqrt(d, out=d)
     if missing_a.any() and missing_b.any():
         shared = (~missing_a).astype(np.float32) @ (~missing_b).astype(np.float32).T
         d[shared == 0] = np.inf
@@ -64,13 +92,28 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def blocked(table: DataFrame, index: str, features: Sequence[str], rows: int, extra: Sequence[str] = ()) -> DataFrame:
-    """(block, size, idx, cells, extra...): the rows of a table in blocks; block numbers go from 0 without gaps.
+@dataclass
+class Blocks:
+    """(block, idx, cells, extra...): the rows of a table in blocks numbered from 0, and how many there are."""
 
-    Rows are dealt by a hash of their index to as many blocks as the table needs.
-    """
-    n = table.count()
-    blocks = max(1, -(-n // rows))
+    rows: DataFrame
+    n: int
+
+
+def block_rows(n_target: int, n_supplemental: int, width: int, cores: int) -> tuple[int, int]:
+    """Rows of a target and of a supplemental block: bounded in cells, and small enough that all cores have work."""
+    t, s = (min(most, max(LEAST_ROWS, BLOCK_CELLS // width)) for most in (TARGET_ROWS, SUPPLEMENTAL_ROWS))
+    wanted = TASKS_PER_CORE * cores
+    while t > LEAST_ROWS and -(-n_target // t) * -(-n_supplemental // s) < wanted:
+        t //= 2
+    while s > LEAST_ROWS and -(-n_target // t) * -(-n_supplemental // s) < wanted:
+        s //= 2
+    return t, s
+
+
+def blocked(table: DataFrame, index: str, features: Sequence[str], n_rows: int, rows: int, extra: Sequence[str] = ()) -> Blocks:
+    """A table of ``n_rows`` in blocks of ``rows`` on average: rows are dealt by a hash of their index."""
+    blocks = max(1, -(-n_rows // rows))
     dealt = table.select(F.pmod(F.xxhash64(index), F.lit(blocks)).cast("int").alias("block"), F.col(index).cast("long").alias("idx"), *(F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)), *extra)
     width = len(features)
     names = ["block", "idx", "cells", *extra]
@@ -101,16 +144,24 @@ def blocked(table: DataFrame, index: str, features: Sequence[str], rows: int, ex
         if held:
             yield out()
 
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(gather, kinds).withColumn("blocks", F.lit(blocks))
+    return Blocks(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(gather, kinds), blocks)
 
 
-def met(targets: DataFrame, supplementals: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """(t, s, ...): every target block beside every supplemental block, dealt over tasks."""
-    left = targets.select(F.col("block").alias("t"), F.col("idx").alias("t_idx"), F.col("cells").alias("t_cells"), *extra)
-    right = supplementals.select(F.col("block").alias("s"), F.col("idx").alias("s_idx"), F.col("cells").alias("s_cells"), "blocks")
-    n = right.agg(F.max("s")).first()[0]
-    spread = left.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(0 if n is None else int(n)))))
-    return spread.join(right, "s").select("t", "s", "t_idx", "t_cells", "s_idx", "s_cells", *extra).repartition("t", "s")
+def met(targets: Blocks, supplementals: Blocks, extra: Sequence[str] = ()) -> DataFrame:
+    """Rows (task, s, target, idx, cells, ...): in each task a supplemental block stands before the target blocks that it meets."""
+    cores = targets.rows.sparkSession.sparkContext.defaultParallelism
+    groups = min(targets.n, max(1, -(-TASKS_PER_CORE * cores // supplementals.n)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = targets.rows.select(numbers(supplementals.n).alias("s"), F.pmod(F.col("block"), F.lit(groups)).alias("g"), F.lit(True).alias("target"), "idx", "cells", *extra)
+    right = supplementals.rows.select(F.col("block").alias("s"), numbers(groups).alias("g"), F.lit(False).alias("target"), "idx", "cells", *(F.lit(None).cast("binary").alias(c) for c in extra))
+    both = left.unionByName(right).select((F.col("g").cast("long") * supplementals.n + F.col("s")).alias("task"), "target", "idx", "cells", *extra)
+    tasks = groups * supplementals.n
+    most = min(tasks, max(MOST_TASKS, cores))
+    return both.repartitionById(most, F.pmod("task", F.lit(most)).cast("int")).sortWithinPartitions("task", "target")
+
+
+#: Tasks of one pass; further pairs of blocks share them.
+MOST_TASKS = 20_000
 
 
 def over_blocks(pairs: DataFrame, width: int, schema: str, work: Callable, extra: Sequence[str] = ()) -> DataFrame:
@@ -118,12 +169,18 @@ def over_blocks(pairs: DataFrame, width: int, schema: str, work: Callable, extra
     names = [x.strip().split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             for k in range(batch.num_rows):
-                t_idx, s_idx = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in ("t_idx", "s_idx"))
-                a, b = (np.frombuffer(batch.column(c)[k].as_buffer()).reshape(-1, width) for c in ("t_cells", "s_cells"))
+                task, target = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                idx, cells = np.frombuffer(batch.column(2)[k].as_buffer(), np.int64), np.frombuffer(batch.column(3)[k].as_buffer()).reshape(-1, width)
+                if not target:
+                    held = task, idx, cells
+                    continue
+                if held is None or held[0] != task:  # a block without rows
+                    continue
                 rest = [np.frombuffer(batch.column(c)[k].as_buffer()) for c in extra]
-                row = work(t_idx, a, s_idx, b, *rest)
+                row = work(idx, cells, *held[1:], *rest)
                 arrays = [pa.array([row[n]]) if np.ndim(row[n]) == 0 else pa.ListArray.from_arrays(pa.array([0, len(row[n])], pa.int32()), pa.array(row[n])) for n in names]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 

@@ -7,6 +7,7 @@ Null also stands for an infinite distance, of rows that share no observed featur
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -62,20 +63,31 @@ def exploded(found: DataFrame, *columns: str) -> DataFrame:
 class Matcher:
     """The blocks of two standardized tables, and what is asked of them.
 
-    The first pass over all pairs is kept in a checkpointed table, as all answers begin with
-    it; its size is that of the blocks' sums, not of the pairs.
+    The first pass over all pairs is kept in a checkpointed table once something needs it; its
+    size is that of the blocks' sums, not of the pairs.  ``against`` gives a matcher of other
+    targets the same supplemental blocks.
     """
 
-    def __init__(self, target: DataFrame, target_index: str, supplemental: DataFrame, supplemental_index: str, features: Sequence[str], threshold: float = 0.8) -> None:
+    def __init__(self, target: DataFrame, target_index: str, supplemental: DataFrame, supplemental_index: str, features: Sequence[str], threshold: float = 0.8, against: blocks.Blocks | None = None) -> None:
         self.threshold, self.width = checked_threshold(threshold), len(features)
         if not features:
             raise ValueError("No shared columns to match on.")
         self.features = list(features)
         self.target = target.select(F.col(target_index).cast("long").alias("target_idx"), *(F.col(f).cast("double").alias(f) for f in features))
         self.supplemental = supplemental.select(F.col(supplemental_index).cast("long").alias("supp_idx"), *(F.col(f).cast("double").alias(f) for f in features))
-        self.supplemental_blocks = blocks.blocked(self.supplemental, "supp_idx", features, blocks.SUPPLEMENTAL_ROWS)
-        pairs = blocks.met(blocks.blocked(self.target, "target_idx", features, blocks.TARGET_ROWS), self.supplemental_blocks)
-        self.found = kept(blocks.over_blocks(pairs, self.width, _NEAREST, _nearest))
+        side = self.target.select(F.lit(0).alias("side")).unionByName(self.supplemental.select(F.lit(1).alias("side"))) if against is None else self.target.select(F.lit(0).alias("side"))
+        counts = {r["side"]: r["n"] for r in side.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.n_target, n_supplemental = counts.get(0, 0), counts.get(1, 0) if against is None else against.n * blocks.SUPPLEMENTAL_ROWS
+        self.target_rows, rows = blocks.block_rows(self.n_target, n_supplemental, self.width, target.sparkSession.sparkContext.defaultParallelism)
+        self.supplemental_blocks = against or blocks.blocked(self.supplemental, "supp_idx", features, n_supplemental, rows)
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """The sums of the first pass."""
+        return kept(blocks.over_blocks(self._pairs(self.target), self.width, _NEAREST, _nearest))
+
+    def _pairs(self, target: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        return blocks.met(blocks.blocked(target, "target_idx", self.features, self.n_target, self.target_rows, extra), self.supplemental_blocks, extra)
 
     def nearest(self) -> DataFrame:
         """(target_idx, d1, match_idx, repeats, d2): nulls where nothing is finite."""
@@ -100,8 +112,7 @@ class Matcher:
     def _second_pass(self, columns: Sequence[str], figures: DataFrame, schema: str, work) -> DataFrame:
         """Another pass over all pairs, each target with figures of the first one."""
         again = self.target.join(figures, "target_idx")
-        pairs = blocks.met(blocks.blocked(again, "target_idx", self.features, blocks.TARGET_ROWS, columns), self.supplemental_blocks, columns)
-        return blocks.over_blocks(pairs, self.width, schema, work, columns)
+        return blocks.over_blocks(self._pairs(again, columns), self.width, schema, work, columns)
 
     def near_counts(self, nearest: DataFrame) -> DataFrame:
         """(target_idx, near): rows, the best among them, with d1 / d of the threshold or more."""
@@ -148,18 +159,19 @@ class Matcher:
                 d = blocks.distances(a[rows], b)
                 m = min(k, d.shape[1])
                 cut = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
-                for i, row in enumerate(d):  # all rows up to the k-th distance, then the first k by distance and index
-                    at = np.flatnonzero((row <= cut[i]) & (row < np.inf))
-                    at = at[np.lexsort((s_idx[at], row[at]))[:k]]
-                    target.append(np.full(len(at), t_idx[rows][i]))
-                    supp.append(s_idx[at])
-                    distance.append(row[at])
+                row, at = np.nonzero((d <= cut) & (d < np.inf))  # all up to the k-th distance, then the first k by distance and index
+                order = np.lexsort((at, d[row, at], row))
+                row, at = row[order], at[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, at = row[rank < k], at[rank < k]
+                target.append(t_idx[rows][row])
+                supp.append(s_idx[at])
+                distance.append(d[row, at])
             return {"t_idx": np.concatenate(target), "s_idx": np.concatenate(supp), "d": np.concatenate(distance)}
 
         from pyspark.sql import Window
 
-        pairs = blocks.met(blocks.blocked(self.target, "target_idx", self.features, blocks.TARGET_ROWS), self.supplemental_blocks)
-        found = blocks.over_blocks(pairs, self.width, "t_idx array<long>, s_idx array<long>, d array<double>", work)
+        found = blocks.over_blocks(self._pairs(self.target), self.width, "t_idx array<long>, s_idx array<long>, d array<double>", work)
         ranked = exploded(found, "t_idx", "s_idx", "d").withColumn("rank", F.row_number().over(Window.partitionBy("t_idx").orderBy("d", "s_idx")))
         return ranked.filter(F.col("rank") <= k).select(F.col("t_idx").alias("target_idx"), F.col("rank").cast("long").alias("rank"), F.col("s_idx").alias("supp_idx"), F.col("d").alias("distance"))
 
@@ -196,8 +208,7 @@ class Matcher:
                 out[rows] = np.bincount(row[use] * bins + k[use], minlength=len(d) * bins).reshape(-1, bins)
             return {"t_idx": np.repeat(t_idx, bins), "bin": np.tile(np.arange(bins), len(t_idx)), "n": out.ravel()}
 
-        pairs = blocks.met(blocks.blocked(self.target, "target_idx", self.features, blocks.TARGET_ROWS), self.supplemental_blocks)
-        found = blocks.over_blocks(pairs, self.width, "t_idx array<long>, low array<double>, high array<double>", extremes)
+        found = blocks.over_blocks(self._pairs(self.target), self.width, "t_idx array<long>, low array<double>, high array<double>", extremes)
         ranges = exploded(found, "t_idx", "low", "high").groupBy(F.col("t_idx").alias("target_idx")).agg(F.min("low").alias("lo"), F.max("high").alias("hi")).filter("lo < double('inf')")
         widen = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
         ranges = kept(ranges.select("target_idx", (F.col("lo") - widen).alias("lo"), (F.col("hi") + widen).alias("hi")))

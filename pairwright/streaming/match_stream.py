@@ -12,7 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.match import Matcher
+from ..operators import blocks
+from ..operators.match import Matcher, kept
 from ..operators.standardize import Scale, pooled_scales, standardized
 
 
@@ -21,10 +22,15 @@ class StreamMatcher:
         self.features, self.threshold, self.index = list(features), threshold, supplemental_index
         self.scales: list[Scale] = pooled_scales(reference, supplemental, self.features)
         self.supplemental = standardized(supplemental.select(supplemental_index, *self.features), self.features, self.scales)
+        # The fixed table is put into blocks once; every batch meets the same ones.
+        n, width = self.supplemental.count(), len(self.features)
+        rows = min(blocks.SUPPLEMENTAL_ROWS, max(blocks.LEAST_ROWS, blocks.BLOCK_CELLS // width))
+        fixed = blocks.blocked(self.supplemental.select(F.col(supplemental_index).cast("long").alias("supp_idx"), *self.features), "supp_idx", self.features, n, rows)
+        self.blocks = blocks.Blocks(kept(fixed.rows), fixed.n)
 
     def match_batch(self, batch: DataFrame, target_index: str) -> DataFrame:
         scores = standardized(batch.select(target_index, *self.features), self.features, self.scales)
-        return Matcher(scores, target_index, self.supplemental, self.index, self.features, self.threshold).matches()
+        return Matcher(scores, target_index, self.supplemental, self.index, self.features, self.threshold, self.blocks).matches()
 
     def start(self, stream: DataFrame, target_index: str, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
         """Run a query that hands each batch's matches, with its number as ``batch_id``, to ``sink``."""
