@@ -75,3 +75,24 @@ def flags(features: Sequence[str], smd: Sequence[float], threshold: float, with_
 def near_miss_cutoff(best_distance: Column, top_distances: Column, threshold: float) -> Column:
     """The distance up to which a row counts as a near miss; without a threshold the last of the listed ones."""
     return best_distance / threshold if threshold > 0 else F.try_element_at(top_distances, F.lit(-1))
+
+
+def cascading_ratio(distances: Column, threshold: float = 0.8) -> Column:
+    """struct(nndr, near_misses) of an ascending array of distances, null or infinite ones last.
+
+    The ratio of the first two, and how many after the first have d1 / d of ``threshold`` or more
+    before the first that has not.  No distance or a single one: 0; no finite one: 1; equal
+    zeros are ties, each a near miss.
+    """
+    first, second = F.try_element_at(distances, F.lit(1)), F.try_element_at(distances, F.lit(2))
+    none = first.isNull() | (first == float("inf"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("going"))
+
+    def step(state: Column, d: Column) -> Column:
+        near = F.coalesce(F.when(first == 0, d == 0).otherwise(first / F.nullif(d, F.lit(0.0)) >= threshold), F.lit(False))
+        going = state["going"] & near
+        return F.struct((state["n"] + going.cast("long")).alias("n"), going.alias("going"))
+
+    count = F.aggregate(F.slice(distances, 2, F.greatest(F.size(distances) - 1, F.lit(0))), start, step)["n"]
+    ratio = F.when(F.size(distances) == 0, 0.0).when(none, 1.0).when(F.size(distances) < 2, 0.0).when(first == 0, F.when(second == 0, 1.0).otherwise(0.0)).otherwise(F.coalesce(first / F.nullif(second, F.lit(0.0)), F.lit(0.0)))
+    return F.struct(ratio.alias("nndr"), F.when(none | (F.size(distances) < 2), 0).otherwise(count).cast("long").alias("near_misses"))

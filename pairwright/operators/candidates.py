@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cleaning
+from ..sources.tables import write_csv
+
 # Least accuracies that a scored run must reach.
 FLOORS = {"clean_accuracy": 1.0, "duplicate_group_accuracy": 1.0, "missing_one_accuracy": 0.9, "overall_accuracy": 0.85, "wrong_flagged_rate": 0.6}
 
@@ -69,7 +73,42 @@ def floor_failures(accuracy: DataFrame) -> list[str]:
     return found
 
 
-def perturbed(table: DataFrame, columns: Sequence[str], level: float, seed: int = 42) -> DataFrame:
-    """Numeric columns with normal noise of ``level`` times their population deviation, to four places; nulls stay."""
+def hashed_normal(key: Column, stream: str) -> Column:
+    """Standard normal noise that depends on a key alone: two uniform numbers from its hash, by Box and Muller's rule."""
+
+    def uniform(part: str) -> Column:
+        head = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{stream}:{part}"))), 1, 8)
+        return (F.conv(head, 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+    return F.sqrt(F.lit(-2.0) * F.log(uniform("a"))) * F.cos(F.lit(2 * math.pi) * uniform("b"))
+
+
+def perturbed(table: DataFrame, columns: Sequence[str], level: float, seed: int = 42, key: str | None = None) -> DataFrame:
+    """Numeric columns with normal noise of ``level`` times their population deviation, to four places; nulls stay.
+
+    With a ``key`` column a row has the same noise in every run; without one it is random.
+    """
     spread = table.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()  # a number a column
-    return table.withColumns({c: F.round(F.col(c) + F.lit(level * (spread[c] or 1.0)) * F.randn(seed + k), 4) for k, c in enumerate(columns)})
+    noise = [F.randn(seed + k) if key is None else hashed_normal(F.col(key), f"{seed}:{k}") for k in range(len(columns))]
+    return table.withColumns({c: F.round(F.col(c) + F.lit(level * (spread[c] or 1.0)) * noise[k], 4) for k, c in enumerate(columns)})
+
+
+def numeric_columns(table: DataFrame, without: Sequence[str] = ()) -> list[str]:
+    """Columns, but those named in ``without``, whose every cell is a number; a blank cell is none."""
+    columns = [c for c in table.columns if c.strip() not in {w.strip() for w in without}]
+    if not columns:
+        return []
+    other = [F.count_if(F.coalesce(cleaning.clean_value(F.col(f"`{c}`").cast("string")).isNull(), F.lit(True))).alias(f"c{k}") for k, c in enumerate(columns)]
+    row = table.agg(*other).first()  # a number a column
+    return [c for k, c in enumerate(columns) if row[f"c{k}"] == 0]
+
+
+def write_perturbed(table: DataFrame, folder: str, id_column: str, levels: Sequence[float] = (0.1, 0.25, 0.5), seed: int = 42) -> list[str]:
+    """A folder of CSV for each level of noise on all numeric columns but the id; gives their paths."""
+    columns = numeric_columns(table, [id_column])
+    numbers = table.withColumns({c: cleaning.clean_value(F.col(f"`{c}`").cast("string")) for c in columns})
+    paths = []
+    for level in levels:
+        paths.append(f"{folder.rstrip('/')}/noise_{round(level * 100):03d}pct")
+        write_csv(perturbed(numbers, columns, level, seed, id_column), paths[-1])
+    return paths

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import diagnostics
 from ..operators.linking import ColumnLink, common_links, personal_headers, validated
@@ -41,8 +42,11 @@ def coordinate_text(spark: SparkSession, target: str, supplemental: str, links:
     return link_tables(parse_csv_text(spark, target, "target"), parse_csv_text(spark, supplemental, "supplemental"), links, exclude, threshold)
 
 
-def coordinator(spark: SparkSession, target: str, supplemental: str, output: str, exclude: Iterable[str] = (), threshold: float = 0.8) -> list[str]:
-    """Link two CSV files; writes the linked table to ``output`` and the detail beside it, and gives the warnings."""
+def coordinator(spark: SparkSession, target: str, supplemental: str, output: str, exclude: Iterable[str] = (), threshold: float = 0.8, fast: bool = False) -> list[str]:
+    """Link two CSV files; writes the linked table to ``output`` and the detail beside it, and gives the warnings.
+
+    ``fast`` is taken for the sake of callers: there is one engine, which is exact.
+    """
     found = link_tables(load_csv(spark, target), load_csv(spark, supplemental), None, exclude, threshold, (target, supplemental))
     base = output.removesuffix(".csv")
     write_csv(found.linked(), output, [f"{INDEX}", "target_index"])
@@ -50,11 +54,27 @@ def coordinator(spark: SparkSession, target: str, supplemental: str, output: str
     return found.warnings
 
 
-def coordinate(target: DataFrame, supplemental: DataFrame, features: Sequence[tuple[str, str, str]], target_index: str, supplemental_index: str, threshold: float = 0.8) -> Linkage:
-    """A linkage of two DataFrames, such as Parquet tables, by features (name, target column, supplemental column)."""
+def coordinate(target: DataFrame, supplemental: DataFrame, features: Sequence[tuple[str, str, str]], target_index: str, supplemental_index: str, threshold: float = 0.8, fast: bool = False) -> Linkage:
+    """A linkage of two DataFrames, such as Parquet tables, by features (name, target column, supplemental column).
+
+    ``fast`` is taken for the sake of callers: there is one engine, which is exact.
+    """
     return Linkage(target, supplemental, features, target_index, supplemental_index, threshold)
 
 
+def results(found: Linkage) -> dict:
+    """A finished linkage by name: short lists and the summary as values, tables as DataFrames, rows of the first two as text."""
+
+    def text(table: DataFrame) -> DataFrame:
+        return table.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in table.columns))
+
+    linked, detail = text(found.linked()), text(found.detail())
+    return {
+        "feature_names": list(found.names), "smd": list(found.smd), "threshold": found.threshold, "warnings": found.warnings, "linked_headers": linked.columns, "linked_rows": linked,
+        "detail_headers": detail.columns, "detail_rows": detail, "per_target": found.per_target, "summary": found.summary().first().asDict(),
+    }
+
+
 def personal_data_warnings(target: RawTable, supplemental: RawTable) -> list[tuple[str, str, str]]:
     return personal_headers(target.headers, "target") + personal_headers(supplemental.headers, "supplemental")
 

@@ -13,8 +13,8 @@ _TABLES = {
     ),
     "nations": ("SELECT c_custkey AS idx, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE CAST(c_nationkey AS DOUBLE) * c_nationkey * c_nationkey END AS f0 FROM customer", "SELECT s_suppkey AS idx, CAST(s_nationkey AS DOUBLE) * s_nationkey * s_nationkey AS f0 FROM supplier", ["nation"]),
     "overlap": (
-        "SELECT c_custkey AS idx, c_acctbal AS f0, CAST(c_nationkey AS DOUBLE) AS f1 FROM customer WHERE c_custkey % 3 = 0",
-        "SELECT c_custkey AS idx, c_acctbal AS f0, CAST(c_nationkey AS DOUBLE) AS f1 FROM customer WHERE c_custkey % 2 = 0",
+        "SELECT c_custkey AS idx, CAST(floor(CAST(c_acctbal AS DOUBLE) / 100e0) * 100 AS DOUBLE) + 0.3333e0 AS f0, CAST(c_nationkey AS DOUBLE) AS f1 FROM customer",
+        "SELECT c_custkey AS idx, CAST(c_acctbal AS DOUBLE) AS f0, CAST(c_nationkey AS DOUBLE) AS f1 FROM customer",
         ["balance", "nation"],
     ),
     "profiles": (
@@ -30,6 +30,22 @@ _TABLES = {
 }
 
 
+def _noise(stream: str) -> str:
+    """Normal noise from the hash of a supplier's key, as ``candidates.hashed_normal`` has it."""
+    u = [f"((CAST('0x' || substr(md5(CAST(s_suppkey AS VARCHAR) || ':{stream}:{part}'), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0)" for part in "ab"]
+    return f"sqrt(-2e0 * ln({u[0]})) * cos(2e0 * pi() * {u[1]})"
+
+
+LEVELS = (0.1, 0.25, 0.5)
+for _level in LEVELS:
+    _TABLES[f"noise {_level}"] = (
+        f"SELECT s_suppkey AS idx, round(s_acctbal + {_level}e0 * d0 * ({_noise('42:0')}), 4) AS f0, round(CAST(s_nationkey AS DOUBLE) + {_level}e0 * d1 * ({_noise('42:1')}), 4) AS f1 "
+        "FROM supplier, (SELECT stddev_pop(s_acctbal) AS d0, stddev_pop(CAST(s_nationkey AS DOUBLE)) AS d1 FROM supplier)",
+        "SELECT s_suppkey AS idx, CAST(s_acctbal AS DOUBLE) AS f0, CAST(s_nationkey AS DOUBLE) AS f1 FROM supplier",
+        ["balance", "nation"],
+    )
+
+
 class _Sum(str):
     """A term of a sum, in parentheses, so that the order of additions is kept."""
 

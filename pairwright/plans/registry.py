@@ -312,20 +312,33 @@ def scenario_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.scenario_accuracy(results)
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT * FROM ({oracle.matched(f'noise {level}')} SELECT {level}e0 AS level, count(*) AS n, count(*) FILTER (target_idx = match_idx) AS correct FROM m)" for level in oracle.LEVELS))
 def perturbed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers with noise linked back to suppliers: the share that finds itself, by level of noise (rows only: the noise is random)."""
-    table = read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("s_nationkey"))
+    """Suppliers with noise linked back to suppliers: the share that finds itself, by level of noise."""
+    table = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal"), F.col("s_nationkey").cast("double").alias("s_nationkey"))
     features = [("balance", "s_acctbal", "s_acctbal"), ("nation", "s_nationkey", "s_nationkey")]
     out = None
-    for level in (0.1, 0.25, 0.5):
-        noisy = candidates.perturbed(table, ["s_acctbal", "s_nationkey"], level)
+    for level in oracle.LEVELS:
+        noisy = candidates.perturbed(table, ["s_acctbal", "s_nationkey"], level, key="s_suppkey")
         found = fixtures.Linkage(noisy, table, features, "s_suppkey", "s_suppkey").matches
         row = found.agg(F.lit(level).alias("level"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("target_idx") == F.col("match_idx")).alias("correct"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query(
+    oracle.base("accounts")
+    + ", k AS (SELECT ti, d, row_number() OVER (PARTITION BY ti ORDER BY d, si) AS r FROM p WHERE d IS NOT NULL), x AS (SELECT ti, min(CASE WHEN r = 1 THEN d END) AS d1, min(CASE WHEN r = 2 THEN d END) AS d2 FROM k GROUP BY ti), "
+    "y AS (SELECT k.ti, count(CASE WHEN r > 1 AND (CASE WHEN d1 = 0 THEN d = 0 ELSE d1 / nullif(d, 0e0) >= 0.8e0 END) THEN 1 END) AS n FROM k JOIN x ON x.ti = k.ti WHERE r <= 50 GROUP BY k.ti) "
+    "SELECT idx AS target_idx, round(CASE WHEN d2 IS NULL THEN 0e0 WHEN d1 = 0 THEN CASE WHEN d2 = 0 THEN 1e0 ELSE 0e0 END ELSE d1 / nullif(d2, 0e0) END, 6) AS nndr, coalesce(n, 0) AS near_misses FROM t LEFT JOIN x ON x.ti = idx LEFT JOIN y ON y.ti = idx"
+)
+def cascading_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratio and near misses of the lists of the fifty least distances."""
+    lists = linkage(spark, sf_dir, "accounts").matcher.top_distances(50)
+    found = lists.select("target_idx", signals.cascading_ratio(F.col("top_k_distances")).alias("x"))
+    return found.select("target_idx", six(F.col("x.nndr"), "nndr"), F.col("x.near_misses").alias("near_misses"))
+
+
 @query(oracle.base("accounts") + ", k AS (SELECT ti, si, d, row_number() OVER (PARTITION BY ti ORDER BY d, si) AS rank FROM p WHERE d IS NOT NULL), y AS (SELECT k.*, a.z0 AS a0, a.z1 AS a1, c.z0 AS c0, c.z1 AS c1 FROM k JOIN tz AS a ON a.idx = ti JOIN sz AS c ON c.idx = si WHERE rank <= 3) SELECT ti AS target_idx, rank, si AS supp_idx, 'balance' AS feature, round(coalesce((a0 - c0) * (a0 - c0), 2e0), 6) AS term FROM y UNION ALL SELECT ti, rank, si, 'nation', round(coalesce((a1 - c1) * (a1 - c1), 2e0), 6) FROM y")
 def explained_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest rows of each target, feature by feature."""

@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 INDEX = "row_index"
@@ -47,20 +46,16 @@ def with_row_index(df: DataFrame, name: str = INDEX) -> DataFrame:
     return marked.join(F.broadcast(starts), "__part").select((F.col("start") + F.col("__place") - F.col("first")).alias(name), *df.columns)
 
 
-def _ragged(spark: SparkSession, path: str, width: int) -> str | None:
-    """The message for the first row of another width than the header's; the file is read by one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                reader = csv.reader(io.TextIOWrapper(pa.BufferReader(data.as_buffer()), "utf-8-sig", newline=""))
-                for k, row in enumerate(reader):
-                    if row and len(row) != width:
-                        yield pa.RecordBatch.from_arrays([pa.array([k + 1]), pa.array([len(row)])], ["line", "cells"])
-                        break
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line long, cells long").first()
-    return found and f"{path}: line {found['line']} has {found['cells']} cells, the header has {width}"
+def _ragged(reader: DataFrameReader, path: str, width: int) -> str | None:
+    """The message for the first row of another width than the header's."""
+    schema = ", ".join([*(f"c{k} string" for k in range(width)), "_other string"])
+    rows = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_other").option("columnPruning", False).csv(path)
+    # One task reads a file with line breaks within quotes, so these numbers have no gaps.
+    found = rows.withColumn("line", F.monotonically_increasing_id() + 1).filter(F.col("_other").isNotNull() & F.col("c0").eqNullSafe(F.col("c0"))).orderBy("line").first()
+    if found is None:
+        return None
+    cells = len(next(csv.reader(io.StringIO(found["_other"], newline=""))))
+    return f"{path}: line {found['line']} has {cells} cells, the header has {width}"
 
 
 def load_csv(spark: SparkSession, path: str, drop_blank_rows: bool = False) -> RawTable:
@@ -76,7 +71,7 @@ def load_csv(spark: SparkSession, path: str, drop_blank_rows: bool = False) -> R
         raise ValueError(f"{path}: file is empty")
     headers = [(h or "") for h in first]
     headers[0] = headers[0].removeprefix("﻿")
-    if message := _ragged(spark, path, len(headers)):
+    if message := _ragged(reader, path, len(headers)):
         raise ValueError(message)
     rows = raw.toDF(*(f"c{k}" for k in range(len(headers))))
     if drop_blank_rows:

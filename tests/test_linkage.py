@@ -4,6 +4,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from pairwright.functions import signals
 from pairwright.operators import candidates, diagnostics
 from pairwright.operators.linking import ColumnLink
 from pairwright.plans import coordinate, registry
@@ -191,3 +192,31 @@ def test_entry_imports_without_the_optional_part():
 
     assert __spark_entry__._additional("pairwright.no_such_part") is None
     assert "match" in __spark_entry__.queries() and F is not None
+
+
+def test_cascading_ratio_of_lists(spark):
+    inf = float("inf")
+    lists = [[1.0, 1.0, 1.1, 1.2, 5.0], [1.0, 1.1, 2.0, 1.05], [0.0, 0.0, 0.0, 1.0], [0.0, 2.0], [3.0], [], [inf, inf], [1.0, inf], [4.0, 5.0]]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k long, d array<double>")
+    got = {r["k"]: (r["x"]["nndr"], r["x"]["near_misses"]) for r in rows.select("k", signals.cascading_ratio(F.col("d")).alias("x")).collect()}
+    assert [got[k] for k in range(9)] == [(1.0, 3), (1 / 1.1, 1), (1.0, 2), (0.0, 0), (0.0, 0), (0.0, 0), (1.0, 0), (0.0, 0), (0.8, 1)]
+
+
+def test_perturbed_files(spark, tmp_path):
+    table = spark.createDataFrame([("a", "1,000", "2", "x", "3"), ("b", "$5", "4", "7", "")], "id string, p string, q string, r string, s string")
+    assert candidates.numeric_columns(table, ["id "]) == ["p", "q"]
+    first, *_ = paths = candidates.write_perturbed(table, str(tmp_path / "noise"), "id")
+    assert [p.rsplit("/", 1)[-1] for p in paths] == ["noise_010pct", "noise_025pct", "noise_050pct"]
+    got = {r["id"]: r for r in spark.read.option("header", True).csv(first).collect()}
+    assert got["a"]["r"] == "x" and 0 < abs(float(got["a"]["p"]) - 1000) < 500
+    again = candidates.perturbed(spark.range(1000).withColumn("v", F.col("id").cast("double")), ["v"], 0.5, key="id")
+    noise = again.select(((F.col("v") - F.col("id")) / (0.5 * 288.67)).alias("z")).agg(F.avg("z"), F.stddev("z")).first()
+    assert abs(noise[0]) < 0.15 and abs(noise[1] - 1) < 0.1
+
+
+def test_results_by_name(spark):
+    target = spark.createDataFrame([(0, 1.0, "x"), (1, 5.0, None)], "i long, v double, note string")
+    supplemental = spark.createDataFrame([(0, 1.0), (1, 4.0), (2, None)], "i long, w double")
+    found = coordinate.results(coordinate.coordinate(target, supplemental, [("v", "v", "w")], "i", "i", fast=True))
+    assert found["feature_names"] == ["v"] and found["summary"]["total"] == 2 and found["linked_headers"] == found["linked_rows"].columns
+    assert all(isinstance(x, str) for r in found["linked_rows"].collect() + found["detail_rows"].collect() for x in r)
