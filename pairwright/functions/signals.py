@@ -45,22 +45,27 @@ def _filled(message: str, **columns: Column) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def flags(features: Sequence[str], smd: Sequence[float], threshold: float, with_ratio: bool = True) -> Column:
-    """The flags of a row of matches with target_missing and match_missing; "" if there are none.
+def two_places(x: Column) -> Column:
+    """A number of 0 to 1 as text with two places: its exact binary value, rounded half to even (exact from 1/16 on).
 
-    ``with_ratio=False`` leaves the two-digit ratio out of the text: its last digit is rounded
-    half up here, which other engines may not do.
+    As a whole number of 2^-56 the value is a long, and so is its hundredfold.
     """
+    hundredfold = (x * F.lit(2.0**56)).cast("long") * 100
+    whole, rest, half = F.shiftright(hundredfold, 56), hundredfold.bitwiseAND(F.lit((1 << 56) - 1)), F.lit(1 << 55)
+    n = whole + ((rest > half) | ((rest == half) & (whole % 2 == 1))).cast("long")
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
+def flags(features: Sequence[str], smd: Sequence[float], threshold: float) -> Column:
+    """The flags of a row of matches with target_missing and match_missing; "" if there are none."""
     n = len(features)
     poor = ", ".join(f for f, v in zip(features, smd, strict=True) if v > SMD_POOR)
     warned = ", ".join(f for f, v in zip(features, smd, strict=True) if SMD_WARNING < v <= SMD_POOR)
     ambiguous = AMBIGUOUS.replace("{threshold:.2f}", f"{threshold:.2f}")
-    if not with_ratio:
-        ambiguous = ambiguous.replace(" {nndr}", "")
     target_missing = F.when(F.col("target_missing") > 0, _filled(TARGET_MISSING.replace("{n}", str(n)), k=F.col("target_missing")))
     matched = F.concat_ws(
         SEPARATOR,
-        F.when(F.col("nndr") >= threshold, _filled(ambiguous, nndr=F.format_string("%.2f", "nndr"))),
+        F.when(F.col("nndr") >= threshold, _filled(ambiguous, nndr=two_places(F.col("nndr")))),
         F.when(F.col("near_miss") > 0, _filled(NEAR_MISS, n=F.col("near_miss"))),
         F.when(F.col("repeats") > 1, _filled(TIES, n=F.col("repeats"))),
         F.when(~F.col("mnn_confirmed"), F.lit(NOT_MUTUAL)),

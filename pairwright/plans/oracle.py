@@ -88,7 +88,7 @@ def matched(fixture: str, threshold: float = 0.8) -> str:
 
 
 def judged(fixture: str, threshold: float = 0.8) -> str:
-    """``matched`` and g (smd by feature), h (missing counts, contributions) and j (flags without the ratio's digits)."""
+    """``matched`` and g (smd by feature), h (missing counts, contributions) and j (flags)."""
     features = names(fixture)
     d = range(len(features))
     n = len(features)
@@ -109,9 +109,13 @@ def judged(fixture: str, threshold: float = 0.8) -> str:
         return f"'{message}'"
 
     target_missing = f"CASE WHEN target_missing > 0 THEN {text(signals.TARGET_MISSING, k='target_missing', n=str(n))} END"
-    ambiguous = signals.AMBIGUOUS.replace(" {nndr}", "").replace("{threshold:.2f}", f"{threshold:.2f}")
+    hundredfold = f"(CAST(nndr * {2.0**56:.0f}e0 AS BIGINT) * 100)"  # exact, as in signals.two_places
+    whole, rest = f"({hundredfold} // {1 << 56})", f"({hundredfold} % {1 << 56})"
+    hundredths = f"({whole} + CASE WHEN {rest} > {1 << 55} OR ({rest} = {1 << 55} AND {whole} % 2 = 1) THEN 1 ELSE 0 END)"
+    ratio = f"({hundredths} // 100) || '.' || lpad(CAST({hundredths} % 100 AS VARCHAR), 2, '0')"
+    ambiguous = text(signals.AMBIGUOUS.replace("{threshold:.2f}", f"{threshold:.2f}"), nndr=ratio)
     flags = (
-        f"CASE WHEN no_match THEN concat_ws(' | ', '{signals.NO_MATCH}', {target_missing}) ELSE concat_ws(' | ', CASE WHEN nndr >= {threshold}e0 THEN '{ambiguous}' END, "
+        f"CASE WHEN no_match THEN concat_ws(' | ', '{signals.NO_MATCH}', {target_missing}) ELSE concat_ws(' | ', CASE WHEN nndr >= {threshold}e0 THEN {ambiguous} END, "
         f"CASE WHEN near_miss > 0 THEN {text(signals.NEAR_MISS, n='near_miss')} END, CASE WHEN repeats > 1 THEN {text(signals.TIES, n='repeats')} END, CASE WHEN NOT mnn_confirmed THEN '{signals.NOT_MUTUAL}' END, {target_missing}, "
         f"CASE WHEN match_missing > 0 THEN {text(signals.MATCH_MISSING, k='match_missing', n=str(n))} END, CASE WHEN x IS NOT NULL THEN '{poor}' END, CASE WHEN y IS NOT NULL THEN '{warned}' END) END"
     )

@@ -123,13 +123,12 @@ def top_k_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage(spark, sf_dir, "overlap").matcher.candidates(5).select("target_idx", "rank", "supp_idx", six("distance"))
 
 
-@query(oracle.base("accounts") + ", k AS (SELECT ti, d, row_number() OVER (PARTITION BY ti ORDER BY d, si) AS r FROM p WHERE d IS NOT NULL) SELECT idx AS target_idx, coalesce(n, 0) AS n, round(total, 5) AS total FROM t LEFT JOIN (SELECT ti, count(*) AS n, sum(d) AS total FROM k WHERE r <= 50 GROUP BY ti) AS x ON x.ti = t.idx")
+@query(oracle.base("accounts") + ", k AS (SELECT ti, d, row_number() OVER (PARTITION BY ti ORDER BY d, si) AS r FROM p WHERE d IS NOT NULL) SELECT ti AS target_idx, r AS rank, round(d, 6) AS distance FROM k WHERE r <= 50")
 def top_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty least distances of each target as a list, here by number and sum."""
+    """The fifty least distances of each target, one by one; a target without any has no row."""
     lists = linkage(spark, sf_dir, "accounts").matcher.top_distances(50)
-    n = F.size("top_k_distances")
-    total = F.aggregate("top_k_distances", F.lit(0.0), lambda a, x: a + x)
-    return lists.select("target_idx", n.alias("n"), F.when(n > 0, F.round(total, 5)).alias("total"))
+    each = lists.select("target_idx", F.posexplode("top_k_distances").alias("place", "d"))
+    return each.select("target_idx", (F.col("place") + 1).cast("long").alias("rank"), six("d", "distance"))
 
 
 @query(
@@ -171,8 +170,7 @@ for _name, _fixture in (("dataset_smd", "accounts"), ("feature_smd", "profiles")
 
 def _flags(fixture: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        x = linkage(spark, sf_dir, fixture)
-        return x.per_target.withColumn("flags", signals.flags(x.names, x.smd, x.threshold, with_ratio=False)).select("target_idx", "target_missing", "match_missing", "flags")
+        return linkage(spark, sf_dir, fixture).per_target.select("target_idx", "target_missing", "match_missing", "flags")
 
     return run
 
@@ -183,23 +181,23 @@ for _name, _fixture in (("flags", "accounts"), ("flags_ties", "nations"), ("flag
 
 @query(
     oracle.judged("accounts")
-    + " SELECT j.target_idx AS target_index, c.c_mktsegment, c.c_name, t.f0 AS c_acctbal, t.f1 AS c_nationkey, x.s_name, round(best_distance, 6) AS euc_distance, repeats, CASE WHEN NOT no_match THEN round(nndr, 4) END AS nndr, near_miss AS near_miss_count, CAST(mnn_confirmed AS INTEGER) AS mnn_confirmed, flags <> '' AS flagged "
+    + " SELECT j.target_idx AS target_index, c.c_mktsegment, c.c_name, t.f0 AS c_acctbal, t.f1 AS c_nationkey, x.s_name, round(best_distance, 6) AS euc_distance, repeats, CASE WHEN NOT no_match THEN round(nndr, 4) END AS nndr, near_miss AS near_miss_count, CAST(mnn_confirmed AS INTEGER) AS mnn_confirmed, flags "
     "FROM j JOIN customer AS c ON c.c_custkey = j.target_idx JOIN t ON t.idx = j.target_idx LEFT JOIN supplier AS x ON x.s_suppkey = j.match_idx"
 )
 def linked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The linked table: target columns, the match's other columns, and its figures."""
     table = linkage(spark, sf_dir, "accounts").linked()
-    return table.withColumn("euc_distance", F.round("euc_distance", 6)).withColumn("flagged", F.col("flags") != "").drop("flags")
+    return table.withColumn("euc_distance", F.round("euc_distance", 6))
 
 
 @query(
     oracle.judged("accounts")
     + " SELECT target_idx AS target_index, round(best_distance, 6) AS euc_distance, CASE WHEN NOT no_match THEN round(nndr, 4) END AS nndr, near_miss AS near_miss_count, CAST(mnn_confirmed AS INTEGER) AS mnn_confirmed, target_missing, match_missing, "
-    "CASE WHEN NOT no_match THEN round(c0, 6) END AS contrib_balance, CASE WHEN NOT no_match THEN round(c1, 6) END AS contrib_nation, flags <> '' AS flagged FROM j"
+    "CASE WHEN NOT no_match THEN round(c0, 6) END AS contrib_balance, CASE WHEN NOT no_match THEN round(c1, 6) END AS contrib_nation, flags FROM j"
 )
 def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detail table of the same linkage."""
-    return linkage(spark, sf_dir, "accounts").detail().withColumn("euc_distance", F.round("euc_distance", 6)).withColumn("flagged", F.col("flags") != "").drop("flags")
+    return linkage(spark, sf_dir, "accounts").detail().withColumn("euc_distance", F.round("euc_distance", 6))
 
 
 @query(

@@ -43,6 +43,12 @@ def test_flags(found):
     assert r[3]["flag_list"] == ["WARNING: no valid match — target shares no observed features with any supplemental row", "target row missing 2 of 2 shared feature(s); match uses observed features only"]
 
 
+def test_ratios_are_rounded_by_their_exact_value(spark):
+    values = [k / 1000 for k in range(63, 1001)] + [0.125, 0.375, 0.625, 0.875, 1.0, 0.0, 0.8049999999999999, 0.9949999999999999, 0.9999999999999999]
+    table = spark.createDataFrame([(v,) for v in values], "x double").select("x", signals.two_places(F.col("x")).alias("s"))
+    assert [(r["x"], r["s"]) for r in table.collect() if r["s"] != f"{r['x']:.2f}"] == []
+
+
 def test_summary_and_statistics(found):
     s = found.summary().first()
     assert (s["total"], s["no_match"], s["mnn_confirmed"], s["flagged"]) == (6, 1, 4, 6)
