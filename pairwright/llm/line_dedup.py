@@ -230,21 +230,27 @@ def kept_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     memberships = neighbours.memberships(nodes, threshold)
     members = written(memberships, "members")
     drop(memberships.reads)
+    # Keys and sketches, most of the table, have done their work.
+    placed = written(nodes.select("node", "doc_id", "row_key", "line", "size"), "places")
+    drop(nodes.written_to)
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "row_key", "line"), "node")
+    wanted = members.select("node").distinct().join(placed.drop("size"), "node")
     wanted = wanted.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.collect_list(F.struct("line", "node")).alias("wanted"))
     found = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["d"]) & (docs["row_key"] == wanted["r"]))
     sets = found.select("text", "wanted").mapInArrow(_wanted_lines, "node long, content binary")
     none = F.array().cast("array<long>").alias("keys")  # how often a pair meets does not matter here, so no keys are moved
-    described = members.join(nodes.select("node", none, "size", F.lit(1).cast("long").alias("copies")), "node")
+    described = members.join(placed.select("node", none, "size", F.lit(1).cast("long").alias("copies")), "node")
     links = written(neighbours.verified(described.join(sets, "node"), threshold, line_sets).select(F.col("node").alias("a"), F.col("reaches").alias("b")), "links")
     drop(members.written_to)
     roots = connected_components(links)
-
-    placed = nodes.select("node", "doc_id", "row_key", "line").join(roots, "node", "left")
-    alone = placed.filter("root is null").select("doc_id", "row_key", "line")
-    grouped = placed.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("at")).select("at.*")
-    return written(alone.unionByName(grouped).groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("keep")), "kept")
+    drop(links.written_to)
+
+    rooted = placed.drop("size").join(roots, "node", "left")
+    alone = rooted.filter("root is null").select("doc_id", "row_key", "line")
+    grouped = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("at")).select("at.*")
+    kept = written(alone.unionByName(grouped).groupBy("doc_id", "row_key").agg(F.collect_list("line").alias("keep")), "kept")
+    drop(placed.written_to)
+    return kept
 
 
 def _apply(docs: DataFrame, threshold: float) -> DataFrame:
