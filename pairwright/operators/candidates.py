@@ -54,6 +54,20 @@ def scenario_accuracy(results: DataFrame) -> DataFrame:
     )
 
 
+def scenario_summary(results: DataFrame) -> DataFrame:
+    """(scenario, n, pct_exact, pct_fuzzy, pct_correct_top1) of results with scenario, matched, truth and best_distance.
+
+    Exact matches have distance 0, fuzzy ones a greater; rows without a match are neither.
+    """
+
+    def share(hit: Column) -> Column:
+        return 100.0 * F.count_if(hit) / F.count(F.lit(1))
+
+    distance = F.col("best_distance")
+    right = F.coalesce(F.col("matched") == F.col("truth"), F.lit(False))
+    return results.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), share(distance == 0).alias("pct_exact"), share(distance > 0).alias("pct_fuzzy"), share(right).alias("pct_correct_top1"))
+
+
 def floor_failures(accuracy: DataFrame) -> list[str]:
     """What of ``scenario_accuracy`` is below its floor; measures without rows are passed over."""
     rows = {r["scenario"]: r for r in accuracy.collect()}  # a row a scenario

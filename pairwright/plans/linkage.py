@@ -207,6 +207,15 @@ class Linkage:
         """The same linkage with one feature left out."""
         return Linkage(self.target, self.supplemental, [x for x in self.links if x[0] != name], self.target_index, self.supplemental_index, self.threshold)
 
+    def stability(self) -> DataFrame:
+        """(left_out, n, same): for each feature, of n targets how many keep their match without it; none stays none."""
+        out = None
+        for name in self.names:
+            other = self.without_feature(name).matches.select("target_idx", F.col("match_idx").alias("other_idx"))
+            row = self.matches.join(other, "target_idx").agg(F.lit(name).alias("left_out"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("match_idx").eqNullSafe(F.col("other_idx"))).alias("same"))
+            out = row if out is None else out.unionByName(row)
+        return out
+
 
 def from_links(links: Sequence[ColumnLink], target: Sequence[str], supplemental: Sequence[str]) -> list[tuple[str, str, str]]:
     """Features for ``Linkage`` from links by place; ``target`` and ``supplemental`` name the tables' columns."""

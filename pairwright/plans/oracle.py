@@ -46,6 +46,13 @@ for _level in LEVELS:
     )
 
 
+for _left_out, _own in ((0, "f1"), (1, "f0")):
+    _TABLES[f"overlap without {_TABLES['overlap'][2][_left_out]}"] = (
+        *(f"SELECT idx, {_own} AS f0 FROM ({side})" for side in _TABLES["overlap"][:2]),
+        [_TABLES["overlap"][2][1 - _left_out]],
+    )
+
+
 class _Sum(str):
     """A term of a sum, in parentheses, so that the order of additions is kept."""
 

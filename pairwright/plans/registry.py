@@ -303,11 +303,37 @@ def duplicate_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def scenario_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches against the truth, by market segment: a customer in both tables should find itself."""
+    return candidates.scenario_accuracy(_scenarios(spark, sf_dir))
+
+
+@query(
+    oracle.matched("overlap")
+    + " SELECT c_mktsegment AS scenario, count(*) AS n, round(100e0 * count(*) FILTER (best_distance = 0) / count(*), 6) AS pct_exact, round(100e0 * count(*) FILTER (best_distance > 0) / count(*), 6) AS pct_fuzzy, "
+    "round(100e0 * count(*) FILTER (match_idx = target_idx) / count(*), 6) AS pct_correct_top1 FROM m JOIN customer ON c_custkey = target_idx GROUP BY c_mktsegment"
+)
+def scenario_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of exact, fuzzy and right matches, by market segment."""
+    found = candidates.scenario_summary(_scenarios(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("pct_exact", "pct_fuzzy", "pct_correct_top1")})
+
+
+def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of customers linked to themselves, with their truth."""
     x = linkage(spark, sf_dir, "overlap")
     truth = x.supplemental.select(F.col("c_custkey").alias("truth"))
     segments = x.target.select(F.col("c_custkey").alias("target_idx"), F.col("c_mktsegment").alias("scenario"))
-    results = x.per_target.join(truth, F.col("target_idx") == F.col("truth"), "left").join(segments, "target_idx").withColumnRenamed("match_idx", "matched")
-    return candidates.scenario_accuracy(results)
+    return x.per_target.join(truth, F.col("target_idx") == F.col("truth"), "left").join(segments, "target_idx").withColumnRenamed("match_idx", "matched")
+
+
+def _stability_sql(name: str) -> str:
+    x, y = (f"({oracle.matched(fixture)} SELECT target_idx, match_idx FROM m)" for fixture in ("overlap", f"overlap without {name}"))
+    return f"SELECT '{name}' AS left_out, count(*) AS n, count(*) FILTER (x.match_idx IS NOT DISTINCT FROM y.match_idx) AS same FROM {x} AS x JOIN {y} AS y ON x.target_idx = y.target_idx"
+
+
+@query(" UNION ALL ".join(_stability_sql(name) for name in oracle.names("overlap")))
+def match_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many customers keep their match if one feature is left out."""
+    return linkage(spark, sf_dir, "overlap").stability()
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({oracle.matched(f'noise {level}')} SELECT {level}e0 AS level, count(*) AS n, count(*) FILTER (target_idx = match_idx) AS correct FROM m)" for level in oracle.LEVELS))
