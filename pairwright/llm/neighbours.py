@@ -167,9 +167,9 @@ def hashes(content: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buf.tobytes(), np.uint64), np.repeat(np.arange(len(size)), size)
 
 
-#: Members of a block that is verified together with others, and hashes that are taken at a time.
+#: Members of a block that is verified together with others, and hashes that are taken at a time (few, to stay in the cache).
 SMALL_BLOCK = 12
-BATCH_HASHES = 1 << 20
+BATCH_HASHES = 1 << 18
 
 
 def _small_blocks(rows: pa.Table, threshold: float, set_of: Callable) -> list[np.ndarray]:
@@ -201,11 +201,13 @@ def _small_blocks(rows: pa.Table, threshold: float, set_of: Callable) -> list[np
     shared = np.zeros(base[-1], np.int64)
     for length in range(2, SMALL_BLOCK + 1):
         at = begin[run == length]
+        if not len(at):
+            continue
         for x in range(length):
             for y in range(x + 1, length):
                 a, b = own[at + x], own[at + y]
                 g = group[a]
-                shared += np.bincount(base[g] + place[a] * size[g] + place[b], minlength=base[-1]) if len(at) else 0
+                shared += np.bincount(base[g] + place[a] * size[g] + place[b], minlength=base[-1])
     hit = np.flatnonzero(shared)
     g = np.searchsorted(base, hit, "right") - 1
     a, b = first[g] + (hit - base[g]) // size[g], first[g] + (hit - base[g]) % size[g]
