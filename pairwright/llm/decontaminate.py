@@ -18,7 +18,8 @@ Result: (doc_id, item_id, similarity, first_word, n_words, distance), the best w
 row of documents and item.  Nulls: null texts, and items without a word, match nothing; null
 ids stay null.  Repeated rows match each; ties go to the window that comes first.  Empty
 tables give no rows.  Documents shorter than an item are compared as they are, if they have
-``THRESHOLD`` of its class's words.  Other columns are ignored.
+``THRESHOLD`` of its class's words.  Texts and items are taken whole, whatever their length.
+Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ over block summaries (tokens, ends, place of the last end): first within groups
 
 Nulls: blocks with null data count as empty; a null text is written as an empty document
 (its end id alone); a null doc_id stays null.  Repeated documents are counted each; an empty
-table gives no rows; tokens after a file's last end id give one row that is not ``ended``.
+table gives no rows; texts are read whole, whatever their length; tokens after a file's last end id give one row that is not ``ended``.
 Columns with other names are ignored.
 """
 

@@ -106,6 +106,16 @@ def test_classifiers_without_labels_and_rows(spark):
     assert toxicity.classify(docs.limit(0), none).count() == 0 == quality_model.classify(docs.limit(0), none).count()
 
 
+@pytest.mark.parametrize("module", [quality_model, toxicity])
+def test_columns_named_as_results_are_ignored(spark, module):
+    rows, labels = labelled_corpus()
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    plain = frame(spark, rows)
+    named = spark.createDataFrame([("a", True, 7.0, i, t, 3) for i, t in rows], "label string, held_out boolean, score double, doc_id long, text string, quality int")
+    one, other = (sorted(map(str, module.classify(docs, labels).collect())) for docs in (plain, named))
+    assert one == other and len(one) == len(rows)
+
+
 def test_sample_is_bounded_and_keeps_the_fold_out(spark):
     rows, labels = labelled_corpus()
     got = labelled.sample(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "toxic", {0: 40, 1: 10})
