@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, language_model, line_dedup, packing, quality_model, quality_rules, sql, token_counts, toxicity
+from . import decontaminate, html_text, jaccard_join, language_model, line_dedup, packing, prefix_trie, quality_model, quality_rules, sql, token_counts, toxicity, vector_near, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +55,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+_ALL = (
+    op1_decontamination, op2_html_text, op3_quality_rules, op4_quality_classifier, op5_jaccard_join, op6_language_model, op7_line_dedup, op8_token_counts, op9_packing, op10_toxicity,
+    op11_vector_near, op12_whitening, op13_prefix_trie,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_quality_rules, op4_quality_classifier, op5_jaccard_join, op6_language_model, op7_line_dedup, op8_token_counts, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
