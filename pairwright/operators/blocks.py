@@ -1,21 +1,23 @@
 """Exhaustive distances between two tables, block against block.
 
 Rows of either table are gathered into blocks of bounded size; every target block meets every
-supplemental block.  One shuffle deals them: a group of target blocks goes to each supplemental
-block, which comes once a group, so a task holds one supplemental block and reads the target
-blocks of its group one by one.  No pair is skipped and no pair becomes a row: a task keeps a
-distance matrix for a slice of its block and gives sums, minima and counts.  So the shuffle
-holds blocks, the memory of a task is bounded, and both tables can be of any size.
+supplemental block.  Supplemental blocks are dealt to tiles of bounded bytes and target blocks to groups;
+a task has one tile and reads the target blocks of one group one by one.  So a target block is
+shuffled once for each tile and a supplemental block once for each group, and both numbers are chosen
+to move the fewest bytes for the tasks wanted.  No pair is skipped and no pair becomes a row: a task
+keeps a matrix for a slice of its blocks and gives sums, minima and counts, those of supplemental rows once
+for all its targets.  The memory of a task is bounded, and both tables can be of any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a pair is charged for a feature that either row lacks: the expected squared difference of standard scores.
@@ -25,9 +27,13 @@ SUPPLEMENTAL_ROWS = 16384
 #: Cells of a block, and of a distance matrix that a task holds at a time.
 BLOCK_CELLS = 1 << 18
 MOST_CELLS = 1 << 17
+#: Bytes of the supplemental blocks that a task holds.
+TILE_BYTES = 32 << 20
 #: Tasks for each core, if the tables have rows enough.
-TASKS_PER_CORE = 3
+TASKS_PER_CORE = 2
 LEAST_ROWS = 64
+#: Tasks of one pass; further pairs of groups and tiles share them.
+MOST_TASKS = 20_000
 
 
 def sum_terms(terms: Sequence):
@@ -66,8 +72,8 @@ def running_sum(term: Callable[[int], np.ndarray], n: int) -> np.ndarray:
     return strands[0]
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(rows of a, rows of b): Euclidean distances; nan cells are missing, inf where no feature is shared."""
+def squared(a: np.ndarray, b: np.ndarray) -> Callable[[int], np.ndarray]:
+    """The matrix of squared differences of feature k, with the penalty where a cell is missing."""
     missing_a, missing_b = np.isnan(a), np.isnan(b)
     any_a, any_b = missing_a.any(axis=0), missing_b.any(axis=0)
 
@@ -80,24 +86,33 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             t[:, missing_b[:, k]] = MISSING_PENALTY
         return t
 
-    d = running_sum(term, a.shape[1])
+    return term
+
+
+def unshared(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """Marks of pairs that share no observed feature; None where all share one."""
+    seen_a, seen_b = ~np.isnan(a), ~np.isnan(b)
+    if seen_a.sum(axis=1).min(initial=a.shape[1]) + seen_b.sum(axis=1).min(initial=a.shape[1]) > a.shape[1]:
+        return None
+    return seen_a.astype(np.float32) @ seen_b.astype(np.float32).T == 0
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(rows of a, rows of b): Euclidean distances; nan cells are missing, inf where no feature is shared."""
+    d = running_sum(squared(a, b), a.shape[1])
     np.sqrt(d, out=d)
-    if missing_a.any() and missing_b.any():
-        shared = (~missing_a).astype(np.float32) @ (~missing_b).astype(np.float32).T
-        d[shared == 0] = np.inf
-    if missing_a.all(axis=1).any():
-        d[missing_a.all(axis=1), :] = np.inf
-    if missing_b.all(axis=1).any():
-        d[:, missing_b.all(axis=1)] = np.inf
+    if (lost := unshared(a, b)) is not None:
+        d[lost] = np.inf
     return d
 
 
 @dataclass
 class Blocks:
-    """(block, idx, cells, extra...): the rows of a table in blocks numbered from 0, and how many there are."""
+    """(block, idx, cells, extra...): the rows of a table in blocks numbered from 0, and how many blocks and rows there are."""
 
     rows: DataFrame
     n: int
+    n_rows: int
 
 
 def block_rows(n_target: int, n_supplemental: int, width: int, cores: int) -> tuple[int, int]:
@@ -111,25 +126,32 @@ def block_rows(n_target: int, n_supplemental: int, width: int, cores: int) -> tu
     return t, s
 
 
-def blocked(table: DataFrame, index: str, features: Sequence[str], n_rows: int, rows: int, extra: Sequence[str] = ()) -> Blocks:
-    """A table of ``n_rows`` in blocks of ``rows`` on average: rows are dealt by a hash of their index."""
-    blocks = max(1, -(-n_rows // rows))
-    dealt = table.select(F.pmod(F.xxhash64(index), F.lit(blocks)).cast("int").alias("block"), F.col(index).cast("long").alias("idx"), *(F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)), *extra)
-    width = len(features)
-    names = ["block", "idx", "cells", *extra]
-    kinds = "block int, idx binary, cells binary" + "".join(f", {c} binary" for c in extra)
+def block_of(index: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(index), F.lit(n)).cast("int")
+
+
+def blocked(table: DataFrame, index: str, cells: str, n_rows: int, rows: int, scales: Sequence[tuple[float, float]] | None = None) -> Blocks:
+    """A table of ``n_rows`` in blocks of ``rows`` on average: rows are dealt by a hash of their index.
+
+    ``cells`` is an array column of doubles, all of one length; with ``scales``, a mean and a deviation a
+    feature, cells become standard scores.
+    """
+    n = max(1, -(-n_rows // rows))
+    dealt = table.select(block_of(F.col(index), n).alias("block"), F.col(index).cast("long").alias("idx"), F.col(cells).alias("cells"))
+    means, deviations = (np.array([s[k] for s in scales or ()]) for k in range(2))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         current = None
 
         def out() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).sort_by("idx")
+            whole = pa.Table.from_batches(held).sort_by("idx").combine_chunks()
             held.clear()
-            cells = np.column_stack([whole.column(2 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(width)])
-            rest = [whole.column(c).to_numpy(zero_copy_only=False).astype(float).tobytes() for c in extra]
-            data = [whole.column(1).to_numpy().tobytes(), cells.tobytes(), *rest]
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names)
+            cells = whole.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(whole.num_rows, -1)
+            if scales is not None:
+                cells = (cells - means) / deviations
+            data = [whole.column(1).to_numpy().tobytes(), cells.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["block", "idx", "cells"])
 
         for batch in batches:
             block = batch.column(0).to_numpy()
@@ -144,50 +166,92 @@ def blocked(table: DataFrame, index: str, features: Sequence[str], n_rows: int,
         if held:
             yield out()
 
-    return Blocks(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(gather, kinds), blocks)
+    return Blocks(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(gather, "block int, idx binary, cells binary"), n, n_rows)
+
+
+def with_figures(targets: Blocks, figures: DataFrame, width: int, columns: Sequence[str]) -> Blocks:
+    """The rows of blocks that a table (target_idx, columns...) names, with its columns of doubles; blocks without any go."""
+    asked = figures.select(block_of(F.col("target_idx"), targets.n).alias("block"), F.struct("target_idx", *(F.col(c).cast("double").alias(c) for c in columns)).alias("x"))
+    asked = asked.groupBy("block").agg(F.array_sort(F.collect_list("x")).alias("x"))  # no more than the rows of a block
+    joined = targets.rows.join(asked, "block").select("block", "idx", "cells", *(F.col(f"x.{c}").alias(c) for c in ("target_idx", *columns)))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                idx, cells = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64), np.frombuffer(batch.column(2)[k].as_buffer()).reshape(-1, width)
+                named, *values = (batch.column(3 + c)[k].values.to_numpy(zero_copy_only=False) for c in range(1 + len(columns)))
+                at = np.searchsorted(idx, named)  # either ascends
+                data = [idx[at].tobytes(), cells[at].tobytes(), *(v.astype(float).tobytes() for v in values)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *(pa.array([x], pa.binary()) for x in data)], ["block", "idx", "cells", *columns])
+
+    return Blocks(joined.mapInArrow(chosen, "block int, idx binary, cells binary" + "".join(f", {c} binary" for c in columns)), targets.n, targets.n_rows)
+
 
+def tiles_and_groups(targets: Blocks, supplementals: Blocks, width: int, cores: int) -> tuple[int, int]:
+    """Tiles of supplemental blocks and groups of target blocks: tiles within their bytes, tasks for all cores, and the fewest bytes moved."""
+    tasks = TASKS_PER_CORE * cores
+    least = -(-supplementals.n_rows * width * 8 // TILE_BYTES)
+    best = math.sqrt(tasks * supplementals.n_rows / max(1, targets.n_rows))
+    tiles = min(supplementals.n, max(least, round(best), -(-tasks // targets.n), 1))
+    return tiles, min(targets.n, max(1, -(-tasks // tiles)))
 
-def met(targets: Blocks, supplementals: Blocks, extra: Sequence[str] = ()) -> DataFrame:
-    """Rows (task, s, target, idx, cells, ...): in each task a supplemental block stands before the target blocks that it meets."""
+
+def met(targets: Blocks, supplementals: Blocks, width: int, extra: Sequence[str] = ()) -> DataFrame:
+    """Rows (task, target, idx, cells, ...): in each task the blocks of a tile stand before the target blocks that they meet."""
     cores = targets.rows.sparkSession.sparkContext.defaultParallelism
-    groups = min(targets.n, max(1, -(-TASKS_PER_CORE * cores // supplementals.n)))
+    tiles, groups = tiles_and_groups(targets, supplementals, width, cores)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = targets.rows.select(numbers(supplementals.n).alias("s"), F.pmod(F.col("block"), F.lit(groups)).alias("g"), F.lit(True).alias("target"), "idx", "cells", *extra)
-    right = supplementals.rows.select(F.col("block").alias("s"), numbers(groups).alias("g"), F.lit(False).alias("target"), "idx", "cells", *(F.lit(None).cast("binary").alias(c) for c in extra))
-    both = left.unionByName(right).select((F.col("g").cast("long") * supplementals.n + F.col("s")).alias("task"), "target", "idx", "cells", *extra)
-    tasks = groups * supplementals.n
-    most = min(tasks, max(MOST_TASKS, cores))
+    left = targets.rows.select(numbers(tiles).alias("s"), F.pmod("block", F.lit(groups)).alias("g"), F.lit(True).alias("target"), "idx", "cells", *extra)
+    right = supplementals.rows.select(F.pmod("block", F.lit(tiles)).alias("s"), numbers(groups).alias("g"), F.lit(False).alias("target"), "idx", "cells", *(F.lit(None).cast("binary").alias(c) for c in extra))
+    both = left.unionByName(right).select((F.col("g").cast("long") * tiles + F.col("s")).alias("task"), "target", "idx", "cells", *extra)
+    most = min(groups * tiles, max(MOST_TASKS, cores))
     return both.repartitionById(most, F.pmod("task", F.lit(most)).cast("int")).sortWithinPartitions("task", "target")
 
 
-#: Tasks of one pass; further pairs of blocks share them.
-MOST_TASKS = 20_000
+def over_blocks(pairs: DataFrame, width: int, schema: str, kernel: Callable, extra: Sequence[str] = ()) -> DataFrame:
+    """``kernel(tile)`` for each task, where a tile is a list of (s_idx, b).
 
+    Its ``target(t_idx, a, *extras)`` is called for each target block and ``end()`` after the last; both give
+    a dict of arrays for columns of one row, those left out are empty, or None for no row.
+    """
+    kinds = dict(x.strip().split(" ", 1) for x in schema.split(", "))
+    types = {n: pa.int64() if "long" in k else pa.float64() for n, k in kinds.items()}
 
-def over_blocks(pairs: DataFrame, width: int, schema: str, work: Callable, extra: Sequence[str] = ()) -> DataFrame:
-    """``work(t_idx, a, s_idx, b, extras)`` on each pair of blocks; it gives a dict of one row's columns."""
-    names = [x.strip().split()[0] for x in schema.split(", ")]
+    def row(found: dict) -> pa.RecordBatch:
+        arrays = []
+        for n, kind in types.items():
+            x = found.get(n, np.zeros(0, kind.to_pandas_dtype()))
+            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind)))
+        return pa.RecordBatch.from_arrays(arrays, list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        tile: list[tuple[np.ndarray, np.ndarray]] = []
+        now, work = None, None
         for batch in batches:
             for k in range(batch.num_rows):
                 task, target = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 idx, cells = np.frombuffer(batch.column(2)[k].as_buffer(), np.int64), np.frombuffer(batch.column(3)[k].as_buffer()).reshape(-1, width)
+                if task != now:
+                    if work is not None and (found := work.end()) is not None:
+                        yield row(found)
+                    tile, now, work = [], task, None
                 if not target:
-                    held = task, idx, cells
+                    tile.append((idx.copy(), cells.copy()))
                     continue
-                if held is None or held[0] != task:  # a block without rows
+                if not tile or not len(idx):  # a tile without rows
                     continue
-                rest = [np.frombuffer(batch.column(c)[k].as_buffer()) for c in extra]
-                row = work(idx, cells, *held[1:], *rest)
-                arrays = [pa.array([row[n]]) if np.ndim(row[n]) == 0 else pa.ListArray.from_arrays(pa.array([0, len(row[n])], pa.int32()), pa.array(row[n])) for n in names]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                if work is None:
+                    work = kernel(tile)
+                found = work.target(idx, cells, *(np.frombuffer(batch.column(c)[k].as_buffer()) for c in extra))
+                if found is not None:
+                    yield row(found)
+        if work is not None and (found := work.end()) is not None:
+            yield row(found)
 
     return pairs.mapInArrow(run, schema)
 
 
-def slices(n: int, width: int) -> Iterator[slice]:
-    step = max(1, MOST_CELLS // max(width, 1))
+def slices(n: int, width: int, most: int | None = None) -> Iterator[slice]:
+    step = max(1, (most or MOST_CELLS) // max(width, 1))
     for k in range(0, n, step):
-        yield slice(k, k + step)
+        yield slice(k, min(k + step, n))

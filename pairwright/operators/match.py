@@ -1,20 +1,21 @@
 """Nearest supplemental row of every target row, with how trustworthy each match is.
 
-Inputs are standardized tables: an index column and features, null where a cell is missing.
-Null also stands for an infinite distance, of rows that share no observed feature.
+Inputs are an index column and features, null where a cell is missing: standardized columns, or one array
+column of raw cells with the scales that standardize it.  Null also stands for an infinite distance, of rows
+that share no observed feature.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
-from . import blocks
+from ..sources.shared import Kept
+from . import blocks, products
 
 MATCH_COLUMNS = ("target_idx", "match_idx", "no_match", "best_distance", "second_distance", "repeats", "nndr", "near_miss", "mnn_confirmed", "reverse_repeat_count")
 
@@ -26,33 +27,185 @@ def checked_threshold(threshold: float) -> float:
     return float(threshold)
 
 
-def _nearest(t_idx: np.ndarray, a: np.ndarray, s_idx: np.ndarray, b: np.ndarray) -> dict:
-    """Per target: least distance, its least index, ties and the next distance; per supplemental row: its least distance."""
-    n = len(t_idx)
-    first, second = np.full(n, np.inf), np.full(n, np.inf)
-    best, ties = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    reverse, reverse_ties = np.full(len(s_idx), np.inf), np.zeros(len(s_idx), np.int64)
-    for rows in blocks.slices(n, len(s_idx)):
-        d = blocks.distances(a[rows], b)
-        least = d.min(axis=1)
+class _Tile:
+    """Supplemental blocks, and the engine that compares a target block with one of them."""
+
+    def __init__(self, tile: list[tuple[np.ndarray, np.ndarray]], fast: bool) -> None:
+        self.idx = [s_idx for s_idx, _ in tile]
+        self.rows = [b for _, b in tile]
+        self.sides = [products.Side(b) if fast else None for b in self.rows]
+
+    def pairs(self, a: np.ndarray):
+        """(s_idx, b, products.Pair or None) for each block; no pair where plain matrices do the work."""
+        side = products.Side(a) if any(s is not None for s in self.sides) else None
+        for s_idx, b, other in zip(self.idx, self.rows, self.sides, strict=True):
+            yield s_idx, b, products.Pair(side, other) if other is not None and side.sound and other.sound else None
+
+
+class _Nearest:
+    """Per target: least distance, its least index, ties, the next distance and, if asked for, the greatest; per supplemental row its least distance."""
+
+    SCHEMA = "t_idx array<long>, first array<double>, second array<double>, best array<long>, ties array<long>, high array<double>, s_idx array<long>, reverse array<double>, reverse_ties array<long>"
+
+    def __init__(self, tile: list, fast: bool, with_range: bool) -> None:
+        self.tile, self.with_range = _Tile(tile, fast), with_range
+        self.reverse = [(np.full(len(i), np.inf), np.zeros(len(i), np.int64)) for i in self.tile.idx]
+
+    def target(self, t_idx: np.ndarray, a: np.ndarray) -> dict:
+        n = len(t_idx)
+        first, second, high = np.full(n, np.inf), np.full(n, np.inf), np.full(n, -np.inf)
+        best, ties = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
+        for k, (s_idx, b, pair) in enumerate(self.tile.pairs(a)):
+            reverse, reverse_ties = self.reverse[k]
+            for rows in pair.slices() if pair else blocks.slices(n, len(b)):
+                least, own, count, further, top, column, of_column = self._by_product(pair, rows, s_idx, reverse) if pair else self._plain(a[rows], s_idx, b)
+                lower, same = column < reverse, column == reverse
+                reverse_ties[:] = np.where(lower, of_column, reverse_ties + np.where(same, of_column, 0))
+                np.minimum(reverse, column, out=reverse)
+                before, tied = first[rows], least == first[rows]
+                lower = least < before
+                second[rows] = np.where(lower, np.minimum(further, before), np.minimum(second[rows], np.where(tied, further, least)))
+                best[rows] = np.where(lower, own, np.where(tied, np.minimum(best[rows], own), best[rows]))
+                ties[rows] = np.where(lower, count, ties[rows] + np.where(tied, count, 0))
+                first[rows] = np.minimum(before, least)
+                high[rows] = np.maximum(high[rows], top)
+        return {"t_idx": t_idx, "first": first, "second": second, "best": best, "ties": ties, "high": high}
+
+    def _plain(self, a: np.ndarray, s_idx: np.ndarray, b: np.ndarray):
+        d = blocks.distances(a, b)
+        least, column = d.min(axis=1), d.min(axis=0)
         at = d == least[:, None]
-        first[rows], ties[rows] = least, at.sum(axis=1)
-        best[rows] = s_idx[at.argmax(axis=1)]  # rows of a block ascend by index
-        column = d.min(axis=0)
-        lower, same = column < reverse, column == reverse
-        count = (d == column).sum(axis=0)
-        reverse_ties = np.where(lower, count, reverse_ties + np.where(same, count, 0))
-        reverse = np.minimum(reverse, column)
+        of_column = (d == column).sum(axis=0)
+        top = np.where(np.isinf(d), -np.inf, d).max(axis=1) if self.with_range else -np.inf
+        own, count = s_idx[at.argmax(axis=1)], at.sum(axis=1)  # rows of a block ascend by index
         d[at] = np.inf
-        second[rows] = d.min(axis=1)
-    return {"t_idx": t_idx, "first": first, "second": second, "best": best, "ties": ties, "s_idx": s_idx, "reverse": reverse, "reverse_ties": reverse_ties}
-
-
-_NEAREST = "t_idx array<long>, first array<double>, second array<double>, best array<long>, ties array<long>, s_idx array<long>, reverse array<double>, reverse_ties array<long>"
+        return least, own, count, d.min(axis=1), top, column, of_column
+
+    def _by_product(self, pair: products.Pair, rows: slice, s_idx: np.ndarray, reverse: np.ndarray):
+        low = pair.lower(rows)
+        column, of_column = pair.least_of_columns(low, rows, reverse)
+        top = pair.greatest(low, rows) if self.with_range else -np.inf
+        least, i, j = pair.least(low, rows.start)
+        own = np.full(len(low), len(s_idx))
+        np.minimum.at(own, i, j)
+        count = np.where(np.isinf(least), len(s_idx), np.bincount(i, minlength=len(low)))
+        low[i, j] = np.inf
+        return least, s_idx[np.where(own < len(s_idx), own, 0)], count, pair.least(low, rows.start)[0], top, column, of_column
+
+    def end(self) -> dict:
+        return {"s_idx": np.concatenate(self.tile.idx), "reverse": np.concatenate([r for r, _ in self.reverse]), "reverse_ties": np.concatenate([t for _, t in self.reverse])}
+
+
+class _Counted:
+    """Per target: near misses beside d1 (none where it is nan), and counts of ``bins`` equal bins from low to high."""
+
+    SCHEMA = "t_idx array<long>, near array<long>, h_idx array<long>, bin array<long>, n array<long>"
+
+    def __init__(self, tile: list, fast: bool, threshold: float, bins: int) -> None:
+        self.tile, self.threshold, self.bins = _Tile(tile, fast and not bins), threshold, bins
+
+    def target(self, t_idx: np.ndarray, a: np.ndarray, d1: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict:
+        near, counts = np.zeros(len(t_idx), np.int64), np.zeros((len(t_idx), self.bins), np.int64)
+        for _, b, pair in self.tile.pairs(a):
+            if pair:
+                near += products.within(pair, d1, self.threshold)
+                continue
+            for rows in blocks.slices(len(t_idx), len(b)):
+                d = blocks.distances(a[rows], b)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near[rows] += ((d > 0) & (d1[rows, None] / d >= self.threshold)).sum(axis=1)
+                if self.bins:
+                    counts[rows] += self._binned(d, low[rows, None], high[rows, None])
+        found = {"t_idx": t_idx, "near": near}
+        if self.bins:
+            use = np.flatnonzero(~np.isnan(low))
+            found |= {"h_idx": np.repeat(t_idx[use], self.bins), "bin": np.tile(np.arange(self.bins), len(use)), "n": counts[use].ravel()}
+        return found
+
+    def _binned(self, d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        bins, step = self.bins, (high - low) / self.bins
+        with np.errstate(invalid="ignore"):
+            k = np.where(np.isfinite(d), (d - low) / (high - low) * bins, 0)
+        k = np.where(np.isnan(k), 0, k).astype(np.int64)
+        k[k == bins] = bins - 1
+        upper = np.where(k + 1 == bins, high, low + (k + 1) * step)
+        k = np.where(d < low + k * step, k - 1, np.where((d >= upper) & (k != bins - 1), k + 1, k))
+        row = np.broadcast_to(np.arange(len(d))[:, None], d.shape)
+        use = np.isfinite(d) & ~np.isnan(low)
+        return np.bincount(row[use] * bins + k[use], minlength=len(d) * bins).reshape(-1, bins)
+
+    def end(self) -> None:
+        return None
+
+
+class _Closest:
+    """The k nearest rows of each target in a tile; ties by index."""
+
+    SCHEMA = "t_idx array<long>, s_idx array<long>, d array<double>"
+
+    def __init__(self, tile: list, fast: bool, k: int) -> None:
+        self.tile, self.k = _Tile(tile, fast), k
+
+    def target(self, t_idx: np.ndarray, a: np.ndarray) -> dict:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for s_idx, b, pair in self.tile.pairs(a):
+            for i, j, d in products.closest(pair, self.k) if pair else self._plain(a, b):
+                found.append(self._first(i, s_idx[j], d))
+        i, s, d = self._first(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return {"t_idx": t_idx[i], "s_idx": s, "d": d}
+
+    def _plain(self, a: np.ndarray, b: np.ndarray):
+        for rows in blocks.slices(len(a), len(b)):
+            d = blocks.distances(a[rows], b)
+            m = min(self.k, d.shape[1])
+            cut = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
+            i, j = np.nonzero((d <= cut) & (d < np.inf))  # all up to the k-th distance
+            yield i + rows.start, j, d[i, j]
+
+    def _first(self, row: np.ndarray, s_idx: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((s_idx, d, row))
+        row = row[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        return row[keep], s_idx[order][keep], d[order][keep]
+
+    def end(self) -> None:
+        return None
+
+
+class _WithoutEach:
+    """The nearest row of each target without feature k, for all k, from the same squared differences."""
+
+    SCHEMA = "t_idx array<long>, k array<long>, first array<double>, best array<long>"
+
+    def __init__(self, tile: list) -> None:
+        self.tile = tile
+
+    def target(self, t_idx: np.ndarray, a: np.ndarray) -> dict:
+        n, width = a.shape
+        first, best = np.full((width, n), np.inf), np.full((width, n), np.iinfo(np.int64).max)
+        for s_idx, b in self.tile:
+            for rows in blocks.slices(n, len(b) * width):
+                term = blocks.squared(a[rows], b)
+                terms = [term(k) for k in range(width)]
+                seen_a, seen_b = ~np.isnan(a[rows]), ~np.isnan(b)
+                shared = seen_a.astype(np.float32) @ seen_b.astype(np.float32).T
+                for k in range(width):
+                    others = [t for c, t in enumerate(terms) if c != k]
+                    d = np.sqrt(blocks.running_sum(lambda c, others=others: others[c].copy(), width - 1))
+                    d[shared - np.outer(seen_a[:, k], seen_b[:, k]) == 0] = np.inf
+                    least = d.min(axis=1)
+                    own = s_idx[(d == least[:, None]).argmax(axis=1)]
+                    before, at = first[k, rows], best[k, rows]
+                    best[k, rows] = np.where(least < before, own, np.where(least == before, np.minimum(at, own), at))
+                    first[k, rows] = np.minimum(before, least)
+        return {"t_idx": np.tile(t_idx, width), "k": np.repeat(np.arange(width), n), "first": first.ravel(), "best": best.ravel()}
+
+    def end(self) -> None:
+        return None
 
 
 def _finite(c: str):
-    return F.when(F.col(c) < float("inf"), F.col(c))
+    return F.when(F.abs(F.col(c)) < float("inf"), F.col(c))
 
 
 def exploded(found: DataFrame, *columns: str) -> DataFrame:
@@ -61,36 +214,66 @@ def exploded(found: DataFrame, *columns: str) -> DataFrame:
 
 
 class Matcher:
-    """The blocks of two standardized tables, and what is asked of them.
-
-    The first pass over all pairs is kept in a checkpointed table once something needs it; its
-    size is that of the blocks' sums, not of the pairs.  ``against`` gives a matcher of other
-    targets the same supplemental blocks.
+    """The blocks of two tables, and what is asked of them.
+
+    ``features`` are columns of both tables, in standard scores, or the name of an array column of raw cells,
+    which ``scales`` (a mean and a deviation a feature) standardize.  Distances come from matrix products with
+    exact sums where a bound does not decide (``fast``; by default for wide tables), or from plain matrices;
+    results are the same.  Blocks and the first pass over all pairs are written to the shared folder once
+    something needs them; ``kept.forget()`` removes them.  ``against`` gives a matcher of other targets the
+    same supplemental blocks.
     """
 
-    def __init__(self, target: DataFrame, target_index: str, supplemental: DataFrame, supplemental_index: str, features: Sequence[str], threshold: float = 0.8, against: blocks.Blocks | None = None) -> None:
-        self.threshold, self.width = checked_threshold(threshold), len(features)
-        if not features:
+    def __init__(
+        self, target: DataFrame, target_index: str, supplemental: DataFrame, supplemental_index: str, features: Sequence[str] | str, threshold: float = 0.8, against: blocks.Blocks | None = None,
+        scales: Sequence[tuple[float, float]] | None = None, counts: tuple[int, int] | None = None, fast: bool | None = None, kept: Kept | None = None,
+    ) -> None:
+        self.threshold, self.scales = checked_threshold(threshold), scales
+        self.width = len(scales) if isinstance(features, str) else len(features)
+        if not self.width:
             raise ValueError("No shared columns to match on.")
-        self.features = list(features)
-        self.target = target.select(F.col(target_index).cast("long").alias("target_idx"), *(F.col(f).cast("double").alias(f) for f in features))
-        self.supplemental = supplemental.select(F.col(supplemental_index).cast("long").alias("supp_idx"), *(F.col(f).cast("double").alias(f) for f in features))
-        side = self.target.select(F.lit(0).alias("side")).unionByName(self.supplemental.select(F.lit(1).alias("side"))) if against is None else self.target.select(F.lit(0).alias("side"))
-        counts = {r["side"]: r["n"] for r in side.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self.n_target, n_supplemental = counts.get(0, 0), counts.get(1, 0) if against is None else against.n * blocks.SUPPLEMENTAL_ROWS
-        self.target_rows, rows = blocks.block_rows(self.n_target, n_supplemental, self.width, target.sparkSession.sparkContext.defaultParallelism)
-        self.supplemental_blocks = against or blocks.blocked(self.supplemental, "supp_idx", features, n_supplemental, rows)
+        self.fast = self.width >= products.LEAST_WIDTH if fast is None else fast
+        self.kept = kept or Kept()
+
+        def side(table: DataFrame, index: str, name: str) -> DataFrame:
+            cells = F.col(features) if isinstance(features, str) else F.array(*(F.col(f).cast("double") for f in features))
+            return table.select(F.col(index).cast("long").alias(name), cells.alias("cells"))
+
+        self.target, self.supplemental = side(target, target_index, "target_idx"), side(supplemental, supplemental_index, "supp_idx")
+        self.against = against
+        self.n_target, self.n_supplemental = counts or (self.target.count(), against.n_rows if against else self.supplemental.count())
+        cores = target.sparkSession.sparkContext.defaultParallelism
+        self.target_rows, self.supplemental_rows = blocks.block_rows(self.n_target, self.n_supplemental, self.width, cores)
 
     @cached_property
-    def found(self) -> DataFrame:
-        """The sums of the first pass."""
-        return kept(blocks.over_blocks(self._pairs(self.target), self.width, _NEAREST, _nearest))
+    def target_blocks(self) -> blocks.Blocks:
+        found = blocks.blocked(self.target, "target_idx", "cells", self.n_target, self.target_rows, self.scales)
+        return blocks.Blocks(self.kept(found.rows), found.n, found.n_rows)
 
-    def _pairs(self, target: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        return blocks.met(blocks.blocked(target, "target_idx", self.features, self.n_target, self.target_rows, extra), self.supplemental_blocks, extra)
+    @cached_property
+    def supplemental_blocks(self) -> blocks.Blocks:
+        if self.against:
+            return self.against
+        found = blocks.blocked(self.supplemental, "supp_idx", "cells", self.n_supplemental, self.supplemental_rows, self.scales)
+        return blocks.Blocks(self.kept(found.rows), found.n, found.n_rows)
+
+    def _over(self, kernel, schema: str, targets: blocks.Blocks | None = None, extra: Sequence[str] = ()) -> DataFrame:
+        return blocks.over_blocks(blocks.met(targets or self.target_blocks, self.supplemental_blocks, self.width, extra), self.width, schema, kernel, extra)
+
+    def _first_pass(self, with_range: bool) -> DataFrame:
+        return self.kept(self._over(partial(_Nearest, fast=self.fast, with_range=with_range), _Nearest.SCHEMA))
+
+    @cached_property
+    def _found_with_range(self) -> DataFrame:
+        return self._first_pass(True)
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """The sums of the first pass; the one with ranges serves too, if it has been made."""
+        return self._found_with_range if "_found_with_range" in self.__dict__ else self._first_pass(False)
 
     def nearest(self) -> DataFrame:
-        """(target_idx, d1, match_idx, repeats, d2): nulls where nothing is finite."""
+        """(target_idx, d1, match_idx, repeats, d2, further): nulls where nothing is finite; further is the least distance above d1."""
         rows = exploded(self.found, "t_idx", "first", "second", "best", "ties").select(F.col("t_idx").alias("target_idx"), _finite("first").alias("first"), _finite("second").alias("second"), "best", "ties")
         least = rows.groupBy("target_idx").agg(F.min("first").alias("d1"))
         beside = rows.join(least, "target_idx")
@@ -100,43 +283,38 @@ class Matcher:
             F.sum(F.when(at, F.col("ties")).otherwise(0)).alias("repeats"),
             F.min(F.when(at, F.col("second")).otherwise(F.col("first"))).alias("further"),
         )
-        return merged.select("target_idx", "d1", "match_idx", "repeats", F.when(F.col("repeats") >= 2, F.col("d1")).otherwise(F.col("further")).alias("d2"))
+        return merged.select("target_idx", "d1", "match_idx", "repeats", F.when(F.col("repeats") >= 2, F.col("d1")).otherwise(F.col("further")).alias("d2"), "further")
 
     def reverse(self) -> DataFrame:
         """(supp_idx, reverse_distance, reverse_repeat_count): the nearest targets of each supplemental row."""
-        rows = exploded(self.found, "s_idx", "reverse", "reverse_ties").select(F.col("s_idx").alias("supp_idx"), _finite("reverse").alias("reverse"), "reverse_ties")
-        least = rows.groupBy("supp_idx").agg(F.min("reverse").alias("reverse_distance"))
-        ties = F.sum(F.when(F.col("reverse") == F.col("reverse_distance"), F.col("reverse_ties")).otherwise(0))
-        return rows.join(least, "supp_idx").groupBy("supp_idx", "reverse_distance").agg(ties.alias("reverse_repeat_count"))
-
-    def _second_pass(self, columns: Sequence[str], figures: DataFrame, schema: str, work) -> DataFrame:
-        """Another pass over all pairs, each target with figures of the first one."""
-        again = self.target.join(figures, "target_idx")
-        return blocks.over_blocks(self._pairs(again, columns), self.width, schema, work, columns)
-
-    def near_counts(self, nearest: DataFrame) -> DataFrame:
-        """(target_idx, near): rows, the best among them, with d1 / d of the threshold or more."""
-        threshold = self.threshold
-
-        def work(t_idx, a, s_idx, b, d1):
-            near = np.zeros(len(t_idx), np.int64)
-            for rows in blocks.slices(len(t_idx), len(s_idx)):
-                d = blocks.distances(a[rows], b)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    near[rows] = ((d > 0) & (d1[rows, None] / d >= threshold)).sum(axis=1)
-            return {"t_idx": t_idx, "near": near}
+        rows = exploded(self.found, "s_idx", "reverse", "reverse_ties").select(F.col("s_idx").alias("supp_idx"), _finite("reverse").alias("reverse_distance"), F.col("reverse_ties").alias("reverse_repeat_count"))
+        return least_targets(rows)
+
+    def _counted(self, figures: DataFrame, bins: int) -> DataFrame:
+        """The second pass, over the targets of ``figures`` (target_idx, d1, lo, hi) alone."""
+        columns = ["d1", "lo", "hi"]
+        asked = blocks.with_figures(self.target_blocks, figures, self.width, columns)
+        return self._over(partial(_Counted, fast=self.fast, threshold=self.threshold, bins=bins), _Counted.SCHEMA, asked, columns)
+
+    def _ambiguous(self, nearest: DataFrame) -> DataFrame:
+        """Targets that a row farther than the nearest can be a near miss of: only they need a look at all their distances."""
+        return nearest.filter((F.col("d1") > 0) & (F.col("d1") / F.nullif("further", F.lit(0.0)) >= self.threshold)).select("target_idx", "d1")
 
-        asked = nearest.filter("d1 > 0").select("target_idx", "d1")
-        found = self._second_pass(["d1"], asked, "t_idx array<long>, near array<long>", work)
-        return exploded(found, "t_idx", "near").groupBy(F.col("t_idx").alias("target_idx")).agg(F.sum("near").alias("near"))
+    def _near(self, counted: DataFrame) -> DataFrame:
+        return exploded(counted, "t_idx", "near").groupBy(F.col("t_idx").alias("target_idx")).agg(F.sum("near").alias("near"))
 
     def matches(self) -> DataFrame:
         """A row for each target; columns ``MATCH_COLUMNS``."""
-        nearest = kept(self.nearest())
-        counted = nearest.join(self.near_counts(nearest), "target_idx", "left").join(self.reverse().withColumnRenamed("supp_idx", "match_idx"), "match_idx", "left")
+        nearest = self.kept(self.nearest())
+        none = F.lit(None).cast("double")
+        return self._judged(nearest, self._near(self._counted(self._ambiguous(nearest).withColumns({"lo": none, "hi": none}), 0)))
+
+    def _judged(self, nearest: DataFrame, near: DataFrame) -> DataFrame:
+        counted = nearest.join(near, "target_idx", "left").join(self.reverse().withColumnRenamed("supp_idx", "match_idx"), "match_idx", "left")
         d1, d2, repeats = F.col("d1"), F.col("d2"), F.col("repeats")
         nndr = F.when(d1.isNull(), 1.0).when(d2.isNull(), 0.0).when(d1 == 0, F.when(d2 == 0, 1.0).otherwise(0.0)).otherwise(d1 / F.nullif(d2, F.lit(0.0)))
-        near = F.when(d1.isNull() | d2.isNull(), 0).when(d1 == 0, repeats - 1).otherwise(F.coalesce("near", F.lit(1)) - 1)
+        ambiguous = F.coalesce((d1 > 0) & (d1 / F.nullif("further", F.lit(0.0)) >= self.threshold), F.lit(False))
+        misses = F.when(d1.isNull() | d2.isNull(), 0).when(ambiguous, F.coalesce("near", F.lit(1)) - 1).otherwise(repeats - 1)
         return counted.select(
             "target_idx",
             "match_idx",
@@ -145,34 +323,15 @@ class Matcher:
             d2.alias("second_distance"),
             repeats.cast("long").alias("repeats"),
             nndr.alias("nndr"),
-            near.cast("long").alias("near_miss"),
+            misses.cast("long").alias("near_miss"),
             F.coalesce(d1 == F.col("reverse_distance"), F.lit(False)).alias("mnn_confirmed"),
             F.coalesce("reverse_repeat_count", F.lit(0)).cast("long").alias("reverse_repeat_count"),
         )
 
     def candidates(self, k: int) -> DataFrame:
         """(target_idx, rank, supp_idx, distance): the k nearest rows of each target; ties by index."""
-
-        def work(t_idx, a, s_idx, b):
-            target, supp, distance = [], [], []
-            for rows in blocks.slices(len(t_idx), len(s_idx)):
-                d = blocks.distances(a[rows], b)
-                m = min(k, d.shape[1])
-                cut = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
-                row, at = np.nonzero((d <= cut) & (d < np.inf))  # all up to the k-th distance, then the first k by distance and index
-                order = np.lexsort((at, d[row, at], row))
-                row, at = row[order], at[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                row, at = row[rank < k], at[rank < k]
-                target.append(t_idx[rows][row])
-                supp.append(s_idx[at])
-                distance.append(d[row, at])
-            return {"t_idx": np.concatenate(target), "s_idx": np.concatenate(supp), "d": np.concatenate(distance)}
-
-        from pyspark.sql import Window
-
-        found = blocks.over_blocks(self._pairs(self.target), self.width, "t_idx array<long>, s_idx array<long>, d array<double>", work)
-        ranked = exploded(found, "t_idx", "s_idx", "d").withColumn("rank", F.row_number().over(Window.partitionBy("t_idx").orderBy("d", "s_idx")))
+        found = exploded(self._over(partial(_Closest, fast=self.fast, k=k), _Closest.SCHEMA), "t_idx", "s_idx", "d")
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("t_idx").orderBy("d", "s_idx")))
         return ranked.filter(F.col("rank") <= k).select(F.col("t_idx").alias("target_idx"), F.col("rank").cast("long").alias("rank"), F.col("s_idx").alias("supp_idx"), F.col("d").alias("distance"))
 
     def top_distances(self, k: int = 50) -> DataFrame:
@@ -181,48 +340,41 @@ class Matcher:
         none = F.array().cast("array<double>")
         return self.target.select("target_idx").join(lists, "target_idx", "left").select("target_idx", F.coalesce("top_k_distances", none).alias("top_k_distances"))
 
-    def histograms(self, bins: int = 30) -> DataFrame:
-        """(target_idx, bin, count, low, high): equal bins from the least to the greatest finite distance; the last is closed."""
+    def without_each(self) -> DataFrame:
+        """(target_idx, k, match_idx): each target's match if feature k is left out, for all k, in one pass; null for none."""
+        if self.width < 2:
+            raise ValueError("No shared columns to match on.")
+        rows = exploded(self._over(_WithoutEach, _WithoutEach.SCHEMA), "t_idx", "k", "first", "best")
+        least = rows.groupBy(F.col("t_idx").alias("target_idx"), "k").agg(F.min(F.when(_finite("first").isNotNull(), F.struct("first", "best"))).alias("x"))
+        return least.select("target_idx", "k", F.col("x.best").alias("match_idx"))
 
-        def extremes(t_idx, a, s_idx, b):
-            low, high = np.full(len(t_idx), np.inf), np.full(len(t_idx), -np.inf)
-            for rows in blocks.slices(len(t_idx), len(s_idx)):
-                d = blocks.distances(a[rows], b)
-                low[rows] = d.min(axis=1)
-                high[rows] = np.where(np.isinf(d), -np.inf, d).max(axis=1)
-            return {"t_idx": t_idx, "low": low, "high": high}
-
-        def counts(t_idx, a, s_idx, b, low, high):
-            out = np.zeros((len(t_idx), bins), np.int64)
-            step = (high - low) / bins
-            for rows in blocks.slices(len(t_idx), len(s_idx)):
-                d = blocks.distances(a[rows], b)
-                lo, hi, st = low[rows, None], high[rows, None], step[rows, None]
-                with np.errstate(invalid="ignore"):
-                    k = np.where(np.isfinite(d), (d - lo) / (hi - lo) * bins, 0).astype(np.int64)
-                k[k == bins] = bins - 1
-                upper = np.where(k + 1 == bins, hi, lo + (k + 1) * st)
-                k = np.where(d < lo + k * st, k - 1, np.where((d >= upper) & (k != bins - 1), k + 1, k))
-                row = np.broadcast_to(np.arange(len(d))[:, None], d.shape)
-                use = np.isfinite(d)
-                out[rows] = np.bincount(row[use] * bins + k[use], minlength=len(d) * bins).reshape(-1, bins)
-            return {"t_idx": np.repeat(t_idx, bins), "bin": np.tile(np.arange(bins), len(t_idx)), "n": out.ravel()}
-
-        found = blocks.over_blocks(self._pairs(self.target), self.width, "t_idx array<long>, low array<double>, high array<double>", extremes)
-        ranges = exploded(found, "t_idx", "low", "high").groupBy(F.col("t_idx").alias("target_idx")).agg(F.min("low").alias("lo"), F.max("high").alias("hi")).filter("lo < double('inf')")
+    @cached_property
+    def ranges(self) -> DataFrame:
+        """(target_idx, lo, hi): finite distances of each target that has any, half a unit apart from one alone."""
+        found = exploded(self._found_with_range, "t_idx", "first", "high").groupBy(F.col("t_idx").alias("target_idx")).agg(F.min(_finite("first")).alias("lo"), F.max(_finite("high")).alias("hi")).filter("lo is not null")
         widen = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
-        ranges = kept(ranges.select("target_idx", (F.col("lo") - widen).alias("lo"), (F.col("hi") + widen).alias("hi")))
-        counted = exploded(self._second_pass(["lo", "hi"], ranges, "t_idx array<long>, bin array<long>, n array<long>", counts), "t_idx", "bin", "n")
-        counted = counted.groupBy(F.col("t_idx").alias("target_idx"), "bin").agg(F.sum("n").alias("count"))
+        return self.kept(found.select("target_idx", (F.col("lo") - widen).alias("lo"), (F.col("hi") + widen).alias("hi")))
+
+    def _bins(self, counted: DataFrame, bins: int) -> DataFrame:
+        counts = exploded(counted, "h_idx", "bin", "n").groupBy(F.col("h_idx").alias("target_idx"), "bin").agg(F.sum("n").alias("count"))
         step = (F.col("hi") - F.col("lo")) / bins
         high = F.when(F.col("bin") == bins - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("bin") + 1) * step)
-        return counted.join(ranges, "target_idx").select("target_idx", "bin", "count", (F.col("lo") + F.col("bin") * step).alias("low"), high.alias("high"))
+        return counts.join(self.ranges, "target_idx").select("target_idx", "bin", "count", (F.col("lo") + F.col("bin") * step).alias("low"), high.alias("high"))
+
+    def histograms(self, bins: int = 30) -> DataFrame:
+        """(target_idx, bin, count, low, high): equal bins from the least to the greatest finite distance; the last is closed."""
+        return self._bins(self._counted(self.ranges.select("target_idx", F.lit(None).cast("double").alias("d1"), "lo", "hi"), bins), bins)
+
+    def matches_and_histograms(self, bins: int = 30) -> tuple[DataFrame, DataFrame]:
+        """``matches`` and ``histograms`` from two passes over all pairs: ranges beside minima, then bins beside near misses."""
+        ranges = self.ranges
+        nearest = self.kept(self.nearest())
+        counted = self.kept(self._counted(ranges.join(self._ambiguous(nearest), "target_idx", "left").select("target_idx", "d1", "lo", "hi"), bins))
+        return self._judged(nearest, self._near(counted)), self._bins(counted, bins)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def least_targets(rows: DataFrame) -> DataFrame:
+    """(supp_idx, reverse_distance, reverse_repeat_count) of partial ones: the least distance, and how many targets have it."""
+    least = rows.groupBy("supp_idx").agg(F.min("reverse_distance").alias("least"))
+    ties = F.sum(F.when(F.col("reverse_distance") == F.col("least"), F.col("reverse_repeat_count")).otherwise(0))
+    return rows.join(least, "supp_idx").groupBy("supp_idx", "least").agg(ties.alias("reverse_repeat_count")).select("supp_idx", F.col("least").alias("reverse_distance"), "reverse_repeat_count")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,87 @@ def pooled_scales(target: DataFrame, supplemental: DataFrame, features: Sequence
     return scales
 
 
+@dataclass(frozen=True)
+class Figures:
+    """Rows of either table, and the scales of their features."""
+
+    n_target: int
+    n_supplemental: int
+    scales: list[Scale]
+
+
+_MOMENTS = "side int, n long, counts array<double>, means array<double>, squares array<double>, least array<double>, most array<double>"
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Counts, means, squared deviations, least and greatest of parts (5, features), one after the other."""
+    total = parts[0].copy()
+    for p in parts[1:]:
+        n = total[0] + p[0]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gap = np.where((total[0] > 0) & (p[0] > 0), p[1] - total[1], 0.0)
+            mean = np.where(total[0] > 0, np.where(p[0] > 0, total[1] + gap * p[0] / n, total[1]), p[1])
+            square = total[2] + p[2] + np.where(n > 0, gap * gap * total[0] * p[0] / n, 0.0)
+        total = np.stack([n, mean, square, np.fmin(total[3], p[3]), np.fmax(total[4], p[4])])
+    return total
+
+
+def _row(side: int, n: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([n], pa.int64()), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in total)], [x.split()[0] for x in _MOMENTS.split(", ")])
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each side of a partition, from rows (side, cells)."""
+    rows: dict[int, int] = {}
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        sides = batch.column(0).to_numpy()
+        if not len(sides):
+            continue
+        cells = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(sides), -1)
+        for side in np.unique(sides).tolist():
+            x = cells[sides == side]
+            seen = ~np.isnan(x)
+            n = seen.sum(axis=0).astype(float)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = np.where(n > 0, np.where(seen, x, 0.0).sum(axis=0) / n, 0.0)
+            gaps = np.where(seen, x - mean, 0.0)
+            mean = mean + np.where(n > 0, gaps.sum(axis=0) / np.maximum(n, 1), 0.0)  # what rounding has left
+            part = np.stack([n, mean, (np.where(seen, x - mean, 0.0) ** 2).sum(axis=0), np.where(seen, x, np.inf).min(axis=0), np.where(seen, x, -np.inf).max(axis=0)])
+            held[side] = _joined([held[side], part]) if side in held else part
+            rows[side] = rows.get(side, 0) + len(x)
+    for side, total in held.items():
+        yield _row(side, rows[side], total)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: dict[int, int] = {}
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            rows[r["side"]] = rows.get(r["side"], 0) + r["n"]
+            part = np.array([r[k] for k in ("counts", "means", "squares", "least", "most")])
+            held[r["side"]] = [_joined([*held.get(r["side"], []), part])]
+    for side, (total,) in held.items():
+        yield _row(side, rows[side], total)
+
+
+def pooled_figures(target: DataFrame, supplemental: DataFrame, width: int) -> Figures:
+    """Counts and scales of two tables whose first column is an array of cells: one aggregate over both, a row a partition.
+
+    A constant feature has deviation 1, one without cells mean 0.
+    """
+    sides = [t.select(F.lit(k).alias("side"), F.col(t.columns[0]).alias("cells")) for k, t in enumerate((target, supplemental))]
+    partial = sides[0].unionByName(sides[1]).mapInArrow(_moments, _MOMENTS)
+    found = {r["side"]: r for r in partial.repartition("side").mapInArrow(_merged, _MOMENTS).collect()}  # a row a side
+    parts = [np.array([r[k] for k in ("counts", "means", "squares", "least", "most")]) for r in found.values()]
+    scales = [Scale(0.0, 1.0)] * width
+    if parts:
+        n, mean, square, least, most = _joined(parts)
+        scales = [Scale(m if c else 0.0, 1.0 if lo >= hi or not q else float(np.sqrt(q / c))) for c, m, q, lo, hi in zip(n.tolist(), mean.tolist(), square.tolist(), least.tolist(), most.tolist(), strict=True)]
+    return Figures(*(found[k]["n"] if k in found else 0 for k in range(2)), scales)
+
+
 def standardized(table: DataFrame, features: Sequence[str], scales: Sequence[Scale]) -> DataFrame:
     """The table with its features in pooled deviations from the pooled mean; nulls stay."""
     return table.withColumns({f: (F.col(f) - F.lit(s.mean)) / F.lit(s.deviation) for f, s in zip(features, scales, strict=True)})

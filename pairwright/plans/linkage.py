@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, signals
 from ..operators import diagnostics, standardize
 from ..operators.linking import ColumnLink, validated
-from ..operators.match import Matcher, checked_threshold, kept
+from ..operators.match import Matcher, checked_threshold
+from ..sources.shared import Kept
 
 log = logging.getLogger("pairwright")
 
@@ -34,27 +35,60 @@ class Linkage:
         target_index: str,
         supplemental_index: str,
         threshold: float = 0.8,
+        fast: bool | None = None,
     ) -> None:
         self.threshold = checked_threshold(threshold)
         if not features:
             raise ValueError("No shared columns to match on.")
-        if target.isEmpty():
-            raise ValueError("target dataset has no rows.")
-        if supplemental.isEmpty():
-            raise ValueError("supplemental dataset has no rows.")
+        self.kept = Kept()
+        self.fast = fast
         self.names = [f[0] for f in features]
         self.cells = [f"f{k}" for k in range(len(features))]
         self.target, self.supplemental = target, supplemental
         self.target_index, self.supplemental_index = target_index, supplemental_index
         self.links = list(features)
-        self.target_features = self._features(target, target_index, "target_idx", [f[1] for f in features])
-        self.supplemental_features = self._features(supplemental, supplemental_index, "supp_idx", [f[2] for f in features])
+        # One aggregate over both tables: rows, means and deviations.
+        self.figures = standardize.pooled_figures(self._cells(1).select("cells"), self._cells(2).select("cells"), len(features))
+        if not self.figures.n_target:
+            raise ValueError("target dataset has no rows.")
+        if not self.figures.n_supplemental:
+            raise ValueError("supplemental dataset has no rows.")
+
+    def _side(self, side: int) -> tuple[DataFrame, Column, list[Column]]:
+        """A table, its index and its features' values; ``side`` is the place of its column in a link."""
+        table, index, name = (self.target, self.target_index, "target_idx") if side == 1 else (self.supplemental, self.supplemental_index, "supp_idx")
 
-    def _features(self, table: DataFrame, index: str, name: str, columns: Sequence[str]) -> DataFrame:
         def value(column: str) -> Column:
             return cleaning.clean_value(F.col(f"`{column}`")) if table.schema[column].dataType.simpleString() == "string" else cleaning.number_or_null(F.col(f"`{column}`"))
 
-        return table.select(F.col(f"`{index}`").cast("long").alias(name), *(value(c).alias(cell) for c, cell in zip(columns, self.cells, strict=True)))
+        return table, F.col(f"`{index}`").cast("long").alias(name), [value(link[side]) for link in self.links]
+
+    def _cells(self, side: int) -> DataFrame:
+        """(index, cells): the features as one array, so that plans of wide tables stay small."""
+        table, index, values = self._side(side)
+        return table.select(index, F.array(*(v.cast("double") for v in values)).alias("cells"))
+
+    def _features(self, side: int) -> DataFrame:
+        table, index, values = self._side(side)
+        return table.select(index, *(v.alias(cell) for v, cell in zip(values, self.cells, strict=True)))
+
+    @cached_property
+    def target_features(self) -> DataFrame:
+        return self._features(1)
+
+    @cached_property
+    def supplemental_features(self) -> DataFrame:
+        return self._features(2)
+
+    def forget(self) -> None:
+        """Remove what the linkage has written to the shared folder; its results end with it."""
+        self.kept.forget()
+
+    def __enter__(self) -> Linkage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.forget()
 
     def check_cells(self, target_label: str = "target", supplemental_label: str = "supplemental") -> Linkage:
         """Raise on the first cell (by row, then feature) that is neither missing nor a number."""
@@ -80,9 +114,9 @@ class Linkage:
             log.warning(w)
         return found
 
-    @cached_property
+    @property
     def scales(self) -> list[standardize.Scale]:
-        return standardize.pooled_scales(self.target_features, self.supplemental_features, self.cells)
+        return self.figures.scales
 
     @cached_property
     def target_z(self) -> DataFrame:
@@ -94,11 +128,15 @@ class Linkage:
 
     @cached_property
     def matcher(self) -> Matcher:
-        return Matcher(self.target_z, "target_idx", self.supplemental_z, "supp_idx", self.cells, self.threshold)
+        figures = self.figures
+        return Matcher(
+            self._cells(1), "target_idx", self._cells(2), "supp_idx", "cells", self.threshold, scales=[(s.mean, s.deviation) for s in figures.scales], counts=(figures.n_target, figures.n_supplemental),
+            fast=self.fast, kept=self.kept,
+        )
 
     @cached_property
     def matches(self) -> DataFrame:
-        return kept(self.matcher.matches())
+        return self.kept(self.matcher.matches())
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -134,7 +172,7 @@ class Linkage:
             F.when(~F.col("no_match"), missing[1]).alias("match_missing"),
             F.when(F.col("no_match"), zeros).otherwise(shares).alias("contributions"),
         )
-        return kept(rows.withColumn("flags", signals.flags(self.names, self.smd, self.threshold)).withColumn("flag_list", F.split("flags", r" \| ")))
+        return self.kept(rows.withColumn("flags", signals.flags(self.names, self.smd, self.threshold)).withColumn("flag_list", F.split("flags", r" \| ")))
 
     def detail(self) -> DataFrame:
         """The detail table: a row for each target, contributions as columns; blanks (nulls) where there is no match."""
@@ -208,13 +246,14 @@ class Linkage:
         return Linkage(self.target, self.supplemental, [x for x in self.links if x[0] != name], self.target_index, self.supplemental_index, self.threshold)
 
     def stability(self) -> DataFrame:
-        """(left_out, n, same): for each feature, of n targets how many keep their match without it; none stays none."""
-        out = None
-        for name in self.names:
-            other = self.without_feature(name).matches.select("target_idx", F.col("match_idx").alias("other_idx"))
-            row = self.matches.join(other, "target_idx").agg(F.lit(name).alias("left_out"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("match_idx").eqNullSafe(F.col("other_idx"))).alias("same"))
-            out = row if out is None else out.unionByName(row)
-        return out
+        """(left_out, n, same): for each feature, of n targets how many keep their match without it; none stays none.
+
+        All reduced matches come from one pass over the pairs.
+        """
+        other = self.matcher.without_each().withColumnRenamed("match_idx", "other_idx")
+        name = F.element_at(F.array(*(F.lit(n) for n in self.names)), (F.col("k") + 1).cast("int"))
+        same = F.count_if(F.col("match_idx").eqNullSafe(F.col("other_idx")))
+        return self.matches.select("target_idx", "match_idx").join(other, "target_idx").groupBy(name.alias("left_out")).agg(F.count(F.lit(1)).alias("n"), same.alias("same"))
 
 
 def from_links(links: Sequence[ColumnLink], target: Sequence[str], supplemental: Sequence[str]) -> list[tuple[str, str, str]]:

@@ -1,6 +1,7 @@
 import csv
 import glob
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from pairwright.operators import candidates, diagnostics
 from pairwright.operators.linking import ColumnLink
 from pairwright.plans import coordinate, registry
 from pairwright.plans.coordinate import coordinate_text, coordinator, write_package
+from pairwright.sources.shared import names_in, shared_folder
 from pairwright.sources.tables import load_csv, parse_csv_text, with_row_index
 from pairwright.streaming.match_stream import StreamMatcher
 
@@ -170,6 +172,37 @@ def test_stream(spark, tmp_path):
     assert out == {1: 10, 2: 11, 3: None}
 
 
+def _stream_tables(spark, n=60):
+    g = np.random.default_rng(4)
+    targets = [(k, *(None if g.random() < 0.1 else float(g.integers(0, 6)) for _ in range(3))) for k in range(n)]
+    pool = [(1000 + k, *(None if g.random() < 0.1 else float(g.integers(0, 6)) for _ in range(3))) for k in range(25)]
+    return spark.createDataFrame(targets, "id long, a double, b double, c double"), spark.createDataFrame(pool, "sid long, a double, b double, c double")
+
+
+@pytest.mark.parametrize("cuts", [[30], [7, 8, 40], list(range(6, 60, 6))])
+def test_any_split_of_a_stream_ends_with_the_answer_of_one_batch(spark, tmp_path, cuts):
+    targets, pool = _stream_tables(spark)
+    features = ["a", "b", "c"]
+    whole = {r["target_idx"]: r.asDict() for r in StreamMatcher(targets, pool, "sid", features).match_batch(targets, "id").collect()}
+    stream, out = StreamMatcher(targets, pool, "sid", features, state=f"file://{tmp_path}/state"), []
+    folder = shared_folder(spark)
+    before = len(names_in(spark, folder))
+    bounds = [0, *cuts, 60]
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        batch = targets.filter((F.col("id") >= a) & (F.col("id") < b))
+        for _ in range(1 + (k == 1)):  # one batch comes twice, as after a failure
+            got = []
+            stream.take(batch, "id", k, lambda df, n, got=got: got.extend(r.asDict() for r in df.collect()))
+        out += got
+        assert len(names_in(spark, folder)) == before and len(names_in(spark, f"file://{tmp_path}/state")) <= 2
+    kinds = "target_idx long, match_idx long, no_match boolean, best_distance double, second_distance double, repeats long, nndr double, near_miss long, mnn_confirmed boolean, reverse_repeat_count long, batch_id int"
+    rows = spark.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in out], kinds)
+    final = {r["target_idx"]: r.asDict() for r in stream.confirmed(rows).drop("batch_id").collect()}
+    assert final == whole
+    revoked = {r["target_idx"] for r in stream.revoked(rows).collect()}
+    assert revoked == {r["target_idx"] for r in out if r["mnn_confirmed"] and not whole[r["target_idx"]]["mnn_confirmed"]}
+
+
 SAME = sorted(registry.oracle_sql())
 
 

@@ -7,9 +7,9 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 
-from pairwright.operators import blocks, standardize
+from pairwright.operators import blocks, match, standardize
 from pairwright.operators.match import Matcher
-from pairwright.sources.shared import shared_folder
+from pairwright.sources.shared import names_in, shared_folder
 
 
 def distance(a, b):
@@ -167,3 +167,108 @@ def test_a_cluster_needs_a_shared_folder():
     given = Session("yarn")
     given.values["spark.checkpoint.dir"] = "hdfs:///shared/"
     assert shared_folder(given) == "hdfs:///shared"
+
+
+def _engines(a, b, d1=None):
+    """All that the plain matrices and the products give for two blocks cut in two."""
+    s_idx, t_idx = np.arange(len(b)) * 3, np.arange(len(a)) + 100
+    tile = [(s_idx[: len(b) // 2], b[: len(b) // 2]), (s_idx[len(b) // 2 :], b[len(b) // 2 :])]
+    out = []
+    for fast in (False, True):
+        nearest = match._Nearest(tile, fast, True)
+        found = [nearest.target(t_idx[:5], a[:5]), nearest.target(t_idx[5:], a[5:]), nearest.end()]
+        first = np.concatenate([f["first"] for f in found[:2]])
+        counted = match._Counted(tile, fast, 0.8, 0).target(t_idx, a, np.where(np.isfinite(first), first, np.nan), first, first)
+        closest = match._Closest(tile, fast, 4).target(t_idx, a)
+        out.append([*(f[k] for f in found for k in f), counted["near"], closest["t_idx"], closest["s_idx"], closest["d"]])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["ties", "copies", "near ties", "missing", "outliers", "overflow", "denormal"])
+@pytest.mark.parametrize("d", [1, 5, 9, 64])
+def test_products_equal_plain_matrices_bit_for_bit(monkeypatch, kind, d):
+    monkeypatch.setattr(blocks, "MOST_CELLS", 37)
+    g = np.random.default_rng(d)
+    a, b = g.normal(size=(23, d)), g.normal(size=(40, d))
+    if kind in ("ties", "missing"):
+        a, b = np.rint(a), np.rint(b)
+    if kind == "copies":
+        b[10:30] = b[:20]
+        a[:8] = b[12:20]
+    if kind == "near ties":  # distances that differ in the last places, or not at all
+        b[1:] = b[0] + np.nextafter(0, 1, dtype=float) + g.integers(-2, 3, size=(39, d)) * 2.0**-52
+        a[:] = b[0] + g.integers(-3, 4, size=(23, d)) * 2.0**-51
+    if kind == "missing":
+        a[g.random(a.shape) < 0.4], b[g.random(b.shape) < 0.4] = np.nan, np.nan
+        a[3], b[5], b[30] = np.nan, np.nan, np.nan
+    if kind == "outliers":
+        a[2], b[7], b[8] = 1e9, 1e9, 1e9 + 1
+    if kind == "overflow":
+        a[2], b[7] = 1e200, -1e200
+    if kind == "denormal":
+        a, b = a * 1e-170, b * 1e-170
+    with np.errstate(over="ignore"):
+        plain, product = _engines(a, b)
+    for x, y in zip(plain, product, strict=True):
+        assert np.array_equal(x, y)
+
+
+def test_wide_table_by_either_engine(spark):
+    rng = random.Random(5)
+    target, supp = table(rng, 40, 12, grid=3), table(rng, 60, 12, grid=3)
+    names = [f"x{k}" for k in range(12)]
+    kinds = ", ".join(f"{n} double" for n in names)
+    t, s = spark.createDataFrame([(i, *r) for i, r in enumerate(target)], f"ti long, {kinds}"), spark.createDataFrame([(i, *r) for i, r in enumerate(supp)], f"si long, {kinds}")
+    want = expected(target, supp)
+    for fast in (True, False):
+        assert got(Matcher(t, "ti", s, "si", names, fast=fast)) == want
+
+
+def test_matches_and_histograms_in_two_passes(spark, monkeypatch):
+    rng = random.Random(9)
+    target, supp = table(rng, 30, 3, grid=4), table(rng, 25, 3, grid=4)
+    target[4] = [None] * 3
+    passes = []
+    over = blocks.over_blocks
+    monkeypatch.setattr(blocks, "over_blocks", lambda *a: passes.append(a) or over(*a))
+    m = run(spark, target, supp)
+    matches, bins = m.matches_and_histograms(10)
+    assert {r["target_idx"]: (r["match_idx"], r["best_distance"], r["second_distance"], r["repeats"], r["nndr"], r["near_miss"], r["mnn_confirmed"]) for r in matches.collect()} == expected(target, supp)
+    both = {(r["target_idx"], r["bin"]): (r["count"], r["low"], r["high"]) for r in bins.collect()}
+    assert len(passes) == 2
+    assert both == {(r["target_idx"], r["bin"]): (r["count"], r["low"], r["high"]) for r in run(spark, target, supp).histograms(10).collect()}
+    assert all(k[0] != 4 for k in both) and len(both) == 29 * 10
+
+
+def test_each_feature_left_out_in_one_pass(spark, monkeypatch):
+    rng = random.Random(2)
+    for d in (2, 4, 10):
+        target, supp = table(rng, 25, d, 0.3, grid=4), table(rng, 30, d, 0.3, grid=4)
+        found = {(r["target_idx"], r["k"]): r["match_idx"] for r in run(spark, target, supp).without_each().collect()}
+        cut = lambda rows, k: [r[:k] + r[k + 1 :] for r in rows]
+        want = {(i, k): x[0] for k in range(d) for i, x in expected(cut(target, k), cut(supp, k)).items()}
+        assert found == want
+    with pytest.raises(ValueError, match="No shared columns"):
+        run(spark, [[1.0]], [[1.0]]).without_each()
+
+
+def test_tiles_move_few_bytes():
+    def blocks_of(n, rows):
+        return blocks.Blocks(None, -(-n // rows), n)
+
+    for n_target, n_supp, width, cores in ((1_500_000, 1_000_000, 64, 8), (1_500_000, 1_000_000, 64, 1000), (100_000, 100_000, 64, 8), (50, 3, 2, 8), (10**9, 10**6, 5, 4000)):
+        t, s = blocks_of(n_target, 2048), blocks_of(n_supp, max(64, min(16384, (1 << 18) // width)))
+        tiles, groups = blocks.tiles_and_groups(t, s, width, cores)
+        assert 1 <= tiles <= s.n and 1 <= groups <= t.n
+        assert tiles == s.n or n_supp * width * 8 / tiles <= 1.01 * blocks.TILE_BYTES
+        assert tiles * groups >= min(blocks.TASKS_PER_CORE * cores, t.n * s.n) * 0.4
+        assert n_target * tiles + n_supp * groups <= n_target * s.n + n_supp * max(1, -(-3 * cores // s.n))
+
+
+def test_kept_tables_go(spark):
+    folder = shared_folder(spark)
+    before = set(names_in(spark, folder))
+    m = run(spark, [[1.0, 2.0], [2.0, 2.0]], [[1.0, 2.0], [1.5, 2.0]])
+    assert len(m.matches().collect()) == 2 and set(names_in(spark, folder)) - before
+    m.kept.forget()
+    assert set(names_in(spark, folder)) == before
