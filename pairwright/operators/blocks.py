@@ -130,11 +130,11 @@ def block_of(index: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(index), F.lit(n)).cast("int")
 
 
-def blocked(table: DataFrame, index: str, cells: str, n_rows: int, rows: int, scales: Sequence[tuple[float, float]] | None = None) -> Blocks:
+def blocked(table: DataFrame, index: str, cells: str, n_rows: int, rows: int, scales: Sequence[tuple[float, float]] | None = None, turn: Callable[[np.ndarray], np.ndarray] | None = None) -> Blocks:
     """A table of ``n_rows`` in blocks of ``rows`` on average: rows are dealt by a hash of their index.
 
     ``cells`` is an array column of doubles, all of one length; with ``scales``, a mean and a deviation a
-    feature, cells become standard scores.
+    feature, cells become standard scores, and ``turn`` makes others of these.
     """
     n = max(1, -(-n_rows // rows))
     dealt = table.select(block_of(F.col(index), n).alias("block"), F.col(index).cast("long").alias("idx"), F.col(cells).alias("cells"))
@@ -150,6 +150,8 @@ def blocked(table: DataFrame, index: str, cells: str, n_rows: int, rows: int, sc
             cells = whole.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(whole.num_rows, -1)
             if scales is not None:
                 cells = (cells - means) / deviations
+            if turn is not None:
+                cells = turn(cells)
             data = [whole.column(1).to_numpy().tobytes(), cells.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], ["block", "idx", "cells"])
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaning
+from ..sources.shared import Kept
 from ..sources.tables import write_csv
+from .quantiles import exact_quantiles
 
 # Least accuracies that a scored run must reach.
 FLOORS = {"clean_accuracy": 1.0, "duplicate_group_accuracy": 1.0, "missing_one_accuracy": 0.9, "overall_accuracy": 0.85, "wrong_flagged_rate": 0.6}
@@ -21,17 +23,43 @@ def agreement_counts(target: DataFrame, pool: DataFrame, target_id: str, variabl
     return target.select(target_id, *variables).join(counts, list(variables), "left").select(target_id, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def leading_counts(target: DataFrame, pool: DataFrame, target_id: str, variables: Sequence[str]) -> DataFrame:
+    """(target_id, k, n): pool rows that agree exactly on the first k variables, for every k from 1.
+
+    One ROLLUP counts the pool on all levels, and one join by level and values brings the counts to the targets.
+    Null agrees with nothing; a null that is a value and one that a level has left out are told apart by the level.
+    """
+    width = len(variables)
+    level = F.lit(width) - F.bit_count(F.grouping_id())  # a leading group leaves out the last variables
+    groups = pool.rollup(*variables).agg(level.cast("int").alias("k"), F.count(F.lit(1)).alias("n")).filter("k > 0")
+    own = [F.when(F.lit(c) < F.col("k"), F.col(v)).alias(v) for c, v in enumerate(variables)]
+    levels = target.select(target_id, *variables, F.explode(F.array(*(F.lit(k + 1) for k in range(width)))).alias("k")).select(target_id, "k", *own)
+    key = [f"v{c}" for c in range(width)]
+    left = levels.select(target_id, "k", *(F.col(v).alias(x) for v, x in zip(variables, key, strict=True)))
+    right = groups.select(F.col("k").alias("level"), "n", *(F.col(v).alias(f"p_{x}") for v, x in zip(variables, key, strict=True)))
+    same = F.col("k") == F.col("level")
+    for c, x in enumerate(key):
+        same &= F.col(x).eqNullSafe(F.col(f"p_{x}"))
+        right = right.filter((F.col("level") <= c) | F.col(f"p_{x}").isNotNull())
+    return left.join(right, same, "left").select(target_id, "k", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def candidate_gradient(target: DataFrame, pool: DataFrame, target_id: str, variables: Sequence[str]) -> DataFrame:
-    """A row for each number k of leading variables: mean, median and most agreeing rows, and shares of unique and ambiguous targets."""
-    out = None
-    for k in range(1, len(variables) + 1):
-        n = agreement_counts(target, pool, target_id, variables[:k])
-        row = n.agg(
-            F.lit(k).alias("k_variables"), F.lit(" + ".join(variables[:k])).alias("variables"), F.avg("n").alias("mean_candidates"), F.percentile("n", 0.5).alias("median_candidates"), F.max("n").alias("max_candidates"),
-            (100.0 * F.count_if(F.col("n") == 1) / F.count(F.lit(1))).alias("pct_unique"), (100.0 * F.count_if(F.col("n") > 1) / F.count(F.lit(1))).alias("pct_ambiguous"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A row for each number k of leading variables: mean, median and most agreeing rows, and shares of unique and ambiguous targets.
+
+    The counts are written once, as exact medians read them again.
+    """
+    kept = Kept()
+    counts = kept(leading_counts(target, pool, target_id, variables).select("k", "n"))
+    levels = range(1, len(variables) + 1)
+    medians = exact_quantiles(counts, {str(k): (F.when(F.col("k") == k, F.col("n")), 0.5) for k in levels})
+    names = [" + ".join(variables[:k]) for k in levels]
+    told = counts.sparkSession.createDataFrame([(k, names[k - 1], medians[str(k)]) for k in levels], "k_variables int, variables string, median_candidates double")
+    rows = counts.groupBy(F.col("k").alias("k_variables")).agg(
+        F.avg("n").alias("mean_candidates"), F.max("n").alias("max_candidates"),
+        (100.0 * F.count_if(F.col("n") == 1) / F.count(F.lit(1))).alias("pct_unique"), (100.0 * F.count_if(F.col("n") > 1) / F.count(F.lit(1))).alias("pct_ambiguous"),
+    )
+    return told.join(rows, "k_variables").select("k_variables", "variables", "mean_candidates", "median_candidates", "max_candidates", "pct_unique", "pct_ambiguous")
 
 
 def duplicate_detail(target: DataFrame, pool: DataFrame, target_id: str, pool_id: str, variables: Sequence[str], counts: Sequence[int]) -> DataFrame:

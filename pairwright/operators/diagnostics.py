@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaning
+from .quantiles import exact_quantiles
 
 
 def data_stats(table: DataFrame, dataset: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -48,7 +49,10 @@ def run_summary(per_target: DataFrame, threshold: float) -> DataFrame:
 
 
 def match_stats(per_target: DataFrame, threshold: float) -> DataFrame:
-    """(metric, value): counts, shares in percent, and spread of distances and ratios of matched rows."""
+    """(metric, value): counts, shares in percent, and spread of distances and ratios of matched rows.
+
+    Quantiles are exact and come from passes of their own, so the table should be a written one.
+    """
     matched = ~F.col("no_match")
     distance, ratio = F.when(matched, F.col("best_distance")), F.when(matched, F.col("nndr"))
     n = F.count(F.lit(1))
@@ -58,11 +62,13 @@ def match_stats(per_target: DataFrame, threshold: float) -> DataFrame:
 
     flagged, mutual = F.count_if(F.col("flags") != ""), F.count_if("mnn_confirmed")
     near, tied = F.count_if(F.col("near_miss") > 0), F.count_if(F.col("repeats") > 1)
+    quantiles = exact_quantiles(per_target, {"median_best_distance": (distance, 0.5), "p25_best_distance": (distance, 0.25), "p75_best_distance": (distance, 0.75), "median_nndr": (ratio, 0.5)})
+    spread = {k: F.lit(v).cast("double") for k, v in quantiles.items()}
     figures = {
         "total_rows": n, "no_match_count": F.count_if("no_match"), "flagged_count": flagged, "flagged_pct": share(flagged), "mnn_confirmed_count": mutual, "mnn_confirmed_pct": share(mutual),
         "rows_with_near_miss": near, "rows_with_near_miss_pct": share(near), "rows_with_ties": tied, "rows_with_ties_pct": share(tied), "threshold_nndr": F.lit(threshold),
-        "mean_best_distance": F.avg(distance), "median_best_distance": F.percentile(distance, 0.5), "p25_best_distance": F.percentile(distance, 0.25), "p75_best_distance": F.percentile(distance, 0.75),
-        "min_best_distance": F.min(distance), "max_best_distance": F.max(distance), "mean_nndr": F.avg(ratio), "median_nndr": F.percentile(ratio, 0.5),
+        "mean_best_distance": F.avg(distance), **{k: spread[k] for k in ("median_best_distance", "p25_best_distance", "p75_best_distance")},
+        "min_best_distance": F.min(distance), "max_best_distance": F.max(distance), "mean_nndr": F.avg(ratio), "median_nndr": spread["median_nndr"],
     }
     row = per_target.agg(*(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in figures.items()))
     return row.unpivot([], list(figures), "metric", "value")

@@ -7,7 +7,7 @@ that share no observed feature.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property, partial
 
 import numpy as np
@@ -217,7 +217,7 @@ class Matcher:
     """The blocks of two tables, and what is asked of them.
 
     ``features`` are columns of both tables, in standard scores, or the name of an array column of raw cells,
-    which ``scales`` (a mean and a deviation a feature) standardize.  Distances come from matrix products with
+    which ``scales`` (a mean and a deviation a feature) standardize and ``turn`` turns.  Distances come from matrix products with
     exact sums where a bound does not decide (``fast``; by default for wide tables), or from plain matrices;
     results are the same.  Blocks and the first pass over all pairs are written to the shared folder once
     something needs them; ``kept.forget()`` removes them.  ``against`` gives a matcher of other targets the
@@ -227,8 +227,9 @@ class Matcher:
     def __init__(
         self, target: DataFrame, target_index: str, supplemental: DataFrame, supplemental_index: str, features: Sequence[str] | str, threshold: float = 0.8, against: blocks.Blocks | None = None,
         scales: Sequence[tuple[float, float]] | None = None, counts: tuple[int, int] | None = None, fast: bool | None = None, kept: Kept | None = None,
+        turn: Callable[[np.ndarray], np.ndarray] | None = None,
     ) -> None:
-        self.threshold, self.scales = checked_threshold(threshold), scales
+        self.threshold, self.scales, self.turn = checked_threshold(threshold), scales, turn
         self.width = len(scales) if isinstance(features, str) else len(features)
         if not self.width:
             raise ValueError("No shared columns to match on.")
@@ -247,14 +248,14 @@ class Matcher:
 
     @cached_property
     def target_blocks(self) -> blocks.Blocks:
-        found = blocks.blocked(self.target, "target_idx", "cells", self.n_target, self.target_rows, self.scales)
+        found = blocks.blocked(self.target, "target_idx", "cells", self.n_target, self.target_rows, self.scales, self.turn)
         return blocks.Blocks(self.kept(found.rows), found.n, found.n_rows)
 
     @cached_property
     def supplemental_blocks(self) -> blocks.Blocks:
         if self.against:
             return self.against
-        found = blocks.blocked(self.supplemental, "supp_idx", "cells", self.n_supplemental, self.supplemental_rows, self.scales)
+        found = blocks.blocked(self.supplemental, "supp_idx", "cells", self.n_supplemental, self.supplemental_rows, self.scales, self.turn)
         return blocks.Blocks(self.kept(found.rows), found.n, found.n_rows)
 
     def _over(self, kernel, schema: str, targets: blocks.Blocks | None = None, extra: Sequence[str] = ()) -> DataFrame:

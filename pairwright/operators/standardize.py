@@ -114,6 +114,91 @@ def pooled_figures(target: DataFrame, supplemental: DataFrame, width: int) -> Fi
     return Figures(*(found[k]["n"] if k in found else 0 for k in range(2)), scales)
 
 
+def pooled_covariance(target: DataFrame, supplemental: DataFrame, scales: Sequence[Scale]) -> np.ndarray:
+    """Mean products of standard scores over the rows of either table that have both, by feature pair; 0 where none has.
+
+    The tables have a column ``cells``, an array.  One aggregate over both; a matrix of features by features comes to the driver.
+    """
+    means, deviations = np.array([s.mean for s in scales]), np.array([s.deviation for s in scales])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = counts = np.zeros((len(scales), len(scales)))
+        for batch in batches:
+            z = (batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) - means) / deviations
+            seen = ~np.isnan(z)
+            z = np.where(seen, z, 0.0)
+            sums, counts = sums + z.T @ z, counts + seen.astype(float).T @ seen
+        i, j = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(sums[i, j]), pa.array(counts[i, j])], ["i", "j", "sum", "n"])
+
+    both = target.select("cells").unionByName(supplemental.select("cells")).mapInArrow(run, "i int, j int, sum double, n double")
+    out = np.zeros((len(scales), len(scales)))
+    for r in both.groupBy("i", "j").agg((F.sum("sum") / F.sum("n")).alias("c")).collect():
+        out[r["i"], r["j"]] = r["c"]
+    return out
+
+
+def positive_definite(covariance: np.ndarray, least: float = 1e-8) -> np.ndarray:
+    """The covariance as a matrix that a distance can be taken from.
+
+    Features without variance get 1 and no covariance.  Products of different rows need not make a
+    proper matrix: eigenvalues below ``least`` are raised to it and the variances restored.  A proper one stays as it is.
+    """
+    c = (covariance + covariance.T) / 2
+    flat = np.diag(c) <= 0
+    c[flat, :] = c[:, flat] = 0.0
+    c[flat, flat] = 1.0
+    e, u = np.linalg.eigh(c)
+    if e[0] >= least:
+        return c
+    raised = (u * np.maximum(e, least)) @ u.T
+    scale = np.sqrt(np.diag(c) / np.diag(raised))
+    return raised * scale[:, None] * scale[None, :]
+
+
+class Whitener:
+    """Scores turned so that their Euclidean distance is Mahalanobis'.
+
+    A row is turned by the Cholesky factor of the covariance of its own observed features, in feature order:
+    each score becomes what the observed ones before it do not tell, in its own deviations.  Missing cells stay
+    missing and are charged as ever.  Equal rows give equal scores, bit for bit, whatever stands beside them.
+    """
+
+    def __init__(self, covariance: np.ndarray) -> None:
+        self.covariance = covariance
+
+    def __call__(self, z: np.ndarray) -> np.ndarray:
+        out = np.full(z.shape, np.nan)
+        patterns, which = np.unique(~np.isnan(z), axis=0, return_inverse=True)
+        for p, seen in enumerate(patterns):
+            at = np.flatnonzero(seen)
+            if not len(at):
+                continue
+            rows = np.flatnonzero(which.ravel() == p)
+            factor = np.linalg.cholesky(self.covariance[np.ix_(at, at)])
+            turned: list[np.ndarray] = []
+            for k, c in enumerate(at):
+                rest = z[rows, c]
+                for j, w in enumerate(turned):
+                    rest = rest - factor[k, j] * w
+                turned.append(rest / factor[k, k])
+            out[np.ix_(rows, at)] = np.column_stack(turned)
+        return out
+
+
+def whitened(table: DataFrame, index: str, scales: Sequence[Scale], whitener: Whitener, names: Sequence[str]) -> DataFrame:
+    """(index, names...): turned scores of a table with its index and ``cells``; null where missing."""
+    means, deviations = np.array([s.mean for s in scales]), np.array([s.deviation for s in scales])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, len(scales))
+            z = whitener((cells - means) / deviations)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(z[:, k], from_pandas=True) for k in range(len(scales)))], [index, *names])
+
+    return table.select(index, "cells").mapInArrow(run, ", ".join([f"`{index}` long", *(f"`{n}` double" for n in names)]))
+
+
 def standardized(table: DataFrame, features: Sequence[str], scales: Sequence[Scale]) -> DataFrame:
     """The table with its features in pooled deviations from the pooled mean; nulls stay."""
     return table.withColumns({f: (F.col(f) - F.lit(s.mean)) / F.lit(s.deviation) for f, s in zip(features, scales, strict=True)})

@@ -23,7 +23,7 @@ inputs/target, inputs/supplemental   the inputs as they were read
 """
 
 
-def link_tables(target: RawTable, supplemental: RawTable, links: Sequence[ColumnLink] | None = None, exclude: Iterable[str] = (), threshold: float = 0.8, labels: tuple[str, str] = ("target", "supplemental")) -> Linkage:
+def link_tables(target: RawTable, supplemental: RawTable, links: Sequence[ColumnLink] | None = None, exclude: Iterable[str] = (), threshold: float = 0.8, labels: tuple[str, str] = ("target", "supplemental"), fast: bool | None = None) -> Linkage:
     """A linkage of two raw tables: shared headers, or explicit links (then ``exclude`` is not used)."""
     chosen = validated(links) if links is not None else common_links(target.headers, supplemental.headers, exclude)
     if not chosen:
@@ -34,7 +34,7 @@ def link_tables(target: RawTable, supplemental: RawTable, links: Sequence[Column
         raise ValueError(f"{labels[1]}: supplemental dataset has no rows.")
     left, right = target.named(), supplemental.named()
     features = [(x.name, left.columns[x.target + 1], right.columns[x.supplemental + 1]) for x in chosen]
-    return Linkage(left, right, features, INDEX, INDEX, threshold).check_cells(*labels)
+    return Linkage(left, right, features, INDEX, INDEX, threshold, fast).check_cells(*labels)
 
 
 def coordinate_text(spark: SparkSession, target: str, supplemental: str, links: Sequence[ColumnLink] | None = None, exclude: Iterable[str] = (), threshold: float = 0.8) -> Linkage:
@@ -42,24 +42,24 @@ def coordinate_text(spark: SparkSession, target: str, supplemental: str, links:
     return link_tables(parse_csv_text(spark, target, "target"), parse_csv_text(spark, supplemental, "supplemental"), links, exclude, threshold)
 
 
-def coordinator(spark: SparkSession, target: str, supplemental: str, output: str, exclude: Iterable[str] = (), threshold: float = 0.8, fast: bool = False) -> list[str]:
+def coordinator(spark: SparkSession, target: str, supplemental: str, output: str, exclude: Iterable[str] = (), threshold: float = 0.8, fast: bool | None = None) -> list[str]:
     """Link two CSV files; writes the linked table to ``output`` and the detail beside it, and gives the warnings.
 
-    ``fast`` is taken for the sake of callers: there is one engine, which is exact.
+    ``fast``: by matrix products; by default where that pays.  Results are the same either way.
     """
-    found = link_tables(load_csv(spark, target), load_csv(spark, supplemental), None, exclude, threshold, (target, supplemental))
+    found = link_tables(load_csv(spark, target), load_csv(spark, supplemental), None, exclude, threshold, (target, supplemental), fast)
     base = output.removesuffix(".csv")
     write_csv(found.linked(), output, [f"{INDEX}", "target_index"])
     write_csv(found.detail(), f"{base}_detail.csv")
     return found.warnings
 
 
-def coordinate(target: DataFrame, supplemental: DataFrame, features: Sequence[tuple[str, str, str]], target_index: str, supplemental_index: str, threshold: float = 0.8, fast: bool = False) -> Linkage:
+def coordinate(target: DataFrame, supplemental: DataFrame, features: Sequence[tuple[str, str, str]], target_index: str, supplemental_index: str, threshold: float = 0.8, fast: bool | None = None, metric: str = "euclidean") -> Linkage:
     """A linkage of two DataFrames, such as Parquet tables, by features (name, target column, supplemental column).
 
-    ``fast`` is taken for the sake of callers: there is one engine, which is exact.
+    ``fast``: by matrix products; by default where that pays.  Results are the same either way.
     """
-    return Linkage(target, supplemental, features, target_index, supplemental_index, threshold)
+    return Linkage(target, supplemental, features, target_index, supplemental_index, threshold, fast, metric)
 
 
 def results(found: Linkage) -> dict:

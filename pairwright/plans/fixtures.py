@@ -62,7 +62,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, lis
 FIXTURES = {"accounts": (accounts, "c_custkey", "s_suppkey"), "nations": (nations, "c_custkey", "s_suppkey"), "overlap": (overlap, "c_custkey", "c_custkey"), "profiles": (profiles, "o_custkey", "l_suppkey"), "vectors": (vectors, "vec_id", "vec_id")}
 
 
-def linkage(spark: SparkSession, sf_dir: str, name: str) -> Linkage:
+def linkage(spark: SparkSession, sf_dir: str, name: str, metric: str = "euclidean") -> Linkage:
     make, target_index, supplemental_index = FIXTURES[name]
     target, supplemental, features = make(spark, sf_dir)
-    return Linkage(target, supplemental, features, target_index, supplemental_index)
+    return Linkage(target, supplemental, features, target_index, supplemental_index, metric=metric)

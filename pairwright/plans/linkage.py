@@ -24,7 +24,8 @@ class Linkage:
     ``target`` and ``supplemental`` have an index column (the row's place; ties go to the lesser)
     and any other columns.  Each feature is a name with a column of either side; text columns are
     cleaned as cells of raw tables, numbers are taken as they are.  Nothing but a few numbers a
-    feature comes to the driver.
+    feature comes to the driver.  ``metric`` ``mahalanobis`` takes the features' correlations into account:
+    scores, shares and balance are then those of what each feature tells beyond the ones before it.
     """
 
     def __init__(
@@ -36,10 +37,14 @@ class Linkage:
         supplemental_index: str,
         threshold: float = 0.8,
         fast: bool | None = None,
+        metric: str = "euclidean",
     ) -> None:
         self.threshold = checked_threshold(threshold)
+        if metric not in ("euclidean", "mahalanobis"):
+            raise ValueError(f"there is no metric {metric}")
         if not features:
             raise ValueError("No shared columns to match on.")
+        self.metric = metric
         self.kept = Kept()
         self.fast = fast
         self.names = [f[0] for f in features]
@@ -48,7 +53,8 @@ class Linkage:
         self.target_index, self.supplemental_index = target_index, supplemental_index
         self.links = list(features)
         # One aggregate over both tables: rows, means and deviations.
-        self.figures = standardize.pooled_figures(self._cells(1).select("cells"), self._cells(2).select("cells"), len(features))
+        self.target_cells, self.supplemental_cells = self._cells(1), self._cells(2)
+        self.figures = standardize.pooled_figures(self.target_cells.select("cells"), self.supplemental_cells.select("cells"), len(features))
         if not self.figures.n_target:
             raise ValueError("target dataset has no rows.")
         if not self.figures.n_supplemental:
@@ -57,9 +63,10 @@ class Linkage:
     def _side(self, side: int) -> tuple[DataFrame, Column, list[Column]]:
         """A table, its index and its features' values; ``side`` is the place of its column in a link."""
         table, index, name = (self.target, self.target_index, "target_idx") if side == 1 else (self.supplemental, self.supplemental_index, "supp_idx")
+        kinds = dict(table.dtypes)  # asked for once, as each question goes to the planner
 
         def value(column: str) -> Column:
-            return cleaning.clean_value(F.col(f"`{column}`")) if table.schema[column].dataType.simpleString() == "string" else cleaning.number_or_null(F.col(f"`{column}`"))
+            return cleaning.clean_value(F.col(f"`{column}`")) if kinds[column] == "string" else cleaning.number_or_null(F.col(f"`{column}`"))
 
         return table, F.col(f"`{index}`").cast("long").alias(name), [value(link[side]) for link in self.links]
 
@@ -118,20 +125,30 @@ class Linkage:
     def scales(self) -> list[standardize.Scale]:
         return self.figures.scales
 
+    @cached_property
+    def whitener(self) -> standardize.Whitener | None:
+        if self.metric == "euclidean":
+            return None
+        return standardize.Whitener(standardize.positive_definite(standardize.pooled_covariance(self.target_cells, self.supplemental_cells, self.scales)))
+
     @cached_property
     def target_z(self) -> DataFrame:
+        if self.whitener:
+            return standardize.whitened(self.target_cells, "target_idx", self.scales, self.whitener, self.cells)
         return standardize.standardized(self.target_features, self.cells, self.scales)
 
     @cached_property
     def supplemental_z(self) -> DataFrame:
+        if self.whitener:
+            return standardize.whitened(self.supplemental_cells, "supp_idx", self.scales, self.whitener, self.cells)
         return standardize.standardized(self.supplemental_features, self.cells, self.scales)
 
     @cached_property
     def matcher(self) -> Matcher:
         figures = self.figures
         return Matcher(
-            self._cells(1), "target_idx", self._cells(2), "supp_idx", "cells", self.threshold, scales=[(s.mean, s.deviation) for s in figures.scales], counts=(figures.n_target, figures.n_supplemental),
-            fast=self.fast, kept=self.kept,
+            self.target_cells, "target_idx", self.supplemental_cells, "supp_idx", "cells", self.threshold, scales=[(s.mean, s.deviation) for s in figures.scales], counts=(figures.n_target, figures.n_supplemental),
+            fast=self.fast, kept=self.kept, turn=self.whitener,
         )
 
     @cached_property
@@ -243,13 +260,15 @@ class Linkage:
 
     def without_feature(self, name: str) -> Linkage:
         """The same linkage with one feature left out."""
-        return Linkage(self.target, self.supplemental, [x for x in self.links if x[0] != name], self.target_index, self.supplemental_index, self.threshold)
+        return Linkage(self.target, self.supplemental, [x for x in self.links if x[0] != name], self.target_index, self.supplemental_index, self.threshold, self.fast, self.metric)
 
     def stability(self) -> DataFrame:
         """(left_out, n, same): for each feature, of n targets how many keep their match without it; none stays none.
 
         All reduced matches come from one pass over the pairs.
         """
+        if self.whitener:
+            raise ValueError("without a feature the others are turned in another way: use without_feature")
         other = self.matcher.without_each().withColumnRenamed("match_idx", "other_idx")
         name = F.element_at(F.array(*(F.lit(n) for n in self.names)), (F.col("k") + 1).cast("int"))
         same = F.count_if(F.col("match_idx").eqNullSafe(F.col("other_idx")))

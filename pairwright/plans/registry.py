@@ -107,16 +107,32 @@ _MATCH = "target_idx, match_idx, no_match, round(best_distance, 6) AS best_dista
 
 def _matches(fixture: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = linkage(spark, sf_dir, fixture).matches
-        return found.select("target_idx", "match_idx", "no_match", six("best_distance"), six("second_distance"), "repeats", six("nndr"), "near_miss", "mnn_confirmed", "reverse_repeat_count")
+        return _rounded(linkage(spark, sf_dir, fixture).matches)
 
     return run
 
 
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("target_idx", "match_idx", "no_match", six("best_distance"), six("second_distance"), "repeats", six("nndr"), "near_miss", "mnn_confirmed", "reverse_repeat_count")
+
+
 for _name, _fixture in (("match", "accounts"), ("match_ties", "nations"), ("match_overlap", "overlap"), ("match_profiles", "profiles"), ("match_vectors", "vectors")):
     query(f"{oracle.matched(_fixture)} SELECT {_MATCH} FROM m", _name)(_matches(_fixture))
 
 
+@query(f"{oracle.matched('profiles' + oracle.BY_CORRELATION)} SELECT {_MATCH} FROM m")
+def match_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order profiles to line profiles by Mahalanobis' distance."""
+    return _rounded(linkage(spark, sf_dir, "profiles", "mahalanobis").matches)
+
+
+@query(f"{oracle.judged('accounts' + oracle.BY_CORRELATION)} SELECT target_idx, round(best_distance, 6) AS best_distance, round(c0, 6) AS share_balance, round(c1, 6) AS share_nation, flags FROM j")
+def flags_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers to suppliers by Mahalanobis' distance, some cells missing: shares of what each feature adds, and flags."""
+    found = linkage(spark, sf_dir, "accounts", "mahalanobis").per_target
+    return found.select("target_idx", six("best_distance"), six(F.col("contributions")[0], "share_balance"), six(F.col("contributions")[1], "share_nation"), "flags")
+
+
 @query(oracle.base("overlap") + ", k AS (SELECT ti, si, d, row_number() OVER (PARTITION BY ti ORDER BY d, si) AS rank FROM p WHERE d IS NOT NULL) SELECT ti AS target_idx, rank, si AS supp_idx, round(d, 6) AS distance FROM k WHERE rank <= 5")
 def top_k_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of each target, with ids."""
