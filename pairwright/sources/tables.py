@@ -11,9 +11,11 @@ import io
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import csv_records
+
 INDEX = "row_index"
 
 
@@ -46,42 +48,30 @@ def with_row_index(df: DataFrame, name: str = INDEX) -> DataFrame:
     return marked.join(F.broadcast(starts), "__part").select((F.col("start") + F.col("__place") - F.col("first")).alias(name), *df.columns)
 
 
-def _ragged(reader: DataFrameReader, path: str, width: int) -> str | None:
-    """The message for the first row of another width than the header's."""
-    schema = ", ".join([*(f"c{k} string" for k in range(width)), "_other string"])
-    rows = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_other").option("columnPruning", False).csv(path)
-    # One task reads a file with line breaks within quotes, so these numbers have no gaps.
-    found = rows.withColumn("line", F.monotonically_increasing_id() + 1).filter(F.col("_other").isNotNull() & F.col("c0").eqNullSafe(F.col("c0"))).orderBy("line").first()
-    if found is None:
-        return None
-    cells = len(next(csv.reader(io.StringIO(found["_other"], newline=""))))
-    return f"{path}: line {found['line']} has {cells} cells, the header has {width}"
-
-
 def load_csv(spark: SparkSession, path: str, drop_blank_rows: bool = False) -> RawTable:
     """One CSV file with a header row: quotes doubled, UTF-8 with or without a mark, any line ends, blank lines passed over.
 
-    An empty file and a row of another width than the header's are errors.  Rows are indexed in
-    file order; ``drop_blank_rows`` passes over rows with nothing but white space.
+    The file is read in as many tasks as it has splits (``csv_records``).  An empty file and a row of another width
+    than the header's are errors, told with the number of the record.  Rows are indexed in file order without gaps;
+    ``drop_blank_rows`` passes over rows with nothing but white space and leaves their numbers out.
     """
-    reader = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-    raw = reader.csv(path)
-    first = raw.first() if raw.columns else None
+    found, splits = csv_records.table(spark, path)
+    first = found.filter("row = 0").first() if splits else None
     if first is None:
         raise ValueError(f"{path}: file is empty")
-    headers = [(h or "") for h in first]
-    headers[0] = headers[0].removeprefix("﻿")
-    if message := _ragged(reader, path, len(headers)):
-        raise ValueError(message)
-    rows = raw.toDF(*(f"c{k}" for k in range(len(headers))))
+    headers = list(first["cells"])
+    headers[0] = headers[0].removeprefix("\ufeff")
+    ragged = found.filter(F.size("cells") != len(headers)).agg(F.min(F.struct("record", F.size("cells").alias("n"))).alias("x")).first()["x"]
+    if ragged is not None:
+        raise ValueError(f"{path}: line {ragged['record'] + 1} has {ragged['n']} cells, the header has {len(headers)}")
+    cell = lambda k: F.nullif(F.get("cells", F.lit(k)), F.lit(""))
+    rows = found.filter("row > 0").select((F.col("row") - 1).alias(INDEX), *(cell(k).alias(f"c{k}") for k in range(len(headers))))
     if drop_blank_rows:
         filled = F.lit(False)
-        for c in rows.columns:
+        for c in rows.columns[1:]:
             filled = filled | (F.trim(F.coalesce(c, F.lit(""))) != "")
         rows = rows.filter(filled)
-    # A file with line breaks within quotes is read by one task, so these numbers have no gaps; the header is 0.
-    numbered = rows.select((F.monotonically_increasing_id() - 1).alias(INDEX), *rows.columns)
-    return RawTable(headers, numbered.filter(F.col(INDEX) >= 0))
+    return RawTable(headers, rows)
 
 
 def parse_csv_text(spark: SparkSession, text: str, label: str) -> RawTable:
