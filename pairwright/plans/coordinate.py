@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.texts import number_text
 from ..operators import diagnostics
 from ..operators.linking import ColumnLink, common_links, personal_headers, validated
 from ..sources.tables import INDEX, RawTable, load_csv, parse_csv_text, write_csv
@@ -66,7 +67,7 @@ def results(found: Linkage) -> dict:
     """A finished linkage by name: short lists and the summary as values, tables as DataFrames, rows of the first two as text."""
 
     def text(table: DataFrame) -> DataFrame:
-        return table.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in table.columns))
+        return table.select(*(F.coalesce(number_text(F.col(f"`{c}`")) if kind in ("double", "float") else F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c, kind in table.dtypes))
 
     linked, detail = text(found.linked()), text(found.detail())
     return {

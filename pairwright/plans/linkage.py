@@ -258,6 +258,22 @@ class Linkage:
         gap = F.col("target_z") - F.col("supp_z")
         return rows.withColumn("term", F.coalesce(gap * gap, F.lit(2.0)))
 
+    def scenarios(self, k: int = 3) -> DataFrame:
+        """(target_idx, scenario): each target with its k nearest rows, feature by feature, as JSON; numbers to six places, null where missing."""
+
+        def six(c: str) -> Column:
+            return F.col(c).cast("decimal(20,6)")
+
+        place = F.array_position(F.array(*(F.lit(n) for n in self.names)), F.col("feature"))
+        term = F.struct(place.alias("place"), "feature", six("target_z").alias("target"), six("supp_z").alias("row"), six("term").alias("term"))
+        terms = F.transform(F.array_sort(F.collect_list(term)), lambda x: x.dropFields("place"))
+        near = self.explained(k).groupBy("target_idx", "rank", "supp_idx", "distance").agg(terms.alias("terms"))
+        near = near.select("target_idx", F.struct("rank", F.col("supp_idx").alias("row"), six("distance").alias("distance"), "terms").alias("x"))
+        lists = near.groupBy("target_idx").agg(F.array_sort(F.collect_list("x")).alias("candidates"))  # k a target
+        every = self.matches.select("target_idx", "no_match", "near_miss", "mnn_confirmed").join(lists, "target_idx", "left")
+        told = F.struct(F.col("target_idx").alias("target"), "no_match", "near_miss", "mnn_confirmed", F.coalesce("candidates", F.array().cast(lists.schema["candidates"].dataType)).alias("candidates"))
+        return every.select("target_idx", F.to_json(told, {"ignoreNullFields": "false"}).alias("scenario"))
+
     def without_feature(self, name: str) -> Linkage:
         """The same linkage with one feature left out."""
         return Linkage(self.target, self.supplemental, [x for x in self.links if x[0] != name], self.target_index, self.supplemental_index, self.threshold, self.fast, self.metric)

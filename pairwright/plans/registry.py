@@ -385,6 +385,22 @@ def explained_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage(spark, sf_dir, "accounts").explained(3).select("target_idx", "rank", "supp_idx", "feature", six("term"))
 
 
+_SCENARIO_TERM = "struct_pack(feature := '{name}', target := CAST(a{k} AS DECIMAL(20, 6)), \"row\" := CAST(c{k} AS DECIMAL(20, 6)), term := CAST(coalesce((a{k} - c{k}) * (a{k} - c{k}), 2e0) AS DECIMAL(20, 6)))"
+_SCENARIO_TERMS = ", ".join(_SCENARIO_TERM.format(name=name, k=k) for k, name in enumerate(oracle.names("accounts")))
+
+
+@query(
+    oracle.matched("accounts")
+    + ", k AS (SELECT ti, si, d, row_number() OVER (PARTITION BY ti ORDER BY d, si) AS rank FROM p WHERE d IS NOT NULL), "
+    "y AS (SELECT k.*, a.z0 AS a0, a.z1 AS a1, c.z0 AS c0, c.z1 AS c1 FROM k JOIN tz AS a ON a.idx = ti JOIN sz AS c ON c.idx = si WHERE rank <= 3), "
+    f"l AS (SELECT ti, list(struct_pack(rank := rank, \"row\" := si, distance := CAST(d AS DECIMAL(20, 6)), terms := [{_SCENARIO_TERMS}]) ORDER BY rank) AS candidates FROM y GROUP BY ti) "
+    "SELECT target_idx, CAST(to_json(struct_pack(target := target_idx, no_match := no_match, near_miss := near_miss, mnn_confirmed := mnn_confirmed, candidates := coalesce(candidates, []))) AS VARCHAR) AS scenario FROM m LEFT JOIN l ON ti = target_idx"
+)
+def scenario_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target with its three nearest rows, as JSON."""
+    return linkage(spark, sf_dir, "accounts").scenarios(3)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.texts import number_text
 from . import csv_records
 
 INDEX = "row_index"
@@ -87,8 +88,12 @@ def parse_csv_text(spark: SparkSession, text: str, label: str) -> RawTable:
 
 
 def write_csv(df: DataFrame, path: str, drop: Sequence[str] = ()) -> None:
-    """A folder of CSV files with a header, UTF-8, blanks for nulls, in as many parts as the table has partitions."""
+    """A folder of CSV files with a header, UTF-8, blanks for nulls, in as many parts as the table has partitions.
+
+    Doubles are written as Python writes them, lists joined by ``;``.
+    """
     flat = df.drop(*drop)
+    flat = flat.select(*(number_text(F.col(f"`{c}`")).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in flat.dtypes))
     for field in flat.schema:
         if field.dataType.typeName() == "array":
             flat = flat.withColumn(field.name, F.array_join(field.name, ";"))
