@@ -4,10 +4,11 @@ Each Spark partition of the input is packed on its own in one pass, so nothing i
 shuffled, a lost task is packed again alone, and the work grows with the input.  A
 document's whole windows go out at once; its remainder is placed into the fill level
 that least raises the sum of squared counts of partly filled windows; of levels that raise it
-alike the fullest is taken.  At most ``MOST_OPEN`` windows are open: a remainder that fits none
-of them whole is cut where it closes the fullest, and the rest is placed again.  When the
-partition ends, the fullest of these few windows are filled with pieces of the emptiest, and
-the last is cut at powers of two, where no padding is needed.
+alike the fullest is taken, and of the windows of one level the one that came to it last.  All partly
+filled windows stay open until they close exactly; a partition holds their ids, and no other.
+When it ends, the fullest of them are filled with pieces of the emptiest, and the last is cut at
+powers of two, where no padding is needed.  Their number grows far more slowly than a partition, so larger
+partitions (``spark.sql.files.maxPartitionBytes``) leave a smaller share to that end.
 
 Nulls: a null text counts as empty (its one id is the end id); a null doc_id stays
 null.  Texts are read whole, whatever their length.  Repeated rows are packed as often as they
@@ -32,8 +33,6 @@ SEQUENCE_TOKENS = 4096
 END_ID = 2
 #: Sequences that one partition can number.
 PARTITION_BITS = 38
-#: Windows that are open at once.
-MOST_OPEN = 16
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -67,22 +66,15 @@ class LevelPacker:
             offset += len(p.ids)
         self.sequence += 1
 
-    def level(self, size: int) -> int | None:
-        """The fill level whose choice raises the sum of squared counts least; ties: the fullest; None where nothing takes it whole."""
+    def level(self, size: int) -> int:
+        """The fill level whose choice raises the sum of squared counts least; ties: the fullest; 0 opens a window."""
         count, most = self.count, self.capacity - size
         rise = 2 * count[size : size + most + 1] + 1
         rise[1:] += np.where(count[1 : most + 1] > 0, 1 - 2 * count[1 : most + 1], np.inf)
-        if self.n_open >= MOST_OPEN:
-            rise[0] = np.inf
-        g = most - int(np.argmin(rise[::-1]))
-        return g if rise[g] < np.inf else None
+        return most - int(np.argmin(rise[::-1]))
 
     def place(self, piece: Piece) -> None:
-        while (g := self.level(len(piece.ids))) is None:
-            fullest = int(np.flatnonzero(self.count[: self.capacity])[-1])
-            head, piece = piece.cut(self.capacity - fullest)
-            self.put(head, fullest)
-        self.put(piece, g)
+        self.put(piece, self.level(len(piece.ids)))
 
     def put(self, piece: Piece, g: int) -> None:
         """Add a piece to a window of level g, or to a new one if that is 0."""
