@@ -12,8 +12,8 @@ the body is the threshold, and every subtree that reaches it adds its own larges
 What stands beside the path to the core is recovered up to the outermost element below the body,
 or to the ``article`` or ``main`` around the core: text of these elements themselves, and
 headings, paragraphs, lists and tables that are not half links.  Of other elements there a dense
-one is taken by the threshold; one that is not needs to be in an ``article`` or ``main``.  A heading
-right before all that is taken too.
+one is taken by the threshold; one that is not needs to be in an ``article`` or ``main``, or be a ``section``
+with a heading, paragraphs or the like.  A heading right before all that is taken too.
 
 Blocks (paragraphs, headings, list items and so on) have references decoded, white space made
 one space and trimmed, and are joined by two line feeds.
@@ -58,8 +58,11 @@ STATES = frozenset("has have no with without is not non hide hides show shows".s
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl li dt dd table tbody thead tfoot tr caption figure figcaption hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("article main".split())
-#: Names of parts that an article has too.
+#: Names of parts that an article has too, and words that name a part of it if another word says of what, as in price-alert.
 IN_ARTICLES = frozenset("header masthead banner".split())
+OF_WHAT = frozenset("alert notice notices form search overlay skip bar".split())
+#: Elements that hold an article's text.
+PROSE = frozenset("p ul ol dl pre blockquote table".split())
 NEVER_ASIDE = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
 _TOKEN = re.compile(
@@ -100,7 +103,9 @@ def _names_aside(names: str, within_article: bool) -> bool:
             continue
         while len(words) > 1 and words[-1] in PLACES:
             words.pop()
-        if words[-1] in ASIDE and not (within_article and words[-1] in IN_ARTICLES):
+        if words[-1] not in ASIDE or (within_article and words[-1] in IN_ARTICLES):
+            continue
+        if not (within_article and words[-1] in OF_WHAT and any(w not in ASIDE for w in words)):
             return True
     return False
 
@@ -140,6 +145,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
     outer: list[int] = []  # depths of open blocks and cells, and of what a list or table is made of
     listed: list[int] = []
     position, size = 0, len(page)
+    endless: set[str] = set()  # elements of which no end follows any more
 
     def flush() -> None:
         if parts:
@@ -205,7 +211,12 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 close(1)
         rest = m["rest"]
         if tag in RAW:
-            position = _skip(page, position, tag) if not rest.endswith("/>") else position
+            if not rest.endswith("/>") and tag not in endless:
+                end = _end(page, position, tag)
+                if end is None:
+                    endless.add(tag)
+                    end = position if tag in ("svg", "math") else size  # as browsers have it
+                position = end
             continue
         aside, named = _aside(tag, rest, articles > 0)
         if aside and (tag in VOID or rest.endswith("/>")):
@@ -245,7 +256,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
 
 
 def _clean(parts: list[str]) -> str:
-    return " ".join(html.unescape("".join(parts)).split())
+    """One block: each run of text has its references decoded by itself, as none reaches over a tag."""
+    return " ".join("".join(map(html.unescape, parts)).split())
 
 
 def _below(root: Node) -> list[Node]:
@@ -284,10 +296,10 @@ def _settle(root: Node) -> None:
             up.link_tags += n.link_tags + (n.tag == "a")
 
 
-def _skip(page: str, position: int, tag: str) -> int:
-    """The place after the end of an element whose content is no markup; without one, the end of the page, as browsers have it."""
+def _end(page: str, position: int, tag: str) -> int | None:
+    """The place after the end of an element whose content is no markup; None without one."""
     m = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, position)
-    return m.end() if m else position if tag in ("svg", "math") else len(page)
+    return m.end() if m else None
 
 
 def weigh(root: Node) -> list[Node]:
@@ -320,6 +332,11 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(b for b, use in zip(blocks, accumulate(edges), strict=False) if use > 0 and b)
 
 
+def _tells(section: Node) -> bool:
+    """Whether a section has a heading or text of its own kind: then it is one of the document's, however short."""
+    return any(x.tag in PROSE or x.tag in HEADINGS for x in section.children)
+
+
 def chosen(root: Node) -> list[tuple[Node, int]]:
     """Nodes whose blocks are taken (1) and, within the element around the core, left out again (-1)."""
     nodes = weigh(root)
@@ -337,7 +354,7 @@ def chosen(root: Node) -> list[tuple[Node, int]]:
     taken.append((path[top], 1))
     for above, below in zip(path[top:0:-1], path[top - 1 :: -1] if top else [], strict=False):
         for n in above.children:
-            if n is not below and n.tag in BLOCKS and not (2 * n.link_chars <= n.chars and (n.tag in RUNNING or inside is not None)):
+            if n is not below and n.tag in BLOCKS and not (2 * n.link_chars <= n.chars and (n.tag in RUNNING or inside is not None or (n.tag == "section" and _tells(n)))):
                 taken.append((n, -1))
     beside = path[top + 1].children
     at = next(k for k, n in enumerate(beside) if n is path[top])

@@ -196,7 +196,7 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lines = text.split("\n")
             for w in wanted:
                 nodes.append(w["node"])
-                found.append(" ".join(lines[w["line"]].split()).encode("utf-8", "replace"))
+                found.append(b" ".join(lines[w["line"]].encode("utf-8", "replace").split()))  # bytes are split at ASCII white space alone, as in _nodes
                 size += len(found[-1])
             if size > 1 << 24:
                 yield out()

@@ -166,3 +166,32 @@ def test_core_against_the_definition():
         for n, x in zip(nodes, order(top), strict=True):
             assert n.tag == x[0] and n.density == pytest.approx(density(x))
         assert root.best.total == pytest.approx(sum(density(x) for x in core[2]))
+
+
+def test_short_sections_of_a_document_stay():
+    page = f"<body><div><section><h2>One</h2>{'<p>' + 'long text ' * 40 + '</p>'}</section><section><h2>Two</h2><p>Short second section.</p></section></div></body>"
+    assert main_text(page).endswith("Two\n\nShort second section.")
+    menu = "<section>" + "<a href='#'>link</a> " * 20 + "</section>"
+    assert "link" not in main_text(page.replace("<section><h2>One", menu + "<section><h2>One"))
+
+
+@pytest.mark.parametrize("name,stays", [("price-alert", True), ("application-form", True), ("site-notice", True), ("alert", False), ("cookie-notice", False), ("comments", False), ("user-comments", False), ("newsletter-form", False)])
+def test_names_within_an_article(name, stays):
+    page = f"<article><p>{'some long text ' * 30}</p><div class='{name}'><p>Named part.</p></div><p>{'more long text ' * 30}</p></article>"
+    assert ("Named part." in main_text(page)) == stays
+    assert "Named part." not in main_text(f"<div><p>{'some long text ' * 30}</p></div><div class='{name}'><p>Named part.</p></div>")
+
+
+def test_references_do_not_reach_over_tags():
+    pad = "x" * 80
+    assert main_text(f"<p>AT&am<b>p;</b>T {pad}</p>") == f"AT&amp;T {pad}"
+    assert main_text(f"<p>a &amp; b &lt;i&gt; {pad}</p>") == f"a & b <i> {pad}"
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "title"])
+def test_elements_that_never_end_take_linear_time(tag):
+    import time
+
+    began = time.perf_counter()
+    main_text(f"<p>{'text ' * 20}</p>" + f"<{tag}>" * 80_000)
+    assert time.perf_counter() - began < 2

@@ -170,3 +170,20 @@ def test_repeated_rows_and_clashing_names(spark):
     assert line_dedup.without_repeats(docs).columns == docs.columns
     got = {(r["doc_id"], r["n_links"]) for r in jaccard_join.join(docs).collect()}
     assert got == {(7, 399), (8, 0)}
+
+
+def test_white_space_beyond_ascii_is_text():
+    """Keys and verification read the same text: no-break and ideographic spaces are characters of a line."""
+    import pyarrow as pa
+
+    lines = ["\u00a0\u00a0", "\u3000", "a\u00a0b", "a b", "a\u3000b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(lines)]), pa.array([[{"line": k, "node": k} for k in range(5)]])], ["text", "wanted"])
+    (found,) = line_dedup._wanted_lines(iter([batch]))
+    assert [x.decode() for x in found.column(1).to_pylist()] == lines
+
+
+def test_lines_of_odd_spaces_stay_apart(spark):
+    words = "the quick brown fox jumps over the lazy dog and runs away into the dark forest behind the old mill"
+    rows = [(1, "\u00a0\u00a0"), (2, "\u3000"), (3, words), (4, words.replace(" ", "\u00a0"))]
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.deduplicate(frame(spark, rows)).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: []}
