@@ -78,4 +78,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": sql.quality_rules_sql(), "op5_jaccard_join": sql.jaccard_join_sql()}
+    return {"op3_quality_rules": sql.quality_rules_sql(), "op5_jaccard_join": sql.jaccard_join_sql(), "op11_vector_near": sql.vector_near_sql(), "op13_prefix_trie": sql.prefix_trie_sql()}

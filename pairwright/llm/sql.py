@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality_rules
+from . import jaccard_join, prefix_trie, quality_rules, vector_near
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,3 +62,35 @@ def jaccard_join_sql() -> str:
         "n AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS twins, count(DISTINCT CASE WHEN NOT same THEN f.first END) AS n_similar FROM e JOIN f ON f.doc_id = b GROUP BY a) "
         "SELECT c.doc_id, class_id, coalesce(n_links, 0) AS n_links, 1 + coalesce(twins, 0) AS n_copies, coalesce(n_similar, 0) AS n_similar FROM c LEFT JOIN n ON n.doc_id = c.doc_id"
     )
+
+
+def vector_near_sql() -> str:
+    """All pairs of a label by their cosine; components by following links."""
+    return (
+        "WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS e FROM embeddings), "
+        "g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0), "
+        f"l AS (SELECT a.k AS a, b.k AS b FROM g AS a JOIN g AS b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {vector_near.THRESHOLD}e0), "
+        "r(k, x) AS (SELECT k, k FROM v UNION SELECT r.k, l.b FROM r JOIN l ON r.x = l.a), "
+        "c AS (SELECT r.k, min(v.vec_id) AS component_id FROM r JOIN v ON v.k = r.x GROUP BY r.k), n AS (SELECT a AS k, count(*) AS n_links FROM l GROUP BY a) "
+        "SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c ON c.k = v.k LEFT JOIN n ON n.k = v.k"
+    )
+
+
+def prefix_trie_sql() -> str:
+    """Prefixes by the MD5 of their turns' MD5s; subtrees by the path of each node's smallest member."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    crc = f"list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)), lambda y, z: list_reduce(list_prepend(xor(y, z), CAST(range(8) AS BIGINT[])), lambda x, k: {step}), CAST(4294967295 AS BIGINT))"
+    return (
+        "WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS i FROM t), "
+        f"c AS (SELECT conv_id AS c, xor({crc}, 4294967295) % {prefix_trie.MOST_TAKEN} AS h FROM (SELECT DISTINCT conv_id FROM t)), "
+        f"b AS (SELECT c, i AS d, r, x FROM c JOIN o ON o.conv_id = c - c % {prefix_trie.FAMILY} AND i <= h), nb AS (SELECT c, count(*) AS n FROM b GROUP BY c), "
+        "a AS (SELECT * FROM b UNION ALL SELECT c.c, i - h + coalesce(n, 0), r, x FROM c JOIN o ON o.conv_id = c.c AND i > h LEFT JOIN nb ON nb.c = c.c), "
+        f"q AS (SELECT c, d, len(regexp_extract_all(x, '{_WORD}')) AS w, md5(string_agg(md5(concat(md5(r), x)), '') OVER (PARTITION BY c ORDER BY d)) AS key, d = max(d) OVER (PARTITION BY c) AS last FROM a), "
+        "p AS (SELECT c, d, w, key, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), 'root') AS up, last FROM q UNION ALL SELECT c.c, 0, 0, 'root', NULL, NOT EXISTS (SELECT 1 FROM a WHERE a.c = c.c) FROM c), "
+        "n AS (SELECT key, min(c) AS conv_id, min(d) AS depth, min(up) AS up, min(w) AS w, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY key), "
+        "k AS (SELECT up AS key, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY up), "
+        "s AS (SELECT p.key, count(*) FILTER (k.n IS NULL) AS leaves, sum((n.n_convs - 1) * n.w) AS saved FROM n LEFT JOIN k ON k.key = n.key JOIN p ON p.c = n.conv_id AND p.d <= n.depth GROUP BY p.key) "
+        "SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256 "
+        "FROM n LEFT JOIN n AS m ON m.key = n.up LEFT JOIN k ON k.key = n.key JOIN s ON s.key = n.key"
+    )

@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Letters: a lexical transducer reads a word and gives its class and weight.  Insults and their
-weights are learned from labelled rows: whole words and word beginnings that toxic texts have
-more often.  Threats, targets, negations and reports are short fixed lists; a threat that the
+weights are learned from labelled rows: whole words and word beginnings that toxic texts assert
+more often (what is negated or reported is no evidence).  Threats (with their inflections), targets, negations and reports are short fixed lists; a threat that the
 labelled texts use but not in toxic ones (such as "die", an article in German) is none there, and
 one that they use has its learned weight if that is above ``THREAT_WEIGHT``.
 
@@ -47,7 +47,12 @@ THREAT_WEIGHT, LEAST_THREAT_ODDS = 3.0, 1.0
 SCOPE = 4
 
 # The closed classes of the grammar.
-THREATS = "kill hurt destroy beat shoot stab burn die matar töten tuer detruire zerstören destruir".split()
+THREATS = (
+    "kill kills killed killing murder murders murdered murdering hurt hurts hurting destroy destroys destroyed destroying beat beats beating shoot shoots shot shooting stab stabs stabbed stabbing burn burns burned burning strangle strangles strangled strangling die "
+    "töten töte tötet tötest getötet umbringen umgebracht ermorden ermordet zerstören zerstöre zerstört erschießen erschießt erstechen "
+    "tuer tue tues tuerai tuera tueront tué détruire détruirai détruira détruit frapper frapperai assassiner assassiné "
+    "matar mataré matará matarán matado matarte asesinar asesinado destruir destruiré destruirá golpear golpearé"
+).split()
 #: Threats that take no object: a target after them is not what they threaten.
 LONE_THREATS = frozenset(["die"])
 TARGETS = "you your yours he him she her they them u du dich ihr euch tu te toi vous usted ustedes ellos".split()
@@ -221,13 +226,25 @@ def figures(buf: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarra
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, is_beginning, label) once for each text of the sample and each word or beginning of it."""
+    """(hash, is_beginning, label) once for each text of the sample and each word or beginning that it asserts.
+
+    What a negation or a report governs says nothing about the words in it: only asserted uses are evidence for or against.
+    """
+    negations, reports = (np.array(sorted(map(_word_hash, words)), np.uint64) for words in (NEGATIONS, REPORTS))
     for batch in batches:
         labels = batch.column(0).to_numpy(zero_copy_only=False)
         buf, offsets = kernel.utf8(lower(batch.column(1)))
         for a, b in kernel.chunks(offsets):
             part, at = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             start, end, rows, h = _words(part, at)
+            if not len(h):
+                continue
+            clause, place = np.cumsum(_CLAUSE_END[part])[start] + rows, np.arange(len(h))
+            asserted = np.ones(len(h), bool)
+            for words, reach in ((negations, SCOPE), (reports, len(h))):
+                last = np.maximum.accumulate(np.where(np.isin(h, words), place, -1))
+                asserted &= (last < 0) | (clause[last] != clause) | (place - last > reach) | (place == last)
+            start, end, rows, h = start[asserted], end[asserted], rows[asserted], h[asserted]
             for beginning, own, hashes in ((False, rows, h), *((True, rows[long], short) for long, short in _beginnings(part, start, end))):
                 key, row = kernel.unique_in_rows(hashes, own)
                 yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(key)), pa.array(np.full(len(key), beginning)), pa.array(labels[a + row].astype(np.int32))], ["h", "beginning", "label"])

@@ -1,5 +1,6 @@
 """Quality rules, quality and toxicity classifiers and the language model."""
 
+import itertools
 import math
 import re
 import zlib
@@ -238,6 +239,57 @@ def test_clauses_tell_more_than_words(spark):
     assert all(got[k]["predicted"] for k in range(0, 600, 3)) and not any(got[k]["predicted"] for k in range(600) if k % 3 and k % 15 != 1)
 
 
+def _auc(scores, labels):
+    """The share of pairs of a toxic and a clean text that are in order; ties count half."""
+    order = sorted(zip(scores, labels, strict=True))
+    above = ties = 0
+    for value, group in itertools.groupby(order, key=lambda x: x[0]):
+        own = [y for _, y in group]
+        ties += sum(own) * (len(own) - sum(own))
+        above += sum(own) * sum(1 for v, y in order if v < value and not y)
+    toxic = sum(labels)
+    return (above + ties / 2) / (toxic * (len(labels) - toxic))
+
+
+def test_grammar_tells_more_than_a_bag_of_its_words(spark):
+    """Held out, with mentions, reports, negations and inflected threats: the same words on both sides."""
+    r, rows, labels = rng(41), [], []
+    for k in range(900):
+        toxic, mention = k % 3 == 0, k % 3 == 1 and k % 2 == 0
+        word, verb = r.choice(["grobnik", "snarfle", "blivet"]), r.choice(["kill", "be killing", "murder", "stab"])
+        asserted = [f"you are a {word}", f"such a {word} you are", f"they will {verb} you", f"we {verb} them"]
+        told = [f"she said you are a {word}", f"you are not a {word}", f"he wrote that nobody is a {word}", f"he reported that they {verb} you", f"they never {verb} you"]
+        said = r.choice(asserted) if toxic else r.choice(told) if mention else prose(r, 6)
+        rows.append((k, f"{sentences(r, 3)} {said}. {sentences(r, 2)}"))
+        labels.append((k, 1, int(toxic)))
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    held = [x for x in toxicity.classify(docs, marks).collect() if x["held_out"]]
+    assert len(held) > 120
+
+    def bag(text):
+        raw = np.frombuffer(text.lower().encode(), np.uint8)
+        start, end, _, h = toxicity._words(raw, np.array([0, len(raw)]))
+        weight = np.zeros(len(h))
+        for long, short in toxicity._beginnings(raw, start, end):
+            found, at = toxicity._find(model.lexicon.beginning, short, model.lexicon.seen_beginning)
+            weight[long[found]] = model.lexicon.odds[at]
+        found, at = toxicity._find(model.lexicon.whole, h, model.lexicon.seen_whole)
+        weight[found] = np.where(np.isin(model.lexicon.kind[at], (toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT)), 0, model.lexicon.weight[at])
+        return weight.sum()
+
+    texts, toxic = dict(rows), {k: t for k, _, t in labels}
+    y = [toxic[x["doc_id"]] for x in held]
+    grammar, words = _auc([x["score"] for x in held], y), _auc([bag(texts[x["doc_id"]]) for x in held], y)
+    print(f"held-out AUC: grammar {grammar:.3f}, bag of its words {words:.3f}")
+    assert grammar > 0.95 and grammar > words + 0.05
+
+
+def test_inflected_threats():
+    for said in ("they are killing you", "he murdered them", "ich töte dich", "je vais détruire vous", "ellos matarán"):
+        assert "threat" in {c for c in toxicity.CATEGORIES if figures(said)[f"log_{c}"] > 0}, said
+
+
 def test_articles_are_no_threats(spark):
     german = ["siehst du die sonne", "hast du die post geholt", "du und die anderen"]
     rows = [(0, f"{german[k % 3]} {k}.") for k in range(60)] + [(1, f"you grobnik {k}. they will kill you") for k in range(30)]
