@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,15 +64,35 @@ def candidate_gradient(target: DataFrame, pool: DataFrame, target_id: str, varia
     return told.join(rows, "k_variables").select("k_variables", "variables", "mean_candidates", "median_candidates", "max_candidates", "pct_unique", "pct_ambiguous")
 
 
+def duplicate_groups(target: DataFrame, pool: DataFrame, target_id: str, pool_id: str, variables: Sequence[str], counts: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """Which pool rows agree with which targets on the first k variables, for each k of ``counts``, as two tables.
+
+    (target_id, k_variables, group_id, n_matching) has a row for each target that agrees with any, and (k_variables,
+    group_id, pool_id) one for each row of those groups; a group is a hash of its values.  Neither grows with the
+    product of a group's sides, and no group meets in one task.
+    """
+    group = lambda k: F.xxhash64(F.lit(k), *variables[:k])
+    sound = lambda k: reduce(and_, (F.col(v).isNotNull() for v in variables[:k]))
+
+    def keyed(table: DataFrame, name: str) -> DataFrame:
+        each = F.array_compact(F.array(*(F.when(sound(k), F.struct(F.lit(k).alias("k_variables"), group(k).alias("group_id"))) for k in counts)))
+        return table.select(name, F.explode(each).alias("x")).select(name, "x.*")
+
+    members = keyed(pool, pool_id)
+    sizes = members.groupBy("k_variables", "group_id").agg(F.count(F.lit(1)).alias("n_matching"))
+    found = keyed(target, target_id).join(sizes, ["k_variables", "group_id"]).select(target_id, "k_variables", "group_id", "n_matching")
+    asked = found.select("k_variables", "group_id").distinct()
+    return found, members.join(asked, ["k_variables", "group_id"]).select("k_variables", "group_id", pool_id)
+
+
 def duplicate_detail(target: DataFrame, pool: DataFrame, target_id: str, pool_id: str, variables: Sequence[str], counts: Sequence[int]) -> DataFrame:
-    """(target_id, k_variables, n_matching, matching_ids): ids of agreeing pool rows, joined by ``;`` in order of their text."""
-    out = None
-    for k in counts:
-        keys = list(variables[:k])
-        ids = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matching"), F.array_join(F.array_sort(F.collect_list(F.col(pool_id).cast("string"))), ";").alias("matching_ids"))
-        rows = target.select(target_id, *keys).join(ids, keys).select(target_id, F.lit(k).alias("k_variables"), "n_matching", "matching_ids")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(target_id, k_variables, n_matching, matching_ids): ids of agreeing pool rows, joined by ``;`` in order of their text.
+
+    A row holds all ids of its group, once for each target; for groups without a bound take ``duplicate_groups``.
+    """
+    found, members = duplicate_groups(target, pool, target_id, pool_id, variables, counts)
+    ids = members.groupBy("k_variables", "group_id").agg(F.array_join(F.array_sort(F.collect_list(F.col(pool_id).cast("string"))), ";").alias("matching_ids"))
+    return found.join(ids, ["k_variables", "group_id"]).select(target_id, "k_variables", "n_matching", "matching_ids")
 
 
 def scenario_accuracy(results: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.texts import number_text
 from ..operators import diagnostics
 from ..operators.linking import ColumnLink, common_links, personal_headers, validated
+from ..sources.shared import copy
 from ..sources.tables import INDEX, RawTable, load_csv, parse_csv_text, write_csv
 from .linkage import Linkage
 
@@ -80,8 +81,12 @@ def personal_data_warnings(target: RawTable, supplemental: RawTable) -> list[tup
     return personal_headers(target.headers, "target") + personal_headers(supplemental.headers, "supplemental")
 
 
-def write_package(found: Linkage, folder: str) -> None:
-    """All tables of a finished linkage below one folder, each as CSV."""
+def write_package(found: Linkage, folder: str, inputs: Sequence[str] = ()) -> None:
+    """All tables of a finished linkage below one folder, each as CSV.
+
+    ``inputs``, the paths of the target's and the supplemental's file, are copied byte for byte; without them
+    the tables are written anew.
+    """
     spark = found.target.sparkSession
     write_csv(found.linked(), f"{folder}/linked_dataset", ["target_index"])
     write_csv(found.detail(), f"{folder}/results/match_detail")
@@ -90,6 +95,8 @@ def write_package(found: Linkage, folder: str) -> None:
     write_csv(stats[0].unionByName(stats[1]), f"{folder}/diagnostics/data_stats")
     write_csv(found.match_stats(), f"{folder}/diagnostics/match_stats")
     write_csv(found.feature_smd(), f"{folder}/diagnostics/feature_smd")
-    for table, name, index in sides:
+    for table, name, index in [] if inputs else sides:
         write_csv(table, f"{folder}/inputs/{name}", [index])
+    for path in inputs:
+        copy(spark, path, f"{folder}/inputs/{path.rsplit('/', 1)[-1]}")
     spark.createDataFrame([(README,)], "value string").write.mode("overwrite").text(f"{folder}/readme")

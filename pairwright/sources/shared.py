@@ -34,6 +34,13 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """A file as it is, byte for byte."""
+    here, files = _file_system(spark, source)
+    there, others = _file_system(spark, target)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(files, here, others, there, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def names_in(spark: SparkSession, folder: str) -> list[str]:
     """What lies directly in a folder; nothing where there is none."""
     where, files = _file_system(spark, folder)

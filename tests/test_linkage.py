@@ -117,6 +117,8 @@ def test_csv_files(spark, tmp_path):
     assert glob.glob(f"{tmp_path}/out_detail.csv/*.csv")
     write_package(coordinate.link_tables(t, load_csv(spark, str(b))), f"file://{tmp_path}/package")
     assert {p.split("/")[-1] for p in glob.glob(f"{tmp_path}/package/*")} == {"linked_dataset", "results", "diagnostics", "inputs", "readme"}
+    write_package(coordinate.link_tables(t, load_csv(spark, str(b))), f"file://{tmp_path}/exact", [f"file://{a}", f"file://{b}"])
+    assert all((tmp_path / "exact" / "inputs" / x.name).read_bytes() == x.read_bytes() for x in (a, b))
 
 
 def test_csv_faults(spark, tmp_path):

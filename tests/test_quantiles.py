@@ -51,3 +51,17 @@ def test_leading_counts_equal_plain_loops(spark):
     got = {(x["id"], x["k"]): x["n"] for x in candidates.leading_counts(spark.createDataFrame(target, kinds), spark.createDataFrame(pool, kinds), "id", ["a", "b", "c"]).collect()}
     want = {(t[0], k): sum(all(t[c] is not None and t[c] == p[c] for c in range(1, k + 1)) for p in pool) for t in target for k in (1, 2, 3)}
     assert got == want
+
+
+def test_groups_of_duplicates_do_not_multiply(spark):
+    kinds = "id long, a int, b int"
+    target, pool = [(k, 1, k % 2) for k in range(50)] + [(99, None, 1)], [(k, 1, k % 3) for k in range(60)] + [(98, 7, 7), (97, None, 1)]
+    found, members = candidates.duplicate_groups(spark.createDataFrame(target, kinds), spark.createDataFrame(pool, kinds), "id", "id", ["a", "b"], [1, 2])
+    found, members = found.collect(), members.collect()
+    assert len(found) == 100 and len(members) == 60 + 40  # not 50 times 60
+    by = {}
+    for r in members:
+        by.setdefault((r["k_variables"], r["group_id"]), []).append(r["id"])
+    for r in found:
+        own = next(t for t in target if t[0] == r["id"])
+        assert sorted(by[r["k_variables"], r["group_id"]]) == [p[0] for p in pool if p[1 : 1 + r["k_variables"]] == own[1 : 1 + r["k_variables"]]] and r["n_matching"] == len(by[r["k_variables"], r["group_id"]])
