@@ -90,3 +90,22 @@ def test_index_finds_all_fingerprints_within_the_radius():
 def test_wide_windows_and_classes():
     assert [decontaminate.class_length(n) for n in (1, 2, 5, 10, 40)] == sorted(decontaminate.class_length(n) for n in (1, 2, 5, 10, 40))
     assert all(n / 1.3 <= decontaminate.class_length(n) <= n for n in range(1, 400))
+
+
+def test_recall_by_similarity(spark):
+    """Edited passages whose similarity is just above the threshold and higher, against the definition."""
+    r = rng(17)
+    items, docs = [], []
+    for k in range(700):
+        n = r.choice([40, 60, 90, 150, 260])
+        items.append((k, prose(r, n)))
+        docs.append((k, f"{prose(r, r.randrange(0, 60))} {edited(r, items[-1][1], max(0, round(n * r.choice([0, 0.005, 0.01, 0.015, 0.02, 0.025]))))} {prose(r, r.randrange(0, 60))}"))
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
+    bins = {}
+    for doc, item in zip(docs, items, strict=True):
+        for pair, similarity in brute([doc], [item]).items():
+            found, all_ = bins.get(min(int(similarity * 20), 19), (0, 0))
+            bins[min(int(similarity * 20), 19)] = found + (pair in got), all_ + 1
+    print({f"{k / 20:.2f}": f"{a}/{b}" for k, (a, b) in sorted(bins.items())})
+    assert set(bins) == {16, 17, 18, 19} and all(b >= 25 and a >= 0.95 * b for a, b in bins.values())
+    assert bins[19][0] == bins[19][1]
