@@ -130,6 +130,7 @@ def floor_failures(accuracy: DataFrame) -> list[str]:
 
     n, correct, wrong_flagged = (sum(r[k] for r in rows.values()) for k in ("n", "correct", "wrong_flagged"))
     figures = {"clean_accuracy": of("clean"), "duplicate_group_accuracy": of("duplicate_group"), "missing_one_accuracy": of("missing_one"), "overall_accuracy": share(correct, n), "wrong_flagged_rate": share(wrong_flagged, n - correct)}
+    # Fixed text: reports are compared by it.
     found = [f"{k} = {v:.3f} below floor {FLOORS[k]}" for k, v in figures.items() if v is not None and v < FLOORS[k]]
     empty = rows.get("missing_all")
     if empty and empty["no_match"] != empty["n"]:

@@ -172,6 +172,22 @@ class _Closest:
         return None
 
 
+class _All:
+    """All distances of the targets."""
+
+    SCHEMA = "t_idx array<long>, s_idx array<long>, d array<double>"
+
+    def __init__(self, tile: list) -> None:
+        self.tile = tile
+
+    def target(self, t_idx: np.ndarray, a: np.ndarray) -> dict:
+        found = [(s_idx, blocks.distances(a, b)) for s_idx, b in self.tile]
+        return {"t_idx": np.concatenate([np.repeat(t_idx, len(s)) for s, _ in found]), "s_idx": np.concatenate([np.tile(s, len(t_idx)) for s, _ in found]), "d": np.concatenate([d.ravel() for _, d in found])}
+
+    def end(self) -> None:
+        return None
+
+
 class _WithoutEach:
     """The nearest row of each target without feature k, for all k, from the same squared differences."""
 
@@ -341,6 +357,13 @@ class Matcher:
         none = F.array().cast("array<double>")
         return self.target.select("target_idx").join(lists, "target_idx", "left").select("target_idx", F.coalesce("top_k_distances", none).alias("top_k_distances"))
 
+    def sorted_distances(self, targets: Sequence[int]) -> DataFrame:
+        """(target_idx, supp_idx, distance) of a few stated targets to all supplemental rows, ascending, ties by index; infinite ones (null) last."""
+        asked = self.target.sparkSession.createDataFrame([(int(t),) for t in targets], "target_idx long").distinct()
+        found = exploded(self._over(_All, _All.SCHEMA, blocks.with_figures(self.target_blocks, asked.join(self.target.select("target_idx"), "target_idx"), self.width, [])), "t_idx", "s_idx", "d")
+        rows = found.select(F.col("t_idx").alias("target_idx"), F.col("s_idx").alias("supp_idx"), _finite("d").alias("distance"))
+        return rows.orderBy("target_idx", F.col("distance").asc_nulls_last(), "supp_idx")
+
     def without_each(self) -> DataFrame:
         """(target_idx, k, match_idx): each target's match if feature k is left out, for all k, in one pass; null for none."""
         if self.width < 2:

@@ -224,6 +224,7 @@ def scale_report(target: DataFrame, supplemental: DataFrame, features: Sequence[
 def scale_warnings(target: DataFrame, supplemental: DataFrame, features: Sequence[str], limit: float = 50.0) -> list[str]:
     """A sentence for each feature whose spreads differ by more than ``limit`` times, in feature order."""
     rows = {r["feature"]: r for r in scale_report(target, supplemental, features, limit).filter("mismatch").collect()}
+    # Fixed text: callers show these sentences and look for parts of them.
     return [
         f"possible scale mismatch in column '{f}': target spread (std {rows[f]['target_std']:.4g}) vs supplemental spread (std {rows[f]['supplemental_std']:.4g}) "
         f"differ by more than {limit:g}x — check that both files use the same units and neither is already standardized"

@@ -245,6 +245,7 @@ def data_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+# Names of the figures, which results are read by.
 _METRICS = {
     "total_rows": "count(*)", "no_match_count": "count(*) FILTER (no_match)", "flagged_count": "count(*) FILTER (flags <> '')", "flagged_pct": "100e0 * count(*) FILTER (flags <> '') / count(*)",
     "mnn_confirmed_count": "count(*) FILTER (mnn_confirmed)", "mnn_confirmed_pct": "100e0 * count(*) FILTER (mnn_confirmed) / count(*)", "rows_with_near_miss": "count(*) FILTER (near_miss > 0)",

@@ -272,3 +272,17 @@ def test_kept_tables_go(spark):
     assert len(m.matches().collect()) == 2 and set(names_in(spark, folder)) - before
     m.kept.forget()
     assert set(names_in(spark, folder)) == before
+
+
+def test_all_distances_of_stated_targets(spark):
+    rng = random.Random(12)
+    target, supp = table(rng, 20, 3, 0.3, grid=3), table(rng, 45, 3, 0.3, grid=3)
+    target[7] = [None] * 3
+    got_ = {}
+    for r in run(spark, target, supp).sorted_distances([3, 7, 11, 11, 999]).collect():
+        got_.setdefault(r["target_idx"], []).append((r["supp_idx"], r["distance"]))
+    assert sorted(got_) == [3, 7, 11]
+    for t, found in got_.items():
+        d = [distance(target[t], b) for b in supp]
+        order = sorted(range(len(supp)), key=lambda j: (d[j], j))
+        assert found == [(j, None if d[j] == math.inf else d[j]) for j in order]
