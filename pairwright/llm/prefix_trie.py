@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import join_spread
 from .kernel import mix, mix_int
-from .store import written
+from .store import drop, written
 from .vector_near import whole_groups
 
 #: A conversation takes its first turns from the one whose id is the next lower multiple of this.
@@ -252,6 +252,8 @@ def prefix_nodes(turns: DataFrame) -> DataFrame:
         F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"),
     )
     full = written(full, "trie")
+    drop(paths.written_to)
+    drop(nodes.written_to)
     parents = full.filter("n_children > 0").select(F.col("own").alias("parent"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("n"))
     below = join_spread(full.filter("depth > 0"), parents, "parent", "n")
     names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .components import connected_components, join_spread
 from .kernel import mix, mix_int
 from .neighbours import _roots
-from .store import written
+from .store import drop, written
 
 THRESHOLD = 0.98
 #: Chance that a pair at the threshold meets in some projection, and that its count passes.
@@ -326,12 +326,17 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     about = placed.select("node", "keys", "values").join(nodes.select("node", "copies", "v"), "node")
     links = written(_in_order(passed.join(about, "node")).mapInArrow(_verified(threshold), "node long, linked long, reaches long"), "vector-links")
 
+    drop(passed.written_to)
+    drop(placed.written_to)
+
     roots = connected_components(links.select(F.col("node").alias("a"), F.col("reaches").alias("b")))
     totals = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     least = written(roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "vector-ids")
     component = join_spread(roots, least, "root", "n").select("node", "component_id")
     known = nodes.select("node", "least", "copies").join(totals, "node", "left").join(component, "node", "left")
     known = written(known.select("node", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")), "vector-classes")
+    for done in (nodes, links, least):
+        drop(done.written_to)
     joined = join_spread(ids.filter("node is not null"), known, "node", "copies").select("vec_id", "n_links", "component_id")
     alone = ids.filter("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

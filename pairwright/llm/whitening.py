@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import join_spread
-from .store import written
+from .store import drop, written
 
 COMPONENTS = 16
 SCALE, SHIFT = 64, 1_000_000
@@ -167,6 +167,7 @@ def whiten(table: DataFrame, components: int = COMPONENTS, weights: str = "one")
     if not kept:
         return _result(rows, spark.createDataFrame([], schema), n, e, 0.0)
     once = written(distinct.select("x", "weight", "copies").mapInArrow(whitened, schema), "whitened")
+    drop(distinct.written_to)
     weight = F.lit(1).cast("long") if weights == "one" else F.col("copies")
     means = once.select(weight.alias("w"), F.posexplode("whitened").alias("k", "y")).groupBy("k").agg((F.sum(F.col("w") * F.col("y")) / n).alias("mean")).collect()
     mean = np.array([r["mean"] for r in sorted(means, key=lambda r: r["k"])])  # a number a component
