@@ -21,7 +21,8 @@ The n-gram weights are a table by hashed context (two words and a class) that gr
 training tokens: its shards are counted, kept and asked by shuffles.  Weights are penalised by
 their sum times ``PENALTY``, which makes the gradient of a weight n - PENALTY - N p, for n tokens
 of N in the context.  Contexts are independent here, so the limit of its updates is known at once: p = (n -
-PENALTY) / N.  A weight is kept if it raises the log likelihood by ``LEAST_GAIN``; the others are 0.
+PENALTY) / N.  A weight is kept if it raises the log likelihood by ``LEAST_GAIN`` and at least doubles the token's
+probability; the others are 0.  Skips reach the class of a token, not the token in its class.
 
 Counts of all tokens are gathered by a shuffle; only the ``TOP_TOKENS`` most frequent ones are
 broadcast and can have n-gram weights; others reach their texts by a join.  Texts are read whole.
