@@ -8,24 +8,27 @@ token given its class and the context; both are softmaxes:
 
 * class: over weights of hashed features - the word before, the two before (an n-gram), the
   second before and the class of the third before (skips);
-* token in class: over log q plus the weight of the n-gram of the two words before and the token,
-  where q = (c + 0.5) / (N + 0.5 (V + 1)) over the training tokens of the class, so all unknown
-  tokens of a class share one place.
+* token in class: over log q plus the weights of two features with the token: the two words before
+  (an n-gram) and the second before (a skip).  q = (c + 0.5) / (N + 0.5 (V + 1)) over the training
+  tokens of the class, so all unknown tokens of a class share one place.
 
 The class weights take one pass over the training texts in ``ROUNDS`` rounds, each over its share
 of the texts: every partition takes Adagrad steps from common weights, and the updates are
 averaged feature by feature, weighted by how often each was touched, in a tree of ``FAN_IN``.  So
 they depend on how the input is split.
 
-The n-gram weights are a table by hashed context (two words and a class) that grows with the
-training tokens: its shards are counted, kept and asked by shuffles.  Weights are penalised by
-their sum times ``PENALTY``, which makes the gradient of a weight n - PENALTY - N p, for n tokens
-of N in the context.  Contexts are independent here, so the limit of its updates is known at once: p = (n -
-PENALTY) / N.  A weight is kept if it raises the log likelihood by ``LEAST_GAIN`` and at least doubles the token's
-probability; the others are 0.  Skips reach the class of a token, not the token in its class.
+The weights within a class are a table that grows with the training tokens: its shards are
+counted, trained, kept and asked by shuffles.  A shard is chosen by the second word before, so a task
+has all n-gram contexts of its skip contexts and trains both kinds of weights together: they start
+from counts and take ``STEPS`` gradient updates over all training tokens of the shard, each divided
+by twice the weight's count (a token has two features).  A weight of n tokens has the gradient n -
+PENALTY - E, E the tokens that the model expects.  A weight is kept if it is positive at its start
+and raises the log likelihood by ``LEAST_GAIN`` there, what it takes from other tokens included, n-grams
+against the skip alone; the others are 0.  A word that comes more than ``SHARD_TOKENS`` times counts as several skip contexts, by the word
+after it, so that no skip context is without bound.
 
 Counts of all tokens are gathered by a shuffle; only the ``TOP_TOKENS`` most frequent ones are
-broadcast and can have n-gram weights; others reach their texts by a join.  Texts are read whole.
+broadcast and can have weights within a class; others reach their texts by a join.  Texts are read whole.
 
 Tokens and contexts are known by hashes.  Nulls: a null text counts as empty (its one token is the
 end); a row with a null doc_id is scored but not trained on, and its held_out is null.  Repeated rows
@@ -63,10 +66,11 @@ MOST_HELD = 1 << 20
 BLOCK_ROWS = 1024
 FAN_IN = 16
 PENALTY = 1.0
-LEAST_GAIN = 6.0
+LEAST_GAIN = 3.0
+STEPS = 8
 #: Training tokens for each shard of the n-gram table, on average.
 SHARD_TOKENS = 1 << 20
-#: Contexts with this share of the training tokens, at most as many as its inverse, are in ``SALTS`` shards.
+#: Skip contexts with this share of the training tokens, at most as many as its inverse, are in ``SALTS`` shards.
 HOT_SHARE = 1 / 1024
 SALTS = 16
 #: Keys that a task holds before it passes them on.
@@ -89,6 +93,10 @@ ROWS = _SKIPS + CLASSES + 1
 #: The last bits of an n-gram's key are the token's place in the vocabulary and 1, or 0 for all tokens of the context.
 _ID_BITS = _U64(18)
 _IDS = _U64((1 << 18) - 1)
+#: Before them 22 bits of the n-gram context, 0 for the skip alone; 4 bits of the class and 20 of the skip context come first.
+_CONTEXT_BITS = 22
+_SKIP_BITS = _U64(18 + _CONTEXT_BITS)
+_WITHIN = _U64((1 << (18 + _CONTEXT_BITS)) - 1)
 
 
 def tokenize(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,6 +147,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(merged())
 
 
+def _parts(count: np.ndarray) -> np.ndarray:
+    """The number of skip contexts, a power of two, of words with these counts, less 1."""
+    return (2 ** np.ceil(np.log2(np.maximum(count / SHARD_TOKENS, 1))) - 1).astype(_U64)
+
+
 @dataclass
 class Vocabulary:
     """The most frequent tokens, sorted by hash, and figures of the classes."""
@@ -155,6 +168,8 @@ class Vocabulary:
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.token & _U64(0xFFFFF)] = True
         self.log_count = np.log10(self.count + 0.5)
+        self.parts = _parts(self.count)
+        self.start_parts = _parts(self.count[self.token == END].sum(keepdims=True))[0]
         self.log_place = float(np.log10(self.n_tokens + 0.5 * (self.n_distinct + 1)))
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -231,9 +246,25 @@ def contexts(h: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> tuple[np.nd
     return rows, both
 
 
-def ngram_keys(both: np.ndarray, kind: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Keys of n-grams by context (two words before and the class), then by token."""
-    return (kernel.mix(both + (kind.astype(_U64) << _U64(32))) & ~_IDS) | (place + 1).astype(_U64)
+def skip_contexts(words: Vocabulary, h: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of the second word before each token, with a part of that of the word between if it is a frequent one."""
+    n = len(h)
+    two, parts, one = np.full(n, START), np.zeros(n, _U64), np.full(n, START)
+    one[1:], two[2:] = h[:-1], h[:-2]
+    if len(words.token):
+        parts[2:] = np.where(at[:-2] >= 0, words.parts[at[:-2]], _U64(0))
+    first = bounds[:-1]
+    one[first] = START
+    for k in (first, first[np.diff(bounds) > 1] + 1):
+        two[k], parts[k] = START, words.start_parts
+    return kernel.mix(two * _U64(5) + (one & parts))
+
+
+def ngram_keys(skip: np.ndarray, both: np.ndarray, kind: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys of n-grams by skip context, class, and two words before, then by token."""
+    context = np.maximum(kernel.mix(both + (kind.astype(_U64) << _U64(32))) >> _U64(64 - _CONTEXT_BITS), _U64(1))
+    own = (kind - END_CLASS - 1).astype(_U64) << _SKIP_BITS
+    return (skip >> _U64(44) << _U64(44)) | own | (context << _ID_BITS) | (place + 1).astype(_U64)
 
 
 def exponents(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -378,7 +409,7 @@ def _ngram_counts(vocab, bits: int):
                 at = words.find(h)
                 kind = words.classes(at, kind)
                 use = np.flatnonzero(kind > END_CLASS)
-                held.append(ngram_keys(contexts(h, kind, bounds)[1][use], kind[use], at[use]))
+                held.append(ngram_keys(skip_contexts(words, h, at, bounds)[use], contexts(h, kind, bounds)[1][use], kind[use], at[use]))
                 size += len(use)
                 if size > HELD_KEYS:
                     yield from out()
@@ -404,35 +435,105 @@ def _block_row(shard: int, kind: int, keys: np.ndarray, about: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([kind], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([about.tobytes()], pa.binary())], ["shard", "kind", "keys", "about"])
 
 
+def _groups(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+class InClass:
+    """The weights of skips and n-grams within classes, of all tokens of some skip contexts; keys in order."""
+
+    def __init__(self, words: Vocabulary, keys: np.ndarray, counts: np.ndarray) -> None:
+        context, place = keys >> _ID_BITS, (keys & _IDS).astype(np.int64) - 1
+        first = _groups(context)
+        total = np.add.reduceat(counts, first)
+        of_context = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+        skip, self.skip_n = _counted([keys & ~(_WITHIN - _IDS)], [counts])
+        begin = _groups(skip >> _SKIP_BITS)
+        self.skip_total = np.add.reduceat(self.skip_n, begin)
+        self.skip_names = skip[begin] >> _SKIP_BITS
+
+        # Skips first, against the shares of the class, then n-grams, against the skips.
+        at = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(skip))))
+        token = (skip & _IDS).astype(np.int64) - 1
+        keep, start, q = self._start(self.skip_n, self.skip_total[at], token, np.zeros(len(skip)), words)
+        self.skip, self.skip_n, self.skip_of, self.skip_q, self.skip_w = skip[keep], self.skip_n[keep], at[keep], q, start
+        within = np.searchsorted(self.skip_names, context[first] >> (_SKIP_BITS - _ID_BITS))
+        place_of_skip = np.searchsorted(self.skip, keys & ~(_WITHIN - _IDS))
+        has = place_of_skip < len(self.skip)
+        has[has] = self.skip[place_of_skip[has]] == keys[has] & ~(_WITHIN - _IDS)
+        before = -np.log(self._skip_sums())[within[of_context]]
+        before[has] += self.skip_w[place_of_skip[has]]
+        keep, start, q = self._start(counts, total[of_context], place, before, words)
+        self.gram, self.gram_n, self.gram_q, self.gram_w = keys[keep], counts[keep], q, start
+        self.gram_skip = np.where(has, place_of_skip, len(self.skip))[keep]  # the last place is a weight of 0
+        live, self.gram_of = np.unique(of_context[keep], return_inverse=True)
+        self.names, self.total, self.within = context[first[live]], total[live], within[live]
+        self.other_total = self.skip_total - np.bincount(self.within, self.total, len(self.skip_total))
+
+    @staticmethod
+    def _start(n: np.ndarray, total: np.ndarray, place: np.ndarray, before: np.ndarray, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which weights are kept, where they start, and the shares of their tokens."""
+        some = np.flatnonzero((n > PENALTY) & (place >= 0))
+        q = words.share(place[some])
+        start = np.log((n[some] - PENALTY) / total[some] / q) - before[some]
+        keep = (start > 0) & (n[some] * start + (n[some] - PENALTY) * np.expm1(-start) >= LEAST_GAIN)
+        return some[keep], start[keep], q[keep]
+
+    def _skip_sums(self) -> np.ndarray:
+        """The sum over its class of q and the exponential of the weight, for each skip context."""
+        return 1 + np.bincount(self.skip_of, self.skip_q * np.expm1(self.skip_w), len(self.skip_total))
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """These sums for skip contexts and n-gram contexts, and q times the exponential of the skip's weight for each n-gram."""
+        by_skip = self.gram_q * np.exp(np.append(self.skip_w, 0)[self.gram_skip])
+        alone = self._skip_sums()
+        return alone, alone[self.within] + np.bincount(self.gram_of, by_skip * np.expm1(self.gram_w), len(self.names)), by_skip
+
+    def gradients(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of the weights of skips and n-grams, and the tokens expected of each."""
+        alone, whole, by_skip = self.sums()
+        rate = self.total / whole  # tokens of a context over its sum
+        anywhere = self.other_total / alone + np.bincount(self.within, rate, len(alone))
+        gram = by_skip * rate[self.gram_of]
+        more = np.bincount(self.gram_skip, gram * np.expm1(self.gram_w), len(self.skip) + 1)[:-1]
+        skip = self.skip_q * np.exp(self.skip_w) * anywhere[self.skip_of] + more
+        gram = gram * np.exp(self.gram_w)
+        return self.skip_n - PENALTY - skip, self.gram_n - PENALTY - gram, skip, gram
+
+    def step(self) -> None:
+        skip, gram, skip_tokens, gram_tokens = self.gradients()
+        self.skip_w += skip / (2 * np.maximum(self.skip_n, skip_tokens))
+        self.gram_w += gram / (2 * np.maximum(self.gram_n, gram_tokens))
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, values and the tokens of their skip contexts.
+
+        A value is log10 of what a token's probability in its class is multiplied by: at the n-gram's key
+        for its token, at the context's (0 in the last bits), or else the skip context's (0 in the
+        context's bits too), for all other tokens, times that at the skip's key for its token.
+        """
+        alone, whole, _ = self.sums()
+        gram = self.gram_w + np.append(self.skip_w, 0)[self.gram_skip] - np.log(whole)[self.gram_of]
+        some = np.unique(self.skip_of)
+        some = np.union1d(some, self.within)
+        keys = np.concatenate([self.gram, self.names << _ID_BITS, self.skip, self.skip_names[some] << _SKIP_BITS])
+        values = np.concatenate([gram, -np.log(whole), self.skip_w, -np.log(alone)[some]]) / np.log(10)
+        sizes = self.skip_total[np.concatenate([self.within[self.gram_of], self.within, self.skip_of, some])]
+        order = np.argsort(keys)
+        return keys[order], values[order].astype(np.float32), sizes[order]
+
+
 def ngram_weights(words: Vocabulary, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, values and context sizes of the n-grams that are kept; keys: all of whole contexts, in order.
-
-    A value is log10 of what a token's probability in its class is multiplied by; it stands at
-    the token's key, and at the context's own key (0 in the last bits) for all other tokens.
-    """
-    group = keys >> _ID_BITS
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size = np.diff(np.append(first, len(keys)))
-    total = np.add.reduceat(counts, first)
-    of = np.repeat(np.arange(len(first)), size)
-    place = (keys & _IDS).astype(np.int64) - 1
-    some = np.flatnonzero((counts > PENALTY) & (place >= 0))
-    q = words.share(place[some])
-    p = (counts[some] - PENALTY) / total[of[some]]
-    keep = counts[some] * np.log(p / q) >= LEAST_GAIN
-    keep &= p >= 2 * q
-    some, p, q = some[keep], p[keep], q[keep]
-    rest = np.bincount(of[some], p, len(first)), np.bincount(of[some], q, len(first))
-    live = np.flatnonzero(rest[1])
-    beside = np.log10((1 - rest[0][live]) / (1 - rest[1][live]))
-    out = np.concatenate([keys[some], group[first[live]] << _ID_BITS])
-    values, sizes = np.concatenate([np.log10(p / q), beside]), np.concatenate([total[of[some]], total[live]])
-    order = np.argsort(out)
-    return out[order], values[order].astype(np.float32), sizes[order]
+    """The trained table of all tokens of some skip contexts; keys: distinct, in order."""
+    model = InClass(words, keys, counts)
+    for _ in range(STEPS):
+        model.step()
+    return model.table()
 
 
 def _ngram_table(vocab, bits: int, hot_tokens: float):
-    """(shard, keys, values) from the counts of each shard, for hot contexts also in other shards, and the list of these."""
+    """(shard, keys, values) from the counts of each shard, for hot skip contexts also in other shards, and the list of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, current, keys, counts = vocab.value, None, [], []
@@ -446,7 +547,7 @@ def _ngram_table(vocab, bits: int, hot_tokens: float):
             if len(hot):
                 for other in sorted({(current ^ salt) & ((1 << bits) - 1) for salt in range(1, SALTS)} - {current}):
                     yield _block_row(other, _TABLE, key[hot], value[hot])
-                yield _block_row(current, _HOT, np.unique(key[hot] & ~_IDS), np.zeros(0))
+                yield _block_row(current, _HOT, np.unique(key[hot] & ~_WITHIN), np.zeros(0))
 
         for batch in batches:
             for shard, key, n in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
@@ -464,21 +565,52 @@ def _ngram_table(vocab, bits: int, hot_tokens: float):
     return run
 
 
-def _found(keys: np.ndarray, values: np.ndarray, seen: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """The value at each asked key, else at its context's key, else 0."""
-    out = np.zeros(len(asked))
-    maybe = np.flatnonzero(seen[(asked >> _ID_BITS) & _U64(0xFFFFF)])
-    for key in (asked[maybe] & ~_IDS, asked[maybe]):  # first the context's, then its own over it
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        out[maybe[hit]] = values[at[hit]]
-    return out
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (kernel.mix(keys) >> _U64(42)).astype(np.int64)
+
+
+class Table:
+    """A shard's keys and values, for lookups."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        alone = keys & _WITHIN == 0
+        self.skips, self.skip_values = keys[alone], values[alone]
+        self.keys, self.values = keys[~alone], values[~alone]
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[_slots(self.keys)] = True
+
+    def _at(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are in the table, and their values."""
+        maybe = np.flatnonzero(self.seen[_slots(asked)])
+        at = np.minimum(np.searchsorted(self.keys, asked[maybe]), len(self.keys) - 1)
+        hit = self.keys[at] == asked[maybe]
+        return maybe[hit], self.values[at[hit]]
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """What each n-gram's probability in its class is multiplied by, as a log10."""
+        out = np.zeros(len(asked))
+        if not len(self.skips):
+            return out
+        alone = asked & ~_WITHIN
+        at = np.minimum(np.searchsorted(self.skips, alone), len(self.skips) - 1)
+        known = np.flatnonzero(self.skips[at] == alone)  # others have no weight at all
+        asked, alone, value = asked[known], alone[known], self.skip_values[at[known]].astype(np.float64)
+        if len(self.keys):
+            hit, found = self._at(asked & ~_IDS)
+            value[hit] = found
+            token = asked & _IDS
+            hit, found = self._at(alone | token)
+            value[hit] += found
+            hit, found = self._at(asked)
+            value[hit] = found
+        out[known] = value
+        return out
 
 
 _DOCUMENT = "uid long, doc_id long, n_tokens long, n_known long, frequent double, own double, score double, rare array<long>"
 _ASKED = f"{_SHARD}, origin long, uids binary, docs binary, {_DOCUMENT}"
 _ANSWERED = f"kind int, origin long, uids binary, docs binary, sums binary, {_DOCUMENT}"
-#: Kinds of rows: a shard's table, what is asked of it, hot contexts, a document, the documents of all that was asked at once.
+#: Kinds of rows: a shard's table, what is asked of it, hot skip contexts, a document, the documents of all that was asked at once.
 _TABLE, _QUESTION, _HOT, _ROW, _ORIGIN = range(5)
 
 
@@ -512,13 +644,11 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if table is None and any(len(x[0]) for x in parts):
                 key, value = (np.concatenate(x) for x in zip(*parts, strict=True))
                 key, first = np.unique(key, return_index=True)
-                seen = np.zeros(1 << 20, bool)
-                seen[(key >> _ID_BITS) & _U64(0xFFFFF)] = True
-                table, parts = (key, value[first], seen), []
+                table, parts = Table(key, value[first]), []
             if table is None:
                 continue
             runs = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint16).astype(np.int64)
-            total = np.add.reduceat(_found(*table, keys), np.concatenate([[0], np.cumsum(runs)[:-1]]))
+            total = np.add.reduceat(table.find(keys), np.concatenate([[0], np.cumsum(runs)[:-1]]))
             some = np.flatnonzero(total)
             if len(some):
                 docs = np.cumsum(np.frombuffer(batch.column(6)[k].as_buffer(), np.uint16).astype(np.int64))[some]
@@ -549,7 +679,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """The vocabulary, class weights, and the n-gram table (``_SHARD``) with its hot contexts."""
+    """The vocabulary, class weights, and the n-gram table (``_SHARD``) with its hot skip contexts."""
 
     counts: DataFrame
     words: Vocabulary
@@ -574,7 +704,7 @@ def train(docs: DataFrame) -> Model:
     bits = max(0, math.ceil(math.log2(max(words.n_tokens, 1) / SHARD_TOKENS)))
     grams = training.select("text").mapInArrow(_ngram_counts(vocab, bits), _SHARD).repartition("shard").sortWithinPartitions("shard").mapInArrow(_ngram_table(vocab, bits, max(2, words.n_tokens * HOT_SHARE)), _SHARD)
     grams = written(grams, "ngrams")
-    hot = [np.frombuffer(bytes(r["keys"]), _U64) for r in grams.filter(F.col("kind") == _HOT).select("keys").collect()]  # at most 1 / HOT_SHARE contexts
+    hot = [np.frombuffer(bytes(r["keys"]), _U64) for r in grams.filter(F.col("kind") == _HOT).select("keys").collect()]  # at most 1 / HOT_SHARE skip contexts
     weights = np.zeros((ROWS, CLASSES), np.float32)
     weights[_BIAS] = np.log(words.class_tokens + 1) - np.log(words.class_tokens.sum() + CLASSES)
     for k in range(ROUNDS):
@@ -606,7 +736,7 @@ def _scored(vocab, shared, bits: int, hot: np.ndarray):
             size, documents, flushes = 0, 0, flushes + 1
             shard = (key >> _U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
             if len(hot):
-                own = key & ~_IDS
+                own = key & ~_WITHIN
                 busy = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
                 shard[busy] = (shard[busy] ^ (flushes + part) % SALTS) & ((1 << bits) - 1)
             order = np.argsort(shard, kind="stable")
@@ -646,7 +776,7 @@ def _scored(vocab, shared, bits: int, hot: np.ndarray):
                 about = dict(zip(("n_known", "frequent", "own", "score"), map(pa.array, sums), strict=True))
                 yield _filled(schema, n, shard=_dealt(uids[a:b], n), kind=pa.array(np.full(n, _ROW, np.int32)), uid=pa.array(uids[a:b]), doc_id=batch.column(0).slice(a, n), n_tokens=pa.array(np.diff(bounds)), rare=rare, **about)
                 use = np.flatnonzero(kind > END_CLASS)
-                held.append((ngram_keys(both[use], kind[use], at[use]), np.diff(np.searchsorted(use, bounds)), uids[a:b]))
+                held.append((ngram_keys(skip_contexts(words, h, at, bounds)[use], both[use], kind[use], at[use]), np.diff(np.searchsorted(use, bounds)), uids[a:b]))
                 size, documents = size + len(use), documents + n
                 if size > HELD_KEYS:
                     yield from out()

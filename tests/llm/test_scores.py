@@ -352,14 +352,17 @@ def test_scores_word_by_word(spark, monkeypatch, top, shard, hot):
         h, kind, bounds = language_model.tokenize(raw, np.array([0, len(raw)]))
         at = words.find(h)
         kind = words.classes(at, kind)
-        return h, at, kind, *language_model.contexts(h, kind, bounds)
+        features, both = language_model.contexts(h, kind, bounds)
+        return h, at, kind, features, list(zip(language_model.skip_contexts(words, h, at, bounds), both, strict=True))
 
-    def in_class(both, kind, at, c):
+    def in_class(context, kind, at, c):
         """The probability of a token of count c in its class."""
         if kind <= language_model.END_CLASS:
             return 1.0
-        key = int(language_model.ngram_keys(np.array([both]), np.array([kind]), np.array([at]))[0])
-        factor = table.get(key, table.get(key - int(at) - 1, 0.0))
+        key = int(language_model.ngram_keys(*(np.array([x]) for x in (*context, kind, at)))[0])
+        alone, token = key >> 40 << 40, int(at) + 1
+        rest = table.get(key - token, table.get(alone, 0.0))
+        factor = table.get(key, rest + (table.get(alone + token, 0.0) if token else 0.0))
         return (c + 0.5) / 10 ** words.class_place[kind] * 10**factor
 
     got = {(x["doc_id"], x["n_tokens"]): x["score"] for x in language_model.scored(docs, model).collect()}
@@ -382,6 +385,104 @@ def test_scores_word_by_word(spark, monkeypatch, top, shard, hot):
             assert sum(in_class(both[k], kind[k], at, c) for at, c in [*rest[int(kind[k])], (-1, 0)]) == pytest.approx(1, abs=1e-5)
 
 
+def _counts_in_classes(r, contexts=60, tokens=40):
+    """A vocabulary of one class, and counted n-grams whose tokens depend on the skip and on the n-gram."""
+    kind = language_model.END_CLASS + 3
+    names = np.sort(r.integers(1, 1 << 62, tokens).astype(np.uint64))
+    at, skip, both = [], [], []
+    for c in range(contexts):
+        for _ in range(r.integers(1, 80)):
+            at.append(r.choice([-1, r.integers(tokens), (c % 4) * 7 + r.integers(4), c % tokens]))
+            skip.append(np.uint64((c % 4 + 1) << 50))
+            both.append(np.uint64(c + 1))
+    at = np.array(at)
+    n = np.bincount(at[at >= 0], minlength=tokens) + 1
+    place = np.zeros(language_model.CLASSES)
+    place[kind] = math.log10(n.sum() + 5 + 0.5 * (tokens + 4))
+    words = language_model.Vocabulary(names, n, np.full(tokens, kind), np.zeros(language_model.CLASSES), place, int(n.sum()), tokens)
+    return words, *np.unique(language_model.ngram_keys(np.array(skip), np.array(both), np.full(len(at), kind), at), return_counts=True)
+
+
+def _likelihood(model, keys, counts, skip_w, gram_w):
+    """The penalised log likelihood of all counted tokens, token by token; unknown and other tokens have the rest of the class."""
+    of_skip = {int(k): i for i, k in enumerate(model.skip)}
+    of_gram = {int(k): i for i, k in enumerate(model.gram)}
+    shares = {int(k) & 0x3FFFF: float(q) for k, q in [*zip(model.gram, model.gram_q, strict=True), *zip(model.skip, model.skip_q, strict=True)]}
+    total = -language_model.PENALTY * (skip_w.sum() + gram_w.sum())
+    for key, n in zip(keys.tolist(), counts.tolist(), strict=True):
+        def weight(token, key=key):
+            i, j = of_skip.get(key >> 40 << 40 | token), of_gram.get(key >> 18 << 18 | token)
+            return (0.0 if i is None else skip_w[i]) + (0.0 if j is None else gram_w[j])
+        total += n * (weight(key & 0x3FFFF) - math.log(1 + sum(q * math.expm1(weight(t)) for t, q in shares.items())))
+    return total
+
+
+def test_weights_in_classes_follow_the_gradient():
+    r = np.random.default_rng(5)
+    words, keys, counts = _counts_in_classes(r)
+    model = language_model.InClass(words, keys, counts)
+    assert len(model.skip) > 4 and len(model.gram) > 10 and (model.gram_skip < len(model.skip)).any()
+    skip, gram, _, _ = model.gradients()
+    eps = 1e-5
+    for k in range(0, len(model.skip), 3):
+        moved = np.eye(len(model.skip))[k] * eps
+        slope = (_likelihood(model, keys, counts, model.skip_w + moved, model.gram_w) - _likelihood(model, keys, counts, model.skip_w - moved, model.gram_w)) / (2 * eps)
+        assert skip[k] == pytest.approx(slope, abs=1e-3)
+    for k in range(0, len(model.gram), 7):
+        moved = np.eye(len(model.gram))[k] * eps
+        slope = (_likelihood(model, keys, counts, model.skip_w, model.gram_w + moved) - _likelihood(model, keys, counts, model.skip_w, model.gram_w - moved)) / (2 * eps)
+        assert gram[k] == pytest.approx(slope, abs=1e-3)
+    before = [_likelihood(model, keys, counts, model.skip_w, model.gram_w)]
+    for _ in range(language_model.STEPS):
+        model.step()
+        before.append(_likelihood(model, keys, counts, model.skip_w, model.gram_w))
+    assert all(b >= a - 1e-9 for a, b in zip(before, before[1:], strict=False)) and before[-1] > before[0] + 1
+    for _ in range(300):
+        model.step()
+    skip, gram, _, _ = model.gradients()
+    assert max(np.abs(skip).max(), np.abs(gram).max()) < 0.05
+
+
+def test_skips_reach_the_token_in_its_class(spark):
+    """The word two before tells which of two alike words follows; the word between is new each time."""
+    r = rng(31)
+
+    def text():
+        out = []
+        for _ in range(40):
+            k = r.randrange(2)
+            out += [("zzaro", "zzbro")[k], f"w{r.randrange(10**9)}x", ("qdorn", "qforn")[k], f"v{r.randrange(10**9)}y"]
+        return " ".join(out)
+
+    rows = [(k, text() + " " + " ".join(f"t{j}" for j in range(15) for _ in range(60))) for k in range(60)]
+    with_skips = {x["doc_id"]: x["score"] for x in language_model.score(frame(spark, rows)).collect()}
+    model = language_model.train(frame(spark, rows))
+    held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 1]
+    raw = np.frombuffer(rows[held[0]][1].encode(), np.uint8)
+    h, kind, bounds = language_model.tokenize(raw, np.array([0, len(raw)]))
+    at = model.words.find(h)
+    kind = model.words.classes(at, kind)
+    assert kind[2] > language_model.END_CLASS
+    table = {}
+    for x in model.ngrams.collect():
+        table |= dict(zip(np.frombuffer(bytes(x["keys"]), np.uint64).tolist(), np.frombuffer(bytes(x["about"]), np.float32).tolist(), strict=True))
+    _, both = language_model.contexts(h, kind, bounds)
+    keys = language_model.ngram_keys(language_model.skip_contexts(model.words, h, at, bounds), both, np.maximum(kind, language_model.END_CLASS + 1), at)
+    gain = [table.get(k >> 40 << 40, 0.0) + table.get(k >> 40 << 40 | k & 0x3FFFF, 0.0) for k in keys[2:160:4].tolist()]
+    assert min(gain) > 0.1 and all(math.isfinite(x) for x in with_skips.values())
+
+
+def test_frequent_words_are_several_skip_contexts(monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 100)
+    h = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 500).astype(np.uint64))
+    count = np.full(500, 90)
+    count[7] = 3000
+    words = language_model.Vocabulary(h, count, np.full(500, 20), np.zeros(language_model.CLASSES), np.zeros(language_model.CLASSES), 1, 1)
+    text = np.concatenate([[h[7], x, h[9], y, h[11]] for x, y in zip(h[100:300], h[300:], strict=True)])
+    got = language_model.skip_contexts(words, text, words.find(text), np.array([0, len(text)]))
+    assert 16 < len(set(got[2::5].tolist())) <= 32 and len(set(got[4::5].tolist())) == 1
+
+
 def test_what_comes_again_is_likelier(spark):
     r = rng(8)
     texts = [prose(r, 60) for _ in range(40)]
