@@ -48,6 +48,10 @@ _LEFT = np.random.default_rng(11).random(BINS) < 0.5
 _FULL = np.uint32(0xFFFFFFFF)
 #: Odd multipliers, one for each place in a run.
 _PLACES = kernel.mix(np.arange(1, SHINGLE + 1, dtype=_U64)) | _U64(1)
+#: White space to a space, other bytes unchanged.
+_SPACED = np.where(kernel.NOT_SPACE, np.arange(256), 0x20).astype(np.uint8)
+#: Bytes of text that are signed at a time: few, to stay in the cache.
+_SIGNED_BYTES = 1 << 16
 
 
 def lower(column: pa.Array) -> pa.Array:
@@ -64,14 +68,14 @@ def _line_ends(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """The code points of UTF-8 text and, unless each is one byte, how many begin before each byte; other bytes count as they are."""
+    """The code points of UTF-8 text and, unless each is one byte, the places of bytes that begin none; other bytes count as they are."""
     if not len(buf) or buf.max() < 0x80:
         return buf, None
     try:
         text = buf.tobytes().decode()
     except UnicodeDecodeError:
         return buf, None
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), np.flatnonzero((buf & 0xC0) == 0x80)
 
 
 def runs(buf: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,17 +83,17 @@ def runs(buf: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarr
 
     Equal runs have equal hashes wherever they lie.
     """
-    chars, before = _characters(buf)
-    if before is not None:
-        begin, stop = before[begin], before[stop]
+    chars, further = _characters(buf)
+    if further is not None:
+        begin, stop = (x - np.searchsorted(further, x) for x in (begin, stop))
     windows = np.maximum(stop - begin - SHINGLE + 1, 0)
     n, some = len(chars) - SHINGLE + 1, windows > 0
     if n < 1:
         return np.zeros(0, _U64), np.zeros(0, np.int64)
     wide = chars.astype(_U64)
-    h = wide[:n] * _PLACES[0]
+    h, more = wide[:n] * _PLACES[0], np.empty(n, _U64)
     for j in range(1, SHINGLE):
-        h += wide[j : n + j] * _PLACES[j]
+        h += np.multiply(wide[j : n + j], _PLACES[j], out=more)
     edge = np.zeros(len(chars) + 1, np.int8)
     edge[begin[some]] = 1
     edge[(begin + windows)[some]] = -1
@@ -120,8 +124,8 @@ def signatures(h: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U64), (n, BANDS))
     for r in range(ROWS):
         keys = kernel.mix(keys * _U64(0x9E3779B97F4A7C15) + values[:, :, r])
-    two = bins * np.uint32(0x85EBCA6B) >> np.uint32(30)
-    planes = [np.packbits((two >> np.uint32(k) & np.uint32(1)).astype(bool), axis=1, bitorder="little") for k in range(2)]
+    two = bins * np.uint32(0x85EBCA6B)  # its first two bits
+    planes = [np.packbits(two & np.uint32(1 << k) != 0, axis=1, bitorder="little") for k in (30, 31)]
     return neighbours.band_keys(keys), np.column_stack([np.ascontiguousarray(x).view("<i8") for x in planes])
 
 
@@ -131,19 +135,19 @@ def _nodes(buf: np.ndarray, offsets: np.ndarray):
     start, end, _ = kernel.spans(buf, offsets, kernel.NOT_SPACE)
     if not len(start):
         return None
-    words = kernel.hash_spans(buf, start, end)
     line = np.searchsorted(ends, start, "right")
     first_line = kernel.row_bounds(own, len(offsets) - 1)
-    live, first, count = np.unique(line, return_index=True, return_counts=True)
-    place = np.arange(len(words)) - np.repeat(first, count)
-    node = kernel.mix(np.add.reduceat(words * (kernel.mix(place.astype(_U64)) | _U64(1)), first) + count.astype(_U64))
-    # The text with single spaces: each word and a space, the last of a line without it.
-    size = end - start + 1
-    at = np.concatenate([[0], np.cumsum(size)])
-    index = np.repeat(start - at[:-1], size) + np.arange(at[-1])
-    flat = buf[np.minimum(index, len(buf) - 1)]
-    flat[at[1:] - 1] = 0x20
-    h, of = runs(flat, at[first], at[first + count] - 1)
+    new = np.flatnonzero(line[1:] != line[:-1]) + 1
+    first, last = np.concatenate([[0], new]), np.append(new, len(line)) - 1
+    live = line[first]
+    # The text with single spaces: all words, and one byte of white space after each.
+    word = kernel.NOT_SPACE[buf]
+    stays = word.copy()
+    stays[1:] |= word[:-1]
+    flat, gone = _SPACED[buf[stays]], np.flatnonzero(~stays)
+    begin, stop = (x - np.searchsorted(gone, x) for x in (start[first], end[last]))
+    node = kernel.hash_spans(flat, begin, stop)
+    h, of = runs(flat, begin, stop)
     size = np.bincount(of, minlength=len(live))
     short = np.flatnonzero(size == 0)
     if len(short):
@@ -155,7 +159,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "row_key", "line", "node", "size", "keys", "sketch"]
     for batch in batches:
         buf, offsets = kernel.utf8(lower(batch.column(2)))
-        for a, b in kernel.chunks(offsets):
+        for a, b in kernel.chunks(offsets, _SIGNED_BYTES):
             got = _nodes(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if got is None:
                 continue

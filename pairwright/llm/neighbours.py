@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ from .store import written
 CHUNK_NODES = 256
 CHUNK_HASHES = 1 << 18
 _BAND_BITS = 56
+#: Nodes for each bucket of keys, and pairs of a key and a node that are looked at together.
+BUCKET_NODES = 1 << 16
+MET_PAIRS = 1 << 18
 #: MinHash values of which a sketch has two bits.
 SKETCH_VALUES = 60
 
@@ -40,25 +45,75 @@ def band_keys(keys: np.ndarray) -> np.ndarray:
     return ((keys >> np.uint64(64 - _BAND_BITS)) | band).view(np.int64)
 
 
-def _met_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (key, node), sorted by key, whose key an other row has; no more than a row is held back."""
-    held = None
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, keys) as pairs of a key and a node, dealt by their key: (bucket, keys, nodes), the pairs of a bucket as numbers in one row a batch."""
     for batch in batches:
-        if held is not None:
-            batch = pa.concat_batches([held[0], batch])
-        key = batch.column(0).to_numpy()
+        size = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+        key, node = batch.column(1).flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), size)
         if not len(key):
             continue
-        same = key[1:] == key[:-1]
-        met = np.zeros(len(key), bool)
-        met[1:] |= same
-        met[:-1] |= same
-        if held is not None:
-            met[0] |= held[1]
-        yield batch.slice(0, len(key) - 1).filter(pa.array(met[:-1]))
-        held = batch.slice(len(key) - 1), bool(met[-1])
-    if held is not None and held[1]:
-        yield held[0]
+        bucket = (key & ((1 << _BAND_BITS) - 1)) % buckets
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        bucket = bucket[order]
+        first = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+        ends = pa.py_buffer(np.append(first, len(key)).astype(np.int32) * np.int32(8))
+        held = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x[order])]) for x in (key, node)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *held], ["bucket", "keys", "nodes"])
+
+
+class _Met:
+    """Keys that have come so far, in order, with the first node of each and whether an other node has come."""
+
+    def __init__(self) -> None:
+        self.key, self.node, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def take(self, key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs, of these and of earlier ones, of which it is known only now that an other node has the key."""
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        run, own = np.diff(np.append(first, len(key))), key[first]
+        at = np.searchsorted(self.key, own)
+        known = np.zeros(len(own), bool)
+        inside = at < len(self.key)
+        known[inside] = self.key[at[inside]] == own[inside]
+        goes = np.repeat(known | (run > 1), run)
+        before = at[known]
+        before = before[~self.met[before]]
+        out = np.concatenate([self.key[before], key[goes]]), np.concatenate([self.node[before], node[goes]])
+        self.met[before] = True
+        new = ~known
+        self.key, self.node, self.met = (np.insert(x, at[new], y[new]) for x, y in ((self.key, own), (self.node, node[first]), (self.met, run > 1)))
+        return out
+
+
+def _met_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (key, node) whose key an other node has, from rows (bucket, keys, nodes) sorted by bucket.
+
+    A task holds the different keys of one bucket and at most ``MET_PAIRS`` pairs and one row besides.
+    """
+    held: list[list[np.ndarray]] = []
+    bucket, met, waiting = None, _Met(), 0
+
+    def taken() -> Iterator[pa.RecordBatch]:
+        found = met.take(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        for k in range(0, len(found[0]), MET_PAIRS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + MET_PAIRS]) for x in found], ["key", "node"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            if (here := batch.column(0)[k].as_py()) != bucket:
+                if held:
+                    yield from taken()
+                bucket, met, waiting = here, _Met(), 0
+            held.append([np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in (1, 2)])
+            waiting += len(held[-1][0])
+            if waiting >= MET_PAIRS:
+                yield from taken()
+                waiting = 0
+    if held:
+        yield from taken()
 
 
 def most_apart(threshold: float) -> int:
@@ -74,9 +129,10 @@ def memberships(nodes: DataFrame, threshold: float) -> DataFrame:
     two longs, has two bits of each of ``SKETCH_VALUES`` MinHash values; two nodes alone in a bucket
     must not differ in more of them than ``most_apart`` allows.
     """
-    each = nodes.select(F.explode("keys").alias("key"), "node")
+    buckets = max(2 * nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // BUCKET_NODES))
+    dealt = nodes.select("node", "keys").mapInArrow(partial(_dealt, buckets=buckets), "bucket int, keys binary, nodes binary")
     # Most keys have one node; what goes on is small.
-    pairs = written(each.repartition("key").sortWithinPartitions("key").mapInArrow(_met_keys, "key long, node long"), "shared")
+    pairs = written(dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_met_keys, "key long, node long"), "shared")
     about = [c for c in ("size", "sketch") if c in nodes.columns]
     bits = [F.bit_xor(F.get("sketch", F.lit(k))).alias(f"bits{k}") for k in range(2 * ("sketch" in about))]
     mark = F.bit_xor(F.xxhash64("node"))
@@ -97,32 +153,34 @@ def memberships(nodes: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many hashes each two of the sets (each distinct) have in common."""
-    m = len(sets)
-    counts = np.zeros((m, m), np.int64)
-    sizes = [len(s) for s in sets]
-    h, own = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    order = np.argsort(h, kind="stable")
-    h, own = h[order], own[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    run = np.diff(np.append(first, len(h)))
-    common = run > 1
-    first, run = first[common], run[common]
-    few = run <= 8
+def shared_counts(h: np.ndarray, own: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes each two of m sets have in common, and how many each has; h: hashes of the sets, in any order and with repeats, own: the set of each."""
+    # The set stands in the last bits of the hash, so that plain sorting brings together what sets share and what one has twice.
+    bits = np.uint64(max(1, (m - 1).bit_length()))
+    last = (np.uint64(1) << bits) - np.uint64(1)
+    mark = np.sort((h & ~last) | own.astype(np.uint64))
+    fresh = np.ones(len(mark), bool)
+    fresh[1:] = mark[1:] != mark[:-1]
+    mark = mark[fresh]
+    own = (mark & last).astype(np.int64)
+    mark >>= bits
+    sizes = np.bincount(own, minlength=m)
+    first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+    run = np.diff(np.append(first, len(mark)))
+    places = [np.zeros(0, np.int64)]
     for length in range(2, 9):
-        begin = first[few & (run == length)]
-        for a in range(length):
-            for b in range(a + 1, length):
-                np.add.at(counts, (own[begin + a], own[begin + b]), 1)
-    begin, run = first[~few], run[~few]
+        at = first[run == length]
+        each = [own[at + k] for k in range(length)] if len(at) else []
+        places += [x * m + y for k, x in enumerate(each) for y in each[k + 1 :]]
+    counts = np.bincount(np.concatenate(places), minlength=m * m).reshape(m, m)
+    begin, run = first[run > 8], run[run > 8]
     for k in range(0, len(begin), 4096):
         b, r = begin[k : k + 4096], run[k : k + 4096]
         incidence = np.zeros((m, len(b)), np.float32)
         at = np.repeat(b - np.concatenate([[0], np.cumsum(r)[:-1]]), r) + np.arange(r.sum())
         incidence[own[at], np.repeat(np.arange(len(b)), r)] = 1
         counts += np.triu((incidence @ incidence.T).astype(np.int64), 1)  # counts below 2**24 are exact
-    return counts + counts.T
+    return counts + counts.T, sizes
 
 
 def _roots(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,11 +200,8 @@ def _block(key: int, i: int, j: int, rows: pa.Table, threshold: float, set_of: C
     """Links of one block: node, partner texts, partner documents, least node reached."""
     rows = rows.sort_by("node")  # so that the least member is the least node
     node, copies, chunk = (rows.column(c).to_numpy() for c in ("node", "copies", "chunk"))
-    h, bounds = sorted_sets(*set_of(rows.column("content").combine_chunks()), len(node))
-    sets = np.split(h, bounds[1:-1])
+    shared, size = shared_counts(*set_of(rows.column("content").combine_chunks()), len(node))
     keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    size = np.array([len(s) for s in sets])
-    shared = shared_counts(sets)
     linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-9
     np.fill_diagonal(linked, False)
     if i != j:
@@ -198,16 +253,14 @@ def _small_blocks(rows: pa.Table, threshold: float, set_of: Callable) -> list[np
     run = np.diff(np.append(begin, len(mark)))
     square = size * size
     base = np.concatenate([[0], np.cumsum(square)])
-    shared = np.zeros(base[-1], np.int64)
+    spots = [np.zeros(0, np.int64)]
+    line, column = (base[group] + place * size[group])[own], place[own]
     for length in range(2, SMALL_BLOCK + 1):
         at = begin[run == length]
-        if not len(at):
-            continue
-        for x in range(length):
-            for y in range(x + 1, length):
-                a, b = own[at + x], own[at + y]
-                g = group[a]
-                shared += np.bincount(base[g] + place[a] * size[g] + place[b], minlength=base[-1])
+        if len(at):
+            columns = [column[at + k] for k in range(length)]
+            spots += [x + y for k in range(length - 1) for x in [line[at + k]] for y in columns[k + 1 :]]
+    shared = np.bincount(np.concatenate(spots), minlength=base[-1])
     hit = np.flatnonzero(shared)
     g = np.searchsorted(base, hit, "right") - 1
     a, b = first[g] + (hit - base[g]) // size[g], first[g] + (hit - base[g]) % size[g]
@@ -237,26 +290,30 @@ def verified(blocks: DataFrame, threshold: float, set_of: Callable = hashes) ->
     columns = ["key", "i", "j", "node", "chunk", "copies", "keys", "content", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        small: list[pa.Table] = []
-        current, waiting, last = None, 0, None
+        held: list[pa.RecordBatch] = []  # of the block that further batches may go on with
+        small: list[pa.RecordBatch] = []
+        current, last = None, None
 
         def out(x: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in x], ["node", "texts", "documents", "reaches"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal waiting
-            rows = pa.concat_tables(held)
+            n = sum(x.num_rows for x in held)
+            if 1 < n <= SMALL_BLOCK:
+                small.extend(held)
+            elif n > 1:
+                yield out(_block(*current, pa.Table.from_batches(held), threshold, set_of))
             held.clear()
-            if 1 < rows.num_rows <= SMALL_BLOCK:
-                small.append(rows)
-                waiting += sum(rows.column("size").to_pylist())
-                if waiting > BATCH_HASHES:
-                    yield out(_small_blocks(pa.concat_tables(small), threshold, set_of))
-                    small.clear()
-                    waiting = 0
-            elif rows.num_rows > 1:
-                yield out(_block(*current, rows, threshold, set_of))
+
+        def close_small() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(small).combine_chunks()
+            small.clear()
+            key, i, j, size = (rows.column(k).to_numpy() for k in ("key", "i", "j", "size"))
+            first = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1])
+            part = np.cumsum(np.add.reduceat(size, first)) // BATCH_HASHES
+            cuts = first[1:][part[1:] != part[:-1]]
+            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                yield out(_small_blocks(rows.slice(a, b - a), threshold, set_of))
 
         for table in batches:
             key, i, j, node = (table.column(k).to_numpy() for k in range(4))
@@ -272,17 +329,30 @@ def verified(blocks: DataFrame, threshold: float, set_of: Callable = hashes) ->
                 key, i, j = key[fresh], i[fresh], j[fresh]
                 if not len(key):
                     continue
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                here = (int(key[a]), int(i[a]), int(j[a]))
-                if here != current and held:
-                    yield from close()
-                current = here
-                held.append(pa.Table.from_batches([table.slice(a, b - a)]))
+            at = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(key)]])
+            begun = int((int(key[0]), int(i[0]), int(j[0])) == current)
+            if begun:
+                held.append(table.slice(0, at[1]))
+            if begun < len(at) - 1:
+                yield from close()
+                # Blocks that lie in this batch as a whole; small ones go on together.
+                size = np.diff(at)
+                whole = np.zeros(len(size), bool)
+                whole[begun:-1] = True
+                if (few := whole & (size > 1) & (size <= SMALL_BLOCK)).any():
+                    small.append(table.filter(pa.array(np.repeat(few, size))))
+                for k in np.flatnonzero(whole & (size > SMALL_BLOCK)):
+                    a = at[k]
+                    yield out(_block(int(key[a]), int(i[a]), int(j[a]), pa.Table.from_batches([table.slice(a, size[k])]), threshold, set_of))
+                a = at[-2]
+                current = (int(key[a]), int(i[a]), int(j[a]))
+                held.append(table.slice(a))
+            if small:
+                yield from close_small()
         if held:
             yield from close()
         if small:
-            yield out(_small_blocks(pa.concat_tables(small), threshold, set_of))
+            yield from close_small()
 
     dealt = blocks.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return dealt.mapInArrow(run, "node long, texts long, documents long, reaches long")

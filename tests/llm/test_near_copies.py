@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -187,3 +188,31 @@ def test_lines_of_odd_spaces_stay_apart(spark):
     rows = [(1, "\u00a0\u00a0"), (2, "\u3000"), (3, words), (4, words.replace(" ", "\u00a0"))]
     got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.deduplicate(frame(spark, rows)).collect()}
     assert got == {1: [], 2: [], 3: [], 4: []}
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 18])
+def test_keys_that_two_nodes_have_are_met_in_buckets(monkeypatch, pairs):
+    """Pairs of keys and nodes travel as a few rows, not one by one, and those whose key another node has come out, however they are held."""
+    monkeypatch.setattr(neighbours, "MET_PAIRS", pairs)
+    g = np.random.default_rng(4)
+    keys = neighbours.band_keys(g.integers(0, 40, (300, 3)).astype(np.uint64) << np.uint64(40))
+    keys[:150] = neighbours.band_keys(g.integers(0, 1 << 62, (150, 3)).astype(np.uint64))
+    lists = [None, [], *keys.tolist()]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(lists)), pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["node", "keys"])
+    dealt = pa.Table.from_batches(neighbours._dealt(iter([rows.slice(0, 100), rows.slice(100)]), 5))
+    assert dealt.num_rows <= 10 and sum(map(len, dealt["keys"].to_pylist())) == keys.size * 8
+    found = pa.Table.from_batches(neighbours._met_keys(iter(dealt.sort_by("bucket").to_batches(max_chunksize=3))))
+    value, n = np.unique(keys, return_counts=True)
+    often = set(value[n > 1].tolist())
+    assert sorted(zip(*(found[c].to_pylist() for c in ("key", "node")), strict=True)) == sorted((k, v) for v, own in enumerate(lists) for k in own or () if k in often)
+
+
+@pytest.mark.parametrize("m", [2, 5, 40])
+def test_shared_counts_equal_those_of_plain_sets(m):
+    g = np.random.default_rng(m)
+    pool = g.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2)
+    h, own = pool[g.integers(0, 60, m * 30)], np.repeat(np.arange(m), 30)
+    sets = [set(h[own == k].tolist()) for k in range(m)]
+    shared, size = neighbours.shared_counts(h, own, m)
+    assert size.tolist() == [len(s) for s in sets]
+    assert all(shared[a, b] == len(sets[a] & sets[b]) for a in range(m) for b in range(m) if a != b)
