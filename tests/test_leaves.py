@@ -81,3 +81,18 @@ def test_most_pairs_are_passed_over(monkeypatch, rows, copies):
     first = leaves.Nearest(tile).target(idx, a)["first"]
     leaves.Counted(tile, 0.8).target(idx, a, first)
     assert len([batch for batch in leaves.Lists(tile, 50).target(idx, a)]) and sum(looked) < 3 * 20_000 * 20_000 / 15
+
+
+def test_targets_that_miss_a_cell_pass_over_most_pairs_too(monkeypatch):
+    """Nearest rows, near misses and lists of 20,000 x 40,000 rows, where a third of the targets miss a cell."""
+    looked = []
+    plain = blocks.distances
+    monkeypatch.setattr(blocks, "distances", lambda a, b: looked.append(len(a) * len(b)) or plain(a, b))
+    g = np.random.default_rng(2)
+    a, b = g.normal(size=(20_000, 2)), g.normal(size=(40_000, 2))
+    a[::3, 1] = np.nan
+    idx, tile = np.arange(len(a)), [(np.arange(len(b)), b)]
+    first = leaves.Nearest(tile).target(idx, a)["first"]
+    own = np.flatnonzero(np.isnan(a[:, 1]))
+    leaves.Counted(tile, 0.8).target(own, a[own], first[own])
+    assert len([batch for batch in leaves.Lists(tile, 50).target(own, a[own])]) and sum(looked) < 20_000 * 40_000 / 8
